@@ -8,7 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that Python workers hold at once; at Arrow's own 10,000, long texts and what is made of them fill an executor.
+BATCH_ROWS = "500"
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """One input table; from then on, the session hands Python workers small batches, unless the user has set a size."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
