@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, chat, language, licenses, packing, quality, secrets, urls
+from sievelake.llm import bpe, chat, language, licenses, neighbours, packing, quality, secrets, urls
 from sievelake.llm.common import documents
 
 
@@ -46,3 +47,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
