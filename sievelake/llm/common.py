@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = "500"
 
 
-def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """One input table; from then on, the session hands Python workers small batches, unless the user has set a size."""
+def small_batches(spark: SparkSession) -> None:
+    """From now on, the session hands Python workers small batches, unless the user has set a size."""
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(batch) == "10000":
         spark.conf.set(batch, BATCH_ROWS)
+
+
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """One input table, and small batches for what is done with it."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -198,15 +198,25 @@ def concentrated(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     return sums.select("glang", "gsource", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
 
 
+def scores(stats: DataFrame) -> DataFrame:
+    """Adds each row's distance and verdict."""
+    rows = written(grouped(stats), "quality-groups")
+    parameters = written(start(rows), "quality-start")
+    for k in range(ROUNDS):
+        parameters = written(concentrated(rows, parameters), f"quality-round{k}")
+    scored = salted_join(rows, parameters).withColumn("distance", distance())
+    few = rows.where(F.col("glang") == STAR).limit(MIN_ROWS).count() < MIN_ROWS
+    outlier = (F.col("distance") > CUTOFF) & ~((F.col("glang") == STAR) & F.lit(few))
+    return scored.withColumn("kept", ~F.col("base_failed") & ~outlier)
+
+
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Every document's statistics, its distance from its group, and whether it is kept."""
-    stats = written(grouped(written(statistics(df, id_col, text_col, lang_col, source_col), "quality-stats")), "quality-groups")
-    parameters = written(start(stats), "quality-start")
-    for k in range(ROUNDS):
-        parameters = written(concentrated(stats, parameters), f"quality-round{k}")
-    scored = salted_join(stats, parameters).withColumn("distance", distance())
-    pooled = stats.where(F.col("glang") == STAR).limit(MIN_ROWS).count() < MIN_ROWS
-    outlier = (F.col("distance") > CUTOFF) & ~((F.col("glang") == STAR) & F.lit(pooled))
-    return scored.select(
-        F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), F.round("distance", 4).alias("distance")
-    )
+    scored = scores(written(statistics(df, id_col, text_col, lang_col, source_col), "quality-stats"))
+    return scored.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
+
+
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows that are kept, as they are. A repeated id with several texts stays if one of them is kept; rows without an id go."""
+    ids = judged(df, id_col, text_col, lang_col, source_col).where("kept").select(id_col).distinct()
+    return df.join(ids, id_col, "left_semi").select(df.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, chat, language, licenses, neighbours, packing, quality, secrets, urls
+from sievelake.llm import bpe, chat, language, licenses, neighbours, packing, quality, secrets, similarity, urls
 from sievelake.llm.common import documents
 
 
@@ -51,3 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(documents(spark, sf_dir))
