@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,6 +52,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(found: Counter, name: str) -> Iterator[pd.DataFrame]:
+    """What a task has counted, as rows of (name, n); nothing if that is nothing."""
+    if found:
+        yield pd.DataFrame({name: list(found), "n": list(found.values())})
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts the session shuffles to; the user sizes it so that a part fits an executor."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import counted
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words of a template that it is indexed under, the share of them that must vote for one start, and the words that may have been inserted or left out before a word.
@@ -136,7 +138,7 @@ def frequencies(rows: DataFrame, templates: tuple[Template, ...]) -> tuple[dict[
             found[""] += len(batch)
             for text in batch["text"]:
                 found.update(wanted.intersection(words_of(text)))
-        yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+        yield from counted(found, "word")
 
     found = {r["word"]: r["n"] for r in rows.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     return found, found.pop("", 0)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import counted
+
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -120,7 +122,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", li
         for batch in batches:
             for url in batch["url"]:
                 found.update(tokens(*parts(url)) & wanted)
-        yield pd.DataFrame({"token": list(found), "n": list(found.values())})
+        yield from counted(found, "token")
 
     counts = {r["token"]: r["n"] for r in rows.select("url").mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     by_token = index(listed + patterns, counts)
