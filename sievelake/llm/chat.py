@@ -131,7 +131,6 @@ TURNS = "conv_id {kind}, turn long, position int, role string, text string, fing
 def canonical_turns(df: DataFrame, id_col: str, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Canonical turns of JSON records: (conv_id, turn, position, role, text, fingerprint, unmapped)."""
     known = by_fingerprint(mappings)
-    # layouts that recur are read once by their field paths; hashing is what selects
     rows = df.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,8 +149,9 @@ def canonical_turns(df: DataFrame, id_col: str, record_col: str, mappings: tuple
                     continue
                 number = pick(record, mapping.number) if mapping.number else None
                 found += [(conv, number, k, role, body, mark, False) for k, (role, body) in enumerate(mapping.canonical(record))]
-            out = pd.DataFrame(found, columns=["conv_id", "turn", "position", "role", "text", "fingerprint", "unmapped"])
-            yield out.astype({"conv_id": "Int64" if kind in ("bigint", "int") else object, "turn": "Int64"})
+            columns = zip(*found, strict=True) if found else [[]] * 7
+            types = ["Int64" if kind in ("bigint", "int") else object, "Int64", "Int64", object, object, object, bool]
+            yield pd.DataFrame({name: pd.array(list(x), dtype=t) for name, x, t in zip(("conv_id", "turn", "position", "role", "text", "fingerprint", "unmapped"), columns, types, strict=True)})
 
     kind = df.schema[id_col].dataType.simpleString()
     return rows.mapInPandas(run, TURNS.format(kind=kind))
@@ -200,6 +200,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([r[1:] for r in rows], columns=names[1:])
+        out.insert(0, "conv_id", pd.array([r[0] for r in rows], dtype="Int64" if kind in ("bigint", "int") else object))
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
         for batch in batches:
@@ -211,9 +216,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state = State(conv)
                 state.add(segment, start, end)
             if done:
-                yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64" if kind == "bigint" else object})
+                yield frame(done)
         if state:
-            yield pd.DataFrame([state.row()], columns=names).astype({"conv_id": "Int64" if kind == "bigint" else object})
+            yield frame([state.row()])
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return in_order(formatted).mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -310,7 +310,7 @@ def rare_prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
         ones = rows[rows["kind"] == 1]
         back = [(np.frombuffer(k, np.int64)[0], t, o) for k, t, o in zip(ones["keys"], ones["tokens"], ones["often"], strict=True)]
         back += [(np.frombuffer(k, np.int64)[0], t, o) for _, _, t, k, o in told(*_counted(rows, True), True, n_buckets)]
-        return pd.DataFrame(back, columns=["rid", "tokens", "often"])
+        return pd.DataFrame(back, columns=["rid", "tokens", "often"]).astype({"rid": "int64"})
 
     @F.pandas_udf("array<long>")
     def prefix(sizes: pd.Series, parts: pd.Series) -> pd.Series:
@@ -344,8 +344,9 @@ def weak_edges(prefixes: DataFrame) -> DataFrame:
                     if first.setdefault(t, rid) != rid:
                         seen.unite(first[t], rid)
         stars = seen.stars()
-        yield pd.DataFrame({"token": pd.Series([None] * len(stars), dtype="Int64"), "a": [a for a, _ in stars], "b": [b for _, b in stars]}, columns=["token", "a", "b"])
-        yield pd.DataFrame({"token": pd.Series(list(first), dtype="Int64"), "a": list(first.values()), "b": list(first.values())})
+        edges = [(None, a, b) for a, b in stars] + [(t, a, a) for t, a in first.items()]
+        columns = zip(*edges, strict=True) if edges else ([], [], [])
+        yield pd.DataFrame({name: pd.array(list(x), dtype="Int64") for name, x in zip(("token", "a", "b"), columns, strict=True)})
 
     found = written(prefixes.mapInPandas(unite, "token long, a long, b long"), "weak-edges")
     tokens = found.where(F.col("token").isNotNull()).select("token", "a")
