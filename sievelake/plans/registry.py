@@ -2,22 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from sievelake.plans import runs  # noqa: F401
+from sievelake.plans.base import ORACLE, QUERIES
 
-from sievelake.session import table
+FLAGSHIP = "latest_run_health"
 
-
-def revenue_by_status(spark, sf_dir):
-    """Line items per return flag and line status."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n_lines"))
-    )
-
-
-QUERIES = {"revenue_by_status": revenue_by_status}
-ORACLE = {
-    "revenue_by_status": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n_lines FROM lineitem GROUP BY 1, 2"
-}
-FLAGSHIP = "revenue_by_status"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
