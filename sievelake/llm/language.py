@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import counted
+
 SAMPLE_DOCS = 250
 ROUNDS = 3
 #: Count that each piece has before any text is read.
@@ -37,41 +39,48 @@ WORDS = re.compile(r"[^\W\d_]+")
 CACHE = 400_000
 #: Likelihoods are scaled up by this before they leave the range of doubles.
 SMALL = 1e-200
+#: Words that are too short to.
+SHORT = 20
 
 
 @functools.cache
-def vocabulary(path: str) -> tuple[dict[str, int], int]:
-    """Pieces by number (lower-case text only), and the longest piece's length."""
+def vocabulary(path: str) -> tuple[dict[str, int], frozenset[str]]:
+    """Pieces by number (lower-case text only), and all that pieces begin with."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     known = {p: k for k, p in enumerate(sorted({p for p in pieces if p == p.lower()}))}
-    return known, max(map(len, known))
+    return known, frozenset(p[:n] for p in known for n in range(1, len(p) + 1))
 
 
-def arcs(word: str, pieces: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
-    """(from, to, piece) of each piece in a word, by its end; -1 for a letter that no piece has."""
+def arcs(word: str, pieces: dict[str, int], begins: frozenset[str]) -> list[tuple[int, int, int]]:
+    """(from, to, piece) of each piece in a word, by its start; -1 for a letter that no piece has."""
     text = "▁" + word
-    found = []
-    for j in range(1, len(text) + 1):
-        for i in range(max(0, j - longest), j):
-            if (k := pieces.get(text[i:j])) is not None:
-                found.append((i, j, k))
-        if text[j - 1] not in pieces:
-            found.append((j - 1, j, -1))
+    found, n = [], len(text)
+    for i in range(n):
+        if text[i] not in pieces:
+            found.append((i, i + 1, -1))
+        for j in range(i + 1, n + 1):
+            part = text[i:j]
+            if part not in begins:
+                break
+            if part in pieces:
+                found.append((i, j, pieces[part]))
     return found
 
 
 def forward(lattice: list[tuple[int, int, int]], n: int, p: list[float]) -> tuple[list[float], float]:
     """The summed probability of all segmentations up to each place, and the log of what it was scaled by."""
-    alpha, scale, done = [1.0] + [0.0] * n, 0.0, 0
+    alpha, scale = [1.0] + [0.0] * n, 0.0
+    if n <= SHORT:
+        for i, j, k in lattice:
+            alpha[j] += alpha[i] * p[k]
+        return alpha, scale
     for i, j, k in lattice:
-        if j > done:
-            if 0.0 < alpha[done] < SMALL:
-                alpha = [x / SMALL for x in alpha]
-                scale += math.log(SMALL)
-            done = j
+        if 0.0 < alpha[i] < SMALL:
+            alpha = [x / SMALL for x in alpha]
+            scale += math.log(SMALL)
         alpha[j] += alpha[i] * p[k]
     return alpha, scale
 
@@ -90,8 +99,8 @@ def expected(lattice: list[tuple[int, int, int]], n: int, p: list[float], weight
 
 def learn(words: dict[str, int], path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language; the last is an unknown letter's."""
-    pieces, longest = vocabulary(path)
-    lattices = [(arcs(w, pieces, longest), len(w) + 1, n) for w, n in sorted(words.items())]
+    pieces, begins = vocabulary(path)
+    lattices = [(arcs(w, pieces, begins), len(w) + 1, n) for w, n in sorted(words.items())]
     p = [1.0 / len(pieces)] * len(pieces) + [UNKNOWN]
     for _ in range(rounds):
         counts = [PRIOR] * len(pieces) + [0.0]
@@ -106,7 +115,7 @@ class Scorer:
     """Log-likelihoods of words in each language, remembered by word."""
 
     def __init__(self, tables: list[list[float]], path: str):
-        self.tables, (self.pieces, self.longest) = tables, vocabulary(path)
+        self.tables, (self.pieces, self.begins) = tables, vocabulary(path)
         self.rows: dict[str, int] = {}
         self.logs = np.empty((0, len(tables)))
 
@@ -122,7 +131,7 @@ class Scorer:
         while len(self.logs) < at + len(new):
             self.logs = np.vstack([self.logs, np.empty((max(4096, len(self.logs)), len(self.tables)))])
         for w in new:
-            lattice, n = arcs(w, self.pieces, self.longest), len(w) + 1
+            lattice, n = arcs(w, self.pieces, self.begins), len(w) + 1
             for k, p in enumerate(self.tables):
                 alpha, scale = forward(lattice, n, p)
                 self.logs[at, k] = math.log(alpha[n]) + scale
@@ -154,7 +163,8 @@ def train(df: DataFrame, path: str, id_col: str, text_col: str, label_col: str,
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 found = Counter(w for t in texts for w in WORDS.findall(t.lower()))
-                yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
+                for words in counted(found, "word"):
+                    yield words.assign(lang=lang)[["lang", "word", "n"]]
 
     def fit(key, words: pd.DataFrame) -> pd.DataFrame:
         p = learn(dict(zip(words["word"], words["n"].tolist(), strict=True)), path)
