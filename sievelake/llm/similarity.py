@@ -173,55 +173,52 @@ def _bucket(tokens: np.ndarray, n: int) -> np.ndarray:
     return ((tokens * _BASE) >> U(40)) % U(n)
 
 
-def occurrences(tokens: np.ndarray, keys: np.ndarray, n_buckets: int, often: int, route: bool) -> Iterator[tuple]:
-    """What a task sends on of the (token, key) pairs it holds: rows of (bucket, kind, tokens, keys).
-
-    kind 0: pairs of tokens that fewer than `often` keys have here, and a pair with key -1 for each of the others, which
-    are known to be common. kind 1: what these keys are told at once: their common tokens (route), or how many.
-    """
+def _fresh(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, by token and then by key."""
     order = np.lexsort((keys, tokens))
     tokens, keys = tokens[order], keys[order]
-    fresh = np.ones(len(tokens), bool)
-    fresh[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
-    tokens, keys = tokens[fresh], keys[fresh]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
+    return tokens[new], keys[new]
+
+
+def dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(part, the columns' bytes) for each part that some rows go to."""
+    order = np.argsort(to, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        if len(part):
+            yield int(to[part[0]]), *(c[part].tobytes() for c in columns)
+
+
+def occurrences(tokens: np.ndarray, keys: np.ndarray, n_buckets: int, least: int) -> Iterator[tuple]:
+    """What a task sends on of the (token, key) pairs it holds: rows of (bucket, kind, tokens, keys, often).
+
+    kind 0: pairs of tokens that fewer than `least` keys have here, by the token's bucket, and a pair with key -1 for each
+    of the others, which are known to be common. kind 1: the pairs of these, by the key's bucket.
+    """
+    tokens, keys = _fresh(tokens, keys)
     found, inverse, n = np.unique(tokens, return_inverse=True, return_counts=True)
-    common = n >= often
+    common = n >= least
     here = common[inverse]
-    yield from told(tokens[here], keys[here], np.full(here.sum(), OFTEN, np.uint8), route, n_buckets)
+    often = np.full(here.sum(), OFTEN, np.uint8)
+    for to, *data in dealt(keys[here] % n_buckets, tokens[here], keys[here], often):
+        yield to, 1, *data
     tokens = np.concatenate([tokens[~here], found[common]])
     keys = np.concatenate([keys[~here], np.full(common.sum(), -1, np.int64)])
-    buckets = _bucket(tokens, n_buckets)
-    order = np.argsort(buckets, kind="stable")
-    cuts = np.flatnonzero(np.diff(buckets[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(buckets[part[0]]), 0, tokens[part].tobytes(), keys[part].tobytes(), None
-
-
-def told(tokens: np.ndarray, keys: np.ndarray, often: np.ndarray, route: bool, n_buckets: int) -> Iterator[tuple]:
-    """Kind 1 rows. Routed: a row for each key, with its tokens and how often each occurs. Else one row of keys and numbers."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    tokens, keys, often = tokens[order], keys[order], often[order]
-    own, first, n = np.unique(keys, return_index=True, return_counts=True)
-    if not route:
-        yield int(own[0]) % n_buckets, 1, n.astype(np.int64).tobytes(), own.tobytes(), None
-        return
-    for k, a, m in zip(own.tolist(), first.tolist(), n.tolist(), strict=True):
-        yield k % n_buckets, 1, tokens[a : a + m].tobytes(), np.int64(k).tobytes(), often[a : a + m].tobytes()
+    for to, *data in dealt(_bucket(tokens, n_buckets).astype(np.int64), tokens, keys):
+        yield to, 0, *data, None
 
 
 SENT = "bucket int, kind int, tokens binary, keys binary, often binary"
 NAMES = ["bucket", "kind", "tokens", "keys", "often"]
 
 
-def _send(pairs: Iterator[tuple[int, np.ndarray]], n_buckets: int, often: int, route: bool) -> Iterator[pd.DataFrame]:
+def _send(pairs: Iterator[tuple[int, np.ndarray]], n_buckets: int, least: int) -> Iterator[pd.DataFrame]:
     """Gathers (key, tokens) up to FLUSH tokens and sends their occurrences on."""
 
     def flush() -> pd.DataFrame:
         keys = np.repeat(np.array(own, np.int64), [len(t) for t in held])
-        return pd.DataFrame(list(occurrences(np.concatenate(held), keys, n_buckets, often, route)), columns=NAMES)
+        return pd.DataFrame(list(occurrences(np.concatenate(held), keys, n_buckets, least)), columns=NAMES)
 
     own, held, size = [], [], 0
     for key, tokens in pairs:
@@ -236,23 +233,19 @@ def _send(pairs: Iterator[tuple[int, np.ndarray]], n_buckets: int, often: int, r
         yield flush()
 
 
-def _counted(rows: pd.DataFrame, route: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, keys, often) of a bucket's pairs whose tokens two or more keys have."""
-    pairs = rows[rows["kind"] == 0]
-    if not len(pairs):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
-    tokens = np.frombuffer(b"".join(pairs["tokens"]), np.uint64)
-    keys = np.frombuffer(b"".join(pairs["keys"]), np.int64)
-    order = np.lexsort((keys, tokens))
-    tokens, keys = tokens[order], keys[order]
-    fresh = np.ones(len(tokens), bool)
-    fresh[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
-    tokens, keys = tokens[fresh], keys[fresh]
+def _joined(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
+
+def _counted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, keys, often) of a bucket's pairs: those of kind 0 whose tokens two or more keys have, and those of kind 1."""
+    pairs, told = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+    tokens, keys = _fresh(_joined(pairs["tokens"], np.uint64), _joined(pairs["keys"], np.int64))
     _, inverse, n = np.unique(tokens, return_inverse=True, return_counts=True)
     n = n + np.bincount(inverse[keys == -1], minlength=len(n)) * OFTEN
     often = np.minimum(n, OFTEN)[inverse].astype(np.uint8)
     kept = (often >= 2) & (keys != -1)
-    return tokens[kept], keys[kept], often[kept]
+    return tuple(np.concatenate([x[kept], _joined(told[name], kind)]) for x, name, kind in ((tokens, "tokens", np.uint64), (keys, "keys", np.int64), (often, "often", np.uint8)))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -281,18 +274,18 @@ def may_link(rows: DataFrame, n_buckets: int) -> DataFrame:
                 for s in shingle_sets(batch["text"].tolist()):
                     yield _key(digest(s)), s[: prefix_length(len(s))]
 
-        return _send(pairs(), n_buckets, 2, False)
+        return _send(pairs(), n_buckets, 2)
 
     def count(_, rows: pd.DataFrame) -> pd.DataFrame:
-        _, keys, _ = _counted(rows, False)
-        ones = rows[rows["kind"] == 1]
-        own, n = np.unique(keys, return_counts=True)
-        own = np.concatenate([own, *[np.frombuffer(x, np.int64) for x in ones["keys"]]])
-        n = np.concatenate([n, *[np.frombuffer(x, np.int64) for x in ones["tokens"]]])
-        return pd.DataFrame({"key": own.astype(np.int64), "shared": n.astype(np.int64)})
+        keys, n = np.unique(_counted(rows)[1], return_counts=True)
+        return pd.DataFrame(list(dealt(keys % n_buckets, keys, n.astype(np.int64))), columns=["part", "keys", "n"]).astype({"part": "int32"})
 
-    sent = rows.select("text").mapInPandas(send, SENT)
-    return sent.groupBy("bucket").applyInPandas(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    def total(_, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, at = np.unique(_joined(rows["keys"], np.int64), return_inverse=True)
+        return pd.DataFrame({"key": keys, "shared": np.bincount(at, _joined(rows["n"], np.int64)).astype(np.int64)})
+
+    counted = rows.select("text").mapInPandas(send, SENT).groupBy("bucket").applyInPandas(count, "part int, keys binary, n binary")
+    return counted.groupBy("part").applyInPandas(total, "key long, shared long")
 
 
 def rare_prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
@@ -304,30 +297,30 @@ def rare_prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
                 for rid, tokens in zip(batch["rid"].tolist(), batch["tokens"], strict=True):
                     yield rid, np.frombuffer(tokens, np.uint64)
 
-        return _send(pairs(), n_buckets, OFTEN, True)
+        return _send(pairs(), n_buckets, OFTEN)
 
     def route(_, rows: pd.DataFrame) -> pd.DataFrame:
-        ones = rows[rows["kind"] == 1]
-        back = [(np.frombuffer(k, np.int64)[0], t, o) for k, t, o in zip(ones["keys"], ones["tokens"], ones["often"], strict=True)]
-        back += [(np.frombuffer(k, np.int64)[0], t, o) for _, _, t, k, o in told(*_counted(rows, True), True, n_buckets)]
-        return pd.DataFrame(back, columns=["rid", "tokens", "often"]).astype({"rid": "int64"})
-
-    @F.pandas_udf("array<long>")
-    def prefix(sizes: pd.Series, parts: pd.Series) -> pd.Series:
+        tokens, keys, often = _counted(rows)
+        return pd.DataFrame(list(dealt(keys % n_buckets, tokens, keys, often)), columns=["part", "tokens", "keys", "often"]).astype({"part": "int32"})
+
+    def prefixes(_, sizes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        tokens, keys, often = _joined(rows["tokens"], np.uint64), _joined(rows["keys"], np.int64), _joined(rows["often"], np.uint8)
+        order = np.lexsort((tokens, often, keys))
+        tokens, keys = tokens[order], keys[order]
+        n_of = dict(zip(sizes["rid"].tolist(), sizes["n"].tolist(), strict=True))
+        own, first, shared = np.unique(keys, return_index=True, return_counts=True)
         out = []
-        for n, p in zip(sizes, parts, strict=True):
-            tokens = np.frombuffer(b"".join(x["tokens"] for x in p), np.uint64)
-            often = np.frombuffer(b"".join(x["often"] for x in p), np.uint8)
+        for rid, at, m in zip(own.tolist(), first.tolist(), shared.tolist(), strict=True):
+            n = n_of[rid]
             # those that no other set has are the rarest and come first
-            left = n // 4 + 1 - (n - len(tokens))
-            order = np.lexsort((tokens, often))[: max(0, left)]
-            out.append(tokens[order].view(np.int64) if 4 * len(tokens) >= 3 * n else np.empty(0, np.int64))
-        return pd.Series(out)
-
-    sent = sets.select("rid", "tokens").mapInPandas(send, SENT)
-    parts = sent.groupBy("bucket").applyInPandas(route, "rid long, tokens binary, often binary")
-    by_set = parts.groupBy("rid").agg(F.collect_list(F.struct("tokens", "often")).alias("parts"))
-    return sets.select("rid", "n").join(by_set, "rid").select("rid", prefix("n", "parts").alias("prefix")).where(F.size("prefix") > 0)
+            left = n // 4 + 1 - (n - m)
+            if 4 * m >= 3 * n and left > 0:
+                out.append((rid, tokens[at : at + left].view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["rid", "prefix"]).astype({"rid": "int64"})
+
+    parts = sets.select("rid", "tokens").mapInPandas(send, SENT).groupBy("bucket").applyInPandas(route, "part int, tokens binary, keys binary, often binary")
+    sizes = sets.select("rid", "n", F.pmod("rid", F.lit(n_buckets)).cast("int").alias("part"))
+    return sizes.groupBy("part").cogroup(parts.groupBy("part")).applyInPandas(prefixes, "rid long, prefix array<long>")
 
 
 # --- 2. weak groups -------------------------------------------------------------------------------------------------
