@@ -31,8 +31,9 @@ def folded(text: str) -> str:
 def stem(word: str) -> str:
     for end in ENDINGS:
         if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
+            word = word[: -len(end)]
+            break
+    return word[:-1] if word.endswith("e") and len(word) > 3 else word
 
 
 def terms(text: str | None) -> list[str]:
