@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelake.llm import queries
+from sievelake.llm import oracle, queries
 
 QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op") and name[2].isdigit()}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_chat_format": oracle.chat_sql(queries.HOSTILE), "op4_ngram_jaccard_join": oracle.NEAR_DUPLICATES, "op7_url_filter": oracle.url_sql()}
