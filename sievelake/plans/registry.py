@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelake.plans import catalogue, runs, scoring, texts  # noqa: F401
+from sievelake.plans import catalogue, reports, runs, scoring, texts  # noqa: F401
 from sievelake.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "latest_run_health"

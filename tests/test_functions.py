@@ -114,3 +114,26 @@ def test_search(spark):
     assert found("the") == [] and found("") == []
     q = search.parse("data")
     assert df.select("k", search.rank(F.col("doc"), q).alias("r")).orderBy(F.desc("r")).first().k in (0, 2)
+
+
+def test_inbox_queries():
+    from sievelake.operators.inbox import Gate, InboxQuery, rollout
+
+    for bad in ({"salary_min": 1.0}, {"salary_min": 3.0, "salary_max": 1.0, "currency": "USD", "period": "YEAR"}, {"order": "X"}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            InboxQuery(**bad)
+    assert InboxQuery.saved('{"levels": ["MID"], "limit": 5}') == (InboxQuery(levels=("MID",), limit=5), None)
+    for text in ("[]", "{", '{"x": 1}', '{"limit": "a"}'):
+        q, error = InboxQuery.saved(text)
+        assert q is None and error
+    gates = (Gate("precision", 0.9), Gate("p95", 2.0, False))
+    assert rollout({"precision": 0.95, "p95": 1.0}, gates) == (True, [])
+    assert rollout({"precision": 0.8}, gates) == (False, ["precision", "p95"])
+
+
+def test_evaluation():
+    from sievelake.functions import evaluation
+
+    assert evaluation.covered(["python sql", "java"], "SQL e Python") == 0.5 and evaluation.covered([], "x") is None
+    assert evaluation.invented(["pays 100", "uses Python"], "We use python; uses") == ["pays 100"]
+    assert evaluation.portuguese_share("a vaga é boa") == 0.5 and evaluation.portuguese_share("") is None
