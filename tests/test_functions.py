@@ -136,4 +136,4 @@ def test_evaluation():
 
     assert evaluation.covered(["python sql", "java"], "SQL e Python") == 0.5 and evaluation.covered([], "x") is None
     assert evaluation.invented(["pays 100", "uses Python"], "We use python; uses") == ["pays 100"]
-    assert evaluation.portuguese_share("a vaga é boa") == 0.5 and evaluation.portuguese_share("") is None
+    assert evaluation.portuguese_share("a vaga é boa") == 0.75 and evaluation.portuguese_share("") is None
