@@ -1,8 +1,9 @@
 """Connected components of a graph of edges, by alternating large and small stars, on DataFrames.
 
 Each part's edges are first replaced by a spanning forest of their own, so that a part passes on no more than an edge
-for each node it has seen. Then each node points its larger neighbours, and next its smaller ones, at the least node
-near it, until nothing changes; every round is written to the shared folder. Nothing is gathered on the driver.
+for each node it has seen; then parts are united up to a bound on edges. Unless that tells all, each node points its
+larger neighbours, and next its smaller ones, at the least node near it, until every node has one parent that has none;
+every round is written to the shared folder. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import written
 
 
+#: Edges that one task holds at a time.
+EDGES_A_TASK = 500_000
+
+
 class UnionFind:
     """Roots are the least members."""
 
@@ -65,20 +70,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).collect()[0]
-    return row["n"], row["h"] or 0
+def _settled(stars: DataFrame) -> bool:
+    """Every node has one parent at most, and no parent has one: the components are told."""
+    ends = stars.select(F.col("a").alias("node"), F.lit(1).alias("child")).union(stars.select("b", F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("child").alias("up"), F.min("child").alias("least"))
+    return seen.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("least") == 0))).alias("n")).collect()[0]["n"] == 0
 
 
-def components(edges: DataFrame, what: str) -> DataFrame:
+def components(edges: DataFrame, what: str, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """(a, b) of long edges to (node, component): the least node reachable. Nodes without edges are not in it, nor are the least ones."""
     schema = "a long, b long"
-    stars = edges.mapInPandas(forest, schema).repartition("b").mapInPandas(forest, schema)
-    stars = written(stars.where("a <> b").distinct(), f"{what}-forest")
-    before = None
-    while True:
+    parts = written(edges.mapInPandas(forest, schema), f"{what}-parts")
+    # what the parts leave is mostly little: as many parts as a task can unite are read together
+    stars = written(parts.coalesce(max(1, -(-parts.count() // edges_a_task))).mapInPandas(forest, schema), f"{what}-forest")
+    while not _settled(stars):
         stars = written(_star(_star(stars, True), False), f"{what}-stars")
-        now = _mark(stars)
-        if now == before or now[0] == 0:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -44,11 +44,13 @@ WORDS_A_SHINGLE = 5
 #: One in so many of a set's shingles is counted by the occurrence filter besides its first quarter.
 EXTRA = 10
 #: A task's own occurrences are counted and sent on whenever so many are held.
-FLUSH = 2_000_000
+FLUSH = 400_000
+#: Shingles are counted in so many times more buckets than there are parts, so that a bucket takes little memory.
+BUCKETS_A_PART = 2
 #: Occurrence counts are exact up to this.
 OFTEN = 64
 #: A group with more sets or shingles is joined in blocks.
-GROUP_SETS, GROUP_SHINGLES = 1_024, 4_000_000
+GROUP_SETS, GROUP_SHINGLES = 1_024, 1_000_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 #: DivideSkip's tuning constant.
@@ -190,7 +192,7 @@ def dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
             yield int(to[part[0]]), *(c[part].tobytes() for c in columns)
 
 
-def occurrences(tokens: np.ndarray, keys: np.ndarray, n_buckets: int, least: int) -> Iterator[tuple]:
+def occurrences(tokens: np.ndarray, keys: np.ndarray, n_parts: int, least: int) -> Iterator[tuple]:
     """What a task sends on of the (token, key) pairs it holds: rows of (bucket, kind, tokens, keys, often).
 
     kind 0: pairs of tokens that fewer than `least` keys have here, by the token's bucket, and a pair with key -1 for each
@@ -201,11 +203,11 @@ def occurrences(tokens: np.ndarray, keys: np.ndarray, n_buckets: int, least: int
     common = n >= least
     here = common[inverse]
     often = np.full(here.sum(), OFTEN, np.uint8)
-    for to, *data in dealt(keys[here] % n_buckets, tokens[here], keys[here], often):
+    for to, *data in dealt(keys[here] % n_parts, tokens[here], keys[here], often):
         yield to, 1, *data
     tokens = np.concatenate([tokens[~here], found[common]])
     keys = np.concatenate([keys[~here], np.full(common.sum(), -1, np.int64)])
-    for to, *data in dealt(_bucket(tokens, n_buckets).astype(np.int64), tokens, keys):
+    for to, *data in dealt(_bucket(tokens, BUCKETS_A_PART * n_parts).astype(np.int64), tokens, keys):
         yield to, 0, *data, None
 
 
@@ -213,12 +215,12 @@ SENT = "bucket int, kind int, tokens binary, keys binary, often binary"
 NAMES = ["bucket", "kind", "tokens", "keys", "often"]
 
 
-def _send(pairs: Iterator[tuple[int, np.ndarray]], n_buckets: int, least: int) -> Iterator[pd.DataFrame]:
+def _send(pairs: Iterator[tuple[int, np.ndarray]], n_parts: int, least: int) -> Iterator[pd.DataFrame]:
     """Gathers (key, tokens) up to FLUSH tokens and sends their occurrences on."""
 
     def flush() -> pd.DataFrame:
         keys = np.repeat(np.array(own, np.int64), [len(t) for t in held])
-        return pd.DataFrame(list(occurrences(np.concatenate(held), keys, n_buckets, least)), columns=NAMES)
+        return pd.DataFrame(list(occurrences(np.concatenate(held), keys, n_parts, least)), columns=NAMES)
 
     own, held, size = [], [], 0
     for key, tokens in pairs:
@@ -265,7 +267,7 @@ def _key(mark: bytes) -> int:
     return int.from_bytes(mark[:8], "little") >> 1
 
 
-def may_link(rows: DataFrame, n_buckets: int) -> DataFrame:
+def may_link(rows: DataFrame, n_parts: int) -> DataFrame:
     """(key, shared): of how many of the first shingles of a set other sets have some. Sets that share none are not in it."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,11 +276,11 @@ def may_link(rows: DataFrame, n_buckets: int) -> DataFrame:
                 for s in shingle_sets(batch["text"].tolist()):
                     yield _key(digest(s)), s[: prefix_length(len(s))]
 
-        return _send(pairs(), n_buckets, 2)
+        return _send(pairs(), n_parts, 2)
 
     def count(_, rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = np.unique(_counted(rows)[1], return_counts=True)
-        return pd.DataFrame(list(dealt(keys % n_buckets, keys, n.astype(np.int64))), columns=["part", "keys", "n"]).astype({"part": "int32"})
+        return pd.DataFrame(list(dealt(keys % n_parts, keys, n.astype(np.int64))), columns=["part", "keys", "n"]).astype({"part": "int32"})
 
     def total(_, rows: pd.DataFrame) -> pd.DataFrame:
         keys, at = np.unique(_joined(rows["keys"], np.int64), return_inverse=True)
@@ -288,7 +290,7 @@ def may_link(rows: DataFrame, n_buckets: int) -> DataFrame:
     return counted.groupBy("part").applyInPandas(total, "key long, shared long")
 
 
-def rare_prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
+def rare_prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
     """(rid, prefix): of the sets of which three quarters or more occur in others, the shared ones among the |s|/4 + 1 rarest shingles."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,11 +299,11 @@ def rare_prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
                 for rid, tokens in zip(batch["rid"].tolist(), batch["tokens"], strict=True):
                     yield rid, np.frombuffer(tokens, np.uint64)
 
-        return _send(pairs(), n_buckets, OFTEN)
+        return _send(pairs(), n_parts, OFTEN)
 
     def route(_, rows: pd.DataFrame) -> pd.DataFrame:
         tokens, keys, often = _counted(rows)
-        return pd.DataFrame(list(dealt(keys % n_buckets, tokens, keys, often)), columns=["part", "tokens", "keys", "often"]).astype({"part": "int32"})
+        return pd.DataFrame(list(dealt(keys % n_parts, tokens, keys, often)), columns=["part", "tokens", "keys", "often"]).astype({"part": "int32"})
 
     def prefixes(_, sizes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         tokens, keys, often = _joined(rows["tokens"], np.uint64), _joined(rows["keys"], np.int64), _joined(rows["often"], np.uint8)
@@ -319,7 +321,7 @@ def rare_prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
         return pd.DataFrame(out, columns=["rid", "prefix"]).astype({"rid": "int64"})
 
     parts = sets.select("rid", "tokens").mapInPandas(send, SENT).groupBy("bucket").applyInPandas(route, "part int, tokens binary, keys binary, often binary")
-    sizes = sets.select("rid", "n", F.pmod("rid", F.lit(n_buckets)).cast("int").alias("part"))
+    sizes = sets.select("rid", "n", F.pmod("rid", F.lit(n_parts)).cast("int").alias("part"))
     return sizes.groupBy("part").cogroup(parts.groupBy("part")).applyInPandas(prefixes, "rid long, prefix array<long>")
 
 
@@ -484,14 +486,14 @@ def links(sets: DataFrame, groups: DataFrame, group_sets: int = GROUP_SETS, grou
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id): every row's set size, and the least id that links reach from it."""
     spark = df.sparkSession
-    n_buckets = partitions(spark)
+    n_parts = partitions(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(rows), "signatures")
     classes = written(signed.where("n > 0").groupBy("digest", "n", "key").agg(F.min("id").alias("rid")).where(F.col("rid").isNotNull()), "classes")
 
     # of the least set that this one may link with, the one in EXTRA
     needed = F.ceil(F.ceil(F.col("n") * 3 / 4) / EXTRA)
-    left = written(classes.join(may_link(rows, n_buckets), "key").where(F.col("shared") >= needed).select(F.col("rid").alias("id"), F.col("rid"), "digest", "n"), "may-link")
+    left = written(classes.join(may_link(rows, n_parts), "key").where(F.col("shared") >= needed).select(F.col("rid").alias("id"), F.col("rid"), "digest", "n"), "may-link")
 
     @F.pandas_udf("tokens binary, found binary")
     def to_set(texts: pd.Series) -> pd.DataFrame:
@@ -502,7 +504,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = rows.join(left, "id").select("rid", "n", "digest", to_set("text").alias("s")).where("s.found = digest").select("rid", "n", "digest", "s.tokens").dropDuplicates(["rid", "digest"])
     sets = written(sets.select("rid", "n", "tokens"), "sets")
 
-    prefixes = written(rare_prefixes(sets, n_buckets), "prefixes")
+    prefixes = written(rare_prefixes(sets, n_parts), "prefixes")
     weak = components(weak_edges(prefixes), "weak")
     # the least node of a group is not listed
     groups = written(weak.select(F.col("node").alias("rid"), F.col("component").alias("grp")).union(weak.select("component", "component")).distinct(), "groups")

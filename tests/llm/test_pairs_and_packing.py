@@ -104,8 +104,9 @@ def test_divide_skip_finds_what_counting_finds():
 
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (300, 299)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), "test").collect()}
-    assert got == {**{k: 0 for k in range(1, 61)}, **{100 + k: 100 for k in range(1, 50)}, 300: 299}
+    for edges_a_task in (1000, 9):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), "test", edges_a_task).collect()}
+        assert got == {**{k: 0 for k in range(1, 61)}, **{100 + k: 100 for k in range(1, 50)}, 300: 299}
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
 
 
