@@ -25,7 +25,7 @@ CHUNK_CHARS, OVERLAP_CHARS = 32_768, 2_048
 #: Starts so near a chunk's cut end may owe themselves to the cut (half a contraction, half a run of spaces).
 CUT_MARGIN = 8
 #: Pre-tokens whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 
 @functools.cache

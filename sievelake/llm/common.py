@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows that Python workers hold at once; at Arrow's own 10,000, long texts and what is made of them fill an executor.
-BATCH_ROWS = "500"
+BATCH_ROWS = "250"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -35,8 +35,8 @@ PRIOR = 0.02
 #: Probability of a letter that is in no piece.
 UNKNOWN = 1e-8
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words whose likelihoods a worker remembers.
-CACHE = 400_000
+#: Words whose likelihoods a worker remembers, and those that it computes together.
+CACHE, TOGETHER = 100_000, 5_000
 #: Likelihoods are scaled up by this before they leave the range of doubles.
 SMALL = 1e-200
 #: Words that are too short to.
@@ -100,54 +100,116 @@ def expected(lattice: list[tuple[int, int, int]], n: int, p: list[float], weight
 def learn(words: dict[str, int], path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language; the last is an unknown letter's."""
     pieces, begins = vocabulary(path)
-    lattices = [(arcs(w, pieces, begins), len(w) + 1, n) for w, n in sorted(words.items())]
     p = [1.0 / len(pieces)] * len(pieces) + [UNKNOWN]
     for _ in range(rounds):
         counts = [PRIOR] * len(pieces) + [0.0]
-        for lattice, n, weight in lattices:
-            expected(lattice, n, p, weight, counts)
+        for word, weight in sorted(words.items()):
+            expected(arcs(word, pieces, begins), len(word) + 1, p, weight, counts)
         total = sum(counts[:-1])
         p = [c / total for c in counts[:-1]] + [UNKNOWN]
     return np.array(p)
 
 
+class Pieces:
+    """The vocabulary for many words at once: substrings are found by a hash that grows by a letter at a time."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int]):
+        hashes = np.array([self.of(p) for p in pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array(list(pieces.values()))[order]
+        assert len(np.unique(self.hashes)) == len(pieces)
+        self.longest = max(map(len, pieces))
+
+    def of(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c) + 1) % (1 << 64)
+        return h
+
+    def find(self, h: np.ndarray, missing: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.numbers[at], missing)
+
+    def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of words of one length. p: a row for each piece, then one of zeros and one for unknown letters."""
+        letters = np.frombuffer("".join(f"▁{w}" for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+        n, zero = letters.shape[1], len(p) - 2
+        alpha = np.zeros((n + 1, len(words), p.shape[1]))
+        alpha[0] = 1.0
+        for i in range(n):
+            h = np.zeros(len(words), np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = h * self.BASE + letters[:, j - 1]
+                k = self.find(h, zero)
+                if j == i + 1:
+                    k = np.where(k == zero, zero + 1, k)
+                elif not (k != zero).any() and j > i + 4:
+                    continue
+                alpha[j] += alpha[i] * p[k]
+        return np.log(alpha[n])
+
+
 class Scorer:
     """Log-likelihoods of words in each language, remembered by word."""
 
     def __init__(self, tables: list[list[float]], path: str):
-        self.tables, (self.pieces, self.begins) = tables, vocabulary(path)
+        self.tables, (self.known, self.begins) = tables, vocabulary(path)
+        self.pieces = Pieces(self.known)
+        p = np.array(tables).T
+        self.p = np.vstack([p[:-1], np.zeros((1, len(tables))), p[-1:]])
         self.rows: dict[str, int] = {}
         self.logs = np.empty((0, len(tables)))
 
+    def learn(self, words: list[str]) -> None:
+        """Adds the words that are not remembered: those of a length together, the long ones one by one, with scaling."""
+        if len(self.rows) > CACHE:
+            self.rows.clear()
+        new: dict[int, list[str]] = {}
+        for w in dict.fromkeys(words):
+            if w not in self.rows:
+                new.setdefault(len(w), []).append(w)
+        for n, same in new.items():
+            for k in range(0, len(same), TOGETHER):
+                part = same[k : k + TOGETHER]
+                at = len(self.rows)
+                while len(self.logs) < at + len(part):
+                    self.logs = np.vstack([self.logs, np.empty((max(4096, len(self.logs)), len(self.tables)))])
+                self.logs[at : at + len(part)] = self.pieces.forward(part, self.p) if n < SHORT else [self.long(w) for w in part]
+                self.rows.update(zip(part, range(at, at + len(part)), strict=True))
+
+    def long(self, word: str) -> list[float]:
+        lattice, n, out = arcs(word, self.known, self.begins), len(word) + 1, []
+        for p in self.tables:
+            alpha, scale = forward(lattice, n, p)
+            out.append(math.log(alpha[n]) + scale)
+        return out
+
     def words(self, words: list[str]) -> np.ndarray:
         try:
             return self.logs[[self.rows[w] for w in words]]
         except KeyError:
-            pass
-        if len(self.rows) > CACHE:
-            self.rows.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        at = len(self.rows)
-        while len(self.logs) < at + len(new):
-            self.logs = np.vstack([self.logs, np.empty((max(4096, len(self.logs)), len(self.tables)))])
-        for w in new:
-            lattice, n = arcs(w, self.pieces, self.begins), len(w) + 1
-            for k, p in enumerate(self.tables):
-                alpha, scale = forward(lattice, n, p)
-                self.logs[at, k] = math.log(alpha[n]) + scale
-            self.rows[w] = at
-            at += 1
-        return self.logs[[self.rows[w] for w in words]]
-
-    def text(self, text: str) -> np.ndarray | None:
-        """None if the text has no letter."""
-        words = WORDS.findall(text.lower())
-        if not any(c.isalpha() for w in words for c in w):
-            return None
-        total = np.zeros(len(self.tables))
-        for k in range(0, len(words), 100_000):
-            total += self.words(words[k : k + 100_000]).sum(axis=0)
-        return total
+            self.learn(words)
+            return self.logs[[self.rows[w] for w in words]]
+
+    def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The likelihoods of each text; None if it has no letter."""
+        found = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        many: list[str] = []
+        for words in found:
+            many += words if len(words) <= TOGETHER else ()
+        self.learn(many)
+        out: list[np.ndarray | None] = []
+        for words in found:
+            if not any(c.isalpha() for w in words for c in w):
+                out.append(None)
+                continue
+            total = np.zeros(len(self.tables))
+            for k in range(0, len(words), TOGETHER):
+                total += self.words(words[k : k + TOGETHER]).sum(axis=0)
+            out.append(total)
+        return out
 
 
 def train(df: DataFrame, path: str, id_col: str, text_col: str, label_col: str, learnable: Column, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[float]]:
@@ -181,11 +243,10 @@ def identify(df: DataFrame, model: dict[str, list[float]], path: str, text_col:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value, path)
+        scorer = Scorer(sent.value, path) if languages else None
         for texts in batches:
             found = []
-            for t in texts:
-                logs = None if t is None or not languages else scorer.text(t)
+            for logs in scorer.texts(texts.tolist()) if languages else [None] * len(texts):
                 if logs is None:
                     found.append(("und", 0.0))
                 else:

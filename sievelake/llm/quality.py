@@ -28,7 +28,7 @@ SUPPORT, ROUNDS, MIN_ROWS = 0.75, 4, 50
 #: Statistics are whole numbers of thousandths.
 UNIT = 1000
 #: Mahalanobis distance, over len(FEATURES) dimensions, beyond which a document is an outlier.
-CUTOFF = 6.0
+CUTOFF = 5.5
 FEATURES = ("x_word", "x_symbol", "x_line", "x_repeat")
 #: Least standard deviation of each, in thousandths.
 FLOOR = {"x_word": 60.0, "x_symbol": 60.0, "x_line": 80.0, "x_repeat": 80.0}
@@ -122,17 +122,19 @@ def salted_join(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["glang", "gsource", "salt"]).drop("salt")
 
 
-def quantiles(rows: DataFrame, value: Column, share: float, bin_width: float, name: str) -> DataFrame:
-    """By group, the upper edge of the histogram bin in which the share of its rows is reached: a row for each group."""
-    bins = rows.groupBy("glang", "gsource", F.floor(value / bin_width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by_group = bins.groupBy("glang", "gsource").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n_all"))
+def quantiles(rows: DataFrame, values: dict[str, Column], share: float, bin_width: float) -> DataFrame:
+    """By group, the upper edge of the histogram bin in which the share of its rows is reached, for each value: a row for each group."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(v / bin_width).alias("bin")) for k, v in enumerate(values.values())]))
+    bins = rows.select("glang", "gsource", each.alias("x")).groupBy("glang", "gsource", F.col("x.k").alias("k"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    by_value = bins.groupBy("glang", "gsource", "k").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n_all"))
 
     def reached(b: Column, total: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
         step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + x["n"] >= F.ceil(total * share), x["bin"])).alias("at"))
         return F.aggregate(b, zero, step)["at"]
 
-    return by_group.select("glang", "gsource", ((reached(F.col("bins"), F.col("n_all")) + 1) * bin_width).alias(name))
+    edges = by_value.select("glang", "gsource", "k", ((reached(F.col("bins"), F.col("n_all")) + 1) * bin_width).alias("edge"))
+    return edges.groupBy("glang", "gsource").agg(*[F.max(F.when(F.col("k") == k, F.col("edge"))).alias(name) for k, name in enumerate(values)])
 
 
 def cholesky(cov: dict[tuple[int, int], Column], d: int) -> list[dict[tuple[int, int], Column]]:
@@ -166,14 +168,9 @@ def distance() -> Column:
 
 def start(rows: DataFrame) -> DataFrame:
     """Medians and scaled median absolute deviations by group, as m*, l*."""
-    found = None
-    for i, x in enumerate(FEATURES):
-        one = quantiles(rows, F.col(x), 0.5, BIN, f"m{i}")
-        found = one if found is None else found.join(one, ["glang", "gsource"])
-    far = salted_join(rows, found)
-    for i, x in enumerate(FEATURES):
-        one = quantiles(far, F.abs(F.col(x) - F.col(f"m{i}")), 0.5, BIN, f"d{i}")
-        found = found.join(one, ["glang", "gsource"])
+    medians = quantiles(rows, {f"m{i}": F.col(x) for i, x in enumerate(FEATURES)}, 0.5, BIN)
+    far = quantiles(salted_join(rows, medians), {f"d{i}": F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(FEATURES)}, 0.5, BIN)
+    found = medians.join(far, ["glang", "gsource"])
     d = range(len(FEATURES))
     return found.select("glang", "gsource", *[f"m{i}" for i in d], *[(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[FEATURES[i]])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)])
 
@@ -182,7 +179,7 @@ def concentrated(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of each group's nearest rows."""
     d = range(len(FEATURES))
     near = salted_join(rows, parameters).withColumn("distance", distance())
-    limits = quantiles(near, F.col("distance"), SUPPORT, DISTANCE_BIN, "limit")
+    limits = quantiles(near, {"limit": F.col("distance")}, SUPPORT, DISTANCE_BIN)
     kept = salted_join(near.select("glang", "gsource", "doc_id", *FEATURES, "distance"), limits).where(F.col("distance") <= F.col("limit"))
     sums = kept.groupBy("glang", "gsource").agg(
         F.count(F.lit(1)).alias("n"),

@@ -44,7 +44,7 @@ WORDS_A_SHINGLE = 5
 #: One in so many of a set's shingles is counted by the occurrence filter besides its first quarter.
 EXTRA = 10
 #: A task's own occurrences are counted and sent on whenever so many are held.
-FLUSH = 400_000
+FLUSH = 250_000
 #: Shingles are counted in so many times more buckets than there are parts, so that a bucket takes little memory.
 BUCKETS_A_PART = 2
 #: Occurrence counts are exact up to this.
@@ -52,7 +52,7 @@ OFTEN = 64
 #: A group with more sets or shingles is joined in blocks.
 GROUP_SETS, GROUP_SHINGLES = 1_024, 1_000_000
 #: Bytes of text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: DivideSkip's tuning constant.
 MU = 0.0085
 
@@ -479,7 +479,8 @@ def links(sets: DataFrame, groups: DataFrame, group_sets: int = GROUP_SETS, grou
     columns = ["grp", "block", "chunk", "rid", "tokens", "label", "query"]
     asked = sides.where("label <> top").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("n_chunks"))).withColumn("block", numbers("n_blocks")).withColumn("query", F.lit(True)).select(columns)
     filed = sides.withColumn("chunk", numbers("n_chunks")).withColumn("query", F.lit(False)).select(columns)
-    across = asked.union(filed).groupBy("grp", "block", "chunk").applyInPandas(_join_across, "a long, b long")
+    # written, as are all results of Python workers: a task that runs two of them in a row holds twice the memory
+    across = written(asked.union(filed).groupBy("grp", "block", "chunk").applyInPandas(_join_across, "a long, b long"), "join-across")
     return edges.union(tied).union(across)
 
 
@@ -493,21 +494,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # of the least set that this one may link with, the one in EXTRA
     needed = F.ceil(F.ceil(F.col("n") * 3 / 4) / EXTRA)
-    left = written(classes.join(may_link(rows, n_parts), "key").where(F.col("shared") >= needed).select(F.col("rid").alias("id"), F.col("rid"), "digest", "n"), "may-link")
+    left = written(classes.join(may_link(rows, n_parts), "key").where(F.col("shared") >= needed).select(F.col("rid").alias("id"), F.col("key").alias("rid"), "digest", "n"), "may-link")
 
     @F.pandas_udf("tokens binary, found binary")
     def to_set(texts: pd.Series) -> pd.DataFrame:
         sets = shingle_sets(texts.tolist())
         return pd.DataFrame({"tokens": [s.tobytes() for s in sets], "found": [digest(s) for s in sets]})
 
-    # a repeated id may have other texts too; the digest tells which is meant
-    sets = rows.join(left, "id").select("rid", "n", "digest", to_set("text").alias("s")).where("s.found = digest").select("rid", "n", "digest", "s.tokens").dropDuplicates(["rid", "digest"])
-    sets = written(sets.select("rid", "n", "tokens"), "sets")
+    # a class goes by its digest's key from here on: a repeated id may have other texts too
+    sets = rows.join(left, "id").select("rid", "n", "digest", to_set("text").alias("s")).where("s.found = digest").select("rid", "n", "s.tokens").dropDuplicates(["rid"])
+    sets = written(sets, "sets")
 
     prefixes = written(rare_prefixes(sets, n_parts), "prefixes")
     weak = components(weak_edges(prefixes), "weak")
     # the least node of a group is not listed
     groups = written(weak.select(F.col("node").alias("rid"), F.col("component").alias("grp")).union(weak.select("component", "component")).distinct(), "groups")
     found = components(links(sets, groups, group_sets, group_shingles), "links")
-    labels = classes.join(found.withColumnsRenamed({"node": "rid", "component": "label"}), "rid", "left").select("digest", "n", F.coalesce("label", "rid").alias("component_id"))
-    return signed.join(labels, ["digest", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    members = written(found.union(found.select("component", "component")).distinct().withColumnRenamed("node", "key").join(classes, "key").select("digest", "n", "component", "rid"), "members")
+    least = members.groupBy("component").agg(F.min("rid").alias("least"))
+    labels = members.join(least, "component").select("digest", "n", "least")
+    alone = classes.select("digest", "n", "rid").join(labels, ["digest", "n"], "left").select("digest", "n", F.coalesce("least", "rid").alias("component_id"))
+    return signed.join(alone, ["digest", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

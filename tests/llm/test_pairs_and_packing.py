@@ -76,6 +76,13 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted(map(tuple, similarity.near_duplicates(blank).collect()), key=str) == [(1, 0, 1), (2, 0, 2), (None, 1, None)]
 
 
+def test_a_repeated_id_with_other_texts(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (1, "quite another text of six words"), (2, text + " more"), (3, "quite another text of six words"), (4, text)]
+    got = similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 2, 1), (1, 36, 1), (2, 37, 1), (3, 2, 1), (4, 36, 1)]
+
+
 def test_near_duplicates_of_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert sorted(map(tuple, similarity.near_duplicates(df).collect())) == near_duplicates([tuple(r) for r in df.collect()])
