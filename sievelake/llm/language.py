@@ -36,7 +36,7 @@ PRIOR = 0.02
 UNKNOWN = 1e-8
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words whose likelihoods a worker remembers, and those that it computes together.
-CACHE, TOGETHER = 100_000, 5_000
+CACHE, TOGETHER = 150_000, 10_000
 #: Likelihoods are scaled up by this before they leave the range of doubles.
 SMALL = 1e-200
 #: Words that are too short to.
