@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,13 +33,38 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot
 
 
 @functools.cache
-def _encoder(ranks_path: str, pattern: str):
-    """tiktoken by the rank form of the same vocabulary gives the ids of the tokenizers file at a quarter of the time; a test holds both together."""
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Ids of the tokens that a tokenizers file takes as they stand, before any merge."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if odd := [x["content"] for x in found if x["single_word"] or x["lstrip"] or x["rstrip"]]:
+        raise ValueError(f"added tokens that take in or need their surroundings: {odd}")
+    return {x["content"]: x["id"] for x in found}
+
+
+@functools.cache
+def _encoder(ranks_path: str, pattern: str, tokenizer_path: str | None = None) -> Callable[[str], list[int]]:
+    """tiktoken by the rank form of the same vocabulary gives the ids of the tokenizers file at a quarter of the time, between that file's added tokens; a test holds both together."""
     import tiktoken
 
     with open(ranks_path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = added_tokens(tokenizer_path) if tokenizer_path else {}
+    if not added:
+        return plain
+    # the longest of those that begin at a place; each part between them is split into words by itself
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = cut.split(text)
+        ids = plain(parts[0])
+        for token, part in zip(parts[1::2], parts[2::2]):
+            ids.append(added[token])
+            ids += plain(part)
+        return ids
+
+    return encode
 
 
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -47,8 +74,8 @@ def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encode, seen = _encoder(ranks_path, pattern), 0
+def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, ranks_path: str, pattern: str, tokenizer_path: str | None) -> Iterator[pa.RecordBatch]:
+    encode, seen = _encoder(ranks_path, pattern, tokenizer_path), 0
     for batch in batches:
         out: dict[str, list] = defaultdict(list)
         for doc_id, text in zip(batch["id"], batch["text"], strict=True):
@@ -182,11 +209,11 @@ def _packed(key, group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return group.assign(sequence_id=sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
 
-def pack_documents(df: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
-    """A row for each piece: where it stands in its document and in which sequence, where."""
+def pack_documents(df: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS, tokenizer_path: str | None = None) -> DataFrame:
+    """A row for each piece: where it stands in its document and in which sequence, where. Ids are those of the tokenizers file; without one there are no added tokens."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n_groups = max(1, -(-df.count() // group_docs))
-    pieces = rows.mapInArrow(lambda x: _pieces(x, capacity, end_id, ranks_path, pattern), PIECES)
+    pieces = rows.mapInArrow(lambda x: _pieces(x, capacity, end_id, ranks_path, pattern, tokenizer_path), PIECES)
     # the slot tells repeated rows apart, so that a hot id is dealt out too
     return (
         pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "slot"), F.lit(n_groups)))

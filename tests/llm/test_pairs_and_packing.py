@@ -182,6 +182,25 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), RANKS, P.PATTERN).count() == 0
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from sievelake.llm import queries
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["one <|endoftext|> two", end, end * 2, f"{end}\n a", f"a  {end}  {end} é", "<|endoftext|", "<|<|endoftext|>|>", f"word {end} " * 2000, None, "日本語\x00 é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, t in enumerate(texts):
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        want += [(k, j, a, n, zlib.crc32(ids[a : a + n].tobytes())) for j, (a, n) in enumerate(packing.pieces_of(ids, 2048))]
+    for found in (queries.op2_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, "")):
+        assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("low,high,n", [(300, 1000, 4000), (600, 760, 1500), (400, 700, 1000), (1, 2047, 3000)])
 def test_local_search_saves_bins(low, high, n):
     pick = random.Random(n)
