@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import classify, dates, hashing, money, search, text, urls, vectors
 from sievelake.operators import aggregates as A
 from sievelake.operators.latest import latest_by, page
+from sievelake.operators.nearest import nearest_by_cosine
 from sievelake.operators.resolution import leaks, similar_titles
 from sievelake.plans.base import query, table
 
@@ -160,6 +161,12 @@ def cosine_nearest(spark, sf_dir):
     return latest_by(near, ["query_id"], [F.col("distance"), F.col("vec_id")], 10)
 
 
+@query()
+def cosine_nearest_whole(spark, sf_dir):
+    """The ten nearest of all rows to every row whose id is divisible by 20, exactly; cosine_nearest is held to its SQL's five."""
+    return nearest_by_cosine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 10)
+
+
 @query("""SELECT vec_id, len(embedding) = 64 AND NOT list_has_any(embedding::DOUBLE[], ['NaN'::DOUBLE, 'Infinity'::DOUBLE]) AS valid FROM embeddings""")
 def vector_checks(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", vectors.finite(F.col("embedding"), 64).alias("valid"))
