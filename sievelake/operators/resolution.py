@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from sievelake.functions.text import title_ratio
 
 
-def shingles(text: Column, width: int = 5) -> Column:
-    """Different runs of words; none of a text that is shorter."""
-
+def shingles(text: Column, width: int = 5, short: bool = False) -> Column:
+    """Different runs of words; of a text that is shorter none, or all its words as one."""
 
     def runs(words: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-        return F.array_distinct(F.transform(places, lambda k: F.when(F.size(words) >= width, F.array_join(F.slice(words, k, width), " "))))
+        return F.array_distinct(F.transform(places, lambda k: F.when(F.size(words) >= (1 if short else width), F.array_join(F.slice(words, k, width), " "))))
 
     # the words are bound once, not read anew for every run
-    return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[^\s]+"), F.lit(0))), runs)[0]
+    found = F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[^\s]+"), F.lit(0))), runs)[0]
+    return F.filter(found, lambda s: s.isNotNull()) if short else found
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, least: float) -> DataFrame:
@@ -27,7 +27,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, least: f
 
     Documents' shingles are joined with the items' by equal hash; what no item has never leaves its task for long.
     """
-    held = lambda df, key: df.select(key, F.explode(shingles(F.col("text"))).alias("s")).where("s is not null").select(key, F.xxhash64("s").alias("h"))
+    held = lambda df, key: df.select(key, F.explode(shingles(F.col("text"), short=True)).alias("s")).select(key, F.xxhash64("s").alias("h"))
     wanted = held(items, item_id)
     sizes = wanted.groupBy(item_id).agg(F.count(F.lit(1)).alias("n"))
     hits = held(docs, doc_id).join(wanted, "h").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("shared"))

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from sievelake.operators.leaks import split_leaks
 from sievelake.operators.nearest import nearest_by_cosine
+from sievelake.operators.resolution import leaks
 from sievelake.plans import registry
 from pyspark.sql import functions as F
 
@@ -41,3 +43,53 @@ def test_nearest_in_small_blocks_and_of_odd_rows(spark):
         scaled = good | {200: np.array([1.0, 0.0, 0.0, 1.0])}
         compare(nearest_by_cosine(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 5, block).collect(), nearest(scaled, [k for k in good if k % 20 == 0], 5))
     assert nearest_by_cosine(df.where("1 = 0"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 5).count() == 0
+
+
+def leaking(rows):
+    """Members, pairs and groups of (id, text, split, group), by comparing all."""
+    sets = {}
+    for i, t, split, _ in rows:
+        w = (t or "").lower().split()
+        if i is not None and w:
+            sets[i] = (frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), split)
+    least = {s: min(i for i, (x, _) in sets.items() if x == s) for s, _ in sets.values()}
+    held = [{s for s, split in sets.values() if split == k} for k in (0, 1)]
+    found = [("member", i, least[s]) for i, (s, _) in sets.items()]
+    found += [("pair", least[x], least[y], round(len(x & y) / len(x | y), 6)) for x in held[0] for y in held[1] if 5 * len(x & y) >= 4 * len(x | y)]
+    for g in {r[3] for r in rows} - {None}:
+        a, b = ([i for i, _, s, h in rows if h == g and s == k and i is not None] for k in (0, 1))
+        if a and b:
+            found.append(("group", min(a), min(b), g))
+    return sorted(found)
+
+
+def tuples(df):
+    return sorted((r.kind, r.a, r.b, *([r.jaccard] if r.kind == "pair" else [r.name] if r.kind == "group" else [])) for r in df.collect())
+
+
+def test_leaks_between_splits_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = leaking([(r.doc_id, r.text, r.doc_id % 2, r.source) for r in docs])
+    assert tuples(registry.QUERIES["split_leaks_whole"](spark, SF)) == want and any(x[0] == "pair" for x in want)
+
+
+def test_leaks_of_near_copies_short_texts_and_groups(spark):
+    import random
+
+    pick = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(0, "Too short", 0, "g"), (1, "too  SHORT", 1, "h"), (2, "too", 1, "h"), (3, None, 0, "g"), (4, " ", 1, "g"), (None, "too short", 1, "i")]
+    for k in range(60):
+        text = list(base)
+        for at in range(pick.randint(0, 3)):
+            text[pick.randrange(60)] = f"x{k}{at}"
+        rows.append((10 + k, " ".join(text[: pick.randint(40, 60)]), k % 2, None if k % 3 else f"n{k % 7}"))
+    rows += [(100 + k, " ".join(pick.choices(base[:4], k=pick.randint(1, 9))), k % 2, "i") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, split int, grp string")
+    assert tuples(split_leaks(df, "doc_id", "text", F.col("split"), "grp")) == leaking(rows)
+
+
+def test_a_short_item_leaks(spark):
+    docs = spark.createDataFrame([(1, "yes Of course"), (2, "yes of course not so")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "Yes of course")], "item_id long, text string")
+    assert [tuple(r) for r in leaks(docs, items, "doc_id", "item_id", 0.5).collect()] == [(1, 7, 1, 1.0)]
