@@ -35,12 +35,33 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, least: f
     return hits.join(sizes, item_id).where(share >= least).select(doc_id, item_id, "shared", F.round(share, 6).alias("contained"))
 
 
-def similar_titles(df: DataFrame, key: str, block: str, title: str, least: float) -> DataFrame:
-    """Pairs within a block whose titles are alike. Equal titles stand for one another, so a popular one is compared once."""
-    names = df.groupBy(block, title).agg(F.min(key).alias(key))
-    other = names.select(block, F.col(key).alias(f"{key}_b"), F.col(title).alias("_b"))
-    pairs = names.join(other, block).where(F.col(key) < F.col(f"{key}_b"))
-    return pairs.withColumn("ratio", title_ratio(title, "_b")).where(F.col("ratio") >= least).select(key, f"{key}_b", F.round("ratio", 6).alias("ratio"))
+#: At most about so many different titles of a block are compared with so many by one task.
+BLOCK_TITLES = 512
+
+
+def similar_titles(df: DataFrame, key: str, block: str, title: str, least: float, block_titles: int = BLOCK_TITLES) -> DataFrame:
+    """(kind, key, key_b, ratio): pair, two representatives within a block whose titles are alike; member, a key and the representative, the least key, of its title, with ratio 1.
+
+    Equal titles stand for one another, so a popular one is compared once: all alike pairs are those of members of one
+    representative, and of members of the two of a pair. A null title is none, and in no row; a null block is a block.
+    Titles of a hot block are dealt to parts, and parts are compared one by one.
+    """
+    b = f"{key}_b"
+    known = df.where(F.col(title).isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.struct(F.col(block).alias("block")).alias("_block"), F.col(title).alias("_a"))
+    names = known.groupBy("_block", "_a").agg(F.min(key).alias(b))
+    members = known.join(names, ["_block", "_a"]).select(F.lit("member").alias("kind"), key, b, F.lit(1.0).alias("ratio"))
+
+    sizes = names.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / block_titles).cast("int").alias("_parts"))
+    dealt = names.join(sizes, "_block").withColumn("_part", F.pmod(F.xxhash64("_a"), F.col("_parts")).cast("int"))
+    parts = F.sequence(F.lit(0), F.col("_parts") - 1)
+    # each two parts meet once, in the order of their numbers
+    left = dealt.select("_block", F.col(b).alias("_ka"), "_a", F.col("_part").alias("_p"), F.explode(F.filter(parts, lambda x: x >= F.col("_part"))).alias("_q"))
+    right = dealt.select("_block", F.col(b).alias("_kb"), F.col("_a").alias("_b"), F.col("_part").alias("_q"), F.explode(F.filter(parts, lambda x: x <= F.col("_part"))).alias("_p"))
+    met = left.join(right, ["_block", "_p", "_q"]).where((F.col("_p") < F.col("_q")) | (F.col("_ka") < F.col("_kb")))
+    ahead = F.col("_ka") < F.col("_kb")  # the likeness of two titles is asked in the order of their keys
+    pairs = met.select(F.least("_ka", "_kb").alias(key), F.greatest("_ka", "_kb").alias(b), F.when(ahead, F.col("_a")).otherwise(F.col("_b")).alias("_a"), F.when(ahead, F.col("_b")).otherwise(F.col("_a")).alias("_b"))
+    alike = pairs.withColumn("ratio", title_ratio("_a", "_b")).where(F.col("ratio") >= least)
+    return alike.select(F.lit("pair").alias("kind"), key, b, F.round("ratio", 6).alias("ratio")).union(members)
 
 
 def candidate_pairs(df: DataFrame, keys: Sequence[str], key: str, time: str, days: int, decided: DataFrame | None = None) -> DataFrame:

@@ -259,8 +259,8 @@ def classified_parts(spark, sf_dir):
 
 @query()
 def likely_same_titles(spark, sf_dir):
-    """Pairs of one brand and size whose titles look alike by their matching blocks."""
-    return similar_titles(table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), F.substring("p_type", 1, 3)).alias("block"), F.concat_ws(" ", "p_name", "p_type").alias("title")), "p_partkey", "block", "title", 0.55)
+    """Pairs of one brand and size whose titles look alike by their matching blocks, and which parts have one title."""
+    return similar_titles(table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("block"), F.concat_ws(" ", "p_name", "p_type").alias("title")), "p_partkey", "block", "title", 0.55)
 
 
 @query("""SELECT user_id, CASE WHEN n > 0 THEN least(60.0 * pow(2, n - 1), 3600.0) ELSE 0.0 END AS backoff FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY 1)""")

@@ -5,7 +5,7 @@ import pytest
 
 from sievelake.operators.leaks import split_leaks
 from sievelake.operators.nearest import nearest_by_cosine
-from sievelake.operators.resolution import leaks
+from sievelake.operators.resolution import leaks, similar_titles
 from sievelake.plans import registry
 from pyspark.sql import functions as F
 
@@ -93,3 +93,33 @@ def test_a_short_item_leaks(spark):
     docs = spark.createDataFrame([(1, "yes Of course"), (2, "yes of course not so")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "Yes of course")], "item_id long, text string")
     assert [tuple(r) for r in leaks(docs, items, "doc_id", "item_id", 0.5).collect()] == [(1, 7, 1, 1.0)]
+
+
+def alike_titles(rows, least):
+    """All pairs of keys, and their ratio, of (key, block, title)."""
+    from difflib import SequenceMatcher
+
+    names = {}
+    for k, block, t in rows:
+        if t is not None and k is not None:
+            names.setdefault((block, t), []).append(k)
+    out, ordered = [], sorted((min(ks), block, t) for (block, t), ks in names.items() if block is not None)
+    out += [("member", k, min(ks), 1.0) for ks in names.values() for k in ks]
+    for n, (a, block, t) in enumerate(ordered):
+        for b, other, u in ordered[n + 1 :]:
+            if other == block and (r := SequenceMatcher(None, t, u).ratio()) >= least:
+                out.append(("pair", a, b, round(r, 6)))
+    return sorted(out)
+
+
+def test_titles_of_one_brand_and_size(spark):
+    parts = spark.read.parquet(f"{SF}/part.parquet").collect()
+    found = registry.QUERIES["likely_same_titles"](spark, SF).collect()
+    assert sorted(map(tuple, found)) == alike_titles([(r.p_partkey, f"{r.p_brand}/{r.p_size}", f"{r.p_name} {r.p_type}") for r in parts], 0.55)
+
+
+def test_equal_titles_and_hot_blocks(spark):
+    rows = [(k, "hot", f"title {k % 23} of {k % 5}") for k in range(120)] + [(200, "x", "same"), (201, "x", "same"), (202, "y", "same"), (203, "x", None), (None, "x", "same"), (204, None, "same"), (205, None, "same")]
+    df = spark.createDataFrame(rows, "k long, block string, title string")
+    for size in (7, 512):
+        assert sorted(map(tuple, similar_titles(df, "k", "block", "title", 0.8, size).collect())) == alike_titles(rows, 0.8)
