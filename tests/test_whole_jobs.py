@@ -123,3 +123,10 @@ def test_equal_titles_and_hot_blocks(spark):
     df = spark.createDataFrame(rows, "k long, block string, title string")
     for size in (7, 512):
         assert sorted(map(tuple, similar_titles(df, "k", "block", "title", 0.8, size).collect())) == alike_titles(rows, 0.8)
+
+
+def test_all_sentences_of_an_answer_are_covered_or_not(spark, tmp_path):
+    turns = [(1, 0, "user", "one two three four"), (1, 1, "assistant", "One. Two. Three. Four. Five. Six"), (2, 0, "user", "one"), (2, 1, "assistant", "One. One")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: r.coverage for r in registry.QUERIES["summary_measures"](spark, str(tmp_path)).collect()}
+    assert found == pytest.approx({1: 4 / 6, 2: 1.0})
