@@ -214,6 +214,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that are kept, as they are. A repeated id with several texts stays if one of them is kept; rows without an id go."""
-    ids = judged(df, id_col, text_col, lang_col, source_col).where("kept").select(id_col).distinct()
-    return df.join(ids, id_col, "left_semi").select(df.columns)
+    """The rows that are kept, as they are, each by its own verdict: a row is known by a hash of what is read of it, so equal rows share one, and rows with no id or a repeated one are told apart."""
+    keyed = df.withColumn("_row", F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(source_col).alias("s")))))
+    kept = judged(keyed, "_row", text_col, lang_col, source_col).where("kept").select("_row").distinct()
+    return keyed.join(kept, "_row", "left_semi").select(df.columns)

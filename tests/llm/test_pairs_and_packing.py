@@ -244,3 +244,14 @@ def test_pipeline_of_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, ""), "test")
         assert docs.count() >= 0
+
+
+def test_quality_stage_of_odd_ids(spark):
+    import corpus_pipeline
+
+    good = [" ".join(f"word{k}x{j}" for j in range(60)) for k in range(4)]
+    rows = [(None, good[0]), (1, good[1]), (1, "too short"), (2, good[2]), (2, good[3]), (None, "short too"), (3, None), (4, good[0]), (4, good[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.quality_stage(spark, docs, "")
+    assert found.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == sorted((i or 0, t) for i, t in rows if t in good)
