@@ -11,7 +11,9 @@ character and a letter. No control string is then left inside a text, and unesca
 
 Null texts and roles are empty. A record of a layout without a mapping, or that is no JSON object, gives no turns but
 one row of `unmapped` with its fingerprint. Turns are ordered by number, then role, then text, so ties and repeated
-rows have a defined order. Null numbers come first. An empty table gives no rows.
+rows have a defined order. Null numbers come first. An empty table gives no rows. Only the named columns are read. A
+very long text is one segment; a very long conversation is a stream of segments through one task, since its digest is a
+hash over all of its turns in order: that is the limit of read_back(), not of the format.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def fingerprint(fields: set[str]) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """How records of one layout are read: `turns` is the path of an array, whose elements have a role and a text at the given keys; `fixed` lists (role, path) of single fields instead, in order."""
+    """How records of one layout are read: `turns` is the path of an array, whose elements have a role and a text at the given keys; `fixed` lists (role, path) of single fields instead, in order; a role of `$name` stands in the field of that name, and is taken as it is."""
 
     fields: tuple[str, ...]
     turns: str = ""
@@ -82,7 +84,7 @@ class Mapping:
         if self.turns:
             elements = pick(record, self.turns) or []
             return [(role_name(pick(x, self.role)), as_text(pick(x, self.text))) for x in elements]
-        found = [(role_name(pick(record, role[1:])) if role[:1] == "$" else role, as_text(pick(record, path))) for role, path in self.fixed]
+        found = [(as_text(pick(record, role[1:])) if role[:1] == "$" else role, as_text(pick(record, path))) for role, path in self.fixed]
         return [(role, text) for (role, text), (_, path) in zip(found, self.fixed, strict=True) if text or not path.startswith(("input", "system", "history"))]
 
 
@@ -96,7 +98,7 @@ def as_text(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-#: Other layouts' names of the roles.
+#: The names of the roles in layouts with an array of turns.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 

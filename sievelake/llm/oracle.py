@@ -15,20 +15,44 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _escapes(column: str) -> str:
+    """How many characters escaping adds: one for each control string, and for each escape character."""
+    controls = [f"(length({column}) - length(replace({column}, {quoted(c)}, ''))) // {len(c)}" for c in chat.CONTROL]
+    return " + ".join([*controls, f"(length({column}) - length(replace({column}, chr({ord(chat.ESCAPE)}), '')))"])
+
+
+def _formatted(role: str, text: str) -> str:
+    marks = len(chat.TURN + chat.BODY + chat.END)
+    return f"{marks} + length({role}) + (length({role}) - length(replace({role}, chr(10), ''))) + {_escapes(role)} + length({text}) + {_escapes(text)}"
+
+
 def chat_sql(hostile: list[tuple[int, int, str, str]]) -> str:
-    """Turns in order, hashed; every control string, and the escape character, costs one more character."""
+    """Turns in order, hashed."""
     rows = ", ".join(f"({c}, {t}, {quoted(r)}, {quoted(x)})" for c, t, r, x in hostile)
-    times = lambda column: " + ".join([f"(length({column}) - length(replace({column}, {quoted(c)}, ''))) // {len(c)}" for c in chat.CONTROL] + [f"(length({column}) - length(replace({column}, chr({ord(chat.ESCAPE)}), '')))"])
-    marks = len(chat.TURN + chat.BODY + chat.END)
     return f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES {rows}) v(conv_id, turn, role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({marks} + length(role) + (length(role) - length(replace(role, chr(10), ''))) + {times("role")} + length(text) + {times("text")}) AS BIGINT) AS formatted_chars
+  CAST(sum({_formatted("role", "text")}) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id"""
 
 
+def layouts_sql() -> str:
+    """What the layouts of chat_layouts must give: rows keep their roles, arrays have theirs renamed, a prompt and its completion are two turns."""
+    renamed = "CASE " + " ".join(f"WHEN role = {quoted(a)} THEN {quoted(b)}" for a, b in chat.ROLES.items()) + " ELSE role END"
+    return f"""
+WITH r AS (SELECT (conv_id % 5 + 5) % 5 AS layout, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT layout, CASE WHEN layout = 0 THEN role ELSE {renamed} END AS role, text FROM r WHERE layout < 3
+  UNION ALL SELECT layout, 'user', role FROM r WHERE layout = 3
+  UNION ALL SELECT layout, 'assistant', text FROM r WHERE layout = 3),
+f AS (SELECT layout, count(*) AS n_turns, sum({_formatted("role", "text")}) AS formatted_chars, count(*) FILTER (WHERE role = 'assistant') AS n_loss FROM t GROUP BY layout)
+SELECT layout, CAST(1 AS BIGINT) AS n_fingerprints, CAST(sum(CASE WHEN layout = 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_unmapped,
+  CAST(coalesce(any_value(n_turns), 0) AS BIGINT) AS n_turns, CAST(coalesce(any_value(formatted_chars), 0) AS BIGINT) AS formatted_chars, CAST(coalesce(any_value(n_loss), 0) AS BIGINT) AS n_loss
+FROM r LEFT JOIN f USING (layout) GROUP BY layout"""
+
+
 def url_sql() -> str:
     fits = lambda r: f"((host = {quoted(r.host)} OR ends_with(host, {quoted('.' + r.host)})) AND starts_with(path, {quoted(r.path)}))"
     listed = sorted(urls.LISTED, key=lambda r: -len(r.name))

@@ -28,6 +28,24 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_rows(rows.union(hostile)))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as records of five layouts, by their id, formatted and read back: how many turns and loss characters each layout's fingerprint gives, and how many records of an unknown layout."""
+    rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    layout = F.pmod("conv_id", F.lit(5))
+    two = lambda a, b: F.to_json(F.struct(F.col("role").alias(a), F.col("text").alias(b)))
+    record = (
+        F.when(layout == 0, F.to_json(F.struct("turn", "role", "text")))
+        .when(layout == 1, F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))))
+        .when(layout == 2, F.to_json(F.struct(F.array(F.struct(F.col("role").alias("from"), F.col("text").alias("value"))).alias("conversations"))))
+        .when(layout == 3, two("prompt", "completion"))
+        .otherwise(two("unheard", "of"))
+    )
+    found = chat.canonical_turns(rows.select("conv_id", record.alias("record")), "conv_id", "record")
+    counts = found.groupBy(F.pmod("conv_id", F.lit(5)).alias("layout")).agg(F.countDistinct("fingerprint").alias("n_fingerprints"), F.count_if("unmapped").alias("n_unmapped"))
+    formatted = chat.segments(found).groupBy(F.pmod("conv_id", F.lit(5)).alias("layout")).agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("segment")).alias("formatted_chars"), F.count("loss_start").alias("n_loss"))
+    return counts.join(formatted, "layout", "left").select("layout", "n_fingerprints", "n_unmapped", F.coalesce("n_turns", F.lit(0)).alias("n_turns"), F.coalesce("formatted_chars", F.lit(0)).alias("formatted_chars"), F.coalesce("n_loss", F.lit(0)).alias("n_loss"))
+
+
 def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 

@@ -86,6 +86,15 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_rows(df.where("1 = 0"))).count() == 0
 
 
+def test_chat_keeps_the_roles_of_rows(spark):
+    """The contract hashes roles as they are, and only `assistant` is under the loss mask."""
+    turns = [("human", "q"), ("gpt", "a"), ("model", "b"), ("assistant", "c")]
+    df = spark.createDataFrame([(1, k, r, t, "x", "y") for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string, segment string, fingerprint string")
+    got = chat.read_back(chat.format_rows(df)).collect()[0]
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert (got.loss_chars, got.loss_sha256) == (1, hashlib.sha256(b"c").hexdigest())
+
+
 def test_chat_layouts(spark):
     records = [
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
