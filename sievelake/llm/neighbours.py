@@ -1,18 +1,26 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are cut into two halves, each quantised by its own centroids, so that K centroids a half give K * K cells. A
-query walks the cells in the order of the summed distances of their two centroids, by a heap, until the cells it has
-passed hold a set share of all entries; those entries are ranked by the exact distance on the original vectors.
-
-Centroids and the share are fitted on a bounded sample (SAMPLE vectors, by a hash of the id): the share is what brings
-TRIALS sample queries to a recall of GOAL against brute force on the sample. Every row is indexed. Cells are dealt out
-to blocks of about BLOCK entries, large cells to several, and queries to blocks of QUERY_BLOCK, so a task holds neither
-all entries nor all queries. Of equal vectors only as many as an answer can hold, those with the smallest ids,
-are entries; no answer needs more of them, and one vector that is a third of all rows is no hot cell.
+Vectors are cut into two halves, each quantised by its own centroids, so that K centroids a half give K * K cells; K
+grows with the square root of the entries. A query walks the cells in the order of the summed distances of their two
+centroids, by a heap, until the cells it has passed hold enough entries; those are ranked by the exact distance on the
+original vectors.
+
+How many entries are enough is measured, not set: TRIALS vectors find their exact neighbours among all entries, in one
+pass whose cost is linear in them, and the walk is as long as the share GOAL of those neighbours needs. Where vectors
+have structure, that is a number that hardly depends on the entries; where they have none, no partition of space tells
+near from far, and the number grows with them.
+
+Centroids are fitted on a bounded sample (SAMPLE vectors, by a hash of the id); every row is indexed. Cells lie one
+after the other on a line, nearby ones of the first half together, which is cut into blocks of about BLOCK entries, a
+large cell into several; queries lie on the same line in blocks of QUERY_BLOCK. An entry goes only to those blocks of
+queries that probe its block, so a task holds neither all entries nor all queries. Of equal vectors only as many as an
+answer can hold, those with the smallest ids, are entries; no answer needs more of them, and one vector that is a third
+of all rows is no hot cell.
 
 Vectors that are null, zero, not of the commonest dimension, or hold null or non-finite components take no part, as
-queries or entries. Ties go to the smaller id. A repeated id is one vector, and never its own neighbour. With fewer
-entries than asked for, all are returned. An empty table gives no rows. Only the named columns are read.
+queries or entries. Ties go to the smaller id. A repeated id is one vector, the least of its vectors in order of
+components, a query if any of its rows is one, and never its own neighbour. With fewer entries than asked for, all are
+returned. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,9 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, TRIALS, GOAL = 16_384, 200, 0.98
-ENTRIES_A_CELL, LEAST_K, MOST_K = 50, 4, 128
-BLOCK, QUERY_BLOCK = 4_096, 2_048
+from sievelake.llm.common import written
+
+SAMPLE, TRIALS, GOAL = 16_384, 256, 0.95
+#: Cells are as many as there are entries by ENTRIES_A_CELL, up to MOST_K a half: the driver holds a count for each cell.
+ENTRIES_A_CELL, LEAST_K, MOST_K = 4, 4, 1_024
+#: A walk passes so many times the neighbours asked for at least.
+LEAST_PASSED = 100
+BLOCK, QUERY_BLOCK = 4_096, 1_024
 LLOYD_ROUNDS = 12
 
 
@@ -75,20 +88,64 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: float) -> l
     return found
 
 
-def share_needed(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, k: int) -> float:
-    """The share of entries that a walk must pass for the aimed-at recall, measured on the sample."""
-    cell = cells_of(x, c1, c2)
-    counts = np.bincount(cell, minlength=len(c1) * len(c2))
-    a, b = halves(x)
-    passed = []
-    for q in np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int):
-        d = ((x - x[q]) ** 2).sum(1)
-        d[q] = np.inf
-        true = np.argpartition(d, min(k, len(d) - 1))[:k]
-        order = walk(squares(a[q : q + 1], c1)[0], squares(b[q : q + 1], c2)[0] if b.shape[1] else np.zeros(1), counts, math.inf)
-        reach = dict(zip(order, np.cumsum(counts[order]), strict=True))
-        passed += [reach[c] for c in cell[true]]
-    return float(np.quantile(passed, GOAL)) / len(x) if passed else 1.0
+def ordered(c: np.ndarray) -> np.ndarray:
+    """Centroids along the direction in which they differ most, so that neighbours have nearby numbers."""
+    if c.shape[1] == 0 or len(c) < 3:
+        return c
+    centred = c - c.mean(0)
+    return c[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
+
+
+def exact_neighbours(entries: DataFrame, trials: pd.DataFrame, cell, k: int) -> pd.DataFrame:
+    """(trial, cell) of the k nearest entries of each trial vector, of all entries: each task keeps the best it has seen."""
+    t, t_ids = np.stack(trials["v"].to_numpy()), trials["id"].to_numpy()
+
+    def run(batches):
+        d, ids, cells = (np.zeros((len(t), 0), kind) for kind in ("float64", "int64", "int64"))
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = squares(t, np.stack(batch["v"].to_numpy()))
+            own = np.broadcast_to(batch["id"].to_numpy(), new.shape)
+            new[own == t_ids[:, None]] = np.inf
+            d, ids, cells = (np.concatenate(x, axis=1) for x in ((d, new), (ids, own), (cells, np.broadcast_to(batch["cell"].to_numpy(), new.shape))))
+            if d.shape[1] > k:
+                at = np.argpartition(d, k - 1, axis=1)[:, :k]
+                d, ids, cells = (np.take_along_axis(x, at, 1) for x in (d, ids, cells))
+        trial, _ = np.nonzero(np.isfinite(d))
+        yield pd.DataFrame({"trial": trial, "d": d[np.isfinite(d)], "id": ids[np.isfinite(d)], "cell": cells[np.isfinite(d)]})
+
+    best = Window.partitionBy("trial").orderBy("d", "id")
+    found = entries.select("id", "v", cell("v").alias("cell")).mapInPandas(run, "trial long, d double, id long, cell long")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("trial", "cell").toPandas()  # TRIALS * k rows
+
+
+def entries_needed(trials: pd.DataFrame, near: pd.DataFrame, c1: np.ndarray, c2: np.ndarray, counts: np.ndarray, goal: float) -> int:
+    """How many entries a walk must pass so that it meets the share `goal` of the trials' exact neighbours."""
+    a, b = halves(np.stack(trials["v"].to_numpy()))
+    passed: list[int] = []
+    for trial, cells in near.groupby("trial")["cell"]:
+        d = (squares(a[trial : trial + 1], c1)[0][:, None] + (squares(b[trial : trial + 1], c2)[0] if b.shape[1] else np.zeros(1))[None]).ravel()
+        order = np.argsort(d, kind="stable")
+        reach = np.empty(len(d), "int64")
+        reach[order] = np.cumsum(counts[order])
+        passed += reach[cells.to_numpy()].tolist()
+    return int(np.quantile(passed, goal, method="higher")) if passed else 0
+
+
+def line(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last block that each cell reaches over, if all cells lie one after the other."""
+    ends = np.cumsum(counts)
+    first = (ends - counts) // block
+    return first, np.maximum(first, (ends - 1) // block)
+
+
+def by_cell(rows: DataFrame, cell, n_cells: int) -> np.ndarray:
+    """Rows in each cell; a row for each cell at most comes to the driver."""
+    counts = np.zeros(n_cells, "int64")
+    found = rows.groupBy(cell("v").alias("cell")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts[found["cell"].to_numpy("int64")] = found["n"].to_numpy("int64")
+    return counts
 
 
 def valid(vector: Column) -> Column:
@@ -105,67 +162,69 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     if not sizes:
         return spark.createDataFrame([], out)
     dimension, n = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("v") == dimension)
-
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1e6 * SAMPLE / n)).select("v").limit(2 * SAMPLE).toPandas()
-    x = np.stack(sample["v"].to_numpy()) if len(sample) else np.stack(rows.select("v").limit(1).toPandas()["v"].to_numpy())
-    x = np.unique(x, axis=0)
-    size = max(LEAST_K, min(MOST_K, round(math.sqrt(n / ENTRIES_A_CELL))))
+    # one vector for each id, chosen by a total order, once
+    named = written(rows.where(F.size("v") == dimension).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
+    copies = Window.partitionBy("v").orderBy("id")
+    entries = written(named.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v"), "entries")
+    total = entries.count()
+
+    sample = entries.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1e6 * SAMPLE / n)).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE).toPandas()
+    if not len(sample):
+        sample = entries.orderBy("id").limit(1).toPandas()
+    trials = sample.iloc[:TRIALS]
+    x = np.stack(sample["v"].to_numpy())
+    size = max(LEAST_K, min(MOST_K, round(math.sqrt(total / ENTRIES_A_CELL))))
     a, b = halves(x)
-    c1 = centroids(a, size, 1)
-    c2 = centroids(b, size, 2) if b.shape[1] else np.zeros((1, 0))
-    share = share_needed(x, c1, c2, k)
+    c1 = ordered(centroids(a, size, 1))
+    c2 = ordered(centroids(b, size, 2)) if b.shape[1] else np.zeros((1, 0))
+    n_cells = len(c1) * len(c2)
 
     @F.pandas_udf("long")
     def cell(vectors: pd.Series) -> pd.Series:
         return pd.Series(cells_of(np.stack(vectors.to_numpy()), c1, c2)) if len(vectors) else pd.Series([], dtype="int64")
 
-    copies = Window.partitionBy("v").orderBy("id")
-    entries = rows.dropDuplicates(["id"]).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v", cell("v").alias("cell"))
-    counts = np.zeros(len(c1) * len(c2), "int64")
-    for r in entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each cell at most: MOST_K squared
-        counts[r["cell"]] = r["n"]
-    total = int(counts.sum())
-    blocks = max(1, -(-total // BLOCK))
-    # cells lie one after the other on the line of all entries, which is cut into blocks: a large cell reaches over several
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]]) // BLOCK
-    last = np.maximum(first, (np.cumsum(counts) - 1) // BLOCK)
-    enough = max(share * total, 4 * k)
+    counts = by_cell(entries, cell, n_cells)
+    enough = max(entries_needed(trials, exact_neighbours(entries, trials, cell, k), c1, c2, counts, GOAL), LEAST_PASSED * k)
+    first, last = line(counts, BLOCK)
+    q_first, q_last = line(by_cell(named.where("q"), cell, n_cells), QUERY_BLOCK)
 
-    @F.pandas_udf("long")
-    def block_of(cells: pd.Series, salts: pd.Series) -> pd.Series:
-        c = cells.to_numpy()
-        return pd.Series(first[c] + salts.to_numpy() % (last[c] - first[c] + 1))
+    def dealt(first: np.ndarray, last: np.ndarray):
+        @F.pandas_udf("long")
+        def block_of(cells: pd.Series, salts: pd.Series) -> pd.Series:
+            c = cells.to_numpy()
+            return pd.Series(first[c] + salts.to_numpy() % (last[c] - first[c] + 1))
 
-    n_queries = rows.where("q").count()
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+        return lambda c: block_of(c, F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
 
     def routes(batches):
         for batch in batches:
-            for q, v in zip(batch["id"], batch["v"], strict=True):
+            for q, v, home in zip(batch["id"], batch["v"], batch["qblock"], strict=True):
                 p, s = halves(v[None])
-                probed = walk(squares(p, c1)[0], squares(s, c2)[0] if s.shape[1] else np.zeros(1), counts, enough)
-                by_block: dict[int, list[int]] = {}
-                for c in probed:
-                    for z in range(first[c], last[c] + 1):
-                        by_block.setdefault(z, []).append(c)
-                m = len(by_block)
-                yield pd.DataFrame({"query_id": [q] * m, "qv": [v] * m, "cells": list(by_block.values()), "block": list(by_block), "qblock": [hash(q) % query_blocks] * m})
-
-    queries = rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(routes, "query_id long, qv array<double>, cells array<long>, block long, qblock long")
-    filed = entries.withColumn("block", block_of("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))).withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+                probed = np.array(walk(squares(p, c1)[0], squares(s, c2)[0] if s.shape[1] else np.zeros(1), counts, enough))
+                spans = last[probed] - first[probed] + 1
+                cells = np.repeat(probed, spans)
+                blocks = np.repeat(first[probed], spans) + np.arange(len(cells)) - np.repeat(np.cumsum(spans) - spans, spans)
+                order = np.argsort(blocks, kind="stable")
+                starts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+                yield pd.DataFrame({"query_id": q, "qv": [v] * len(starts), "cells": np.split(cells[order], starts[1:]), "block": blocks[order][starts], "qblock": home})
+
+    asked = named.where("q").select("id", "v", cell("v").alias("cell")).withColumn("qblock", dealt(q_first, q_last)(F.col("cell"))).select("id", "v", "qblock")
+    queries = written(asked.mapInPandas(routes, "query_id long, qv array<double>, cells array<long>, block long, qblock long"), "routes")
+    filed = entries.withColumn("cell", cell("v")).withColumn("block", dealt(first, last)(F.col("cell")))
+    probes = queries.select(F.col("block").alias("probed"), F.col("qblock").alias("by")).distinct()
+    filed = filed.join(probes, F.col("block") == F.col("probed")).select("id", "v", "cell", "block", F.col("by").alias("qblock"))
 
     def rank(_, qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(qs) and len(es):
             es = es.sort_values(["cell", "id"])
-            x, ids, of = np.stack(es["v"].to_numpy()), es["id"].to_numpy(), es["cell"].to_numpy()
+            x, ids = np.stack(es["v"].to_numpy()), es["id"].to_numpy()
+            own, of = np.unique(es["cell"].to_numpy(), return_inverse=True)
             for q, v, probed in zip(qs["query_id"], qs["qv"], qs["cells"], strict=True):
-                probed = np.asarray(probed)
-                spans = [(a, z) for a, z in zip(np.searchsorted(of, probed, "left"), np.searchsorted(of, probed, "right"), strict=True) if z > a]
-                if not spans:
-                    continue
-                at = np.concatenate([np.arange(a, z) for a, z in spans])
+                hit = np.zeros(len(own) + 1, bool)
+                place = np.searchsorted(own, probed)
+                hit[place[own[np.minimum(place, len(own) - 1)] == probed]] = True
+                at = np.flatnonzero(hit[of])
                 at = at[ids[at] != q]
                 d = np.sqrt(((x[at] - v) ** 2).sum(1))
                 if len(at) > k:

@@ -147,6 +147,39 @@ def test_neighbours_recall(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_walks_in_structured_vectors_hardly_grow():
+    """Of vectors in clusters, a walk passes a number of entries that four times as many entries leave about as it is."""
+    pick = np.random.default_rng(8)
+    needed = {}
+    for n in (4_000, 16_000):
+        centres = pick.normal(size=(n // 40, 32)) * 5
+        x = centres[pick.integers(len(centres), size=n)] + pick.normal(size=(n, 32)) * 0.3
+        size = round((n / neighbours.ENTRIES_A_CELL) ** 0.5)
+        a, b = neighbours.halves(x)
+        c1, c2 = neighbours.centroids(a, size, 1), neighbours.centroids(b, size, 2)
+        cell = neighbours.cells_of(x, c1, c2)
+        counts = np.bincount(cell, minlength=len(c1) * len(c2))
+        d = neighbours.squares(x[:100], x)
+        d[np.arange(100), np.arange(100)] = np.inf
+        import pandas as pd
+
+        near = pd.DataFrame([(t, cell[j]) for t in range(100) for j in np.argsort(d[t])[:10]], columns=["trial", "cell"])
+        needed[n] = neighbours.entries_needed(pd.DataFrame({"v": list(x[:100])}), near, c1, c2, counts, 0.95)
+    assert needed[16_000] < 2 * needed[4_000] and needed[16_000] < 0.05 * 16_000
+
+
+@pytest.mark.parametrize("block", [7, 50])
+def test_neighbours_in_many_blocks(spark, monkeypatch, block):
+    """Blocks of entries and of queries, with cells over several of both, lose nothing that the walk passes."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 5)
+    pick = np.random.default_rng(2)
+    rows = [(k, pick.normal(size=6).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[:3] for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [w[:3] for w in nearest(rows, range(0, 400, 20))]
+
+
 def test_multi_index_walk_is_in_order():
     pick = np.random.default_rng(3)
     d1, d2 = pick.random(9), pick.random(7)
