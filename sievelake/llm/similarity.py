@@ -14,12 +14,18 @@ no link is lost at any size.
    lists aside, merges the short ones by a heap, and probes the long ones by binary search only for what the merge
    leaves within reach of T. What is connected already is not looked at again. A group above the limits of one
    task is cut into blocks by hash; blocks are joined inside, their central sets with each other, and then every set
-   outside of the largest class so far is searched for in all blocks.
+   outside of the largest class so far is searched for in those blocks that hold one of its rare shingles, which any
+   set it links with has too.
 4. The links' connected components are the classes.
 
+Shingles are 64-bit hashes, mixed at every byte's place; two shingles that are compared share one with a chance of
+2 ** -64, and in that sense the join is exact. Sets are told apart by 128-bit digests of all their shingles, and go by
+numbers of their own from step 2 on. How many parts the shingles are counted in follows from how many there are.
+
 Null and empty texts have no shingle and are linked with nothing. A text of fewer than five words is one shingle.
-Repeated rows are in one class. Rows without an id get their text's class. An empty table gives no rows. Only the id
-and text columns are read.
+Repeated rows are in one class, as are different texts of one id only if they are linked. Rows without an id take part;
+a class has the least id of its rows, or none if none has one. Very long texts are read in pieces and are one set. An
+empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -43,14 +49,14 @@ from sievelake.llm.components import UnionFind, components
 WORDS_A_SHINGLE = 5
 #: One in so many of a set's shingles is counted by the occurrence filter besides its first quarter.
 EXTRA = 10
-#: A task's own occurrences are counted and sent on whenever so many are held.
+#: A task's own occurrences, or rare shingles, are sent on whenever so many are held.
 FLUSH = 250_000
-#: Shingles are counted in so many times more buckets than there are parts, so that a bucket takes little memory.
-BUCKETS_A_PART = 2
+#: Shingles are counted in parts of about so many, and in so many times more buckets than parts; a bucket is what a task holds.
+PART_SHINGLES, BUCKETS_A_PART = 2_000_000, 2
 #: Occurrence counts are exact up to this.
 OFTEN = 64
 #: A group with more sets or shingles is joined in blocks.
-GROUP_SETS, GROUP_SHINGLES = 1_024, 1_000_000
+GROUP_SETS, GROUP_SHINGLES = 256, 250_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 17
 #: DivideSkip's tuning constant.
@@ -62,8 +68,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTE = np.random.default_rng(20_260_101).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,33 +76,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, base))])
-    return _powers[0][:n], _powers[1][:n]
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the words in lower-cased bytes: differences of one running sum over all bytes."""
+    """(starts, hashes) of the words in lower-cased bytes: sums over their bytes, each mixed with its place in the word, as differences of one running sum."""
     b = np.frombuffer(data, np.uint8)
     space = np.concatenate([[True], _SPACE[b], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return starts, np.empty(0, np.uint64)
-    up, down = _power(len(b) + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up[: len(b)], dtype=np.uint64)])
-    return starts, mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    length = ends - starts
+    # the bytes of words only, and the place of each in its own
+    first = np.cumsum(length) - length
+    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+    each = mix(_BYTE[b[~space[1:-1]]] + place.astype(np.uint64) * _BASE)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
+    return starts, mix(run[first + length] - run[first] + length.astype(np.uint64) * _BASE)
 
 
 def _combined(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     s = np.full(n, width, np.uint64)
     for k in range(width):
-        s = s * _BASE + h[k : k + n]
-    return mix(s)
+        s = mix(s * _BASE + h[k : k + n])
+    return s
 
 
 def _windows(data: bytes) -> Iterator[bytes]:
@@ -251,7 +251,7 @@ def _counted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(id, n, digest, key) of (id, text): the set's size, its digest, and the digest's first 8 bytes as a number."""
+    """rows without their text, with (n, digest, key): the set's size, its digest, and the digest's first 8 bytes as a number."""
 
     @F.pandas_udf("n long, digest binary, key long")
     def sign(texts: pd.Series) -> pd.DataFrame:
@@ -259,7 +259,8 @@ def signatures(rows: DataFrame) -> DataFrame:
         marks = [digest(s) for s in sets]
         return pd.DataFrame({"n": [len(s) for s in sets], "digest": marks, "key": [_key(m) for m in marks]})
 
-    return rows.select("id", sign("text").alias("s")).select("id", "s.*")
+    others = [c for c in rows.columns if c != "text"]
+    return rows.select(*others, sign("text").alias("s")).select(*others, "s.*")
 
 
 def _key(mark: bytes) -> int:
@@ -268,7 +269,10 @@ def _key(mark: bytes) -> int:
 
 
 def may_link(rows: DataFrame, n_parts: int) -> DataFrame:
-    """(key, shared): of how many of the first shingles of a set other sets have some. Sets that share none are not in it."""
+    """(key, shared): of how many of the first shingles of a set other sets have some. Sets that share none are not in it.
+
+    Sets go by their digest's first 63 bits here: two that share them are counted as one, which can only let more through.
+    """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs():
@@ -329,19 +333,24 @@ def rare_prefixes(sets: DataFrame, n_parts: int) -> DataFrame:
 
 
 def weak_edges(prefixes: DataFrame) -> DataFrame:
-    """Edges (a, b) that unite all sets with a prefix token in common. A task unites its own first and sends each token on once."""
+    """Edges (a, b) that unite all sets with a prefix token in common. A task unites its own first and sends each token on once, or whenever FLUSH are held."""
 
     def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush() -> pd.DataFrame:
+            edges = [(None, a, b) for a, b in seen.stars()] + [(t, a, a) for t, a in first.items()]
+            columns = zip(*edges, strict=True) if edges else ([], [], [])
+            return pd.DataFrame({name: pd.array(list(x), dtype="Int64") for name, x in zip(("token", "a", "b"), columns, strict=True)})
+
         seen, first = UnionFind(), {}
         for batch in batches:
             for rid, tokens in zip(batch["rid"].tolist(), batch["prefix"], strict=True):
                 for t in tokens.tolist():
                     if first.setdefault(t, rid) != rid:
                         seen.unite(first[t], rid)
-        stars = seen.stars()
-        edges = [(None, a, b) for a, b in stars] + [(t, a, a) for t, a in first.items()]
-        columns = zip(*edges, strict=True) if edges else ([], [], [])
-        yield pd.DataFrame({name: pd.array(list(x), dtype="Int64") for name, x in zip(("token", "a", "b"), columns, strict=True)})
+                if len(first) > FLUSH:
+                    yield flush()
+                    seen, first = UnionFind(), {}
+        yield flush()
 
     found = written(prefixes.mapInPandas(unite, "token long, a long, b long"), "weak-edges")
     tokens = found.where(F.col("token").isNotNull()).select("token", "a")
@@ -453,8 +462,8 @@ def _join_across(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
 
 
-def links(sets: DataFrame, groups: DataFrame, group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """Edges (a, b) whose components are the classes of all links. sets: (rid, n, tokens); groups: (rid, grp)."""
+def links(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Edges (a, b) whose components are the classes of all links. sets: (rid, n, tokens); groups: (rid, grp); prefixes: (rid, prefix)."""
     sizes = groups.join(sets.select("rid", "n"), "rid").groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_sets), F.ceil(F.sum("n") / group_shingles)).alias("n_blocks"))
     grouped = sets.join(groups.join(sizes, "grp"), "rid").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n_blocks")))
     grouped = written(grouped, "join-groups")
@@ -467,51 +476,79 @@ def links(sets: DataFrame, groups: DataFrame, group_sets: int = GROUP_SETS, grou
     middles = large.join(inside.where("central").select(F.col("a").alias("rid")), "rid", "left_semi")
     # of very many blocks, the central sets are joined in blocks themselves
     tied = written(middles.groupBy("grp", F.floor(F.col("block") / group_sets).alias("part")).applyInPandas(_join_central, "a long, b long"), "join-central")
-    large_edges = edges.join(large.select(F.col("rid").alias("a")), "a", "left_semi")
+    places = large.select("rid", "grp", "block", "n")
+    large_edges = edges.join(places.select(F.col("rid").alias("a")), "a", "left_semi")
     label = components(large_edges.union(tied), "join-labels")
-    labelled = large.join(label.withColumnsRenamed({"node": "rid", "component": "label"}), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    labelled = written(labelled, "join-labelled")
-    by_label = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    largest = by_label.groupBy("grp").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("top"), F.sum("m").alias("all_m"), F.sum("t").alias("all_t"), F.max(F.struct("m", -F.col("label"), "t")).alias("w"))
-    largest = largest.select("grp", "top", F.greatest(F.ceil((F.col("all_m") - F.col("w.m")) / group_sets), F.ceil((F.col("all_t") - F.col("w.t")) / group_shingles)).alias("n_chunks"))
-    sides = labelled.join(largest.where("n_chunks > 0"), "grp")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    labelled = written(places.join(label.withColumnsRenamed({"node": "rid", "component": "label"}), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "join-labelled")
+    by_label = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = by_label.groupBy("grp").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("top"))
+
+    # which of a group's sets outside its largest class go to which of its blocks: those with one of their rare shingles
+    rare = prefixes.join(labelled, "rid").select("rid", "n", "grp", "block", "label", F.explode("prefix").alias("token"))
+    held = rare.select("grp", "token", F.col("block").alias("to")).distinct()
+    asking = rare.select("rid", "n", "grp", "label", "token").join(largest, "grp").where("label <> top").drop("label", "top")
+    routed = written(asking.join(held, ["grp", "token"]).select("rid", "n", "grp", "to").distinct(), "join-routed")
+    visits = routed.groupBy("grp", F.col("to").alias("block")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_sets), F.ceil(F.sum("n") / group_shingles)).alias("n_chunks"))
     columns = ["grp", "block", "chunk", "rid", "tokens", "label", "query"]
-    asked = sides.where("label <> top").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("n_chunks"))).withColumn("block", numbers("n_blocks")).withColumn("query", F.lit(True)).select(columns)
-    filed = sides.withColumn("chunk", numbers("n_chunks")).withColumn("query", F.lit(False)).select(columns)
+    owned = labelled.select("rid", "label")
+    tokens = large.select("rid", "tokens")
+    asked = routed.select("rid", "grp", F.col("to").alias("block")).join(visits, ["grp", "block"]).withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("n_chunks")))
+    asked = asked.join(tokens, "rid").join(owned, "rid").withColumn("query", F.lit(True)).select(columns)
+    filed = large.join(visits, ["grp", "block"]).join(owned, "rid").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1))).withColumn("query", F.lit(False)).select(columns)
     # written, as are all results of Python workers: a task that runs two of them in a row holds twice the memory
     across = written(asked.union(filed).groupBy("grp", "block", "chunk").applyInPandas(_join_across, "a long, b long"), "join-across")
     return edges.union(tied).union(across)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """(id, n_shingles, component_id): every row's set size, and the least id that links reach from it."""
-    spark = df.sparkSession
-    n_parts = partitions(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def classified(rows: DataFrame, group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """rows of (id long, text, others) without their text, with (n, class, least): the set's size, its class (the least of the class's digests; null without shingles) and the class's least id."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     signed = written(signatures(rows), "signatures")
-    classes = written(signed.where("n > 0").groupBy("digest", "n", "key").agg(F.min("id").alias("rid")).where(F.col("rid").isNotNull()), "classes")
+    # a class's text is found by its mark, as neither ids nor rows are unique
+    classes = written(signed.where("n > 0").groupBy("digest", "n", "key").agg(F.min("id").alias("own"), F.min("mark").alias("mark")), "classes")
+    n_shingles = classes.agg(F.sum("n")).collect()[0][0] or 0
+    n_parts = max(partitions(spark), -(-n_shingles // PART_SHINGLES))
 
     # of the least set that this one may link with, the one in EXTRA
     needed = F.ceil(F.ceil(F.col("n") * 3 / 4) / EXTRA)
-    left = written(classes.join(may_link(rows, n_parts), "key").where(F.col("shared") >= needed).select(F.col("rid").alias("id"), F.col("key").alias("rid"), "digest", "n"), "may-link")
+    kept = written(classes.join(may_link(rows, n_parts), "key").where(F.col("shared") >= needed).select("digest", "n", "mark"), "may-link")
+    left = written(kept.withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
-    @F.pandas_udf("tokens binary, found binary")
-    def to_set(texts: pd.Series) -> pd.DataFrame:
-        sets = shingle_sets(texts.tolist())
-        return pd.DataFrame({"tokens": [s.tobytes() for s in sets], "found": [digest(s) for s in sets]})
+    @F.pandas_udf("binary")
+    def to_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([s.tobytes() for s in shingle_sets(texts.tolist())])
 
-    # a class goes by its digest's key from here on: a repeated id may have other texts too
-    sets = rows.join(left, "id").select("rid", "n", "digest", to_set("text").alias("s")).where("s.found = digest").select("rid", "n", "s.tokens").dropDuplicates(["rid"])
-    sets = written(sets, "sets")
+    wanted = rows.select("mark", "text").join(left.select("mark", "rid", "n"), "mark")
+    sets = written(wanted.dropDuplicates(["rid"]).select("rid", "n", to_set("text").alias("tokens")), "sets")
 
     prefixes = written(rare_prefixes(sets, n_parts), "prefixes")
     weak = components(weak_edges(prefixes), "weak")
     # the least node of a group is not listed
     groups = written(weak.select(F.col("node").alias("rid"), F.col("component").alias("grp")).union(weak.select("component", "component")).distinct(), "groups")
-    found = components(links(sets, groups, group_sets, group_shingles), "links")
-    members = written(found.union(found.select("component", "component")).distinct().withColumnRenamed("node", "key").join(classes, "key").select("digest", "n", "component", "rid"), "members")
-    least = members.groupBy("component").agg(F.min("rid").alias("least"))
-    labels = members.join(least, "component").select("digest", "n", "least")
-    alone = classes.select("digest", "n", "rid").join(labels, ["digest", "n"], "left").select("digest", "n", F.coalesce("least", "rid").alias("component_id"))
-    return signed.join(alone, ["digest", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    found = components(links(sets, groups, prefixes, group_sets, group_shingles), "links")
+    members = found.union(found.select("component", "component")).distinct().withColumnRenamed("node", "rid").join(left, "rid").select("digest", "n", "component")
+    members = written(members.join(classes, ["digest", "n"]).select("digest", "n", "component", "own"), "members")
+    least = members.groupBy("component").agg(F.min("own").alias("least"), F.min("digest").alias("class"))
+    labels = members.join(least, "component").select("digest", "n", "least", "class")
+    linked = classes.select("digest", "n", "own").join(labels, ["digest", "n"], "left").select("digest", "n", F.coalesce("least", "own").alias("least"), F.coalesce("class", "digest").alias("class"))
+    others = [c for c in rows.columns if c not in ("text", "mark")]
+    return signed.join(linked, ["digest", "n"], "left").select(*others, "n", "class", "least")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(id, n_shingles, component_id): every row's set size, and the least id that links reach from it."""
+    found = classified(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), group_sets, group_shingles)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class of linked rows one, whole: the one with the least id, and of those with the same the one whose content has the least hash. Rows without shingles are linked with nothing, and all stay."""
+    keyed = df.withColumn("_row", F.md5(F.to_json(F.struct(*df.columns)).cast("binary")))
+    found = written(classified(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row"))), "classified")
+    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row"))
+    chosen = found.where("n > 0").groupBy("class").agg(first.alias("_row")).select("_row").distinct()
+    # rows that are alike in all columns share a hash; one of them stays
+    once = keyed.join(chosen, "_row", "left_semi").dropDuplicates(["_row"])
+    without = keyed.join(found.where("n = 0").select(F.col("row").alias("_row")).distinct(), "_row", "left_semi")
+    return once.union(without).select(df.columns)

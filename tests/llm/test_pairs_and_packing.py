@@ -74,6 +74,35 @@ def test_near_duplicates_of_nothing(spark):
     assert similarity.near_duplicates(empty).count() == 0
     blank = spark.createDataFrame([(1, None), (2, ""), (None, "a")], "doc_id long, text string")
     assert sorted(map(tuple, similarity.near_duplicates(blank).collect()), key=str) == [(1, 0, 1), (2, 0, 2), (None, 1, None)]
+    # rows without an id take part
+    text = " ".join(f"w{k}" for k in range(40))
+    found = similarity.near_duplicates(spark.createDataFrame([(None, text), (7, text + " more"), (None, text)], "doc_id long, text string")).collect()
+    assert sorted((r.n_shingles, r.component_id) for r in found) == [(36, 7), (36, 7), (37, 7)]
+
+
+def test_words_that_a_polynomial_hash_confuses_stay_apart(spark):
+    """A Thue-Morse string and its complement agree under any polynomial modulo a power of two."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    assert len(set(similarity.word_hashes(f"{a} {b} {a[1:]} {b[1:]} {a[:-1]}".encode())[1].tolist())) == 5
+    other = " ".join(f"w{k}" for k in range(7))
+    got = similarity.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {other}"), (4, f"{b} {other}")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_a_chained_group_in_many_blocks(spark):
+    """Texts made of common passages: one weak group of many classes, cut into blocks, loses no link."""
+    pick = random.Random(11)
+    passages = [[f"p{k}x{j}" for j in range(12)] for k in range(30)]
+    rows = []
+    for k in range(400):
+        words = [w for p in pick.sample(passages, 6) for w in p]
+        rows.append((k, " ".join(words)))
+        if k % 3 == 0:
+            words[pick.randrange(len(words))] = "changed"
+            rows.append((1000 + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, similarity.near_duplicates(df, group_sets=20).collect())) == near_duplicates(rows)
 
 
 def test_a_repeated_id_with_other_texts(spark):
