@@ -33,11 +33,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, once. Documents without an id stay."""
+    """Of each class of near duplicates one document stays, the one with the least id, null ids last. Classes are of texts: different texts of one id both stay, documents without an id take part, and those without words are linked with nothing, so all stay."""
     small_batches(spark)
-    first = similarity.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    return similarity.one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
