@@ -299,13 +299,42 @@ def test_pipeline(spark):
 
 
 def test_pipeline_of_odd_rows(spark):
+    """Which rows each stage keeps of null ids and texts, repeated ids with other texts, copies and repeated rows."""
     import corpus_pipeline
 
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "word " * 60, "en", "s", 300), (3, "some words that are here " * 5, "en", "s", 9), (3, "some words that are here " * 5, "en", "s", 9)]
-    for docs in (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.written(stage(spark, docs, ""), "test")
-        assert docs.count() >= 0
+    prose = [" ".join(f"word{k}x{j}" for j in range(60)) for k in range(4)]
+    copy = prose[1] + " end"
+    rows = [(1, None), (2, ""), (None, prose[0]), (3, prose[1]), (3, prose[1]), (3, prose[2]), (4, copy), (None, prose[3]), (None, prose[3]), (5, "..."), (6, "the house of water")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, salt string, id long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows], schema)
+    columns, content = docs.columns, lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()), key=str)
+    want = {
+        "language_id": sorted(((i or 0, t) for i, t in rows if t and t != "..."), key=str),
+        "quality_rules": sorted(((i or 0, t) for i, t in rows if t in (*prose, copy)), key=str),
+        "near_duplicates": sorted([(0, prose[0]), (3, prose[1]), (3, prose[2]), (0, prose[3])], key=str),
+        "secret_scan": sorted([(0, prose[0]), (3, prose[1]), (3, prose[2]), (0, prose[3])], key=str),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, ""), "test")
+        assert docs.columns == columns
+        assert content(docs) == want[name], name
+    assert sorted((r.doc_id or 0, r.piece) for r in corpus_pipeline.packing_stage(spark, docs, "").collect()) == [(0, 0), (0, 0), (3, 0), (3, 0)]
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.written(stage(spark, empty, ""), "test")
+    assert empty.count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_of_each_class(spark):
+    import corpus_pipeline
+
+    text = [" ".join(f"t{k}w{j}" for j in range(30)) for k in range(5)]
+    rows = [(1, text[0]), (1, text[1]), (2, text[2]), (3, text[2] + " x"), (None, text[2]), (None, text[3]), (None, text[3] + " y"), (4, None), (4, None), (5, ""), (6, text[4]), (6, text[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()), key=str)
+    third = next(t for i, t in got if i == 0)
+    assert third in (text[3], text[3] + " y")
+    assert got == sorted([(1, text[0]), (1, text[1]), (2, text[2]), (0, third), (4, None), (4, None), (5, ""), (6, text[4])], key=str)
 
 
 def test_quality_stage_of_odd_ids(spark):
