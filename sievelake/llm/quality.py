@@ -1,9 +1,12 @@
 """Quality rules by robust multivariate outliers, with DataFrame operations only.
 
 Each document is a vector of transformed statistics. For each language and source, the minimum covariance determinant
-gives a location and a scatter that outliers can't move: from a robust start (medians and absolute deviations), each
-round keeps the SUPPORT share of the rows that lie nearest and takes their mean and covariance; ROUNDS rounds are made.
-A document is rejected if its Mahalanobis distance exceeds the cutoff, or if it fails the base rules.
+gives a location and a scatter that outliers can't move. It is found as in the deterministic algorithm of Hubert,
+Rousseeuw and Verdonck (2012): from several starts (medians and absolute deviations; the covariance of hyperbolic tangents;
+of spatial signs; mean and covariance), concentration steps take mean and covariance of the SUPPORT share of the rows
+that lie nearest. After FIRST_ROUNDS steps the start of least determinant goes on, until no group's determinant falls any
+more. The scatter is made consistent with that of a normal distribution, and a document is rejected if its Mahalanobis
+distance is beyond the chi-square quantile of all but OUTLIERS, or if it fails the base rules.
 
 All sums are of whole numbers, so the result does not depend on the order of rows. Medians and nearness limits come
 from histograms of fixed width, so a source with a third of all rows is pre-aggregated like any other; parameters are
@@ -12,11 +15,15 @@ method rejects none of it. Variances are never taken as less than FLOOR squared,
 ordinary documents (symbols, say) rejects what is far from 0, not what differs at all.
 
 Null text is a text without words; null languages and sources are groups of their own. Repeated rows give repeated
-rows; an empty table gives none. Only the named columns are read.
+rows; ties, at a median or a limit, are on one side of it all; an empty table gives none. Only the named columns are
+read. A text's windows of three words are one sorted array of 12 bytes each, so a single text takes about three times
+its size while it is read; it is never cut.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +31,13 @@ from sievelake.llm.common import written
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SUPPORT, ROUNDS, MIN_ROWS = 0.75, 4, 50
+SUPPORT, FIRST_ROUNDS, MOST_ROUNDS, MIN_ROWS = 0.75, 2, 20, 50
+#: A determinant that falls by less than this share has settled.
+SETTLED = 1e-3
 #: Statistics are whole numbers of thousandths.
 UNIT = 1000
-#: Mahalanobis distance, over len(FEATURES) dimensions, beyond which a document is an outlier.
-CUTOFF = 5.5
+#: The share of a normal distribution that lies beyond the cutoff.
+OUTLIERS = 1e-4
 FEATURES = ("x_word", "x_symbol", "x_line", "x_repeat")
 #: Least standard deviation of each, in thousandths.
 FLOOR = {"x_word": 60.0, "x_symbol": 60.0, "x_line": 80.0, "x_repeat": 80.0}
@@ -38,6 +47,27 @@ SALTS = 16
 STAR = "\x00pooled"
 
 
+def chi_square_below(x: float, dimensions: int) -> float:
+    """The chi-square distribution function, of an even number of dimensions."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dimensions // 2))
+
+
+def chi_square_quantile(share: float, dimensions: int) -> float:
+    low, high = 0.0, 1e3
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_below(middle, dimensions) < share else (low, middle)
+    return low
+
+
+#: What makes the covariance of the nearest SUPPORT of a normal distribution that of all of it, and the cutoff.
+CONSISTENT = SUPPORT / chi_square_below(chi_square_quantile(SUPPORT, len(FEATURES)), len(FEATURES) + 2)
+CUTOFF = math.sqrt(chi_square_quantile(1 - OUTLIERS, len(FEATURES)))
+GROUP = ("glang", "gsource")
+#: Starts, by number: medians and deviations, tangents, signs, mean and covariance.
+STARTS = range(4)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -116,40 +146,43 @@ def grouped(stats: DataFrame) -> DataFrame:
     return joined.withColumns({"glang": F.when(F.col("own"), F.col("lang")).otherwise(STAR), "gsource": F.when(F.col("own"), F.col("source")).otherwise(STAR)}).drop("own")
 
 
-def salted_join(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def salted_join(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
     """Rows with their group's columns. A group's rows are dealt to SALTS keys, and its one row of parameters to each."""
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["glang", "gsource", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
 
 
-def quantiles(rows: DataFrame, values: dict[str, Column], share: float, bin_width: float) -> DataFrame:
+def quantiles(rows: DataFrame, values: dict[str, Column], share: float, bin_width: float, keys: tuple[str, ...] = GROUP) -> DataFrame:
     """By group, the upper edge of the histogram bin in which the share of its rows is reached, for each value: a row for each group."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(v / bin_width).alias("bin")) for k, v in enumerate(values.values())]))
-    bins = rows.select("glang", "gsource", each.alias("x")).groupBy("glang", "gsource", F.col("x.k").alias("k"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by_value = bins.groupBy("glang", "gsource", "k").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n_all"))
+    bins = rows.select(*keys, each.alias("x")).groupBy(*keys, F.col("x.k").alias("k"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    by_value = bins.groupBy(*keys, "k").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n_all"))
 
     def reached(b: Column, total: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
         step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + x["n"] >= F.ceil(total * share), x["bin"])).alias("at"))
         return F.aggregate(b, zero, step)["at"]
 
-    edges = by_value.select("glang", "gsource", "k", ((reached(F.col("bins"), F.col("n_all")) + 1) * bin_width).alias("edge"))
-    return edges.groupBy("glang", "gsource").agg(*[F.max(F.when(F.col("k") == k, F.col("edge"))).alias(name) for k, name in enumerate(values)])
+    edges = by_value.select(*keys, "k", ((reached(F.col("bins"), F.col("n_all")) + 1) * bin_width).alias("edge"))
+    return edges.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("edge"))).alias(name) for k, name in enumerate(values)])
 
 
-def cholesky(cov: dict[tuple[int, int], Column], d: int) -> list[dict[tuple[int, int], Column]]:
-    """The factor's entries, row by row; each row needs only those before it."""
-    rows = []
-    for i in range(d):
-        row: dict[tuple[int, int], Column] = {}
+D = range(len(FEATURES))
+#: Columns of a location m* and of the lower triangle l* of its scatter's Cholesky factor.
+PARAMETERS = (*[f"m{i}" for i in D], *[f"l{i}{j}" for i in D for j in range(i + 1)])
+
+
+def factored(params: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
+    """Adds l* and the logarithm of the determinant. Of each variance, what it lacks to the floor is added, which leaves the matrix definite."""
+    cov = {(i, j): F.greatest(c, F.lit(FLOOR[FEATURES[i]] ** 2)) if i == j else c for (i, j), c in cov.items()}
+    for i in D:
         for j in range(i + 1):
-            known = lambda a, b: row[a, b] if a == i and (a, b) in row else F.col(f"l{a}{b}")  # noqa: E731,B023
             total = cov[i, j]
             for k in range(j):
-                total = total - known(i, k) * known(j, k)
-            row[i, j] = F.sqrt(F.greatest(total, F.lit(1.0))) if i == j else total / known(j, j)
-        rows.append(row)
-    return rows
+                total = total - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(total, F.lit(1.0))) if i == j else total / F.col(f"l{j}{j}"))
+    logs = [2 * F.log(F.col(f"l{i}{i}")) for i in D]
+    return params.withColumn("logdet", logs[0] + logs[1] + logs[2] + logs[3])
 
 
 def distance() -> Column:
@@ -166,42 +199,77 @@ def distance() -> Column:
     return F.sqrt(square)
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Medians and scaled median absolute deviations by group, as m*, l*."""
-    medians = quantiles(rows, {f"m{i}": F.col(x) for i, x in enumerate(FEATURES)}, 0.5, BIN)
-    far = quantiles(salted_join(rows, medians), {f"d{i}": F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(FEATURES)}, 0.5, BIN)
-    found = medians.join(far, ["glang", "gsource"])
-    d = range(len(FEATURES))
-    return found.select("glang", "gsource", *[f"m{i}" for i in d], *[(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[FEATURES[i]])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)])
+def moments(rows: DataFrame, keys: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
+    """Number, mean* and cov** of whole numbers by group."""
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col(x)).alias(f"s{i}") for i, x in enumerate(values)],
+        *[F.sum(F.col(values[i]) * F.col(values[j])).alias(f"p{i}{j}") for i in D for j in range(i + 1)],
+    )
+    sums = sums.withColumns({f"mean{i}": F.col(f"s{i}") / F.col("n") for i in D})
+    return sums.withColumns({f"cov{i}{j}": F.col(f"p{i}{j}") / F.col("n") - F.col(f"mean{i}") * F.col(f"mean{j}") for i in D for j in range(i + 1)})
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """A location and a scatter by group and start `s`."""
+    medians = quantiles(rows, {f"med{i}": F.col(x) for i, x in enumerate(FEATURES)}, 0.5, BIN)
+    far = quantiles(salted_join(rows, medians), {f"far{i}": F.abs(F.col(x) - F.col(f"med{i}")) for i, x in enumerate(FEATURES)}, 0.5, BIN)
+    middle = medians.join(far, [*GROUP]).select(*GROUP, *[f"med{i}" for i in D], *[F.greatest(1.4826 * F.col(f"far{i}"), F.lit(FLOOR[x])).alias(f"scale{i}") for i, x in enumerate(FEATURES)])
+    middle = written(middle, "quality-middle")
+
+    z = [(F.col(x) - F.col(f"med{i}")) / F.col(f"scale{i}") for i, x in enumerate(FEATURES)]
+    norm = F.greatest(F.sqrt(z[0] * z[0] + z[1] * z[1] + z[2] * z[2] + z[3] * z[3]), F.lit(1e-9))
+    whole = lambda s, values: F.struct(F.lit(s).alias("s"), *[F.round(v).cast("long").alias(f"v{i}") for i, v in enumerate(values)])
+    each = F.explode(F.array(whole(1, [UNIT * F.tanh(v) for v in z]), whole(2, [UNIT * v / norm for v in z]), whole(3, [F.col(x).cast("double") for x in FEATURES])))
+    found = moments(salted_join(rows, middle).select(*GROUP, each.alias("e")).select(*GROUP, "e.*"), (*GROUP, "s"), ("v0", "v1", "v2", "v3")).join(middle, [*GROUP])
+    own = F.col("s") == 3
+    scale = [F.when(own, F.lit(1.0)).otherwise(F.col(f"scale{i}") / UNIT) for i in D]
+    found = found.withColumns({f"m{i}": F.when(own, F.col(f"mean{i}")).otherwise(F.col(f"med{i}")) for i in D})
+    found = factored(found, {(i, j): F.col(f"cov{i}{j}") * scale[i] * scale[j] for i in D for j in range(i + 1)})
+    plain = middle.withColumns({"s": F.lit(0)} | {f"m{i}": F.col(f"med{i}").cast("double") for i in D})
+    plain = factored(plain, {(i, j): F.col(f"scale{i}") * F.col(f"scale{i}") if i == j else F.lit(0.0) for i in D for j in range(i + 1)})
+    columns = [*GROUP, "s", *PARAMETERS, "logdet"]
+    return plain.select(columns).union(found.select(columns))
 
 
 def concentrated(rows: DataFrame, parameters: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's nearest rows."""
-    d = range(len(FEATURES))
-    near = salted_join(rows, parameters).withColumn("distance", distance())
-    limits = quantiles(near, {"limit": F.col("distance")}, SUPPORT, DISTANCE_BIN)
-    kept = salted_join(near.select("glang", "gsource", "doc_id", *FEATURES, "distance"), limits).where(F.col("distance") <= F.col("limit"))
-    sums = kept.groupBy("glang", "gsource").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(x)).alias(f"s{i}") for i, x in enumerate(FEATURES)],
-        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i in d for j in range(i + 1)],
-    )
-    sums = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in d})
-    scale = 1.0 / SUPPORT  # of a share of the rows, the spread is less than of all
-    cov = {(i, j): scale * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR[FEATURES[i]] ** 2 if i == j else 0.0) for i in d for j in range(i + 1)}
-    for i, row in enumerate(cholesky(cov, len(FEATURES))):
-        for (_, j), value in row.items():
-            sums = sums.withColumn(f"l{i}{j}", value)
-    return sums.select("glang", "gsource", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
+    """One concentration step of each group and start `s`: mean and covariance of the nearest rows. rows have no `s`; each is measured once for each of its group's starts."""
+    keys = (*GROUP, "s")
+    near = salted_join(rows, parameters).withColumn("distance", distance()).select(*keys, "doc_id", *FEATURES, "distance")
+    limits = quantiles(near, {"limit": F.col("distance")}, SUPPORT, DISTANCE_BIN, keys)
+    sums = moments(salted_join(near, limits, keys).where(F.col("distance") <= F.col("limit")), keys, FEATURES)
+    sums = sums.withColumns({f"m{i}": F.col(f"mean{i}") for i in D})
+    return factored(sums, {(i, j): CONSISTENT * F.col(f"cov{i}{j}") for i in D for j in range(i + 1)}).select(*keys, *PARAMETERS, "logdet")
+
+
+def least_determinant(parameters: DataFrame) -> DataFrame:
+    """Of each group's starts the one of least determinant, the first of equals."""
+    best = F.min_by(F.struct("s", *PARAMETERS, "logdet"), F.struct(F.round("logdet", 6), "s"))
+    return parameters.groupBy(*GROUP).agg(best.alias("best")).select(*GROUP, "best.*")
+
+
+def fitted(rows: DataFrame) -> DataFrame:
+    """Location and scatter of each group, by the minimum covariance determinant."""
+    parameters = written(starts(rows), "quality-starts")
+    for k in range(FIRST_ROUNDS):
+        parameters = written(concentrated(rows, parameters), f"quality-first{k}")
+    parameters = written(least_determinant(parameters), "quality-least")
+    for k in range(MOST_ROUNDS):
+        # a step whose determinant has not fallen, as limits are bins, is not taken
+        new = concentrated(rows, parameters)
+        both = new.join(parameters.select(*GROUP, *[F.col(c).alias(f"old_{c}") for c in (*PARAMETERS, "logdet")]), [*GROUP])
+        falls = F.col("logdet") < F.col("old_logdet") + math.log(1 - SETTLED)
+        taken = written(both.select(*GROUP, "s", *[F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in (*PARAMETERS, "logdet")], falls.alias("fell")), f"quality-round{k}")
+        parameters = taken.drop("fell")
+        if not taken.agg(F.coalesce(F.bool_or("fell"), F.lit(False)).alias("any")).collect()[0]["any"]:
+            break
+    return parameters.drop("s", "logdet")
 
 
 def scores(stats: DataFrame) -> DataFrame:
     """Adds each row's distance and verdict."""
     rows = written(grouped(stats), "quality-groups")
-    parameters = written(start(rows), "quality-start")
-    for k in range(ROUNDS):
-        parameters = written(concentrated(rows, parameters), f"quality-round{k}")
-    scored = salted_join(rows, parameters).withColumn("distance", distance())
+    scored = salted_join(rows, fitted(rows.select(*GROUP, "doc_id", *FEATURES))).withColumn("distance", distance())
     few = rows.where(F.col("glang") == STAR).limit(MIN_ROWS).count() < MIN_ROWS
     outlier = (F.col("distance") > CUTOFF) & ~((F.col("glang") == STAR) & F.lit(few))
     return scored.withColumn("kept", ~F.col("base_failed") & ~outlier)

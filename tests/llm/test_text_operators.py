@@ -136,9 +136,95 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert not any(k >= 900 for k in kept)
 
 
+def plain_edge(values, share, width):
+    bins = np.sort(np.floor(np.asarray(values, float) / width))
+    return (bins[int(np.ceil(len(bins) * share)) - 1] + 1) * width
+
+
+def plain_scatter(x):
+    mean = x.mean(0)
+    return mean, (x.T @ x) / len(x) - np.outer(mean, mean)
+
+
+def plain_floor(cov):
+    cov, least = cov.copy(), np.array([quality.FLOOR[f] ** 2 for f in quality.FEATURES])
+    cov[np.diag_indices(4)] = np.maximum(cov.diagonal(), least)
+    return cov
+
+
+def plain_distance(x, m, cov):
+    return np.sqrt(np.einsum("ij,ij->i", x - m, np.linalg.solve(cov, (x - m).T).T))
+
+
+def plain_step(x, m, cov):
+    d = plain_distance(x, m, cov)
+    mean, found = plain_scatter(x[d <= plain_edge(d, quality.SUPPORT, quality.DISTANCE_BIN)])
+    return mean, plain_floor(quality.CONSISTENT * found)
+
+
+def plain_mcd(x):
+    """The definition of the module's first lines, for one group: distances, and the determinants of the starts and at the end."""
+    med = np.array([plain_edge(c, 0.5, quality.BIN) for c in x.T])
+    scale = np.maximum([1.4826 * plain_edge(abs(c - m), 0.5, quality.BIN) for c, m in zip(x.T, med)], list(quality.FLOOR.values()))
+    z = (x - med) / scale
+    whole = lambda v: np.floor(np.abs(v) * 1000 + 0.5) * np.sign(v)
+    begins = [(med, np.diag(scale**2))]
+    for v in (np.tanh(z), z / np.maximum(np.sqrt((z**2).sum(1)), 1e-9)[:, None]):
+        begins.append((med, plain_floor(plain_scatter(whole(v))[1] * np.outer(scale, scale) / 1e6)))
+    mean, cov = plain_scatter(x)
+    begins.append((mean, plain_floor(cov)))
+    for _ in range(quality.FIRST_ROUNDS):
+        begins = [plain_step(x, *b) for b in begins]
+    first = [np.linalg.slogdet(c)[1] for _, c in begins]
+    m, cov = begins[int(np.argmin(np.round(first, 6)))]
+    while True:
+        new = plain_step(x, m, cov)
+        if np.linalg.slogdet(new[1])[1] >= np.linalg.slogdet(cov)[1] + np.log(1 - quality.SETTLED):
+            return plain_distance(x, m, cov), first, np.linalg.slogdet(cov)[1]
+        m, cov = new
+
+
+def test_quality_verdicts_equal_plain_minimum_covariance_determinant(spark):
+    pick = np.random.default_rng(12)
+    letters, rows = list("etaoinshrdlu"), []
+    for k in range(420):
+        words = ["".join(pick.choice(letters, pick.integers(2, 9))) + ("$" * int(pick.integers(0, 3)) if k % 9 == 0 else "") for _ in range(int(pick.integers(40, 130)))]
+        if k % 11 == 0:
+            words = [w for w in words[:30] for _ in (0, 1)] + words[:20] * 2
+        text = "".join(w + ("\n" if pick.random() < 0.2 else " ") for w in words) + "same line\n" * int(pick.integers(0, 12) * (k % 7 == 0))
+        rows.append((k, text, "en" if k % 3 else "de", "a" if k < 380 else f"tiny{k % 5}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality.statistics(df).toPandas().set_index("doc_id")
+    got = quality.judged(df).toPandas().set_index("doc_id")
+    sizes = collections.Counter((r[2], r[3]) for r in rows)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[(r[2], r[3]) if sizes[r[2], r[3]] >= quality.MIN_ROWS else "pooled"].append(r[0])
+    assert len(groups) == 3
+    several = 0
+    for name, ids in groups.items():
+        d, first, last = plain_mcd(stats.loc[ids, list(quality.FEATURES)].to_numpy(float))
+        assert last <= min(first) + 1e-9
+        several += len(set(np.round(first, 3))) > 1
+        assert np.allclose(got.loc[ids, "distance"], d, atol=1e-3)
+        outlier = (d > quality.CUTOFF) & (name != "pooled" or len(ids) >= quality.MIN_ROWS)
+        sure = abs(d - quality.CUTOFF) > 1e-3
+        assert (got.loc[ids, "kept"].to_numpy() == ~(stats.loc[ids, "base_failed"].to_numpy() | outlier))[sure].all()
+    assert several  # the starts do differ, so that one of least determinant is chosen
+
+
+def test_chi_square():
+    assert quality.chi_square_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3)
+    assert quality.chi_square_below(12.5916, 6) == pytest.approx(0.95, abs=1e-4)
+
+
 def test_quality_plan_is_native(spark, odd):
-    plan = quality.statistics(odd)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    """No Python worker anywhere on the way to a verdict, in any of the rounds."""
+    frames = [quality.statistics(odd), quality.judged(odd)]
+    rows = quality.grouped(quality.statistics(odd))
+    frames += [quality.starts(rows), quality.concentrated(rows, quality.starts(rows)), quality.kept_rows(odd)]
+    for frame in frames:
+        assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().toString())
 
 
 def segmentations(text, pieces):
