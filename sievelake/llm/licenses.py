@@ -1,16 +1,19 @@
 """License scans by a positional rare-token index.
 
-Templates are the wordings of public licences and notices. How many documents each template word occurs in is counted
-over the whole corpus (a table no larger than the templates' vocabulary); a template is indexed under its words of
-highest inverse document frequency, and with each the places where it stands. A file's words are looked up in the
-index, each hit votes for the place where the template would have to start (that is, postings are intersected by
-relative position), and starts with enough votes, give or take SHIFT inserted or left out words, are candidates. A
-candidate counts only if one of the template's mandatory key phrases stands there, word for word.
+Templates are whole texts of short public licences, and notices of long ones. How many documents each template word
+occurs in is counted over the whole corpus (a table no larger than the templates' vocabulary); a template is indexed
+under its words of highest inverse document frequency, its anchors, and with each the places where it stands. A file's
+words are looked up in the index; a word at p that the template has at i stands for a template that starts at p - i,
+and postings are thus intersected by relative position: a start is a candidate if enough different anchors stand for it
+or for one of the starts after it that `shift` inserted words make. Each anchor counts once, however often it is
+repeated. A candidate counts only if one of the template's mandatory key phrases stands at its own place, within the
+same shift, word for word.
 
 The three base phrases are templates whose every word must stand at its place, so none is ever missed.
 
-Null text is empty: no words, no labels, score 0. Repeated rows give repeated rows; an empty table gives none. Only the
-named columns are read.
+Null text is empty: no words, no labels, score 0. Repeated rows give repeated rows; an empty table gives none. Words of
+equal frequency are taken in order of the alphabet; of a label's matches the best gives the score. A very long text is
+one list of words, with two numbers for each that is an anchor. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,111 +29,116 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import counted
+from sievelake.llm.licence_texts import TEXTS
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Words of a template that it is indexed under, the share of them that must vote for one start, and the words that may have been inserted or left out before a word.
-ANCHORS, SHARE, SHIFT = 12, 0.6, 4
+#: Words of a template that it is indexed under, and the share of them that must stand for one start.
+ANCHORS, SHARE = 12, 0.6
+#: Words that may have been inserted before a word: so many, or one in so many of the template's.
+SHIFT, SHIFT_SHARE = 4, 25
 
 
 @dataclass(frozen=True)
 class Template:
     label: str
     text: str
-    keys: tuple[str, ...] = ()  #: one must stand in the match, word for word
+    keys: tuple[str, ...] = ()  #: one must stand in the match, word for word, at its place
     base: bool = False  #: every word must stand at its place
 
 
-#: The base phrases, then notices and the heads of public licences with what they can't do without.
+#: The base phrases; then the licences.
 TEMPLATES = (
     Template("cc-by", "cc by", base=True),
     Template("gpl", "general public license", base=True),
     Template("reserved", "all rights reserved", base=True),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "licensed under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("except in compliance with the license",)),
-    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("terms of the gnu general public license",)),
-    Template("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
-    Template("agpl", "licensed under the gnu affero general public license", ("affero general public license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    Template("bsd", "released under the bsd license", ("bsd license",)),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    Template("public-domain", "this work is dedicated to the public domain", ("public domain",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
-    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    Template("cc0", "licensed under cc0 1 0 universal", ("cc0",)),
-    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
-)
+    *(Template(*x) for x in TEXTS),
+)
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").translate(UPPER))
 
 
+def places_of(phrase: list[str], words: list[str]) -> list[int]:
+    return [i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase]
+
+
 class Index:
     """Template postings of rare words: word -> [(template, place in it)]."""
 
     def __init__(self, templates: tuple[Template, ...], frequency: dict[str, int], n_docs: int):
         self.templates = templates
-        self.words = [t.text.split() for t in templates]
-        self.keys = [[k.split() for k in t.keys] for t in templates]
+        self.words = [words_of(t.text) for t in templates]
+        #: (place, words) of each mandatory phrase
+        self.keys = [[(i, k.split()) for k in t.keys for i in places_of(k.split(), ws)] for t, ws in zip(templates, self.words, strict=True)]
+        if lost := [t.label for t, keys in zip(templates, self.keys, strict=True) if not keys and not t.base]:
+            raise ValueError(f"templates without their key phrases: {lost}")
         self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 1e-3 for ws in self.words for w in ws}
+        self.shift = [max(SHIFT, len(ws) // SHIFT_SHARE) for ws in self.words]
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
+        self.anchors, self.need = [], []
         for k, ws in enumerate(self.words):
             rare = sorted(set(ws), key=lambda w: (-self.idf[w], w))
-            chosen = set(rare if templates[k].base else rare[:ANCHORS])
-            places = [i for i, w in enumerate(ws) if w in chosen]
-            for i in places:
-                self.postings[ws[i]].append((k, i))
-            self.need.append(len(places) if templates[k].base else max(2, math.ceil(SHARE * len(places))))
+            self.anchors.append(frozenset(rare if templates[k].base else rare[:ANCHORS]))
+            for i, w in enumerate(ws):
+                if w in self.anchors[k]:
+                    self.postings[w].append((k, i))
+            self.need.append(len(ws) if templates[k].base else max(2, math.ceil(SHARE * len(self.anchors[k]))))
         self.vocabulary = frozenset(self.postings)
         # a file without the rarest word of any base phrase or key phrase has none of them
-        self.telling = frozenset(max(p, key=lambda w: (self.idf[w], w)) for k, t in enumerate(templates) for p in ([self.words[k]] if t.base else self.keys[k]))
+        self.telling = frozenset(max(p, key=lambda w: (self.idf[w], w)) for k, t in enumerate(templates) for p in ([self.words[k]] if t.base else [key for _, key in self.keys[k]]))
+
+    def candidates(self, k: int, hits: list[tuple[int, str]]) -> Iterator[int]:
+        """Starts from which on, within the shift, enough different anchors have hits (start, word)."""
+        hits = sorted(hits)
+        seen: Counter = Counter()
+        end = 0
+        for at, (start, word) in enumerate(hits):
+            while end < len(hits) and hits[end][0] <= start + self.shift[k]:
+                seen[hits[end][1]] += 1
+                end += 1
+            if len(seen) >= self.need[k] and (at == 0 or hits[at - 1][0] != start):
+                yield start
+            seen[word] -= 1
+            if not seen[word]:
+                del seen[word]
+
+    def score(self, k: int, start: int, words: list[str]) -> float:
+        """The share, by inverse frequency, of the template's words that stand in the match; 0 without a key phrase at its place."""
+        shift = self.shift[k]
+        if not any(words[p : p + len(key)] == key for i, key in self.keys[k] for p in range(max(0, start + i), start + i + shift + 1)):
+            return 0.0
+        own = set(self.words[k])
+        window = words[max(0, start) : max(0, start + len(self.words[k]) + shift)]
+        return min(1.0, sum(self.idf[w] for w in own.intersection(window)) / sum(self.idf[w] for w in own))
 
     def match(self, words: list[str]) -> tuple[list[tuple[str, int]], dict[str, float]]:
         """(label, start) of every base phrase, and the best score of each label."""
         if self.telling.isdisjoint(words):
             return [], {}
-        votes: dict[int, Counter] = defaultdict(Counter)
+        hits: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for at, word in enumerate(words):
             if word in self.vocabulary:
                 for k, i in self.postings[word]:
-                    votes[k][at - i] += 1
+                    hits[k].append((at - i, word))
         base, labels = [], {}
-        for k, starts in votes.items():
-            t, ws = self.templates[k], self.words[k]
-            if t.base:
-                found = sorted(s for s, n in starts.items() if n == self.need[k])
-                base += [(t.label, s) for s in found]
-                if found:
-                    labels[t.label] = max(labels.get(t.label, 0.0), 1.0)
-                continue
-            for s in sorted(starts):
-                near = [x for x in range(s, s + SHIFT + 1) if x in starts]
-                if sum(starts[x] for x in near) < self.need[k]:
-                    continue
-                low, high = max(0, s - SHIFT), s + len(ws) + 2 * SHIFT
-                window = words[low:high]
-                if not any(window[i : i + len(key)] == key for key in self.keys[k] for i in range(len(window))):
-                    continue
-                total = sum(self.idf[w] for w in set(ws))
-                labels[t.label] = max(labels.get(t.label, 0.0), min(1.0, sum(self.idf[w] for w in set(ws) & set(window)) / total))
+        for k, found in hits.items():
+            label = self.templates[k].label
+            if self.templates[k].base:
+                starts = [s for s, n in Counter(s for s, _ in found).items() if n == self.need[k]]
+                base += [(label, s) for s in starts]
+                best = 1.0 if starts else 0.0
+            else:
+                best = max((self.score(k, s, words) for s in self.candidates(k, found)), default=0.0)
+            if best:
+                labels[label] = max(labels.get(label, 0.0), best)
         return sorted(base, key=lambda x: (x[1], x[0])), labels
 
 
 def frequencies(rows: DataFrame, templates: tuple[Template, ...]) -> tuple[dict[str, int], int]:
     """In how many documents each template word stands, and the number of documents. One row for each template word comes to the driver."""
-    wanted = frozenset(w for t in templates for w in t.text.split())
+    wanted = frozenset(w for t in templates for w in words_of(t.text))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()

@@ -51,16 +51,69 @@ def test_licenses_find_every_base_phrase(odd, none):
     assert licenses.digests(licenses.scan(none)).count() == 0
 
 
+def plain_labels(words, index):
+    """The method's definition without its index: every start of every template, tried by itself."""
+    found = {}
+    for k, t in enumerate(index.templates):
+        ws, shift = index.words[k], index.shift[k]
+        if t.base:
+            if any(words[p : p + len(ws)] == ws for p in range(len(words))):
+                found[t.label] = 1.0
+            continue
+        for s in range(-len(ws), len(words)):
+            stands = lambda w, x: any(v == w and 0 <= x + i < len(words) and words[x + i] == w for i, v in enumerate(ws))
+            if not any(stands(w, s) for w in index.anchors[k]):
+                continue
+            if sum(any(stands(w, x) for x in range(s, s + shift + 1)) for w in index.anchors[k]) >= index.need[k] and (best := index.score(k, s, words)):
+                found[t.label] = max(found.get(t.label, 0.0), best)
+    return found
+
+
+def test_licenses_equal_every_start_tried(spark):
+    pick = np.random.default_rng(6)
+    frequency = {w: int(pick.integers(1, 90)) for t in licenses.TEMPLATES for w in licenses.words_of(t.text)}
+    index = licenses.Index(licenses.TEMPLATES, frequency, 100)
+    short = [t for t in licenses.TEMPLATES if len(t.text.split()) < 60]
+    several = 0
+    for _ in range(120):
+        words = [str(w) for w in pick.choice(["the", "license", "cc", "by", "public", "mit", "x", "4", "0", "gnu", "general"], 12)]
+        words += licenses.words_of(short[pick.integers(len(short))].text)
+        for _ in range(pick.integers(0, 8)):
+            at = int(pick.integers(0, len(words)))
+            words[at : at + int(pick.integers(0, 2))] = ["new"] * int(pick.integers(0, 3))
+        base, labels = index.match(words)
+        assert labels == pytest.approx(plain_labels(words, index))
+        several += bool(set(labels) - {b for b, _ in base})
+    assert several > 40
+
+
 def test_licenses_by_votes_and_key_phrases(spark):
+    from sievelake.llm import licence_texts
+
+    pick = np.random.default_rng(0)
+
+    def mutated(text):
+        words = text.split()
+        for _ in range(len(words) // 40):
+            words[int(pick.integers(len(words)))] = "changed"
+        return "word " * 30 + "Copyright 2024 A. Uthor. " + " ".join(words) + " code" * 20
+
+    bodies = {"mit": licence_texts.MIT, "bsd": licence_texts.BSD_2, "bsd-3": licence_texts.BSD_3, "isc": licence_texts.ISC, "zlib": licence_texts.ZLIB, "unlicense": licence_texts.UNLICENSE, "apache-2.0": licence_texts.APACHE, "mpl-2.0": licence_texts.MPL}
     rows = [
-        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software) to deal in the Software without restriction"),
         (2, "obtaining a copy of software, granted to any person, free charge documentation files restriction"),
-        (3, "word " * 40 + "this program is free software; you may redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ]
-    got = {r.doc_id: (r.labels, r.score) for r in licenses.digests(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got[1][0] == "mit" and got[1][1] > 0.95
-    assert got[2] == ("", 0.0)  # words without their order, or the key phrase, are no licence
-    assert got[3][0] == "gpl,gpl-notice"
+        (3, "word " * 40 + "this program is free software; you may redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version"),
+        (4, "MIT license license"), (5, "cc0 cc0 cc0 cc0"), (6, "bsd license license license"), (7, "the public domain domain the domain"),
+        (8, "Released under the MIT License."), (9, "This work is dedicated to the public domain."),
+        *((100 + k, mutated(t)) for k, t in enumerate(bodies.values())),
+        *((200 + k, "plain words and nothing else") for k in range(40)),
+    ]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.digests(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k, label in enumerate(bodies):
+        assert label in got[100 + k][0] and got[100 + k][1] > 0.8, label
+    assert "gpl-notice" in got[3][0]
+    for k in (2, 4, 5, 6, 7, 200):  # words without their order, one word many times, or no key phrase, are no licence
+        assert got[k] == ([""], 0.0), k
+    assert got[8][0] == ["mit"] and got[9][0] == ["public-domain"]
 
 
 def test_chat_escapes_reversibly():
