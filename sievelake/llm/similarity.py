@@ -506,8 +506,8 @@ def classified(rows: DataFrame, group_sets: int = GROUP_SETS, group_shingles: in
     rows = rows.withColumn("mark", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     signed = written(signatures(rows), "signatures")
     # a class's text is found by its mark, as neither ids nor rows are unique
-    classes = written(signed.where("n > 0").groupBy("digest", "n", "key").agg(F.min("id").alias("own"), F.min("mark").alias("mark")), "classes")
-    n_shingles = classes.agg(F.sum("n")).collect()[0][0] or 0
+    classes = written(signed.where("n > 0").groupBy("digest", "n", "key").agg(F.min("id").alias("own"), F.min("mark").alias("mark"), F.count(F.lit(1)).alias("copies")), "classes")
+    n_shingles, n_rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).collect()[0]
     n_parts = max(partitions(spark), -(-n_shingles // PART_SHINGLES))
 
     # of the least set that this one may link with, the one in EXTRA
@@ -519,8 +519,10 @@ def classified(rows: DataFrame, group_sets: int = GROUP_SETS, group_shingles: in
     def to_set(texts: pd.Series) -> pd.Series:
         return pd.Series([s.tobytes() for s in shingle_sets(texts.tolist())])
 
-    wanted = rows.select("mark", "text").join(left.select("mark", "rid", "n"), "mark")
-    sets = written(wanted.dropDuplicates(["rid"]).select("rid", "n", to_set("text").alias("tokens")), "sets")
+    # each task first drops its own copies; the hint keeps the plan the same at every size
+    texts = rows.groupBy("mark").agg(F.first("text").alias("text"))
+    wanted = texts.join(left.select("mark", "rid", "n").hint("merge"), "mark")
+    sets = written(wanted.select("rid", "n", to_set("text").alias("tokens")), "sets")
 
     prefixes = written(rare_prefixes(sets, n_parts), "prefixes")
     weak = components(weak_edges(prefixes), "weak")
@@ -531,9 +533,15 @@ def classified(rows: DataFrame, group_sets: int = GROUP_SETS, group_shingles: in
     members = written(members.join(classes, ["digest", "n"]).select("digest", "n", "component", "own"), "members")
     least = members.groupBy("component").agg(F.min("own").alias("least"), F.min("digest").alias("class"))
     labels = members.join(least, "component").select("digest", "n", "least", "class")
-    linked = classes.select("digest", "n", "own").join(labels, ["digest", "n"], "left").select("digest", "n", F.coalesce("least", "own").alias("least"), F.coalesce("class", "digest").alias("class"))
+    linked = classes.select("digest", "n", "own", "copies").join(labels, ["digest", "n"], "left").select("digest", "n", "copies", F.coalesce("least", "own").alias("least"), F.coalesce("class", "digest").alias("class"))
+    linked = written(linked, "linked")
+    # classes whose copies would fill a part by themselves, 2 * n_parts at most, come to the rows; the others' rows go to them
+    hot = F.broadcast(linked.where(F.col("copies") * 2 * n_parts > n_rows).drop("copies"))
+    rest = linked.where(F.col("copies") * 2 * n_parts <= n_rows).drop("copies")
     others = [c for c in rows.columns if c not in ("text", "mark")]
-    return signed.join(linked, ["digest", "n"], "left").select(*others, "n", "class", "least")
+    of_hot = signed.join(hot, ["digest", "n"])
+    of_rest = signed.join(hot.select("digest", "n"), ["digest", "n"], "left_anti").join(rest, ["digest", "n"], "left")
+    return of_hot.select(*others, "n", "class", "least").union(of_rest.select(*others, "n", "class", "least"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -545,10 +553,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each class of linked rows one, whole: the one with the least id, and of those with the same the one whose content has the least hash. Rows without shingles are linked with nothing, and all stay."""
     keyed = df.withColumn("_row", F.md5(F.to_json(F.struct(*df.columns)).cast("binary")))
-    found = written(classified(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row"))), "classified")
+    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    worded = keyed.where(~blank)
+    found = classified(worded.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row")))
     first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row"))
-    chosen = found.where("n > 0").groupBy("class").agg(first.alias("_row")).select("_row").distinct()
+    chosen = written(found.groupBy("class").agg(first.alias("_row")).select("_row").distinct(), "chosen")
     # rows that are alike in all columns share a hash; one of them stays
-    once = keyed.join(chosen, "_row", "left_semi").dropDuplicates(["_row"])
-    without = keyed.join(found.where("n = 0").select(F.col("row").alias("_row")).distinct(), "_row", "left_semi")
-    return once.union(without).select(df.columns)
+    once = worded.dropDuplicates(["_row"]).join(chosen.hint("merge"), "_row", "left_semi")
+    return once.select(df.columns).union(df.where(blank))
