@@ -57,14 +57,18 @@ def url_sql() -> str:
     fits = lambda r: f"((host = {quoted(r.host)} OR ends_with(host, {quoted('.' + r.host)})) AND starts_with(path, {quoted(r.path)}))"
     listed = sorted(urls.LISTED, key=lambda r: -len(r.name))
     rule = " ".join(f"WHEN {fits(r)} THEN {quoted(r.name)}" for r in listed)
-    pattern = " ".join(f"WHEN regexp_matches(both_parts, {quoted(r.pattern)}) THEN {quoted(r.pattern)}" for r in urls.PATTERNS)
     blocked = ", ".join(quoted(r.name) for r in listed if r.verdict == "block")
+    own = sorted(urls.OWN, key=lambda r: r.verdict == "block")
+    rows = ", ".join(f"({k}, {quoted(r.line)}, {quoted(r.verdict)}, {quoted(urls.pattern_of(r.line))})" for k, r in enumerate(own))
+    any_own = "|".join(f"(?:{urls.pattern_of(r.line)})" for r in own)
     return f"""
 WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), '{CAPITALS}', '{SMALL}') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM a),
-c AS (SELECT *, CASE {rule} END AS rule, host || translate(path, '{CAPITALS}', '{SMALL}') AS both_parts FROM b),
-d AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {pattern} END END AS pattern FROM c)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocked}) OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM d"""
+c AS (SELECT *, row_number() OVER () AS k, CASE {rule} END AS rule, host || translate(path, '{CAPITALS}', '{SMALL}') AS both_parts FROM b),
+own(place, line, verdict, pattern) AS (VALUES {rows}),
+hits AS (SELECT k, min(place) AS place FROM (SELECT * FROM c WHERE rule IS NULL AND both_parts <> '' AND regexp_matches(both_parts, {quoted(any_own)})) c JOIN own ON regexp_matches(both_parts, pattern) GROUP BY k)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocked}) OR own.verdict = 'block' THEN 'block' ELSE 'allow' END AS verdict, own.line AS pattern
+FROM c LEFT JOIN hits USING (k) LEFT JOIN own USING (place)"""
 
 
 NEAR_DUPLICATES = rf"""

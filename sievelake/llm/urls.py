@@ -1,14 +1,19 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule has a host (it fits the host and all subdomains), a path prefix, and maybe a regular expression over the whole
-URL. Its literal tokens are the labels of its host, the whole segments of its path and the words its expression can't
-do without. How often each rule token occurs in all URLs is counted first (a table no larger than the rules); each rule
-is then filed under its rarest. A URL's tokens fetch candidate rules, and only those are compared or run as regular
-expressions. Of the listed rules that fit, the longest wins; if none fits, the method's own pattern rules decide, and
-if none of these does, the URL is allowed.
+Rules are of two sorts. A listed rule has a host (it fits the host and all subdomains) and a path prefix. The method's own
+are lines of the public format of content blockers: `||` stands for the start of a label of the host, `|` for the start or
+the end, `^` for a separator or the end, `*` for anything, and `@@` before a rule makes it an exception. Each line is
+compiled to a regular expression over host and path, and has literal tokens, those that any URL it fits holds whole.
+
+How often each rule token occurs in all URLs is counted first (a table no larger than the rules); each rule is then filed
+under its rarest. A URL's tokens fetch candidate rules, and only those are compared or run as regular expressions: of
+about 2,000 rules, a URL tries one or two. Of the listed rules that fit, the longest wins; if none fits, an exception
+that fits allows the URL, else any other of the method's rules that fits blocks it, the first in order being named; and if
+none does, the URL is allowed.
 
 A null URL, or one without `://`, has an empty host and path, no rule, and is allowed. Repeated rows give repeated
-rows; an empty table gives none. Only the id and URL columns are read.
+rows; an empty table gives none. Ties of listed rules of one length go to the first, tokens of equal frequency in order of
+the alphabet. A very long URL is read whole. Only the id and URL columns are read.
 """
 
 from __future__ import annotations
@@ -33,16 +38,36 @@ class Rule:
     verdict: str
     host: str = ""
     path: str = ""
-    pattern: str = ""  #: searched for in host + path, lower case
-    words: tuple[str, ...] = ()  #: each stands as a token of its own wherever the pattern fits
+    line: str = ""  #: of the public format, without `@@`
 
     @property
     def name(self) -> str:
-        return f"{self.host}{self.path}"
+        return self.line or f"{self.host}{self.path}"
 
     def tokens(self) -> list[str]:
+        if self.line:
+            return literal_tokens(self.line)
         whole = self.path.rpartition("/")[0] if not self.path.endswith("/") else self.path
-        return [*TOKEN.findall(self.host), *TOKEN.findall(whole.translate(UPPER)), *self.words]
+        return [*TOKEN.findall(self.host), *TOKEN.findall(whole.translate(UPPER))]
+
+
+def pattern_of(line: str) -> str:
+    """The regular expression, over lower-cased host and path, of a line."""
+    body, start = (line[2:], r"^(?:[^/]*[.])?") if line.startswith("||") else (line[1:], "^") if line.startswith("|") else (line, "")
+    body, end = (body[:-1], "$") if body.endswith("|") else (body, "")
+    parts = {"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}
+    return start + "".join(parts.get(c) or (c if c.isalnum() else f"[{c}]") for c in body) + end
+
+
+def literal_tokens(line: str) -> list[str]:
+    """Runs of letters and digits that both ends of which the line tells."""
+    body = line.strip("|")
+    known = line.startswith("|"), line.endswith("|")
+    return [m.group() for m in TOKEN.finditer(body) if (m.start() > 0 or known[0]) and (m.end() < len(body) or known[1]) and "*" not in (body[m.start() - 1 : m.start()], body[m.end() : m.end() + 1])]
+
+
+def parsed(line: str) -> Rule:
+    return Rule("allow", line=line[2:]) if line.startswith("@@") else Rule("block", line=line)
 
 
 #: The listed rules.
@@ -55,20 +80,19 @@ LISTED = (
 )
 
 
-def _topic(*words: str) -> tuple[Rule, ...]:
-    """A rule for each word, as a token of the host or the path."""
-    return tuple(Rule("block", pattern=rf"(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)", words=(w,)) for w in words)
-
-
-#: The method's own: topics that no crawl wants, wherever they stand as a word.
-PATTERNS = (
-    *_topic("adult", "porn", "xxx", "sex", "escort", "nude"),
-    *_topic("casino", "poker", "betting", "slots", "jackpot", "lottery"),
-    *_topic("pills", "viagra", "cialis", "pharmacy"),
-    *_topic("spam", "phishing", "malware", "warez", "torrent", "crack"),
-    Rule("block", pattern=r"\bcheap-[a-z]+", words=("cheap",)),
-    Rule("block", pattern=r"\bfree-(?:money|gift|download)s?\b", words=("free",)),
+#: What no crawl wants: (subjects, what they are coupled with in names). A word alone is no reason to block.
+TOPICS = (
+    ("casino poker bets betting slots jackpot lottery roulette bingo", "win wins free online best bonus club live vip play money now"),
+    ("adult porn xxx sex escort nude cams", "x free hot live cam girls club video tube chat"),
+    ("pills viagra cialis pharmacy meds", "cheap buy online discount generic order best"),
+    ("ads ad adserver banner popup", "track tracker tracking click count serve pixel sync"),
+    ("spam phishing malware warez torrent crack keygen", "farm free download downloads link links site hub"),
 )
+#: The places of a couple: a host's label, with a hyphen or without, and a path's segment.
+FORMS = ("||{a}-{b}.", "||{b}-{a}.", "||{a}{b}.", "||{b}{a}.", "/{a}-{b}^", "/{b}-{a}^")
+#: Hosts that write about such things.
+EXCEPTIONS = ("@@||edu^", "@@||gov^", "@@||wikipedia.org^", "@@||who.int^", "@@/news/*^prevention^")
+OWN = tuple(parsed(x) for x in (*EXCEPTIONS, *(f.format(a=a, b=b) for subjects, coupled in TOPICS for a in subjects.split() for b in coupled.split() for f in FORMS)))
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -93,29 +117,36 @@ def index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[int
     return dict(found)
 
 
-def fits(rule: Rule, host: str, path: str) -> bool:
-    if rule.host and not (host == rule.host or host.endswith(f".{rule.host}")):
-        return False
-    if not path.startswith(rule.path):
-        return False
-    return not rule.pattern or re.search(rule.pattern, host + path.translate(UPPER)) is not None
+class Judge:
+    """Rules compiled and filed."""
 
+    def __init__(self, listed: tuple[Rule, ...], own: tuple[Rule, ...], counts: dict[str, int]):
+        self.rules, self.n_listed = listed + own, len(listed)
+        self.by_token = index(self.rules, counts)
+        self.patterns = [re.compile(pattern_of(r.line)) if r.line else None for r in self.rules]
 
-def judge(host: str, path: str, listed: tuple[Rule, ...], patterns: tuple[Rule, ...], by_token: dict[str, list[int]]) -> tuple[str | None, str, str | None]:
-    """(rule, verdict, pattern): the longest listed rule, else the first pattern in order."""
-    candidates = sorted({k for t in (*tokens(host, path), "") for k in by_token.get(t, ())})
-    rules = listed + patterns
-    good = [k for k in candidates if (host or path) and fits(rules[k], host, path)]
-    best = max((k for k in good if k < len(listed)), key=lambda k: (len(rules[k].name), -k), default=None)
-    if best is not None:
-        return rules[best].name, rules[best].verdict, None
-    own = next((k for k in good if k >= len(listed)), None)
-    return None, "allow" if own is None else rules[own].verdict, None if own is None else rules[own].pattern
+    def fits(self, k: int, host: str, path: str, both: str) -> bool:
+        rule, pattern = self.rules[k], self.patterns[k]
+        if pattern:
+            return pattern.search(both) is not None
+        return (host == rule.host or host.endswith(f".{rule.host}")) and path.startswith(rule.path)
 
+    def __call__(self, host: str, path: str) -> tuple[str | None, str, str | None, int]:
+        """(rule, verdict, pattern, tried): the longest listed rule, else the method's own first exception, else its first rule in order; and how many rules were tried."""
+        candidates = sorted({k for t in (*tokens(host, path), "") for k in self.by_token.get(t, ())}) if host or path else []
+        both = host + path.translate(UPPER)
+        good = [k for k in candidates if self.fits(k, host, path, both)]
+        best = max((k for k in good if k < self.n_listed), key=lambda k: (len(self.rules[k].name), -k), default=None)
+        if best is not None:
+            return self.rules[best].name, self.rules[best].verdict, None, len(candidates)
+        own = min((k for k in good if k >= self.n_listed), key=lambda k: (self.rules[k].verdict == "block", k), default=None)
+        return (None, "allow", None, len(candidates)) if own is None else (None, self.rules[own].verdict, self.rules[own].line, len(candidates))
 
-def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", listed: tuple[Rule, ...] = LISTED, patterns: tuple[Rule, ...] = PATTERNS) -> DataFrame:
+
+def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", listed: tuple[Rule, ...] = LISTED, own: tuple[Rule, ...] = OWN, tried: bool = False) -> DataFrame:
+    """(id, host, path, rule, verdict, pattern) of every URL; with `tried`, also how many rules were."""
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    wanted = {t for r in listed + patterns for t in r.tokens()}
+    wanted = {t for r in listed + own for t in r.tokens()}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -125,17 +156,15 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", li
         yield from counted(found, "token")
 
     counts = {r["token"]: r["n"] for r in rows.select("url").mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    by_token = index(listed + patterns, counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Judge(listed, own, counts)
         for batch in batches:
-            found = []
-            for url in batch["url"]:
-                host, path = parts(url)
-                found.append((host, path, *judge(host, path, listed, patterns, by_token)))
-            out = pd.DataFrame(found, columns=["host", "path", "rule", "verdict", "pattern"])
+            found = [(*of, *judge(*of)) for of in map(parts, batch["url"])]
+            out = pd.DataFrame(found, columns=["host", "path", "rule", "verdict", "pattern", "tried"])
             out.insert(0, "id", batch["id"].array)
             yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, host string, path string, rule string, verdict string, pattern string").withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(run, f"id {kind}, host string, path string, rule string, verdict string, pattern string, tried long").withColumnRenamed("id", id_col)
+    return out if tried else out.drop("tried")

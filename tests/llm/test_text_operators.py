@@ -313,22 +313,46 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_urls_against_all_rules(spark):
-    hosts = ["com", "a.example.com", "EXAMPLE.com", "xexample.com", "example.net", "b.net", "c.org", "adult-x.org", ""]
-    paths = ["", "/", "/en/", "/en/7x", "/de/8", "/de/9?q#f", "/es/#x", "/EN/", "/free-money", "/cheap-pills"]
-    rows = [(k, f"http://{h}{p}") for k, (h, p) in enumerate((h, p) for h in hosts for p in paths)] + [(900, None), (901, ""), (902, "no scheme/en/"), (903, "://"), (903, "://"), (904, "http://" + "a" * 50_000 + ".com/en/")]
-    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    rules = urls.LISTED + urls.PATTERNS
-    for k, url in rows:
+    hosts = ["com", "a.example.com", "EXAMPLE.com", "xexample.com", "example.net", "b.net", "c.org", "www.adult-x.org", "best-casino.example.io", "slots.io", "cheap-pills.gov", "xcheap-pills.io", "freebets.io", ""]
+    paths = ["", "/", "/en/", "/en/7x", "/de/8", "/de/9?q#f", "/es/#x", "/EN/", "/free-Casino", "/free-casino/x", "/free-casinos", "/pills", "/news/spam-farm/prevention"]
+    rows = [(k, f"http://{h}{p}", "n", "r", 1) for k, (h, p) in enumerate((h, p) for h in hosts for p in paths)]
+    rows += [(i, u, "n", "r", 1) for i, u in ((900, None), (901, ""), (902, "no scheme/en/"), (903, "://"), (903, "://"), (904, "http://" + "a" * 50_000 + ".com/en/"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, tried int")
+    got = {r.page_id: r for r in urls.filter_urls(df).collect()}
+    assert len(urls.OWN) > 1000
+    plain = [(r, re.compile(urls.pattern_of(r.line))) for r in urls.OWN]
+    named = set()
+    for k, url, *_ in rows:
         host, path = urls.parts(url)
-        good = [r for r in rules if (host or path) and urls.fits(r, host, path)]
-        listed = max((r for r in good if r in urls.LISTED), key=lambda r: len(r.name), default=None)
-        own = next((r for r in good if r in urls.PATTERNS), None)
+        listed = max((r for r in urls.LISTED if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path) and (host or path)), key=lambda r: len(r.name), default=None)
+        fit = [r for r, p in plain if (host or path) and p.search(host + path.translate(urls.UPPER))]
+        own = next((r for r in fit if r.verdict == "allow"), None) or next(iter(fit), None)
         assert (got[k].host, got[k].path) == (host, path)
-        assert (got[k].rule, got[k].verdict) == ((listed.name, listed.verdict) if listed else (None, own.verdict if own else "allow"))
+        want = (listed.name, listed.verdict, None) if listed else (None, own.verdict, own.line) if own else (None, "allow", None)
+        assert (got[k].rule, got[k].verdict, got[k].pattern) == want
+        named.add(got[k].pattern)
+    assert {"||adult-x.", "||best-casino.", "||edu^", "||freebets.", "/free-casino^", "||gov^"} - named <= {"||edu^"}
     assert (got[900].host, got[900].verdict) == ("", "allow")
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_try_few_rules(spark):
+    """Of all rules, a URL tries those only whose rarest token it holds."""
+    tried = urls.filter_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), tried=True).toPandas()["tried"]
+    assert tried.mean() < 3 and tried.max() < 20
+
+
+def test_url_rule_lines():
+    for line, good, bad in (
+        ("||ads.", ["ads.x.com/", "a.ads.com/"], ["bads.com/", "x.com/ads."]),
+        ("/a-b^", ["x.com/a-b", "x.com/a-b/c"], ["x.com/a-bc", "xa-b"]),
+        ("|x.com/*z|", ["x.com/abz"], ["a.x.com/z", "x.com/zy"]),
+    ):
+        assert all(re.search(urls.pattern_of(line), x) for x in good)
+        assert not any(re.search(urls.pattern_of(line), x) for x in bad)
+    assert urls.literal_tokens("||ads-x.*foo^bar") == ["ads", "x"]
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 24), (300, 40), (bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS)])
 def test_bpe_equals_tiktoken(odd, none, spark, chunk, overlap):
     with open(RANKS, "rb") as file:
