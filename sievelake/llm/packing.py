@@ -1,14 +1,16 @@
 """Best-fit packing of token sequences, improved by a swap-based local search.
 
 Documents are tokenised, closed by an end token and, only if longer than a sequence, cut from the back, so that every
-piece but the first fills a sequence by itself. The remaining pieces are dealt by a hash to groups of a bounded size,
-each packed by one task: best fit in decreasing length first, then a local search over the underfull sequences. It
-moves a document into a fuller sequence, exchanges one for one or two for one, whenever that raises the sum of squared
-fills, until the emptiest sequences are gone. A group leaves one loosely filled sequence or so behind; at
-GROUP_DOCS documents a group that is less than a thousandth of all.
-
-Null text is empty: the end token alone, one piece. Repeated rows are packed as often as they occur. An empty table
-gives no rows. Only the id and text columns are read.
+piece but the first fills a sequence by itself; such pieces are done. The others, one a document at most, are dealt by a
+hash to groups of a bounded size, each packed by one task: best fit in decreasing length first, then a local search over
+the underfull sequences. It moves a document into another sequence, exchanges one for one or two for one, whenever that
+raises the sum of squared fills, the largest part into the tightest room first, until no such exchange is left or the
+group has as few sequences as its tokens need. Sequences that are emptied are gone. A group leaves one loosely filled
+sequence or so behind; at GROUP_DOCS documents a group that is less than a thousandth of all.
+
+Null text is empty: the end token alone, one piece. Repeated rows are packed as often as they occur. Of equal lengths the
+smaller id, piece and checksum comes first. A very long text is tokenised whole, by one task; its pieces go their own ways.
+An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import written
+
 #: At most about so many pieces are packed together by one task.
 GROUP_DOCS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
@@ -117,77 +121,100 @@ class Bins:
                 by_free[free - n].append(b)
                 mask |= 1 << (free - n)
 
-    def improve(self) -> None:
-        """Local search between underfull bins: each step raises the sum of squared fills; ends when none is left or no bin can be saved."""
+    def improve(self) -> bool:
+        """Local search between underfull bins: each step raises the sum of squared fills; ends when no exchange does or no bin can be saved. Whether any was made."""
         capacity, lengths, fill, items = self.capacity, self.lengths, self.fill, self.items
         bound = -(-sum(lengths) // capacity)
-        live = {b for b in range(len(items)) if fill[b] < capacity}
         n_bins = sum(1 for f in fill if f)
-        room: dict[int, set[int]] = defaultdict(set)  # underfull bins by free space
-        swap: dict[int, set[tuple[int, int]]] = defaultdict(set)  # (item, bin) by the space there is once the item has left
+        swaps: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))  # room once an item has left -> the item's length -> bins; length 0: nothing leaves
+        spaces = 0  # the rooms that there are, as bits
 
         def index(b: int, add: bool) -> None:
+            nonlocal spaces
             free = capacity - fill[b]
             if not free:
                 return
-            (room[free].add if add else room[free].discard)(b)
-            for i in items[b]:
-                (swap[lengths[i] + free].add if add else swap[lengths[i] + free].discard)((i, b))
-
-        for b in live:
-            index(b, True)
+            for n in {0, *(lengths[i] for i in items[b])}:
+                space = swaps[n + free]
+                if add:
+                    space[n].add(b)
+                    spaces |= 1 << (n + free)
+                else:
+                    space[n].discard(b)
+                    if not space[n]:
+                        del space[n]
+                    if not space:
+                        spaces &= ~(1 << (n + free))
 
         def step(a: int) -> bool:
-            """Moves from bin a, which is not indexed, into a bin at least as full what raises the squares most surely: the largest part that fits."""
-            parts = sorted({(lengths[i], (i,)) for i in items[a]} | {(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(items[a]) for j in items[a][:k]}, reverse=True)
-            for size, part in parts:
-                for space in range(size, min(capacity, size + SLACK) + 1):
-                    if len(part) == 1:
-                        for b in room.get(space, ()):
-                            if fill[b] + size > fill[a]:
-                                return exchange(a, part, b, None)
-                    for i, b in swap.get(space, ()):
-                        gain = size - lengths[i]
-                        if gain > 0 and fill[b] + gain > fill[a]:
-                            return exchange(a, part, b, i)
-            # last, any room at all
-            for size, part in parts:
-                if len(part) == 1:
-                    for space in sorted(s for s in room if s >= size and room[s]):
-                        for b in room[space]:
-                            if fill[b] + size > fill[a]:
-                                return exchange(a, part, b, None)
+            """Moves from bin a, which is not indexed, what raises the squares: the largest part that fits, where it fits most tightly."""
+            parts: dict[int, tuple[int, ...]] = {}
+            for k, i in enumerate(items[a]):
+                parts.setdefault(lengths[i], (i,))
+            singles = {}
+            for i in items[a]:
+                singles.setdefault(lengths[i], []).append(i)
+            for x, xs in singles.items():
+                for y, ys in singles.items():
+                    if y < x:
+                        parts.setdefault(x + y, (xs[0], ys[0]))
+                if len(xs) > 1:
+                    parts.setdefault(2 * x, (xs[0], xs[1]))
+            for size in sorted(parts, reverse=True):
+                if size > capacity:
+                    continue
+                above = spaces >> size
+                space = size
+                while above:
+                    low = (above & -above).bit_length() - 1
+                    space += low
+                    for back, bins in swaps[space].items():
+                        # two never come for none: one of them alone would do as well
+                        if back >= size or (not back and len(parts[size]) > 1):
+                            continue
+                        for b in bins:
+                            if fill[b] + size - back > fill[a]:
+                                return exchange(a, parts[size], b, back)
+                    above >>= low + 1
+                    space += 1
             return False
 
-        def exchange(a: int, part: tuple[int, ...], b: int, back: int | None) -> bool:
+        def exchange(a: int, part: tuple[int, ...], b: int, back: int) -> bool:
             index(b, False)
+            returned = next((i for i in items[b] if lengths[i] == back), None) if back else None
             for i in part:
                 items[a].remove(i)
                 items[b].append(i)
                 fill[a] -= lengths[i]
                 fill[b] += lengths[i]
-            if back is not None:
-                items[b].remove(back)
-                items[a].append(back)
-                fill[b] -= lengths[back]
-                fill[a] += lengths[back]
+            if returned is not None:
+                items[b].remove(returned)
+                items[a].append(returned)
+                fill[b] -= back
+                fill[a] += back
             index(b, True)
             return True
 
-        for a in sorted(live, key=lambda b: (fill[b], b)):
-            if n_bins <= bound:
-                break
-            index(a, False)
-            while items[a] and step(a):
-                pass
-            if items[a]:
+        live = {b for b in range(len(items)) if 0 < fill[b] < capacity}
+        for b in live:
+            index(b, True)
+        ever, changed = False, True
+        while changed and n_bins > bound:
+            changed = False
+            for a in sorted(live, key=lambda b: (fill[b], b)):
+                if n_bins <= bound:
+                    break
+                if not 0 < fill[a] < capacity:
+                    continue
+                index(a, False)
+                while items[a] and step(a):
+                    changed = ever = True
                 index(a, True)
-            else:
-                n_bins -= 1
-
-
-#: An exchange may leave so many tokens free where it lands.
-SLACK = 24
+                if not items[a]:
+                    index(a, False)
+                    live.discard(a)
+                    n_bins -= 1
+        return ever
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -212,11 +239,12 @@ def _packed(key, group: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack_documents(df: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS, tokenizer_path: str | None = None) -> DataFrame:
     """A row for each piece: where it stands in its document and in which sequence, where. Ids are those of the tokenizers file; without one there are no added tokens."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n_groups = max(1, -(-df.count() // group_docs))
+    n_groups = max(1, -(-df.count() // group_docs))  # a document has one piece at most that does not fill a sequence
     pieces = rows.mapInArrow(lambda x: _pieces(x, capacity, end_id, ranks_path, pattern, tokenizer_path), PIECES)
-    # the slot tells repeated rows apart, so that a hot id is dealt out too
-    return (
-        pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "slot"), F.lit(n_groups)))
-        .groupBy("part")
-        .applyInPandas(lambda key, x: _packed(key, x, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    )
+    # the slot tells repeated rows apart, so that a hot id is dealt out too; full pieces have sequences of their own, with numbers below zero
+    part = F.when(F.col("length") < capacity, F.pmod(F.xxhash64("doc_id", "piece", "slot"), F.lit(n_groups)))
+    pieces = written(pieces.withColumn("own", -1 - F.monotonically_increasing_id()).withColumn("part", part), "pieces")
+    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    packed = pieces.where("part is not null").groupBy("part").applyInPandas(lambda key, x: _packed(key, x, capacity), out)
+    full = pieces.where("part is null").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("own").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.union(full)

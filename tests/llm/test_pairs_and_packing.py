@@ -1,5 +1,6 @@
 """Near duplicates, components, neighbours, packing and the pipeline: against brute force and on odd rows."""
 
+import functools
 import random
 import re
 import zlib
@@ -216,12 +217,15 @@ def test_multi_index_walk_is_in_order():
     assert order == sorted(range(63), key=lambda c: d1[c // 7] + d2[c % 7])
 
 
-def plain_pieces(text, capacity=2048):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], dtype="<u4")
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def plain_pieces(text, capacity=2048):
+    ids = np.array(tokenizer().encode(text, add_special_tokens=False).ids + [0], dtype="<u4")
     first = len(ids) % capacity or capacity
     edges = [0, *range(min(first, len(ids)), len(ids) + 1, capacity)]
     return [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
@@ -231,7 +235,7 @@ def test_packing(spark):
     texts = [None, "", "one <|endoftext|> two", "word " * 9000, "日本語\x00 é" * 50, "x" * 3000, "a b c"] + ["lorem ipsum " * k for k in range(1, 400, 7)]
     rows = [(k, t, 5) for k, t in enumerate(texts)] + [(6, "a b c", 5)]
     for capacity, docs in ((2048, packing.GROUP_DOCS), (2048, 9)):
-        found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, part int"), RANKS, P.PATTERN, capacity, group_docs=docs).collect()
+        found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, part int"), RANKS, P.PATTERN, capacity, group_docs=docs, tokenizer_path=P.path("byte_bpe_50k.json")).collect()
         got = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found)
         assert got == sorted((i, *p) for i, t, _ in rows for p in plain_pieces(t or "", capacity))
         held = {}
@@ -263,17 +267,38 @@ def test_packing_takes_added_tokens_as_the_tokenizer_does(spark, tmp_path):
         assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found.collect()) == want
 
 
-@pytest.mark.parametrize("low,high,n", [(300, 1000, 4000), (600, 760, 1500), (400, 700, 1000), (1, 2047, 3000)])
-def test_local_search_saves_bins(low, high, n):
+@pytest.mark.parametrize("low,high,n,fewer", [(300, 1000, 4000, 20), (600, 760, 1500, 40), (400, 700, 1000, 10), (1, 2047, 3000, 0), (1, 90, 3000, 0)])
+def test_local_search_saves_bins_and_ends_where_no_exchange_is_left(low, high, n, fewer):
     pick = random.Random(n)
     lengths = [pick.randint(low, high) for _ in range(n)]
     bins = packing.Bins(lengths, 2048)
     bins.best_fit()
     before, squares = len(bins.items), sum(f * f for f in bins.fill)
     bins.improve()
+    after, bound = sum(1 for f in bins.fill if f), -(-sum(lengths) // 2048)
     assert sorted(k for b in bins.items for k in b) == list(range(n))
     assert [sum(lengths[k] for k in b) for b in bins.items] == bins.fill and max(bins.fill) <= 2048
-    assert sum(1 for f in bins.fill if f) <= before and sum(f * f for f in bins.fill) >= squares
+    assert bound <= after <= before - fewer and sum(f * f for f in bins.fill) >= squares
+    assert not bins.improve()
+
+
+def test_no_single_exchange_would_raise_the_squares():
+    """By trying all of them: moves, one for one and two for one."""
+    pick = random.Random(5)
+    lengths = [pick.randint(20, 70) for _ in range(60)]
+    bins = packing.Bins(lengths, 100)
+    bins.best_fit()
+    bins.improve()
+    if sum(1 for f in bins.fill if f) == -(-sum(lengths) // 100):
+        return
+    for a, x in enumerate(bins.items):
+        parts = [(i,) for i in x] + [(i, j) for i in x for j in x if i < j]
+        for b, y in enumerate(bins.items):
+            for part in parts if a != b and y else ():
+                for back in (None, *y):
+                    d = sum(lengths[i] for i in part) - (lengths[back] if back is not None else 0)
+                    raises = (bins.fill[a] - d) ** 2 + (bins.fill[b] + d) ** 2 > bins.fill[a] ** 2 + bins.fill[b] ** 2
+                    assert not (d > 0 and bins.fill[b] + d <= 100 and raises and (back is not None or len(part) == 1))
 
 
 def test_pipeline(spark):
