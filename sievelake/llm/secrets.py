@@ -1,24 +1,27 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field decoded by Viterbi.
 
-A text is read as tokens: runs of the characters that keys are made of, and single other marks. The field tags them
-begin, inside or outside of a secret from their shape, the words around them and features of the whole file. Tokens
-that can't be part of a secret (short, or letters of one case only) are outside by definition, so the
-chain falls apart there and each stretch between them is decoded by itself, exactly; a text is thus read in full, but
-only the neighbourhood of key-like tokens costs time. The weights are learned here, by gradient ascent on the
-conditional likelihood of made-up lines from a fixed seed (configuration lines with keys; sentences, numbers, dates,
-addresses, versions, prices and paths without), so that no document is needed, nor an internet service.
+A text is read as tokens: runs of letters, digits and the marks + / _ -, and single other marks. The field tags each of
+them begin, inside or outside of a secret: from its own shape, from the kinds of the two tokens before and the one after,
+from key words and assignment signs near before it, from whether white space parts it from the token before, and from what
+sort of file the text is. Any token may be a secret, short, of letters only or with marks inside; a secret holds no white
+space. The weights are learned here, by gradient ascent on the conditional likelihood of made-up lines from a fixed seed
+(see secret_lines.py), so that no document is needed, nor an internet service.
+
+Whole texts are scored by table, and decoded exactly: where a token's score for outside is so far ahead that no choice
+of its neighbours' tags can outweigh it, it is outside on every best path, and the stretches between such tokens are
+decoded one by one.
 
 Spans of the fixed patterns always stay. The field's spans are added where they touch none of these. Null text is
-empty. Repeated rows give repeated rows; an empty table gives none. Only the named columns are read.
+empty. Repeated rows give repeated rows; an empty table gives none. Of equally good taggings the one with the least tag
+from the end is taken. A very long text is tokenised and decoded whole. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
-import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.secret_lines import made_lines
+
 #: The base patterns, by kind in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(
@@ -37,14 +42,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 HINT = re.compile(r"(?i)pass|secret|token|api")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
-#: Key-like: eight or more of the characters of keys, with a digit or with both cases inside.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z0-9+/_-]*[a-z][A-Z])[A-Za-z0-9+/_-]{8,}")
-#: Characters on each side of a candidate in which neighbours are looked for.
-CONTEXT = 48
-KEY_WORDS = frozenset("password passwd pwd secret token key apikey api access auth bearer credential credentials private aws akia client signature".split())
+#: A token, with one character of the white space before it, if any.
+TOKEN = re.compile(r"\s?(?:[^\s!-*,.:-@\[-\^`{-~\x00-\x1f\x7f]+|\S)")
+KEY_WORDS = frozenset("password passwd passphrase passcode pwd pass secret token key apikey api access auth authorization bearer basic credential credentials private aws akia client signature otp pin".split())
 OUTSIDE, BEGIN, INSIDE = range(3)
-BITS = 12
+#: Own features of tokens are hashed to so many bits.
+BITS = 13
+#: Kinds of tokens, as neighbours see them; NONE stands before the first and after the last.
+KINDS_OF_TOKEN = ("none", "word", "number", "mixed", "sign", "quote", "key", "mark")
+NONE, WORD, NUMBER, MIXED, SIGN, QUOTE, KEY, MARK = range(8)
+#: How the token's surroundings are numbered: its kind, those of the two before and the one after, a key word within four before, a sign within two, white space before.
+SHAPE_OF_PLACE = (8, 8, 8, 8, 2, 2, 2)
+#: What a worker remembers of tokens.
+MOST_TOKENS = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -60,11 +70,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def shape(token: str) -> str:
     """Kinds of characters in a token, runs written once: `aA0` and so on."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", token))))[:6]
-
-
-def possible(token: str) -> bool:
-    return CANDIDATE.fullmatch(token) is not None
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^A-Z0-9+/_-]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", token))))[:6]
 
 
 def _entropy(token: str) -> float:
@@ -72,27 +78,84 @@ def _entropy(token: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
 
 
-def file_features(text: str) -> list[str]:
-    """Of the whole text: what sort of file it is."""
-    n = max(1, len(text))
-    equals = text.count("=") + text.count(":")
-    return [f"file_assign={min(3, equals * 200 // n)}", f"file_code={'{' in text or ';' in text}"]
+def is_key(token: str) -> bool:
+    low = token.lower()
+    return low in KEY_WORDS or any(w in KEY_WORDS for w in re.split("[_-]", low))
+
+
+def kind_of(token: str) -> int:
+    """Which of KINDS_OF_TOKEN."""
+    if len(token) == 1 and not token.isalnum():
+        return SIGN if token in "=:" else QUOTE if token in "\"'`" else MARK
+    if is_key(token):
+        return KEY
+    if token.isdigit():
+        return NUMBER
+    return WORD if token.replace("-", "").isalpha() and (token[1:].islower() or token.isupper() and len(token) < 6 or len(token) == 1) else MIXED
+
+
+def is_plain(token: str) -> bool:
+    """Of letters only, small but for the first."""
+    return token.isalpha() and (len(token) == 1 or token[1:].islower())
+
+
+CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxz]+", re.I)
+
 
+def summary(token: str) -> tuple[bool, int, int, int, bool]:
+    """All that the field sees of a plain token."""
+    runs = CONSONANTS.findall(token)
+    return token[0].isupper(), min(2, len(token)), min(12, len(token) // 3), min(7, max(map(len, runs))) if runs else 0, token.lower() in KEY_WORDS
 
-def features(tokens: list[str], k: int, file: list[str]) -> list[str]:
-    token = tokens[k]
-    before = [t.lower() for t in tokens[max(0, k - 4) : k]]
+
+def own_features(token: str) -> list[str]:
+    kind = kind_of(token)
+    if kind in (SIGN, QUOTE, MARK):
+        return ["bias", f"mark={token}", f"kind={kind}"]
+    if is_plain(token):
+        upper, letters, length, consonants, _ = summary(token)
+        return ["bias", f"kind={kind}", f"plain={upper}{letters}", f"length={length}", f"length={length},kind={kind}", f"consonants={consonants},True"]
+    low = token.lower()
+    letters, digits = sum(c.isalpha() for c in token), sum(c.isdigit() for c in token)
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    found = ["bias", f"shape={shape(token)}", f"length={min(10, len(token) // 4)}", f"entropy={int(_entropy(token) * 2)}", f"switches={min(6, switches)}", f"cases={any(c.islower() for c in token)}{any(c.isupper() for c in token)}", f"hex={all(c in '0123456789abcdef' for c in token)}", f"digits={token.isdigit()}"]
-    found += [f"before{i}={t if not t[:1].isalnum() or t in KEY_WORDS else 'word'}" for i, t in enumerate(reversed(before[-2:]))]
-    found += [f"key_near={any(w in KEY_WORDS for t in before for w in re.split('[_-]', t))}", f"sign_near={any(t in '=:' for t in before[-2:])}"]
-    found += [f"after={tokens[k + 1] if k + 1 < len(tokens) and not tokens[k + 1][:1].isalnum() else 'word'}"]
-    return found + file
+    consonants = max(map(len, CONSONANTS.findall(token)), default=0)
+    length = min(12, len(token) // 3)
+    return [
+        "bias", f"kind={kind}", f"shape={shape(token)}", f"length={length}", f"length={length},kind={kind}", f"entropy={int(_entropy(token) * 2)}", f"switches={min(6, switches)}",
+        f"consonants={min(7, consonants)},{letters == len(token)}", f"hex={not low.strip('0123456789abcdef')},{length}", f"marks={min(4, len(token) - letters - digits)}", f"mixed={digits > 0}{token != low}{low != token.upper().lower() or letters > 0}", f"start={low[:3] if '_' in token or '-' in token else ''}",
+    ]
 
 
-def numbers(names: list[str]) -> np.ndarray:
+def numbers(names: list[str]) -> list[int]:
     """Features by hashed number; two of a token may share one."""
-    return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % (1 << BITS) for x in names])
+    return [zlib.crc32(x.encode()) % (1 << BITS) for x in names]
+
+
+def file_number(text: str) -> int:
+    """Of the whole text: what sort of file it is, by its share of assignment signs and by marks of code."""
+    signs = text.count("=") + text.count(":")
+    return 2 * min(3, signs * 200 // max(1, len(text))) + ("{" in text or ";" in text)
+
+
+def places(kinds: np.ndarray, glued: np.ndarray) -> np.ndarray:
+    """Each token's surroundings as a row of SHAPE_OF_PLACE."""
+    n = len(kinds)
+    padded = np.concatenate([np.zeros(4, kinds.dtype), kinds, np.zeros(1, kinds.dtype)])
+    key, sign = padded == KEY, padded == SIGN
+    near = key[:n] | key[1 : n + 1] | key[2 : n + 2] | key[3 : n + 3]
+    return np.stack([kinds, padded[3 : n + 3], padded[2 : n + 2], padded[5:], near, sign[3 : n + 3] | sign[2 : n + 2], glued]).astype(np.int64)
+
+
+#: Which parts of a place make one feature together, each with the token's own kind.
+TEMPLATES = ((0, 1), (0, 2), (0, 3), (0, 1, 2), (0, 4, 5), (0, 4, 1), (0, 4, 5, 6), (0, 1, 3, 6))
+_SIZES = [int(np.prod([SHAPE_OF_PLACE[k] for k in t])) for t in TEMPLATES]
+_FIRST = np.cumsum([0, *_SIZES])
+N_PLACE, N_FILE = int(_FIRST[-1]), 8 * 8
+
+
+def place_features(place: np.ndarray) -> np.ndarray:
+    """(tokens, templates): numbers of a token's place features."""
+    return np.stack([_FIRST[k] + np.ravel_multi_index([place[x] for x in t], [SHAPE_OF_PLACE[x] for x in t]) for k, t in enumerate(TEMPLATES)], axis=1)
 
 
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -104,78 +167,83 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 FORBIDDEN = np.array([[0.0, 0.0, -1e4], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
 
 
-def _gradient(rows: list[np.ndarray], free: np.ndarray, tags: list[int], w: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected minus observed scores, by forward and backward passes over a chain."""
-    e = np.array([w[r].sum(axis=0) for r in rows])
-    e[~free, 1:] = -1e4
+def _expected(e: np.ndarray, lengths: np.ndarray, tags: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected minus observed tags and moves of chains (chain, token, tag), by forward and backward passes over all of them at once."""
     t = move + FORBIDDEN
-    n = len(rows)
-    a, b = np.zeros((n, 3)), np.zeros((n, 3))
-    a[0] = e[0] + t[OUTSIDE]
+    m, n, _ = e.shape
+    here = np.arange(n)[None] < lengths[:, None]
+    a, b = np.zeros_like(e), np.zeros_like(e)
+    a[:, 0] = e[:, 0] + t[OUTSIDE]
     for k in range(1, n):
-        a[k] = e[k] + log_sum(a[k - 1][:, None] + t, 0)
+        a[:, k] = e[:, k] + log_sum(a[:, k - 1, :, None] + t, 1)
     for k in range(n - 2, -1, -1):
-        b[k] = log_sum(t + (e[k + 1] + b[k + 1])[None, :], 1)
-    z = log_sum(a[-1], 0)
-    p = np.exp(a + b - z)
-    p[np.arange(n), tags] -= 1
+        b[:, k] = np.where(here[:, k + 1, None], log_sum(t + (e[:, k + 1] + b[:, k + 1])[:, None, :], 2), 0.0)
+    z = log_sum(a[np.arange(m), lengths - 1], 1)
+    p = np.exp(a + b - z[:, None, None]) * here[..., None]
     pair = np.zeros((3, 3))
-    pair[OUTSIDE] += p[0]
+    pair[OUTSIDE] += p[:, 0].sum(0)
     for k in range(1, n):
-        pair += np.exp(a[k - 1][:, None] + t + (e[k] + b[k])[None, :] - z)
-        pair[tags[k - 1], tags[k]] -= 1
+        both = np.exp(a[:, k - 1, :, None] + t + (e[:, k] + b[:, k])[:, None, :] - z[:, None, None])
+        pair += (both * here[:, k, None, None]).sum(0)
+    before = np.concatenate([np.full((m, 1), OUTSIDE), tags[:, :-1]], axis=1)
+    np.add.at(pair, (before[here], tags[here]), -1)
+    chain, at = np.nonzero(here)
+    p[chain, at, tags[here]] -= 1
     return p, pair
 
 
-def made_lines(seed: int = 7, n: int = 900) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Lines and where their secrets stand, all made up."""
-    pick = random.Random(seed)
-    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    word = lambda: "".join(pick.choice(letters) for _ in range(pick.randint(2, 9)))
-    of = lambda chars, a, b: "".join(pick.choice(chars) for _ in range(pick.randint(a, b)))
-    secret = lambda: pick.choice([of(letters + letters.upper() + digits, 20, 44), of(digits + "abcdef", 24, 64), of(letters + letters.upper() + digits + "_-", 24, 40), "sk_" + of(letters + digits, 20, 32), "AKIA" + of(letters.upper() + digits, 16, 16), "ghp_" + of(letters + letters.upper() + digits, 36, 36)])
-    plain = lambda: pick.choice([word(), word(), word() + of(digits, 1, 3), of(digits, 3, 6), f"20{of(digits, 2, 2)}-0{of(digits, 1, 1)}-1{of(digits, 1, 1)}", of(digits, 13, 16), f"{word()}-{word()}-{of(digits, 1, 4)}", f"/{word()}/{word()}{of(digits, 1, 2)}/{word()}", f"{word()}_{word()}_{of(digits, 1, 2)}", word().title() + word().title(), f"v{of(digits, 1, 1)}.{of(digits, 1, 2)}.{of(digits, 1, 2)}", f"{of(digits, 3, 3)}-{of(digits, 4, 4)}", word().upper() + word() + "!!"])
-    name = lambda: pick.choice(["token", "secret", "api_key", "password", "auth_token", "aws_access_key", "key", "bearer", "client_secret", "access"])
-    for _ in range(n):
-        line, spans = " ".join(plain() for _ in range(pick.randint(0, 6))), []
-        if pick.random() < 0.5:
-            quote = pick.choice(["", '"', "'"])
-            line += (" " if line else "") + name() + pick.choice([" = ", "=", ": ", " "]) + quote
-            value = secret()
-            spans.append((len(line), len(line) + len(value)))
-            line += value + quote
-        elif pick.random() < 0.3:
-            line += " " + word() + pick.choice([" = ", "=", ": "]) + plain()
-        yield line + " " + " ".join(plain() for _ in range(pick.randint(0, 5))), spans
+def tagged(line: str, spans: list[tuple[int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tokens, glued, tags) of a line whose secrets are known."""
+    found = [(m.start() + (len(m.group()) > 1 and m.group()[0].isspace()), m.end()) for m in TOKEN.finditer(line)]
+    glued = np.array([a > 0 and not line[a - 1].isspace() for a, _ in found], bool)
+    tags = [next((BEGIN if a == x else INSIDE for x, y in spans if x <= a < y), OUTSIDE) for a, _ in found]
+    return [line[a:b] for a, b in found], glued, np.array(tags)
 
 
 @functools.cache
-def trained(rounds: int = 6, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(feature weights by tag, weights of moves between tags)."""
-    w, move = np.zeros((1 << BITS, 3)), np.zeros((3, 3))
+def trained(n_lines: int = 4000, rounds: int = 10, rate: float = 0.25, decay: float = 1e-4, chains: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights by tag of own features, places (each of SHAPE_OF_PLACE, summed up) and files, and of moves between tags."""
+    first_file = (1 << BITS) + N_PLACE
+    w, move = np.zeros((first_file + N_FILE + 1, 3)), np.zeros((3, 3))
     w2, move2 = np.full(w.shape, 1e-6), np.full(move.shape, 1e-6)
-    chains = []
-    for line, spans in made_lines():
-        found = list(TOKEN.finditer(line))
-        if not found:
+    rows = []
+    for line, spans in made_lines(7, n_lines):
+        tokens, glued, tags = tagged(line, spans)
+        if not tokens:
             continue
-        tokens, file = [m.group() for m in found], file_features(line)
-        free = np.array([possible(t) for t in tokens])
-        tags = []
-        for m, ok in zip(found, free, strict=True):
-            inside = next(((a, b) for a, b in spans if a <= m.start() < b), None)
-            tags.append(OUTSIDE if not ok or inside is None else BEGIN if m.start() == inside[0] or not tags or tags[-1] == OUTSIDE else INSIDE)
-        chains.append(([numbers(features(tokens, k, file)) for k in range(len(tokens))], free, tags))
-    for _ in range(rounds):
-        for rows, free, tags in chains:
-            p, pair = _gradient(rows, free, tags, w, move)
-            for r, g in zip(rows, p, strict=True):
-                g = g + decay * w[r]
-                w2[r] += g * g
-                w[r] -= rate * g / np.sqrt(w2[r])
+        own = [numbers(own_features(t)) for t in tokens]
+        kinds = np.array([kind_of(t) for t in tokens])
+        at = np.full((len(tokens), 13 + len(TEMPLATES)), len(w) - 1)  # the last row is no feature
+        for k, x in enumerate(own):
+            at[k, : len(x)] = x
+        at[:, 12 : 12 + len(TEMPLATES)] = (1 << BITS) + place_features(places(kinds, glued))
+        at[:, -1] = first_file + 8 * file_number(line) + kinds
+        rows.append((at, glued, tags))
+    order = sorted(range(len(rows)), key=lambda k: len(rows[k][2]))  # chains of like lengths together
+    batches = [order[k : k + chains] for k in range(0, len(order), chains)]
+    for turn in range(rounds):
+        for b in np.random.default_rng(turn).permutation(len(batches)):
+            some = [rows[k] for k in batches[b]]
+            lengths = np.array([len(x[2]) for x in some])
+            n = lengths.max()
+            at = np.full((len(some), n, rows[0][0].shape[1]), len(w) - 1)
+            tags = np.zeros((len(some), n), int)
+            e = np.zeros((len(some), n, 3))
+            for k, (x, glued, y) in enumerate(some):
+                at[k, : len(y)], tags[k, : len(y)] = x, y
+                e[k, : len(y), INSIDE] = np.where(glued, 0.0, -1e4)
+            w[-1] = 0
+            p, pair = _expected(e + w[at].sum(axis=2), lengths, tags, move)
+            g = decay * w
+            np.add.at(g, at.reshape(-1, at.shape[2]), p.reshape(-1, 1, 3) / 4)
+            w2 += g * g
+            w -= rate * g / np.sqrt(w2)
             move2 += pair * pair
             move -= rate * pair / np.sqrt(move2)
-    return w, move
+    w[-1] = 0
+    every = np.indices(SHAPE_OF_PLACE).reshape(len(SHAPE_OF_PLACE), -1)
+    by_place = w[(1 << BITS) :][place_features(every)].sum(axis=1)
+    return w[: 1 << BITS].copy(), by_place, w[first_file:-1].copy(), move
 
 
 def viterbi(scores: np.ndarray, move: np.ndarray) -> list[int]:
@@ -192,42 +260,80 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def field_spans(text: str, w: np.ndarray, move: np.ndarray) -> list[tuple[int, int]]:
-    """Secrets by the field. Stretches of possible tokens are decoded one by one, as all others are outside."""
-    starts = [m.start() for m in CANDIDATE.finditer(text)]
-    if not starts:
-        return []
-    file, found, done = file_features(text), [], -1
-    for at in starts:
-        if at < done:
-            continue
-        low = text.rfind(" ", 0, max(0, at - CONTEXT)) + 1 if at > CONTEXT else 0
-        low = max(low, at - 4 * CONTEXT)
-        high = at
-        while True:  # on to where the stretch ends
-            m = TOKEN.search(text, high)
-            if m is None or not possible(m.group()):
-                break
-            high = m.end()
-        window = list(TOKEN.finditer(text, low, min(len(text), high + 2)))
-        tokens = [m.group() for m in window]
-        stretch = [k for k, m in enumerate(window) if at <= m.start() and m.end() <= high]
-        scores = np.array([w[numbers(features(tokens, k, file))].sum(axis=0) for k in stretch])
-        tags = viterbi(scores, move)
-        done = high
-        for k, tag in zip(stretch, tags, strict=True):
-            if tag == BEGIN:
-                found.append([window[k].start(), window[k].end()])
-            elif tag == INSIDE and found:
-                found[-1][1] = window[k].end()
-    return [(a, b) for a, b in found]
-
-
-def spans_of(text: str, w: np.ndarray, move: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+class Field:
+    """The trained field, with what it remembers of tokens: kinds and own scores by number."""
+
+    def __init__(self, own: np.ndarray, by_place: np.ndarray, by_file: np.ndarray, move: np.ndarray):
+        self.own, self.by_place, self.by_file, self.move = own, by_place, by_file, move
+        self.spread = 3 * float(np.ptp(move))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.plain: dict[tuple, tuple[int, np.ndarray]] = {}
+        self.tables = np.zeros(4096, np.int64), np.zeros(4096, bool), np.zeros((4096, 3))
+
+    def _add(self, found: str) -> int:
+        token = found[1:] if len(found) > 1 and found[0].isspace() else found
+        self.number[found] = at = len(self.number)
+        if at == len(self.tables[0]):
+            self.tables = tuple(np.concatenate([x, np.zeros_like(x)]) for x in self.tables)
+        kinds, glued, scores = self.tables
+        if is_plain(token):
+            seen = summary(token)
+            if seen not in self.plain:
+                self.plain[seen] = self._scored(token)
+            kinds[at], scores[at] = self.plain[seen]
+        else:
+            kinds[at], scores[at] = self._scored(token)
+        glued[at] = token is found
+        return at
+
+    def _scored(self, token: str) -> tuple[int, np.ndarray]:
+        return kind_of(token), self.own[numbers(own_features(token))].sum(axis=0)
+
+    def tags(self, text: str) -> list[tuple[int, int]]:
+        """(token, tag) of all tokens that are not outside, in order."""
+        if len(self.number) > MOST_TOKENS:
+            self._forget()
+        number = self.number
+        found = TOKEN.findall(text)
+        at = np.array([number[x] if x in number else self._add(x) for x in found], np.int64)
+        if not len(at):
+            return []
+        kinds, glued, own = (x[at] for x in self.tables)
+        glued[0] &= False
+        place = np.ravel_multi_index(places(kinds, glued), SHAPE_OF_PLACE)
+        e = own + self.by_place[place] + self.by_file[8 * file_number(text) + kinds]
+        e[~glued, INSIDE] = -1e4
+        # outside for sure: no change of the tags beside it, nor of a next one that would have to begin, outweighs it
+        rest = np.maximum(0.0, np.append(e[1:, INSIDE] - e[1:, BEGIN], 0.0))
+        open_ = np.flatnonzero(e[:, OUTSIDE] - e[:, 1:].max(axis=1) <= self.spread + rest)
+        out = []
+        for stretch in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
+            out += [(int(k), tag) for k, tag in zip(stretch, viterbi(e[stretch], self.move), strict=True) if tag != OUTSIDE]
+        return out
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        tags = dict(self.tags(text))
+        if not tags:
+            return []
+        found: list[list[int]] = []
+        for k, m in enumerate(TOKEN.finditer(text)):
+            if tag := tags.get(k):
+                start = m.start() + (len(m.group()) > 1 and m.group()[0].isspace())
+                if tag == BEGIN or not found:
+                    found.append([start, m.end()])
+                else:
+                    found[-1][1] = m.end()
+        return [(a, b) for a, b in found]
+
+
+def spans_of(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base, all), by start and then by kind."""
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base = sorted(base_spans(text), key=order)
-    own = [(a, b, "crf") for a, b in field_spans(text, w, move) if not any(a < d and c < b for c, d, _ in base)]
+    own = [(a, b, "crf") for a, b in field.spans(text) if not any(a < d and c < b for c, d, _ in base)]
     return base, sorted(base + own, key=order)
 
 
@@ -237,13 +343,13 @@ def written_out(spans: list[tuple[int, int, str]]) -> str:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): every text's secrets, as arrays of (start, end, kind); code points, end exclusive."""
-    weights = df.sparkSession.sparkContext.broadcast(trained())  # 2 ** BITS features x 3 tags, whatever the input
+    weights = df.sparkSession.sparkContext.broadcast(trained())  # tables of a fixed size, whatever the input
 
     @F.pandas_udf("base array<struct<start:long,end:long,kind:string>>, spans array<struct<start:long,end:long,kind:string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        w, move = weights.value
+        field = Field(*weights.value)
         for texts in batches:
-            rows = [spans_of(t or "", w, move) for t in texts]
+            rows = [spans_of(t or "", field) for t in texts]
             to = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]
             yield pd.DataFrame({"base": [to(b) for b, _ in rows], "spans": [to(s) for _, s in rows]})
 
@@ -265,11 +371,11 @@ def redact(df: DataFrame, text_col: str = "text", with_: str = "<SECRET>") -> F.
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w, move = weights.value
+        field = Field(*weights.value)
         for texts in batches:
             out = []
             for t in texts:
-                spans = spans_of(t, w, move)[1] if t else []
+                spans = spans_of(t, field)[1] if t else []
                 parts, at = [], 0
                 for a, b, _ in spans:
                     if a >= at:
