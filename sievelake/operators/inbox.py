@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievelake.functions import predicates as P
+from sievelake.operators.joins import overlaps
 
 #: The orders, and the verdicts that come first by priority.
 ORDERS = ("PRIORITY", "SCORE", "RECENCY", "SEARCH")
@@ -56,8 +57,24 @@ class InboxQuery:
             return None, str(e)
 
 
+def pay_fits(q: InboxQuery) -> Column:
+    """One of the posting's pays is in the query's own currency and period and meets its range; a missing bound is open. Column: pay, array<struct<low, high, currency, period>>."""
+    same = lambda x: (x["currency"] == q.currency) & (x["period"] == q.period) & overlaps(x["low"], x["high"], None if q.salary_min is None else F.lit(q.salary_min), None if q.salary_max is None else F.lit(q.salary_max))
+    return F.coalesce(F.exists("pay", same), F.lit(False))
+
+
+def pay_known() -> Column:
+    return F.coalesce(F.exists("pay", lambda x: P.known_compensation(x["currency"], x["period"], x["low"], x["high"])), F.lit(False))
+
+
+def pay_label(q: InboxQuery) -> Column:
+    """matched, or unknown; null if no bound is asked for."""
+    asked = q.salary_min is not None or q.salary_max is not None
+    return F.when(pay_fits(q), "matched").otherwise("unknown") if asked else F.lit(None).cast("string")
+
+
 def conditions(q: InboxQuery, now: Column) -> Column:
-    """The conjunction of what is set. Columns: status, verdict, level, family, countries, published, updated, first_seen, exempt, valid_through."""
+    """The conjunction of what is set; a posting without any known pay is kept by a pay range. Columns: status, verdict, level, family, countries, pay, published, updated, first_seen, exempt, valid_through."""
     some = lambda name, values: F.col(name).isin(*values) if values else None
     reference, _ = P.recency_reference(F.col("published"), F.col("updated"), F.col("first_seen"))
     return P.all_of(
@@ -67,6 +84,7 @@ def conditions(q: InboxQuery, now: Column) -> Column:
             some("level", q.levels),
             some("family", q.families),
             P.member_or_unknown(F.col("countries"), list(q.countries)) if q.countries else None,
+            pay_fits(q) | ~pay_known() if q.salary_min is not None or q.salary_max is not None else None,
             P.recently_visible(reference, F.col("exempt"), F.col("valid_through"), now, q.days) if q.days else None,
         ]
     )

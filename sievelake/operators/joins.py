@@ -20,9 +20,17 @@ def either_side(df: DataFrame, key: str, pairs: DataFrame, a: str, b: str, name:
 
 
 def within(a: DataFrame, b: DataFrame, keys: Sequence[str], a_time: str, b_time: str, seconds: int) -> DataFrame:
-    """Pairs with equal keys whose times differ by no more; the equal keys carry the join, the times are checked inside."""
-    near = F.abs(F.unix_micros(F.col(a_time).cast("timestamp")) - F.unix_micros(F.col(b_time).cast("timestamp"))) <= seconds * 1_000_000
-    return a.join(b, list(keys)).where(near)
+    """Pairs with equal keys whose times differ by no more.
+
+    Time is cut into bins of that width: what is near is in the same bin or in one beside it, so a hot key's rows meet bin
+    by bin, and never all of them in one task.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width = max(1, seconds) * 1_000_000
+    bin_of = lambda c: F.floor(micros(c) / F.lit(width))
+    left = a.withColumn("_bin", F.explode(F.array(*[bin_of(a_time) + k for k in (-1, 0, 1)])))
+    near = F.abs(micros(a_time) - micros(b_time)) <= seconds * 1_000_000
+    return left.join(b.withColumn("_bin", bin_of(b_time)), [*keys, "_bin"]).where(near).drop("_bin")
 
 
 def exactly_one(candidates: DataFrame, key: str, match: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.text import title_ratio
+from sievelake.operators.joins import within
 
 
 def shingles(text: Column, width: int = 5, short: bool = False) -> Column:
@@ -67,8 +68,8 @@ def similar_titles(df: DataFrame, key: str, block: str, title: str, least: float
 def candidate_pairs(df: DataFrame, keys: Sequence[str], key: str, time: str, days: int, decided: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) with equal keys within days of each other, but for those already decided at the same versions."""
     other = df.select(*keys, F.col(key).alias("b"), F.col(time).alias("_b_time"), F.col("version").alias("b_version"))
-    near = F.abs(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_b_time").cast("timestamp"))) <= days * 86_400_000_000
-    pairs = df.join(other, list(keys)).where(near & (F.col(key) < F.col("b"))).select(F.col(key).alias("a"), "b", F.col("version").alias("a_version"), "b_version")
+    near = within(df, other, keys, time, "_b_time", days * 86_400)
+    pairs = near.where(F.col(key) < F.col("b")).select(F.col(key).alias("a"), "b", F.col("version").alias("a_version"), "b_version")
     return pairs if decided is None else pairs.join(decided, ["a", "b", "a_version", "b_version"], "left_anti")
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from sievelake.functions import dates, evaluation, hashing
 from sievelake.operators import aggregates as A
 from sievelake.operators import joins as J
-from sievelake.operators.inbox import InboxQuery, conditions, ordering
+from sievelake.operators.inbox import InboxQuery, conditions, ordering, pay_label
 from sievelake.operators.latest import latest_by, page
 from sievelake.operators import leaks
-from sievelake.operators.resolution import shingles
 from sievelake.plans.base import at, query, table
 
 
@@ -57,6 +56,23 @@ def inbox_by_recency(spark, sf_dir):
     return page(assessed(spark, sf_dir).where(conditions(q, at("1998-08-02 00:00:00"))), ordering(q, ()), q.limit).select("id", "published")
 
 
+@query(ASSESSED_SQL + """
+, p AS (SELECT *, CASE WHEN id % 3 > 0 THEN score / 100 END AS low, CASE WHEN id % 4 > 0 THEN score / 80 END AS high, CASE WHEN id % 2 = 0 THEN 'USD' ELSE 'BRL' END AS currency, CASE WHEN id % 7 = 0 THEN 'UNKNOWN' WHEN id % 7 < 5 THEN 'MONTH' ELSE 'YEAR' END AS period FROM f WHERE verdict IN ('WATCHLIST', 'RECOMMENDED')),
+pays AS (SELECT id, low, high, currency, period FROM p WHERE id % 5 > 0 UNION ALL SELECT id, 1000, 2000, 'USD', 'MONTH' FROM p WHERE id % 6 = 1),
+fit AS (SELECT DISTINCT id FROM pays WHERE currency = 'USD' AND period = 'MONTH' AND (high IS NULL OR high >= 1500) AND (low IS NULL OR low <= 2500)),
+known AS (SELECT DISTINCT id FROM pays WHERE period <> 'UNKNOWN' AND (low IS NOT NULL OR high IS NOT NULL))
+SELECT id, CASE WHEN fit.id IS NOT NULL THEN 'matched' ELSE 'unknown' END AS salary_match FROM p LEFT JOIN fit USING (id) LEFT JOIN known USING (id) WHERE fit.id IS NOT NULL OR known.id IS NULL""")
+def inbox_by_salary(spark, sf_dir):
+    """All postings of two verdicts within a range of pay; those without known pay are kept and labelled."""
+    q = InboxQuery(verdicts=("WATCHLIST", "RECOMMENDED"), salary_min=1500, salary_max=2500, currency="USD", period="MONTH", with_closed=True)
+    key = F.col("id")
+    pay = lambda low, high, currency, period: F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"), currency.alias("currency"), period.alias("period"))
+    own = pay(F.when(key % 3 > 0, F.col("score") / 100), F.when(key % 4 > 0, F.col("score") / 80), F.when(key % 2 == 0, "USD").otherwise("BRL"), F.when(key % 7 == 0, "UNKNOWN").when(key % 7 < 5, "MONTH").otherwise("YEAR"))
+    other = pay(F.lit(1000), F.lit(2000), F.lit("USD"), F.lit("MONTH"))
+    rows = assessed(spark, sf_dir).withColumn("pay", F.array_compact(F.array(F.when(key % 5 > 0, own), F.when(key % 6 == 1, other))))
+    return rows.where(conditions(q, at("1998-08-02 00:00:00"))).select("id", pay_label(q).alias("salary_match"))
+
+
 SAVED = (("top", '{"verdicts": ["HIGH_PRIORITY"]}'), ("brazil", '{"countries": ["BR"], "levels": ["1-URGENT"]}'), ("bad", '{"salary_min": 5}'), ("odd", '{"colour": "red"}'))
 
 
@@ -84,27 +100,30 @@ def residual_duplicates(spark, sf_dir):
     return twins.where((F.col("o_orderkey") != F.col("b")) & ~F.arrays_overlap("sources", "b_sources")).select("o_orderkey").distinct()
 
 
-@query(r"""
-WITH d AS (SELECT doc_id, doc_id % 2 AS split, regexp_extract_all(lower(text), '[^\s]+') AS w FROM documents WHERE lang = 'de'), k AS (SELECT doc_id, split, w, unnest(range(1, len(w) - 3)) AS k FROM d),
-s AS (SELECT DISTINCT doc_id, split, array_to_string(w[k:k+4], ' ') AS s FROM k), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.split = 0 AND b.split = 1 GROUP BY 1, 2)
-SELECT a, b, round(CAST(i AS DOUBLE) / (x.n + y.n - i), 6) AS jaccard FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE CAST(i AS DOUBLE) / (x.n + y.n - i) >= 0.8""")
+LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, (doc_id % 2 + 2) % 2 AS split, source AS name, regexp_extract_all(lower(coalesce(text, '')), '[^\s]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+k AS (SELECT doc_id, split, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, split, CASE WHEN len(w) >= 5 THEN array_to_string(w[k:k+4], ' ') ELSE array_to_string(w, ' ') END AS s FROM k),
+c AS (SELECT doc_id, split, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS mark FROM s GROUP BY 1, 2),
+r AS (SELECT mark, min(doc_id) AS rid, any_value(n) AS n, bool_or(split = 0) AS in0, bool_or(split = 1) AS in1 FROM c GROUP BY 1),
+t AS (SELECT r.rid, r.n, in0, in1, s FROM r JOIN s ON s.doc_id = r.rid),
+i AS (SELECT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb, count(*) AS i FROM t a JOIN t b ON a.s = b.s AND a.in0 AND b.in1 AND a.rid <> b.rid GROUP BY 1, 2, 3, 4)
+SELECT 'member' AS kind, doc_id AS a, rid AS b, NULL::DOUBLE AS jaccard, NULL::VARCHAR AS name FROM c JOIN r USING (mark)
+UNION ALL SELECT 'pair', a, b, round(CAST(i AS DOUBLE) / (na + nb - i), 6), NULL FROM i WHERE 5 * i >= 4 * (na + nb - i)
+UNION ALL SELECT 'pair', rid, rid, 1.0, NULL FROM r WHERE in0 AND in1
+UNION ALL SELECT 'group', min(doc_id) FILTER (WHERE split = 0), min(doc_id) FILTER (WHERE split = 1), NULL, name FROM d WHERE name IS NOT NULL GROUP BY name HAVING bool_or(split = 0) AND bool_or(split = 1)"""
+
+
+@query(LEAKS_SQL)
 def split_leaks(spark, sf_dir):
-    """Pairs over two splits whose shingles are alike: only equal shingles meet."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'")
-    held = docs.select("doc_id", (F.col("doc_id") % 2).alias("split"), F.explode(shingles(F.col("text"))).alias("s")).where("s is not null").select("doc_id", "split", F.xxhash64("s").alias("h"))
-    n = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    left, right = held.where("split = 0").select(F.col("doc_id").alias("a"), "h"), held.where("split = 1").select(F.col("doc_id").alias("b"), "h")
-    both = left.join(right, "h").groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
-    sized = both.join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    jaccard = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    return sized.where(jaccard >= 0.8).select("a", "b", F.round(jaccard, 6).alias("jaccard"))
+    """Leaks between two splits, in all languages, short texts and shared groups too (sources stand in for them)."""
+    return leaks.split_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", F.pmod("doc_id", F.lit(2)), "source")
 
 
-@query()
+@query(LEAKS_SQL)
 def split_leaks_whole(spark, sf_dir):
-    """Leaks between two splits in all languages, short texts and shared groups too (sources stand in for them); split_leaks is held to its SQL's one language."""
-    return leaks.split_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", F.pmod("doc_id", F.lit(2)), "source")
+    """The same, by its older name."""
+    return split_leaks(spark, sf_dir)
 
 
 @query("""
@@ -231,7 +250,9 @@ def summary_measures(spark, sf_dir):
     return pairs.select("conv_id", "turn", evaluation.coverage(claims, "source").alias("coverage"), evaluation.fidelity(claims, "source").alias("fidelity"), evaluation.language_share("text").alias("share"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT conv_id, turn, trim(regexp_replace(role, '\s+', ' ', 'g')) AS role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT conv_id, turn, sha256('["role","v1"]') AS scope, sha256('{' || concat_ws(',', '"role":' || CAST(to_json(role) AS VARCHAR), '"text":' || CAST(to_json(text) AS VARCHAR)) || '}') AS digest FROM t""")
 def analysis_keys(spark, sf_dir):
     """Equal inputs share an answer, whatever the order of their fields."""
     scope = hashing.scope_hash(F.array("role", F.lit("V1")))

@@ -149,22 +149,22 @@ def token_calibration(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n"), 6).alias("mean_chars"), F.sum(text.estimate_tokens(F.col("text"), 0.25)).alias("tokens"), F.round(A.continuous("n", 0.95), 4).alias("p95")).select("role", "n", "mean_chars", "tokens", "p95")
 
 
-@query("""
-WITH q AS (SELECT * FROM embeddings WHERE vec_id < 5), d AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
-SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM d) WHERE rn <= 10""")
+NEAREST_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity(q.v, v.v), 6) AS distance FROM q JOIN v ON v.vec_id <> q.vec_id)
+SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM d) WHERE rn <= 10"""
+
+
+@query(NEAREST_SQL)
 def cosine_nearest(spark, sf_dir):
-    """The nearest of all rows to a few stated queries, exactly: one pass over the table for all of them."""
-    rows = table(spark, sf_dir, "embeddings")
-    few = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = rows.join(F.broadcast(few), F.col("vec_id") != F.col("query_id"))  # few: five rows
-    near = pairs.select("query_id", "vec_id", F.round(vectors.cosine_distance(F.col("q"), F.col("embedding")), 6).alias("distance"))
-    return latest_by(near, ["query_id"], [F.col("distance"), F.col("vec_id")], 10)
+    """The ten nearest of all rows to every row whose id is divisible by 20, exactly, in blocks of both."""
+    return nearest_by_cosine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 10)
 
 
-@query()
+@query(NEAREST_SQL)
 def cosine_nearest_whole(spark, sf_dir):
-    """The ten nearest of all rows to every row whose id is divisible by 20, exactly; cosine_nearest is held to its SQL's five."""
-    return nearest_by_cosine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 10)
+    """The same, by its older name."""
+    return cosine_nearest(spark, sf_dir)
 
 
 @query("""SELECT vec_id, len(embedding) = 64 AND NOT list_has_any(embedding::DOUBLE[], ['NaN'::DOUBLE, 'Infinity'::DOUBLE]) AS valid FROM embeddings""")
@@ -192,12 +192,12 @@ def benchmark_leaks(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en')
+WITH t AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
 SELECT doc_id FROM t WHERE list_contains(w, 'the') AND (list_contains(w, 'with') OR list_contains(w, 'from')) AND NOT list_contains(w, 'was')""")
 def boolean_search(spark, sf_dir):
     """AND of OR-groups with an exclusion, over plain tokens."""
     words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
-    found = documents(spark, sf_dir).where("lang = 'en'").select("doc_id", words.alias("w"))
+    found = documents(spark, sf_dir).select("doc_id", words.alias("w"))
     groups = [F.array(F.lit("the")), F.array(F.lit("with"), F.lit("from"))]
     kept = F.lit(True)
     for g in groups:
@@ -237,7 +237,9 @@ def page_texts(spark, sf_dir):
     return shown.select("page_id", "visible", F.length("visible").alias("n_chars"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT event_id, '"event_type":' || CAST(to_json(event_type) AS VARCHAR) AS a, '"props":' || CAST(to_json(props) AS VARCHAR) AS b, '"updated_at":"' || CAST(ts AS VARCHAR) || '"' AS c, '"user_id":' || user_id AS d FROM events)
+SELECT event_id, sha256('{' || concat_ws(',', a, b, c, d) || '}') AS payload, sha256('{' || concat_ws(',', a, b, d) || '}') AS semantic FROM p""")
 def payload_hashes(spark, sf_dir):
     """Hashes of nested records, whatever the order of their fields; a new etag is no change."""
     record = F.to_json(F.struct("event_type", "user_id", F.col("ts").cast("string").alias("updated_at"), "props"))
