@@ -251,8 +251,8 @@ def summary_measures(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT conv_id, turn, trim(regexp_replace(role, '\s+', ' ', 'g')) AS role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations)
-SELECT conv_id, turn, sha256('["role","v1"]') AS scope, sha256('{' || concat_ws(',', '"role":' || CAST(to_json(role) AS VARCHAR), '"text":' || CAST(to_json(text) AS VARCHAR)) || '}') AS digest FROM t""")
+WITH t AS (SELECT conv_id, turn, list_sort([lower(role), 'v1']) AS filters, trim(regexp_replace(role, '\s+', ' ', 'g')) AS role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT conv_id, turn, sha256(CAST(to_json(filters) AS VARCHAR)) AS scope, sha256('{' || concat_ws(',', '"role":' || CAST(to_json(role) AS VARCHAR), '"text":' || CAST(to_json(text) AS VARCHAR)) || '}') AS digest FROM t""")
 def analysis_keys(spark, sf_dir):
     """Equal inputs share an answer, whatever the order of their fields."""
     scope = hashing.scope_hash(F.array("role", F.lit("V1")))
