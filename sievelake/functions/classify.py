@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,12 +20,22 @@ UNKNOWN = "UNKNOWN"
 WORK_MODES = {"REMOTE": r"\bremot[eoa]\b|\bwork from home\b|\bhome office\b|\banywhere\b", "HYBRID": r"\bh[iy]br?[ií]d[oa]?\b|\bhybrid\b", "ONSITE": r"\bon-?site\b|\bin[- ]office\b|\bpresencial\b"}
 CONTRACTS = {"CLT": r"\bclt\b", "PJ": r"\bpj\b|\bpessoa jur[ií]dica\b", "CONTRACTOR": r"\bcontractor\b|\bfreelancer?\b", "FULL_TIME": r"\bfull[- ]time\b|\btempo integral\b", "PART_TIME": r"\bpart[- ]time\b|\bmeio per[ií]odo\b", "INTERNSHIP": r"\bintern(?:ship)?\b|\best[aá]gio\b"}
 PROGRAMS = r"\bintern(ship)?s?\b|\best[aá]gi(o|ari[oa])\b|\btrainee\b|\bapprentice(ship)?\b|\bjovem aprendiz\b|\bgraduate program"
-#: Levels in their order, each pattern blanked out of the title before the next is tried.
-LEVELS = (
-    ("INTERN", r"\bintern(?:ship)?\b|\best[aá]gi(?:o|[aá]ri[oa])\b|\btrainee\b"), ("PRINCIPAL", r"\bprincipal\b|\bdistinguished\b"), ("STAFF", r"\bstaff\b"), ("MANAGER", r"\b(?:engineering |product )?manager\b|\bgerente\b|\bhead of\b|\bdirector\b|\bdiretor[a]?\b"),
-    ("LEAD", r"\b(?:tech )?lead\b|\bl[ií]der\b"), ("SENIOR", r"\bsenior\b|\bs[eê]nior\b|\bsr\b\.?|\biii\b"), ("MID", r"\bmid(?:[- ]level)?\b|\bpleno\b|\bpl\b\.?|\bii\b"), ("JUNIOR", r"\bjunior\b|\bj[uú]nior\b|\bjr\b\.?|\bentry[- ]level\b"),
+#: Levels from low to high.
+RANK = ("INTERN", "JUNIOR", "MID", "SENIOR", "STAFF", "LEAD", "MANAGER", "DIRECTOR")
+#: Levels that a posting may span.
+LADDER = frozenset(("JUNIOR", "MID", "SENIOR", "STAFF"))
+#: Phrases, without accents, that hold a level's word and name none.
+NO_LEVEL = re.compile(r"chief of staff|(?:member of )?technical staff|pl/sql|middle east|\b(?:product|program|project|account|office|community) manager|labell?ing associate|graduate (?:school|degree|studies|program)")
+#: How each level is written, without accents; a longer wording before one that it holds.
+LEVEL_WORDS = (
+    ("INTERN", r"intern(?:ship)?s?|estagi[oa]s?|estagiari[oa]s?|trainees?|apprentices?|aprendiz"), ("MID", r"semi[- ]senior|mid(?:[- ]level)?|middle|intermediate|intermediari[oa]|plen[oa]|pl"), ("JUNIOR", r"junior|jr|entry[- ]level|(?:new |college )?grad(?:uate)?|early career"),
+    ("SENIOR", r"senior|sr"), ("STAFF", r"staff|principal|distinguished|especialista"), ("LEAD", r"lead|lider"), ("MANAGER", r"manager|gerente"), ("DIRECTOR", r"director|diretora?|head of|vp|vice president"),
 )
-RANK = ("INTERN", "JUNIOR", "MID", "SENIOR", "LEAD", "STAFF", "PRINCIPAL", "MANAGER")
+_LEVEL = re.compile("|".join(rf"(?P<{n}>\b(?:{p})\b)" for n, p in LEVEL_WORDS))
+_NUMERAL = re.compile(r"\b(I{1,3})\b")
+NUMERALS = {"I": "JUNIOR", "II": "MID", "III": "SENIOR"}
+#: What stands between two levels of a range: `/`, a comma, `to`, `or`, `and` and the same in Portuguese, after the end of a word that may take `(a)`.
+_RANGE = re.compile(r"[.]?(?:\(a\))?\s*(?:[/,|-]|\b(?:a|e|to|or|ou|and)\b)(?:\s|\b(?:a|e|to|or|ou|and)\b)*")
 #: Families by words of the title, the more specific first; then by department; then by what the text says.
 FAMILIES = (
     ("DATA_ENGINEERING", r"\bdata engineer|\banalytics engineer|\bengenh\w+ de dados|\bbig data\b|\betl\b"), ("DATA_SCIENCE", r"\bdata scien|\bmachine learning\b|\bml engineer|\bcientista de dados|\bresearch scientist\b"), ("DATA_ANALYSIS", r"\bdata analy|\bbi analy|\banalista de dados|\bbusiness intelligence\b"),
@@ -36,19 +47,26 @@ FAMILIES = (
 TARGETS = frozenset(name for name, _ in FAMILIES[:13])
 
 #: Countries by their names, and what regions hold.
-COUNTRIES = {"brazil": "BR", "brasil": "BR", "united states": "US", "usa": "US", "u.s.": "US", "us": "US", "canada": "CA", "mexico": "MX", "méxico": "MX", "argentina": "AR", "chile": "CL", "colombia": "CO", "portugal": "PT", "spain": "ES", "germany": "DE", "france": "FR", "united kingdom": "GB", "uk": "GB", "ireland": "IE", "india": "IN", "poland": "PL", "netherlands": "NL"}
+COUNTRIES = {"brazil": "BR", "brasil": "BR", "united states": "US", "usa": "US", "u.s.": "US", "us": "US", "canada": "CA", "mexico": "MX", "méxico": "MX", "argentina": "AR", "chile": "CL", "colombia": "CO", "portugal": "PT", "spain": "ES", "germany": "DE", "france": "FR", "united kingdom": "GB", "uk": "GB", "ireland": "IE", "india": "IN", "poland": "PL", "netherlands": "NL",
+    "peru": "PE", "uruguay": "UY", "paraguay": "PY", "bolivia": "BO", "ecuador": "EC", "venezuela": "VE", "costa rica": "CR", "panama": "PA", "guatemala": "GT", "dominican republic": "DO", "italy": "IT", "switzerland": "CH", "austria": "AT", "belgium": "BE", "luxembourg": "LU", "denmark": "DK", "sweden": "SE", "norway": "NO", "finland": "FI", "iceland": "IS", "estonia": "EE", "latvia": "LV", "lithuania": "LT",
+    "czech republic": "CZ", "czechia": "CZ", "slovakia": "SK", "hungary": "HU", "romania": "RO", "bulgaria": "BG", "greece": "GR", "croatia": "HR", "serbia": "RS", "ukraine": "UA", "turkey": "TR", "israel": "IL", "egypt": "EG", "south africa": "ZA", "nigeria": "NG", "kenya": "KE", "united arab emirates": "AE", "uae": "AE", "saudi arabia": "SA", "pakistan": "PK", "bangladesh": "BD", "sri lanka": "LK",
+    "china": "CN", "hong kong": "HK", "taiwan": "TW", "japan": "JP", "south korea": "KR", "singapore": "SG", "malaysia": "MY", "indonesia": "ID", "philippines": "PH", "thailand": "TH", "vietnam": "VN", "australia": "AU", "new zealand": "NZ"}
 REGIONS = {"latam": ("AR", "BR", "CL", "CO", "MX"), "latin america": ("AR", "BR", "CL", "CO", "MX"), "south america": ("AR", "BR", "CL", "CO"), "north america": ("CA", "MX", "US"), "europe": ("DE", "ES", "FR", "GB", "IE", "NL", "PL", "PT"), "americas": ("AR", "BR", "CA", "CL", "CO", "MX", "US")}
 WORLD = re.compile(r"(?i)\b(worldwide|anywhere|global(?:ly)?)\b")
 
-#: Skills by their other names; those in AMBIGUOUS need a second skill beside them.
+#: Skills by what else they are called.
 SKILLS = {
-    "python": ("python",), "java": ("java",), "javascript": ("javascript", "js"), "typescript": ("typescript",), "go": ("golang", "go"), "c#": ("c#",), "c++": ("c++",), "sql": ("sql",), "spark": ("spark", "pyspark"), "airflow": ("airflow",), "kafka": ("kafka",), "aws": ("aws", "amazon web services"),
-    "gcp": ("gcp", "google cloud"), "azure": ("azure",), "docker": ("docker",), "kubernetes": ("kubernetes", "k8s"), "react": ("react", "reactjs", "react.js"), "node": ("node.js", "nodejs"), "postgresql": ("postgresql", "postgres"), "django": ("django",), "terraform": ("terraform",), "r": ("r",), "dbt": ("dbt",),
+    "python": ("python",), "java": ("java",), "javascript": ("javascript", "js"), "typescript": ("typescript",), "go": ("golang", "go"), "c#": ("c#",), "c++": ("c++",), "rust": ("rust",), "scala": ("scala",), "kotlin": ("kotlin",), "swift": ("swift",), "ruby": ("ruby", "ruby on rails", "rails"), "php": ("php", "laravel"), "elixir": ("elixir",), "r": ("r",), "sql": ("sql",), "bash": ("bash", "shell script"),
+    "spark": ("spark", "pyspark", "apache spark"), "hadoop": ("hadoop",), "flink": ("flink",), "airflow": ("airflow",), "kafka": ("kafka",), "dbt": ("dbt",), "snowflake": ("snowflake",), "databricks": ("databricks",), "bigquery": ("bigquery",), "redshift": ("redshift",), "looker": ("looker",), "power bi": ("power bi", "powerbi"), "tableau": ("tableau",), "pandas": ("pandas",), "numpy": ("numpy",),
+    "pytorch": ("pytorch",), "tensorflow": ("tensorflow",), "scikit-learn": ("scikit-learn", "sklearn"), "machine learning": ("machine learning",), "nlp": ("nlp",), "llm": ("llm", "llms"), "aws": ("aws", "amazon web services"), "gcp": ("gcp", "google cloud"), "azure": ("azure",), "docker": ("docker",), "kubernetes": ("kubernetes", "k8s"), "terraform": ("terraform",), "ansible": ("ansible",), "jenkins": ("jenkins",), "linux": ("linux",), "git": ("git",), "ci/cd": ("ci/cd",),
+    "react": ("react", "reactjs", "react.js"), "react native": ("react native",), "vue": ("vue.js", "vuejs", "vue"), "angular": ("angular", "angularjs"), "svelte": ("svelte",), "next.js": ("next.js", "nextjs"), "node": ("node.js", "nodejs"), "express": ("express.js", "expressjs"), "nestjs": ("nestjs",), "html": ("html", "html5"), "css": ("css", "css3"), "graphql": ("graphql",), "rest": ("rest api", "restful", "rest apis"), "grpc": ("grpc",),
+    "django": ("django",), "flask": ("flask",), "fastapi": ("fastapi",), "spring": ("spring boot", "spring"), ".net": (".net", "dotnet"), "postgresql": ("postgresql", "postgres"), "mysql": ("mysql",), "mongodb": ("mongodb", "mongo"), "redis": ("redis",), "elasticsearch": ("elasticsearch",), "cassandra": ("cassandra",), "oracle": ("oracle",), "rabbitmq": ("rabbitmq",), "selenium": ("selenium",), "cypress": ("cypress",), "figma": ("figma",), "salesforce": ("salesforce",), "sap": ("sap",),
 }
-AMBIGUOUS = frozenset(("go", "r", "spark", "react"))
+#: Names that are words too. They count if written as names, in a sentence with a skill that is no word.
+AMBIGUOUS_NAMES = frozenset(("go", "r", "spark", "react", "rust", "swift", "ruby", "spring", "express", "flask", "oracle", "looker", "rails", "cypress", "angular", "rest", "tableau", "cassandra", "vue", "scala", "sap"))
 REQUIRED = re.compile(r"(?i)requir|must have|mandatory|obrigat|essential|requisitos")
 PREFERRED = re.compile(r"(?i)nice to have|preferred|plus\b|diferencia|desej[aá]ve|bonus points")
-_ALIAS = re.compile(r"(?<![\w+#.])(?:" + "|".join(re.escape(a) for a in sorted((a for xs in SKILLS.values() for a in xs), key=len, reverse=True)) + r")(?![\w+#])", re.IGNORECASE)
+_ALIAS = re.compile(r"(?<![\w+#&])(?:" + "|".join(re.escape(a) for a in sorted((a for xs in SKILLS.values() for a in xs), key=len, reverse=True)) + r")(?![\w+#&])", re.IGNORECASE)
 _SKILL_OF = {a: name for name, aliases in SKILLS.items() for a in aliases}
 
 
@@ -71,25 +89,35 @@ def recency_exempt(title: Column) -> Column:
     return F.coalesce(F.lower(title).rlike(PROGRAMS), F.lit(False))
 
 
-def levels_in(title: str) -> list[str]:
-    """Levels named in a title; what one pattern has taken no other sees."""
-    left, found = title.lower(), []
-    for name, pattern in LEVELS:
-        left, n = re.subn(pattern, " ", left)
-        if n:
-            found.append(name)
-    return sorted(found, key=RANK.index)
+def without_accents(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def levels_in(title: str) -> tuple[list[str], list[str]]:
+    """(levels that a title names, those of them that are a range), in the order in which they stand. Numerals, and words that only imply a level, count if nothing names one."""
+    plain = without_accents(title)
+    low = NO_LEVEL.sub(lambda m: " " * len(m.group()), plain.lower())
+    found = [(m.start(), m.end(), m.lastgroup) for m in _LEVEL.finditer(low)]
+    if not found:
+        if re.search(r"\bassociate\b", low):
+            return ["JUNIOR"], []
+        found = [(m.start(), m.end(), NUMERALS[m[1]]) for m in _NUMERAL.finditer(plain)]
+        if not found and re.search(r"\b(?:architect|arquitet[oa])\b", low):
+            return ["SENIOR"], []
+    spans = [k for k in range(1, len(found)) if found[k][2] in LADDER and found[k - 1][2] in LADDER and _RANGE.fullmatch(low[found[k - 1][1] : found[k][0]])]
+    ranged = [found[k][2] for k in sorted({*spans, *(k - 1 for k in spans)})]
+    return [x for *_, x in found], ranged if len(set(ranged)) > 1 else []
 
 
 def level_of(title: str | None) -> str:
-    """The highest level; of a range such as `mid/senior`, the lowest."""
-    if not title:
-        return UNKNOWN
-    found = levels_in(title)
+    """A programme's level before all; of a range the lowest, unless a level above the ladder is named too; else the highest."""
+    found, ranged = levels_in(title or "")
     if not found:
         return UNKNOWN
-    ranged = len(found) > 1 and re.search(r"\w\s*(?:/|\bto\b|\bou\b|\bor\b|-)\s*\w", title.lower()) and set(found) <= {"JUNIOR", "MID", "SENIOR"}
-    return found[0] if ranged else found[-1]
+    if "INTERN" in found:
+        return "INTERN"
+    highest = max(found, key=RANK.index)
+    return min(ranged, key=RANK.index) if ranged and highest in LADDER else highest
 
 
 @F.pandas_udf(T.StringType())
@@ -102,23 +130,24 @@ YEARS = re.compile(r"(?i)\b(\d{1,2})\s*(?:\+|(?:-|–|to|a)\s*(\d{1,2}))?\s*(?:y
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule of a description: what it decides, and whether it may, by how precise it has shown itself."""
+    """A rule of a description: the years of experience that decide for a level."""
 
     name: str
     low: int
     high: int
     level: str
-    precision: float
-    emissions: int
 
 
-#: Years of experience, and the precision that each rule was measured at.
-YEAR_RULES = (Rule("years_junior", 0, 2, "JUNIOR", 0.93, 40), Rule("years_mid", 3, 4, "MID", 0.91, 52), Rule("years_senior", 5, 30, "SENIOR", 0.95, 81))
+#: Years of experience by level.
+YEAR_RULES = (Rule("years_junior", 0, 2, "JUNIOR"), Rule("years_mid", 3, 4, "MID"), Rule("years_senior", 5, 30, "SENIOR"))
+#: A rule may decide once it has shown so precise, over so many labelled cases.
 GATE, LEAST_EMISSIONS = 0.90, 20
 
 
-def passes_gate(rule: Rule) -> bool:
-    return rule.emissions >= LEAST_EMISSIONS and rule.precision >= GATE
+def precise_rules(measured: dict[str, tuple[int, int]], rules: tuple[Rule, ...] = YEAR_RULES) -> tuple[Rule, ...]:
+    """The rules that pass the gate by what was measured: name -> (right, all) over labelled rows. One that was not measured does not pass."""
+    seen = {r.name: measured.get(r.name, (0, 0)) for r in rules}
+    return tuple(r for r in rules if seen[r.name][1] >= LEAST_EMISSIONS and seen[r.name][0] >= GATE * seen[r.name][1])
 
 
 def level_of_description(text: str | None, rules: tuple[Rule, ...] = YEAR_RULES) -> tuple[str, list[str]]:
@@ -127,7 +156,7 @@ def level_of_description(text: str | None, rules: tuple[Rule, ...] = YEAR_RULES)
     for m in YEARS.finditer(text or ""):
         low = int(m[1])
         high = int(m[2]) if m[2] else low
-        levels = {r.level for r in rules if passes_gate(r) and r.low <= low <= r.high} | {r.level for r in rules if passes_gate(r) and r.low <= high <= r.high}
+        levels = {r.level for r in rules for years in (low, high) if r.low <= years <= r.high}
         company = re.search(r"(?i)\b(we|our company|founded|fundada)\b", text[max(0, m.start() - 40) : m.start()])
         if not company:
             hits.append((levels, m.group()))
@@ -211,19 +240,20 @@ def outside_countries(countries: Column, targets: list[str]) -> Column:
 
 def skills_of(text: str | None) -> list[tuple[str, str, str]]:
     """(skill, required or preferred, the sentence) of each skill, by its first mention."""
-    found: dict[str, tuple[str, str]] = {}
     text = text or ""
-    for m in _ALIAS.finditer(text):
-        name = _SKILL_OF[m.group().lower()]
-        if name in found or name in ("go", "r") and m.group() not in ("Go", "R", "golang", "Golang"):
-            continue
-        before = text[max(0, m.start() - 200) : m.start()]
-        marks = [(x.end(), kind) for kind, p in (("REQUIRED", REQUIRED), ("PREFERRED", PREFERRED)) for x in p.finditer(before)]
-        start = max(text.rfind(c, 0, m.start()) for c in ".!?\n") + 1
-        end = min((e for c in ".!?\n" if (e := text.find(c, m.end())) >= 0), default=len(text))
-        found[name] = (max(marks)[1] if marks else UNKNOWN, text[start:end].strip())
-    sure = [n for n in found if n not in AMBIGUOUS]
-    return sorted((n, kind, sentence) for n, (kind, sentence) in found.items() if n not in AMBIGUOUS or sure)
+    edges = [-1, *(m.start() for m in re.finditer(r"[!?;\n]|[.](?=\s|$)", text)), len(text)]
+    found: dict[str, tuple[str, str]] = {}
+    for a, b in zip(edges, edges[1:]):
+        hits = [(m.start(), m.group()) for m in _ALIAS.finditer(text, a + 1, b)]
+        sure = any(x.lower() not in AMBIGUOUS_NAMES for _, x in hits)
+        for at, written in hits:
+            word = written.lower() in AMBIGUOUS_NAMES
+            if (name := _SKILL_OF[written.lower()]) in found or word and not (sure and written[0].isupper()):
+                continue
+            before = text[max(0, at - 200) : at]
+            marks = [(x.end(), kind) for kind, p in (("REQUIRED", REQUIRED), ("PREFERRED", PREFERRED)) for x in p.finditer(before)]
+            found[name] = (max(marks)[1] if marks else UNKNOWN, text[a + 1 : b].strip())
+    return sorted((n, kind, sentence) for n, (kind, sentence) in found.items())
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("skill", T.StringType()), T.StructField("requirement", T.StringType()), T.StructField("evidence", T.StringType())])))

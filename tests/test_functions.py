@@ -56,11 +56,12 @@ def test_money(spark):
 
 def test_levels_and_families(spark):
     titles = ["Senior Data Engineer", "Sr. Staff Engineer", "Junior/Mid Developer", "Engineer II", "Estagiário", "Head of Sales", "Engineer", None]
-    assert column(spark, titles, classify.seniority) == ["SENIOR", "STAFF", "JUNIOR", "MID", "INTERN", "MANAGER", "UNKNOWN", "UNKNOWN"]
+    assert column(spark, titles, classify.seniority) == ["SENIOR", "STAFF", "JUNIOR", "MID", "INTERN", "DIRECTOR", "UNKNOWN", "UNKNOWN"]
     assert classify.level_of_description("5+ years of experience") == ("SENIOR", ["5+ years"])
     assert classify.level_of_description("1-2 years or 6 years")[0] == "UNKNOWN"
     assert classify.level_of_description("our company has 20 years of history")[0] == "UNKNOWN"
-    assert classify.level_of_description("3 years", tuple(r for r in classify.YEAR_RULES if r.level != "MID"))[0] == "UNKNOWN"
+    assert classify.level_of_description("3 years", classify.precise_rules({"years_junior": (40, 41), "years_mid": (30, 40), "years_senior": (19, 19)}))[0] == "UNKNOWN"
+    assert [r.name for r in classify.precise_rules({"years_junior": (40, 41), "years_mid": (30, 40), "years_senior": (19, 19)})] == ["years_junior"]
     assert classify.family_of("Software Engineer", "Data Science", None) == ("UNKNOWN", "none") or classify.family_of("Software Engineer", "Data Scientist", None)[0] == "DATA_SCIENCE"
     assert classify.family_of("Backend Developer", "Sales", None) == ("BACKEND", "title")
     df = spark.createDataFrame([("Account Executive", "Sales"), ("Data Engineer", "Sales"), ("Account Executive", None)], "t string, d string")
@@ -74,6 +75,10 @@ def test_places_skills_and_modes(spark):
     skills = classify.skills_of("Requirements: Python and Go. Nice to have: Kafka.")
     assert [(n, k) for n, k, _ in skills] == [("go", "REQUIRED"), ("kafka", "PREFERRED"), ("python", "REQUIRED")]
     assert classify.skills_of("let us go and react") == []
+    names = lambda t: [n for n, _, _ in classify.skills_of(t)]
+    assert names("We plan to react quickly; a spark of SQL. R&D") == ["sql"]
+    assert names("React, TypeScript and Node.js on AWS. Spring is here.") == ["aws", "node", "react", "typescript"]
+    assert names("R, Python or Spark with .NET and C++") == [".net", "c++", "python", "r", "spark"]
     df = spark.createDataFrame([("Dev", "Remote", ""), ("Dev", "Remote or hybrid", ""), ("Dev", "", "work is on-site"), ("Dev", "", "")], "t string, l string, d string")
     assert [r.x for r in df.select(classify.work_mode(F.col("t"), F.col("l"), F.col("d")).alias("x")).collect()] == ["REMOTE", "UNKNOWN", "ONSITE", "UNKNOWN"]
     assert classify.metadata_departments('{"departments": [{"name": "A"}, {"name": "B"}], "team": "A"}') == ["A", "B"]
@@ -137,3 +142,23 @@ def test_evaluation():
     assert evaluation.covered(["python sql", "java"], "SQL e Python") == 0.5 and evaluation.covered([], "x") is None
     assert evaluation.invented(["pays 100", "uses Python"], "We use python; uses") == ["pays 100"]
     assert evaluation.portuguese_share("a vaga é boa") == 0.75 and evaluation.portuguese_share("") is None
+
+
+TITLES = {
+    "INTERN": ("Summer Internship, Data", "Estagiária de Marketing", "Trainee 2030", "Junior Developer Intern", "Graduate Trainee"),
+    "JUNIOR": ("Jr. Analyst", "Analista Júnior", "Entry-Level Tester", "New Grad Engineer", "Developer I", "Associate Engineer", "Júnior a Sênior Dev", "ENGINEERING ASSOCIATE II"),
+    "MID": ("Mid-level Tester", "Desenvolvedora Plena", "Analista Pl", "Intermediate Tester", "Developer II", "Pl/Sr Developer", "Mid, Senior or Staff Engineer", "Engineer II/III", "Semi Senior Tester"),
+    "SENIOR": ("Sr. Tester", "Analista Sênior", "Developer III", "Cloud Architect", "Senior Account Manager", "Senior Engineer II", "Senior/Staff Engineer", "Senior Product Manager"),
+    "STAFF": ("Senior Staff Engineer", "Principal Program Manager", "Especialista em Redes", "Principal Architect"),
+    "LEAD": ("Tech Líder", "Lead Tester", "Tech Lead | Especialista"),
+    "MANAGER": ("Manager, Senior Engineers", "Gerente de Dados", "Associate Manager", "Lead Manager, Labs"),
+    "DIRECTOR": ("Head of Data", "Senior Director", "Diretora de TI"),
+    "UNKNOWN": ("Chief of Staff", "Member of Technical Staff", "PL/SQL Developer", "Middle East Sales", "Graduate School Advisor", "Internal Auditor", "International Buyer", "Product Manager", "Data Labeling Associate", "", "Engineer"),
+}
+
+
+def test_levels_of_titles():
+    from sievelake.functions import classify
+
+    for level, titles in TITLES.items():
+        assert {t: classify.level_of(t) for t in titles} == dict.fromkeys(titles, level)
