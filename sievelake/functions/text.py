@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -95,12 +96,38 @@ def html_to_text(sources: pd.Series) -> pd.Series:
 
 #: What is masked, in this order, and by what.
 MASKS = (
+    (r"(https?://)?(www\.)?(linkedin\.com/in|github\.com|gitlab\.com)/[^\s)]+", "[personal-url]"),
+    (r"\bBearer [A-Za-z0-9._-]{16,}", "[secret]"),
+    (r"\b(gsk_|sk-|tvly-)[A-Za-z0-9_-]{16,}", "[secret]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[email]"),
-    (r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", "[tax-id]"),
+    (r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", "[tax-id]"),
     (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[card]"),
     (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[ip]"),
-    (r"\(\d{2,3}\) ?\d{3,5}-\d{4}", "[phone]"),
+    (r"(\+\d{1,3}[ -]?)?\(\d{2,3}\) ?\d{3,5}-\d{4}", "[phone]"),
+    (r"(\+\d{1,3}[ -]?)?\b\d{2,3}[ -]\d{4,5}-\d{4}\b", "[phone]"),
 )
+#: Fields of a record that hold personal data.
+PERSONAL_KEYS = frozenset("name full_name first_name last_name email phone telephone address birth_date cpf document linkedin github photo".split())
+
+
+def without_personal(value):
+    """A record without its personal fields, at any depth; its texts are left for mask_personal."""
+    if isinstance(value, dict):
+        return {k: without_personal(v) for k, v in value.items() if k.lower() not in PERSONAL_KEYS}
+    return [without_personal(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(T.StringType())
+def drop_personal_keys(records: pd.Series) -> pd.Series:
+    """Of JSON records; what is no JSON is null, as it can't be told what it holds."""
+
+    def dropped(text: str) -> str | None:
+        try:
+            return json.dumps(without_personal(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return _each(records, dropped)
 
 
 def mask_personal(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,3 +117,69 @@ def merged_hits(hits: DataFrame, key: str) -> DataFrame:
     """Search hits of one company as one: terms in the order in which they came, the best score, the strongest excerpt."""
     ordered = F.sort_array(F.collect_list(F.struct("ordinal", "term")))
     return hits.groupBy(key).agg(F.array_distinct(ordered["term"]).alias("terms"), F.max("score").alias("score"), F.max_by("excerpt", F.struct("score", -F.col("ordinal"))).alias("excerpt"), F.count(F.lit(1)).alias("n_hits"))
+
+
+def recently_attempted(attempted: Column, used_paid: Column, paid_enabled: bool, now: Column, days: int) -> Column:
+    """An earlier attempt within the window came up empty; a free attempt does not shield from a paid one."""
+    inside = attempted > now - F.expr(f"INTERVAL '{days}' DAY")
+    return F.coalesce(inside, F.lit(False)) & (F.coalesce(used_paid, F.lit(False)) | F.lit(not paid_enabled)) & F.lit(days > 0)
+
+
+def discovery_eligible(companies: DataFrame, sources: DataFrame, attempts: DataFrame, key: str, boards: Sequence[str], cutoff: Column) -> DataFrame:
+    """Companies with a confirmed careers page, without a known board, and without an attempt since the cutoff. sources: key, source_type, confirmed; attempts: key, attempted_at."""
+    careers = sources.where((F.col("source_type") == "careers") & F.col("confirmed")).select(key)
+    known = sources.where(F.col("source_type").isin(*boards)).select(key)
+    return companies.join(careers, key, "left_semi").join(known, key, "left_anti").join(attempts.where(F.col("attempted_at") >= cutoff).select(key), key, "left_anti")
+
+
+def confirmed_merges(candidates: DataFrame, postings: DataFrame, active: DataFrame) -> DataFrame:
+    """(a, b, outcome, survivor, absorbed) of a batch of confirmations.
+
+    candidates: a, b, a_version, b_version, status; postings: id, created, version, duplicate_of; active: id, of postings
+    with an application under way. The older of the two survives. A candidate that is decided already, that names a
+    posting that is gone, that was looked at in another version, one of whose sides is absorbed already, or both of whose
+    sides have applications under way, is refused, for the first of these reasons. What a batch can't do at once, as a
+    posting is in an earlier pair of it, is left for the next one.
+    """
+    has = active.select("id").distinct().withColumn("_active", F.lit(True))
+    side = lambda k: postings.join(has, "id", "left").select(F.col("id").alias(k), F.struct("created", "id").alias(f"_{k}"), F.col("version").alias(f"_{k}_version"), F.col("duplicate_of").alias(f"_{k}_of"), F.coalesce("_active", F.lit(False)).alias(f"_{k}_active"))
+    rows = candidates.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    refused = (
+        F.when(F.col("status") != "PENDING", F.col("status")).when(F.col("_a").isNull() | F.col("_b").isNull(), "NOT_FOUND").when((F.col("a_version") != F.col("_a_version")) | (F.col("b_version") != F.col("_b_version")), "VERSION")
+        .when((F.col("a") == F.col("b")) | F.col("_a_of").isNotNull() | F.col("_b_of").isNotNull(), "CYCLE").when(F.col("_a_active") & F.col("_b_active"), "CONFLICT")
+    )
+    rows = rows.withColumn("_refused", refused)
+    # a posting is in one merge of a batch at most: a pair is taken if it is the first of both its sides
+    open_ = rows.where(F.col("_refused").isNull())
+    first = open_.select(F.explode(F.array("a", "b")).alias("_side"), F.struct("a", "b").alias("_pair")).groupBy("_side").agg(F.min("_pair").alias("_first"))
+    of = lambda k: first.select(F.col("_side").alias(k), F.col("_first").alias(f"_{k}_first"))
+    rows = rows.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pair = F.struct("a", "b")
+    outcome = F.coalesce("_refused", F.when((F.col("_a_first") == pair) & (F.col("_b_first") == pair), "CONFIRM").otherwise("LATER"))
+    done = outcome == "CONFIRM"
+    return rows.select("a", "b", outcome.alias("outcome"), F.when(done, F.least("_a", "_b")["id"]).alias("survivor"), F.when(done, F.greatest("_a", "_b")["id"]).alias("absorbed"))
+
+
+def reparented(rows: DataFrame, merges: DataFrame, posting: str) -> DataFrame:
+    """Rows of absorbed postings under the posting that survives."""
+    moved = merges.where(F.col("absorbed").isNotNull()).select(F.col("absorbed").alias(posting), F.col("survivor").alias("_to"))
+    return rows.join(moved, posting, "left").withColumn(posting, F.coalesce("_to", posting)).drop("_to")
+
+
+def purged(rows: DataFrame, time: str, cutoff: Column) -> DataFrame:
+    """What is left once all that is older is gone; rows without a time stay. One pass: batches are the database's way to keep locks short."""
+    return rows.where(~F.coalesce(F.col(time) < cutoff, F.lit(False)))
+
+
+def run_steps(steps: Sequence[tuple[str, Callable[[], int]]], should_stop: Callable[[], bool] = lambda: False) -> list[tuple[str, str, int]]:
+    """(step, DONE, FAILED or STOPPED, rows) of a composite whose steps don't stop one another: a failure is told, and the next step runs."""
+    report = []
+    for name, step in steps:
+        if should_stop():
+            report.append((name, "STOPPED", 0))
+            continue
+        try:
+            report.append((name, "DONE", step()))
+        except Exception as e:  # noqa: BLE001  whatever fails in one step must not keep the others from running
+            report.append((name, f"FAILED: {type(e).__name__}", 0))
+    return report

@@ -51,9 +51,15 @@ def canonical_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url("url").alias("canonical"))
 
 
-@query(r"""
-WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '[email]', 'g'), '\b\d{3}\.\d{3}\.\d{3}-\d{2}\b', '[tax-id]', 'g'),
-  '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b', '[card]', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '[ip]', 'g'), '\(\d{2,3}\) ?\d{3,5}-\d{4}', '[phone]', 'g') AS masked FROM documents)
+def masks_sql(column: str) -> str:
+    """Every mask in order, each over what the ones before it left."""
+    for pattern, by in text.MASKS:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return column
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, {masks_sql('text')} AS masked FROM documents)
 SELECT doc_id, sha256(masked) AS masked_sha256, CAST(length(masked) AS BIGINT) AS masked_chars FROM m""")
 def masked_documents(spark, sf_dir):
     """Personal data replaced by what it was."""

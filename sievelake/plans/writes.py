@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievelake.functions import classify, money
+from sievelake.functions import classify, dates, money
 from sievelake.functions import predicates as P
 from sievelake.operators import resolution as R
 from sievelake.operators import state as S
@@ -200,3 +200,60 @@ def amounts_read(spark, sf_dir):
     said = F.when(F.col("p_size") % 3 == 0, F.concat(english, F.lit(".25"))).when(F.col("p_size") % 3 == 1, F.concat(F.translate(english, ",", "."), F.lit(",50"))).otherwise(F.concat(n.cast("string"), F.lit(" k")))
     span, basis = pick(["per hour", "monthly", "a year or per hour", "per annum", ""], F.col("p_partkey") % 5), pick(["gross", "net", "gross or net", ""], F.col("p_size") % 4)
     return table(spark, sf_dir, "part").select("p_partkey", money.money_amount(said).cast("double").alias("amount"), money.period_from_text(span).alias("period"), money.gross_net_from_text(basis).alias("basis"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS c_custkey, bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS careers, bool_or(o_orderpriority = '5-LOW' AND o_orderkey % 4 = 0) AS board, bool_or(o_orderpriority = '3-MEDIUM' AND o_orderdate >= TIMESTAMP '1997-06-01') AS tried FROM orders GROUP BY 1)
+SELECT c_custkey FROM s JOIN customer USING (c_custkey) WHERE careers AND NOT board AND NOT tried""")
+def discovery_queue(spark, sf_dir):
+    """Companies to look for a board of: careers page confirmed, no board known, not tried of late."""
+    rows = orders(spark, sf_dir).withColumnRenamed("o_custkey", "c_custkey")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "careers").when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderkey") % 4 == 0), "greenhouse").otherwise("other")
+    sources = rows.select("c_custkey", kind.alias("source_type"), (F.col("o_orderstatus") == "F").alias("confirmed"))
+    attempts = rows.where("o_orderpriority = '3-MEDIUM'").select("c_custkey", F.col("o_orderdate").alias("attempted_at"))
+    return S.discovery_eligible(table(spark, sf_dir, "customer"), sources, attempts, "c_custkey", ["greenhouse", "lever"], at("1997-06-01 00:00:00")).select("c_custkey")
+
+
+@query("""
+WITH a AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN ts END AS t, CASE WHEN event_id % 7 > 0 THEN event_id % 3 = 0 END AS paid FROM events)
+SELECT event_id, coalesce(t > TIMESTAMP '2024-01-20' - INTERVAL 10 DAY, false) AND coalesce(paid, false) AS shielded_from_paid, coalesce(t > TIMESTAMP '2024-01-20' - INTERVAL 10 DAY, false) AS shielded_from_free FROM a""")
+def retry_guards(spark, sf_dir):
+    """Whether an earlier attempt keeps the next one from running; a free one does not keep off a paid one."""
+    tried, paid = F.when(F.col("event_id") % 5 > 0, F.col("ts")), F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 3 == 0)
+    shield = lambda enabled: S.recently_attempted(tried, paid, enabled, at("2024-01-20 00:00:00"), 10)
+    return events(spark, sf_dir).select("event_id", shield(True).alias("shielded_from_paid"), shield(False).alias("shielded_from_free"))
+
+
+@query("""SELECT event_type, count(*) AS n, min(ts) AS oldest FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1""")
+def purged_events(spark, sf_dir):
+    """What a purge by age leaves."""
+    return S.purged(events(spark, sf_dir), "ts", at("2024-01-10 00:00:00")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, o_orderdate AS created, o_orderkey % 3 AS version, o_orderkey % 17 = 0 AS absorbed, o_orderstatus = 'P' AS active, o_custkey FROM orders),
+c AS (SELECT a.id AS a, b.id AS b, a.created AS ca, b.created AS cb, CASE WHEN a.id % 5 = 0 THEN 'REJECTED' ELSE 'PENDING' END AS status, a.id % 7 > 0 AS same, a.absorbed OR b.absorbed AS cycle, a.active AND b.active AS two
+  FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.id < b.id AND abs(epoch_us(a.created) - epoch_us(b.created)) <= 30 * 86400 * 1000000::BIGINT),
+r AS (SELECT *, CASE WHEN status <> 'PENDING' THEN status WHEN NOT same THEN 'VERSION' WHEN cycle THEN 'CYCLE' WHEN two THEN 'CONFLICT' END AS refused FROM c),
+f AS (SELECT side, min((a, b)) AS first FROM (SELECT a AS side, a, b FROM r WHERE refused IS NULL UNION ALL SELECT b, a, b FROM r WHERE refused IS NULL) GROUP BY 1),
+o AS (SELECT r.*, coalesce(refused, CASE WHEN x.first = (r.a, r.b) AND y.first = (r.a, r.b) THEN 'CONFIRM' ELSE 'LATER' END) AS outcome FROM r LEFT JOIN f x ON x.side = r.a LEFT JOIN f y ON y.side = r.b)
+SELECT a, b, outcome, CASE WHEN outcome = 'CONFIRM' THEN CASE WHEN (ca, a) <= (cb, b) THEN a ELSE b END END AS survivor, CASE WHEN outcome = 'CONFIRM' THEN CASE WHEN (ca, a) <= (cb, b) THEN b ELSE a END END AS absorbed FROM o""")
+def confirmed_merges(spark, sf_dir):
+    """Which confirmations of a batch go through, and why the others don't."""
+    rows = orders(spark, sf_dir).withColumn("version", F.col("o_orderkey") % 3)
+    pairs = R.candidate_pairs(rows.select("o_custkey", "o_orderkey", "o_orderdate", "version"), ["o_custkey"], "o_orderkey", "o_orderdate", 30)
+    candidates = pairs.withColumns({"status": F.when(F.col("a") % 5 == 0, "REJECTED").otherwise("PENDING"), "a_version": F.when(F.col("a") % 7 > 0, F.col("a_version")).otherwise(F.col("a_version") + 1)})
+    postings = rows.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created"), "version", F.when(F.col("o_orderkey") % 17 == 0, F.lit(-1)).alias("duplicate_of"))
+    return S.confirmed_merges(candidates, postings, orders(spark, sf_dir).where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")))
+
+
+@query("""
+WITH g AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY 1), c AS (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-20') - epoch_us(last_ts)) / 1000000.0 AS age, CASE user_id % 4 WHEN 0 THEN 1800.0 WHEN 1 THEN 21600.0 WHEN 2 THEN 86400.0 ELSE 604800.0 END AS cadence FROM g)
+SELECT user_id, round(age, 3) AS age_s, CAST(cadence AS DOUBLE) AS cadence_s, round(age / cadence, 6) AS overdue FROM c WHERE age > 2 * cadence""")
+def scheduled_gaps(spark, sf_dir):
+    """Sources unseen for more than twice what their schedule allows."""
+    schedule = F.element_at(F.array(*map(F.lit, ("*/30 * * * *", "0 */6 * * *", "15 3 * * *", "0 9 * * 1"))), (F.col("user_id") % 4 + 1).cast("int"))
+    seen = events(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("last_ts")).withColumn("cadence_s", dates.cadence_seconds(schedule))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = (micros(at("2024-01-20 00:00:00")) - micros(F.col("last_ts"))) / 1e6
+    return seen.withColumn("age", age).where("age > 2 * cadence_s").select("user_id", F.round("age", 3).alias("age_s"), "cadence_s", F.round(F.col("age") / F.col("cadence_s"), 6).alias("overdue"))

@@ -144,3 +144,32 @@ def test_windows_over_a_stream(spark, tmp_path):
     got = {(r.window_start, r.event_type): r.n for r in spark.table("windows").collect()}
     want = {(r.d, r.event_type): r.n for r in events.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == want
+
+
+def test_steps_of_a_composite_do_not_stop_one_another():
+    from sievelake.operators import state
+
+    def broken():
+        raise ValueError("no")
+
+    assert state.run_steps([("a", lambda: 3), ("b", broken), ("c", lambda: 1)]) == [("a", "DONE", 3), ("b", "FAILED: ValueError", 0), ("c", "DONE", 1)]
+    assert state.run_steps([("a", lambda: 3)], should_stop=lambda: True) == [("a", "STOPPED", 0)]
+
+
+def test_rows_of_an_absorbed_posting_move(spark):
+    from sievelake.operators import state
+
+    merges = spark.createDataFrame([(1, 2, "CONFIRM", 1, 2), (3, 4, "CYCLE", None, None)], "a long, b long, outcome string, survivor long, absorbed long")
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (4, "z"), (None, "w")], "posting long, what string")
+    assert sorted((r.what, r.posting) for r in state.reparented(rows, merges, "posting").collect()) == [("w", None), ("x", 1), ("y", 1), ("z", 4)]
+
+
+def test_personal_data_goes(spark):
+    from sievelake.functions import text
+
+    said = "see linkedin.com/in/me or call +55 11 91234-5678, id 12345678901, key sk-ABCDEFGHIJ1234567890 and Bearer abcdefghij.klmnop_qrst"
+    record = '{"Name": "x", "a": [{"email": "y", "b": {"phone": 1, "c": 2}}]}'
+    df = spark.createDataFrame([(said, record), (None, "{no json")], "t string, r string")
+    got = df.select(text.mask_personal(df.t).alias("t"), text.drop_personal_keys("r").alias("r")).collect()
+    assert got[0].t == "see [personal-url] or call [phone], id [tax-id], key [secret] and [secret]"
+    assert [r.r for r in got] == ['{"a":[{"b":{"c":2}}]}', None]
