@@ -252,7 +252,10 @@ def payload_hashes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", hashing.payload_hash(record).alias("payload"), hashing.semantic_hash(record).alias("semantic"))
 
 
-@query()
+@query("""
+SELECT p_partkey, trim(['Senior', 'Junior', 'Staff', 'Mid/Senior', 'Lead', ''][p_size % 6 + 1] || ' ') || ' ' || ['Data Engineer', 'Backend Developer', 'Account Executive', 'UX Designer'][p_size % 4 + 1] AS title,
+  CASE p_partkey % 5 WHEN 0 THEN 'REMOTE' WHEN 3 THEN 'REMOTE' ELSE 'UNKNOWN' END AS work_mode, 'CLT' AS contract, ['SENIOR', 'JUNIOR', 'STAFF', 'MID', 'LEAD', 'UNKNOWN'][p_size % 6 + 1] AS level,
+  ['DATA_ENGINEERING', 'BACKEND', 'SALES', 'DESIGN'][p_size % 4 + 1] AS family, [ 'BR', 'AR,BR,CL,CO,MX', 'DE', 'ANY', NULL ][p_partkey % 5 + 1] AS countries, CAST(3 AS INTEGER) AS n_skills, CAST(round_even(p_retailprice, 0) AS DECIMAL(14, 2)) AS pay, false AS exempt FROM part""")
 def classified_parts(spark, sf_dir):
     """Work mode, contract, level, family, skills and pay read from made-up postings of the parts table."""
     title = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("Senior", "Junior", "Staff", "Mid/Senior", "Lead", ""))), (F.col("p_size") % 6 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("Data Engineer", "Backend Developer", "Account Executive", "UX Designer"))), (F.col("p_size") % 4 + 1).cast("int")))
