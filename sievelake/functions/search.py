@@ -11,16 +11,15 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Weights of the fields A to D, words that are not indexed, endings that are cut, and synonyms.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 STOP = frozenset("a an and as at be by de da do das dos e em for from in is it na no o of on or os para por que the to um uma with".split())
 ENDINGS = ("amentos", "amento", "izations", "ization", "acoes", "acao", "ments", "ment", "ings", "ing", "edor", "ers", "er", "oes", "ed", "es", "s")
 SYNONYMS = (("developer", "engineer", "programmer", "desenvolvedor"), ("frontend", "front"), ("backend", "back"), ("junior", "jr"), ("senior", "sr"), ("remote", "remoto"))
+#: Words and phrases of a query that count; what comes after them is not looked for.
 MOST_TOKENS = 8
 
 
@@ -41,9 +40,21 @@ def terms(text: str | None) -> list[str]:
     return ["" if w in STOP else stem(w) for w in re.findall(r"[a-z0-9+#]+", folded(text or ""))]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def tokens(texts: pd.Series) -> pd.Series:
-    return pd.Series([terms(t) for t in texts], dtype=object)
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and what is left of them without."""
+    pairs = [(chr(c), folded(chr(c))) for c in range(0xC0, 0x250)]
+    pairs = [(c, plain) for c, plain in pairs if len(plain) == 1 and plain.isascii()]
+    return "".join(c for c, _ in pairs), "".join(plain for _, plain in pairs)
+
+
+MARKED, PLAIN = _plain_letters()
+
+
+def tokens(text: Column) -> Column:
+    """terms(), by built-in functions: the longest ending that leaves three letters goes, then a last e."""
+    words = F.regexp_extract_all(F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}", ""), MARKED, PLAIN), F.lit("[a-z0-9+#]+"), F.lit(0))
+    cut = lambda w: F.regexp_replace(F.regexp_replace(w, f"^(.{{3,}}?)({'|'.join(ENDINGS)})$", "$1"), "^(.{3,})e$", "$1")
+    return F.transform(words, lambda w: F.when(w.isin(*sorted(STOP)), "").otherwise(cut(w)))
 
 
 def document(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -211,7 +211,27 @@ def boolean_search(spark, sf_dir):
     return found.where(kept & ~F.array_contains("w", "was")).select("doc_id")
 
 
-@query()
+def stems_sql(column: str) -> str:
+    """What search.tokens() makes of a text."""
+    stop, ends = ", ".join(f"'{w}'" for w in sorted(search.STOP)), "|".join(search.ENDINGS)
+    return rf"""list_transform(regexp_extract_all(strip_accents(lower(coalesce({column}, ''))), '[a-z0-9+#]+'), lambda w: CASE WHEN w IN ({stop}) THEN '' ELSE regexp_replace(regexp_replace(w, '^(.{{3,}}?)({ends})$', '\1'), '^(.{{3,}})e$', '\1') END)"""
+
+
+def _fields_have(*words: str) -> str:
+    return "(" + " OR ".join(f"list_contains({f}, '{w}')" for f in "abc" for w in words) + ")"
+
+
+def _weighed(*words: str) -> str:
+    weight = {"a": 1.0, "b": 0.4, "c": 0.2, "d": 0.1}
+    return " + ".join(f"CASE WHEN {' OR '.join(f"list_contains({f}, '{w}')" for w in words)} THEN {x} ELSE 0.0 END" for f, x in weight.items())
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {stems_sql('source')} AS a, {stems_sql('lang')} AS b, {stems_sql('text')} AS c, b AS d FROM documents),
+m AS (SELECT *, len(list_filter(range(1, len(c)), lambda i: c[i] = 'all' AND c[i + 1] = 'right')) > 0 AS barred FROM d)
+SELECT doc_id, round((0.0 + {_weighed('licens')} + {_weighed('version', 'right')})::DOUBLE / ln(2.0 + len(a) + len(b) + len(c) + len(d)), 6) AS rank FROM m
+WHERE ({_fields_have('remot', 'remoto', 'senior', 'sr')} AND {_fields_have('develop', 'engin', 'programm', 'desenvolv')} AND NOT barred) OR ({_fields_have('licens')} AND {_fields_have('version', 'right')})
+ORDER BY rank DESC, doc_id LIMIT 10""")
 def ranked_search(spark, sf_dir):
     """The ten best documents for a web-style query with a phrase, synonyms and an exclusion."""
     asked = search.parse('remote OR senior developer -"all rights"')

@@ -162,3 +162,10 @@ def test_levels_of_titles():
 
     for level, titles in TITLES.items():
         assert {t: classify.level_of(t) for t in titles} == dict.fromkeys(titles, level)
+
+
+def test_native_tokens_are_the_terms(spark):
+    from sievelake.functions import search
+
+    said = ["The Developers' licences, versions & RIGHTS of C++ and C#", "Engenheiros e programações em São Paulo", "Müller naïve façade e\u0301t\u00e9 e", "s es the", None, "", "agreements organizations 12 e eee bee"]
+    assert column(spark, said, search.tokens) == [search.terms(t) for t in said]
