@@ -38,8 +38,8 @@ def normalize_name(texts: pd.Series) -> pd.Series:
 
 
 def normalize_title(title: Column) -> Column:
-    """Lower-case letters and digits, and the + and # of languages; all else is one space."""
-    return F.btrim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}+#]+", " "))
+    """Lower-case letters and digits, and the + and # of languages; all else is one space. A sharp s is two, as when case is folded."""
+    return F.btrim(F.regexp_replace(F.replace(F.lower(title), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}+#]+", " "))
 
 
 def normalize_location(place: Column) -> Column:

@@ -77,6 +77,9 @@ def similar_titles(df: DataFrame, key: str, block: str, title: str, least: float
     met = left.join(right, ["_block", "_p", "_q"]).where((F.col("_p") < F.col("_q")) | (F.col("_ka") < F.col("_kb")))
     ahead = F.col("_ka") < F.col("_kb")  # the likeness of two titles is asked in the order of their keys
     pairs = met.select(F.least("_ka", "_kb").alias(key), F.greatest("_ka", "_kb").alias(b), F.when(ahead, F.col("_a")).otherwise(F.col("_b")).alias("_a"), F.when(ahead, F.col("_b")).otherwise(F.col("_a")).alias("_b"))
+    # twice the shorter one over both lengths is the most that a ratio can be
+    longest = F.length("_a") + F.length("_b")
+    pairs = pairs.where(2 * F.least(F.length("_a"), F.length("_b")) >= least * longest)
     alike = pairs.withColumn("ratio", title_ratio("_a", "_b")).where(F.col("ratio") >= least)
     return alike.select(F.lit("pair").alias("kind"), key, b, F.round("ratio", 6).alias("ratio")).union(members)
 

@@ -18,6 +18,8 @@ def ingest(batch: DataFrame, known: DataFrame, stale_before: Column) -> DataFram
     stored. NEW: evidence to store. Each counts as presence.
     """
     key = ["identity", "payload_hash", "semantic_hash"]
+    # of what is stored, only the batch's own identities are read on
+    known = known.join(batch.select("identity").distinct(), "identity", "left_semi")
     before = known.groupBy(*key).agg(F.lit(True).alias("_known"))
     first = known.groupBy("identity").agg(F.min("stored_at").alias("_first"))
     order = Window.partitionBy(*key).orderBy("fetched_at", "ordinal")

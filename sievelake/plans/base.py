@@ -15,7 +15,7 @@ ORACLE: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name; without SQL, a test holds it against plain Python."""
+    """Registers a query under its function's name; without SQL, tests hold its operator or function against plain Python (tests/test_whole_jobs.py, tests/test_functions.py), not the query."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
