@@ -2,6 +2,11 @@
 
 Stages but the last return the columns they were given. Each decides by its own input: what an earlier stage dropped is
 in none of its counts.
+
+A document is a row, whatever its id: rows with no id, or with one that other rows have too, pass every stage by their own
+text. A null or empty text has no language and goes at the first stage; a null language or source is a group of its own.
+Rows that are alike in all columns are judged alike, and one of them stays as near duplicates go. Very long texts are
+read whole by each stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
