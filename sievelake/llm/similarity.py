@@ -56,7 +56,7 @@ PART_SHINGLES, BUCKETS_A_PART = 2_000_000, 2
 #: Occurrence counts are exact up to this.
 OFTEN = 64
 #: A group with more sets or shingles is joined in blocks.
-GROUP_SETS, GROUP_SHINGLES = 256, 250_000
+GROUP_SETS, GROUP_SHINGLES = 128, 125_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 17
 #: DivideSkip's tuning constant.
@@ -462,12 +462,15 @@ def _join_across(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
 
 
-def links(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """Edges (a, b) whose components are the classes of all links. sets: (rid, n, tokens); groups: (rid, grp); prefixes: (rid, prefix)."""
+def links(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, n_parts: int, group_sets: int = GROUP_SETS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Edges (a, b) whose components are the classes of all links. sets: (rid, n, tokens); groups: (rid, grp); prefixes: (rid, prefix).
+
+    Blocks are dealt to a stated number of parts: they are few bytes and much work, and would be put together by size.
+    """
     sizes = groups.join(sets.select("rid", "n"), "rid").groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_sets), F.ceil(F.sum("n") / group_shingles)).alias("n_blocks"))
     grouped = sets.join(groups.join(sizes, "grp"), "rid").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n_blocks")))
     grouped = written(grouped, "join-groups")
-    inside = written(grouped.groupBy("grp", "block").applyInPandas(_join_group, EDGES), "join-inside")
+    inside = written(grouped.repartition(n_parts, "grp", "block").groupBy("grp", "block").applyInPandas(_join_group, EDGES), "join-inside")
     edges = inside.select("a", "b").where("a <> b")
 
     large = grouped.where("n_blocks > 1")
@@ -496,7 +499,7 @@ def links(sets: DataFrame, groups: DataFrame, prefixes: DataFrame, group_sets: i
     asked = asked.join(tokens, "rid").join(owned, "rid").withColumn("query", F.lit(True)).select(columns)
     filed = large.join(visits, ["grp", "block"]).join(owned, "rid").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1))).withColumn("query", F.lit(False)).select(columns)
     # written, as are all results of Python workers: a task that runs two of them in a row holds twice the memory
-    across = written(asked.union(filed).groupBy("grp", "block", "chunk").applyInPandas(_join_across, "a long, b long"), "join-across")
+    across = written(asked.union(filed).repartition(n_parts, "grp", "block", "chunk").groupBy("grp", "block", "chunk").applyInPandas(_join_across, "a long, b long"), "join-across")
     return edges.union(tied).union(across)
 
 
@@ -528,7 +531,7 @@ def classified(rows: DataFrame, group_sets: int = GROUP_SETS, group_shingles: in
     weak = components(weak_edges(prefixes), "weak")
     # the least node of a group is not listed
     groups = written(weak.select(F.col("node").alias("rid"), F.col("component").alias("grp")).union(weak.select("component", "component")).distinct(), "groups")
-    found = components(links(sets, groups, prefixes, group_sets, group_shingles), "links")
+    found = components(links(sets, groups, prefixes, n_parts, group_sets, group_shingles), "links")
     members = found.union(found.select("component", "component")).distinct().withColumnRenamed("node", "rid").join(left, "rid").select("digest", "n", "component")
     members = written(members.join(classes, ["digest", "n"]).select("digest", "n", "component", "own"), "members")
     least = members.groupBy("component").agg(F.min("own").alias("least"), F.min("digest").alias("class"))
