@@ -24,12 +24,12 @@ def shingles(text: Column, width: int = 5, short: bool = False) -> Column:
 
 
 def shingle_hashes(text: Column, width: int = 5) -> Column:
-    """Different runs of words as pairs of hashes, 128 bits in all; of a shorter text all its words as one. No run is ever made into a string."""
+    """Runs of words as pairs of hashes, 128 bits in all, repeated ones too; of a shorter text all its words as one. No run is ever made into a string."""
 
     def runs(words: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
         each = F.transform(places, lambda k: F.struct(F.xxhash64(F.slice(words, k, width)).alias("h"), F.xxhash64(F.lit(1), F.slice(words, k, width)).alias("g")))
-        return F.when(F.size(words) > 0, F.array_distinct(each))
+        return F.when(F.size(words) > 0, each)
 
     return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[^\s]+"), F.lit(0))), runs)[0]
 
@@ -44,10 +44,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, least: f
     Documents' shingles are joined with the items' by equal hash; what no item has never leaves its task.
     """
     held = lambda df, key: df.select(key, F.explode(shingle_hashes(F.col("text"))).alias("s")).select(key, "s.h", "s.g")
-    wanted = held(items, item_id)
+    wanted = held(items, item_id).distinct()
     sizes = wanted.groupBy(item_id).agg(F.count(F.lit(1)).alias("n"))
     few = wanted.limit(SENT_SHINGLES + 1).count() <= SENT_SHINGLES
-    hits = held(docs, doc_id).join(F.broadcast(wanted) if few else wanted, ["h", "g"]).groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("shared"))
+    hits = held(docs, doc_id).join(F.broadcast(wanted) if few else wanted, ["h", "g"]).distinct().groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("shared"))
     share = F.col("shared") / F.col("n")
     return hits.join(sizes, item_id).where(share >= least).select(doc_id, item_id, "shared", F.round(share, 6).alias("contained"))
 
