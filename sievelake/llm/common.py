@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections import Counter
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows that Python workers hold at once; at Arrow's own 10,000, long texts and what is made of them fill an executor.
@@ -54,6 +56,33 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes a table of written() that no later step reads, before the application ends."""
+    jvm = table.sparkSession.sparkContext._jvm
+    for path in {os.path.dirname(f) for f in table.inputFiles()}:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the other columns of a table that holds each of their keys once, null too, and how many rows have it.
+
+    Keys with so many rows that they would fill a part by themselves, 2 * parts at most, come to the rows by a broadcast;
+    the other keys' rows are shuffled to the table.
+    """
+    parts = partitions(rows.sparkSession)
+    table = written(table, "looked-up")
+    n_rows = table.agg(F.coalesce(F.sum(count), F.lit(0))).collect()[0][0]
+    is_hot = F.col(count) * 2 * parts > n_rows
+    keyed = lambda df, *more: df.select(F.col(key).alias("_key"), F.col(key).isNull().alias("_none"), *more)
+    others = [c for c in table.columns if c not in (key, count)]
+    hot, rest = F.broadcast(keyed(table.where(is_hot), *others)), keyed(table.where(~is_hot), *others)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    of_hot = rows.join(hot, same)
+    of_rest = rows.join(F.broadcast(keyed(table.where(is_hot))), same, "left_anti").join(rest.hint("merge"), same)
+    return of_hot.unionByName(of_rest).drop("_key", "_none")
+
+
 def counted(found: Counter, name: str) -> Iterator[pd.DataFrame]:
     """What a task has counted, as rows of (name, n); nothing if that is nothing."""
     if found:

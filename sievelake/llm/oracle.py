@@ -81,3 +81,31 @@ l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reached AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT e.b, r.root FROM reached r JOIN both_ways e ON e.a = r.doc_id WHERE r.root < e.b)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM reached r WHERE r.doc_id = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)"""
+
+
+def codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Every round computed anew from all parts; of vectors of one length that four divides, with distinct ids."""
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0)""",
+        f"""p AS MATERIALIZED (SELECT vec_id, label, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS x
+  FROM v, (SELECT unnest(range({parts})) AS part))""",
+        f"b0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT vec_id, label, part, any_value(x) AS x, min(d * {entries} + entry) % {entries} AS entry, min(d) AS d FROM
+  (SELECT p.vec_id, p.label, p.part, p.x, b.entry, CAST(list_sum(list_transform(list_zip(p.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{k} b USING (part))
+  GROUP BY vec_id, label, part)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""m{k} AS (SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x FROM
+  (SELECT part, entry, i, sum(c) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS i FROM a{k}) GROUP BY part, entry, i) GROUP BY part, entry)"""
+            )
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (part, entry))")
+    last = rounds
+    return f"""WITH {", ".join(steps)},
+r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{last}) AS codebooks_sha256 FROM r"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, chat, language, licenses, neighbours, packing, quality, secrets, similarity, urls
+from sievelake.llm import bpe, chat, codes, language, licenses, neighbours, packing, quality, secrets, shards, similarity, urls
 from sievelake.llm.common import documents
 
 
@@ -73,3 +73,11 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(documents(spark, sf_dir))
