@@ -86,8 +86,8 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM reached
 def codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
     """Every round computed anew from all parts; of vectors of one length that four divides, with distinct ids."""
     steps = [
-        """v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0)""",
+        """v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
         f"""p AS MATERIALIZED (SELECT vec_id, label, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS x
   FROM v, (SELECT unnest(range({parts})) AS part))""",
         f"b0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))",
@@ -95,7 +95,7 @@ def codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
     for k in range(rounds + 1):
         steps.append(
             f"""a{k} AS MATERIALIZED (SELECT vec_id, label, part, any_value(x) AS x, min(d * {entries} + entry) % {entries} AS entry, min(d) AS d FROM
-  (SELECT p.vec_id, p.label, p.part, p.x, b.entry, CAST(list_sum(list_transform(list_zip(p.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{k} b USING (part))
+  (SELECT p.vec_id, p.label, p.part, p.x, b.entry, CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{k} b USING (part))
   GROUP BY vec_id, label, part)"""
         )
         if k < rounds:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, chat, codes, language, licenses, neighbours, packing, quality, secrets, shards, similarity, urls
+from sievelake.llm import alignment, bpe, chat, codes, language, licenses, neighbours, packing, quality, secrets, shards, similarity, urls
 from sievelake.llm.common import documents
 
 
@@ -75,6 +75,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.digests(documents(spark, sf_dir, "embeddings"))
 

@@ -48,8 +48,8 @@ def coded(df):
 
 def test_codes_equal_a_plain_lloyd(spark):
     pick = np.random.default_rng(5)
-    centres = pick.normal(size=(40, 12))
-    rows = [(int(i), [float(x) for x in centres[pick.integers(40)] * 0.3 + pick.normal(size=12) * 0.05], None if i % 3 else int(i % 5), "x", "y") for i in pick.permutation(900)]
+    centres = pick.normal(size=(40, 8))
+    rows = [(int(i), [float(x) for x in centres[pick.integers(40)] * 0.3 + pick.normal(size=8) * 0.05], None if i % 3 else int(i % 5), "x", "y") for i in pick.permutation(420)]
     assert coded(spark.createDataFrame(rows, SCHEMA).repartition(5)) == plain_codes([r[:3] for r in rows])
 
 
