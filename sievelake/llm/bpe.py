@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import written
+
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 2_048
 #: Starts so near a chunk's cut end may owe themselves to the cut (half a contraction, half a run of spaces).
 CUT_MARGIN = 8
@@ -115,7 +117,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         return pd.Series([b"".join(p) for p in parts], dtype=object)
 
     short = rows.where(~is_long).select("id", whole("text").alias("ids"))
-    long = rows.where(is_long).withColumn("row_id", F.monotonically_increasing_id())
+    # numbered once, in a table: both readings below, and a task that runs again, see the same numbers
+    long = written(rows.where(is_long).withColumn("row_id", F.monotonically_increasing_id()), "bpe-long")
     by_row = Window.partitionBy("row_id").orderBy("chunk")
     chunks = (
         long.select("row_id", "text")

@@ -56,6 +56,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{name}{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
+
+
 def discard(table: DataFrame) -> None:
     """Removes a table of written() that no later step reads, before the application ends."""
     jvm = table.sparkSession.sparkContext._jvm

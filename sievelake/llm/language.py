@@ -86,10 +86,10 @@ def forward(lattice: list[tuple[int, int, int]], n: int, p: list[float]) -> tupl
 
 
 def expected(lattice: list[tuple[int, int, int]], n: int, p: list[float], weight: float, counts: list[float]) -> None:
-    """Adds each piece's expected count over all segmentations; words too long for doubles are passed over."""
+    """Adds each piece's expected count over all segmentations; of words too long for doubles, by logarithms."""
     alpha, scale = forward(lattice, n, p)
     if scale or alpha[n] < SMALL:
-        return
+        return expected_by_logs(lattice, n, p, weight, counts)
     beta = [0.0] * n + [1.0]
     for i, j, k in reversed(lattice):
         x = p[k] * beta[j]
@@ -97,6 +97,22 @@ def expected(lattice: list[tuple[int, int, int]], n: int, p: list[float], weight
         beta[i] += x
 
 
+def expected_by_logs(lattice: list[tuple[int, int, int]], n: int, p: list[float], weight: float, counts: list[float]) -> None:
+    """What expected() does, for words of any length."""
+
+    def plus(x: float, y: float) -> float:
+        low, high = min(x, y), max(x, y)
+        return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+    logs = [math.log(x) for x in p]
+    alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i, j, k in lattice:
+        alpha[j] = plus(alpha[j], alpha[i] + logs[k])
+    for i, j, k in reversed(lattice):
+        counts[k] += weight * math.exp(min(0.0, alpha[i] + logs[k] + beta[j] - alpha[n]))
+        beta[i] = plus(beta[i], logs[k] + beta[j])
+
+
 def learn(words: dict[str, int], path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language; the last is an unknown letter's."""
     pieces, begins = vocabulary(path)

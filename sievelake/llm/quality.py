@@ -27,12 +27,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import written
+from sievelake.llm.common import fresh, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SUPPORT, FIRST_ROUNDS, MOST_ROUNDS, MIN_ROWS = 0.75, 2, 20, 50
-#: A determinant that falls by less than this share has settled.
+SUPPORT, FIRST_ROUNDS, MIN_ROWS = 0.75, 2, 50
+#: A determinant that falls by less than this share has settled. As variances have floors, every group settles.
 SETTLED = 1e-3
 #: Statistics are whole numbers of thousandths.
 UNIT = 1000
@@ -44,6 +44,8 @@ FLOOR = {"x_word": 60.0, "x_symbol": 60.0, "x_line": 80.0, "x_repeat": 80.0}
 #: Width of histogram bins: of statistics, in thousandths, and of distances.
 BIN, DISTANCE_BIN = 5, 0.01
 SALTS = 16
+#: Groups whose parameters (of 150 bytes or so) are sent to all tasks; beyond it they are joined to salted keys.
+MOST_SENT = 10_000
 STAR = "\x00pooled"
 
 
@@ -139,23 +141,46 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """Adds the group (glang, gsource) that a document is measured in, and a salt of its own."""
-    sizes = stats.groupBy("lang", "source").agg((F.count(F.lit(1)) >= MIN_ROWS).alias("own"))
-    joined = salted_join(stats.withColumns({"glang": F.col("lang"), "gsource": F.col("source")}), sizes.withColumnsRenamed({"lang": "glang", "source": "gsource"}))
+def own_groups(stats: DataFrame) -> DataFrame:
+    """Languages and sources, and whether they have rows enough for a group of their own."""
+    return written(stats.groupBy(F.col("lang").alias("glang"), F.col("source").alias("gsource")).agg((F.count(F.lit(1)) >= MIN_ROWS).alias("own")), "quality-sizes")
+
+
+def grouped(stats: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds the group (glang, gsource) that a document is measured in; sizes are own_groups()."""
+    rows = stats.withColumns({"glang": F.col("lang"), "gsource": F.col("source")})
+    joined = group_join(rows, own_groups(stats) if sizes is None else sizes)
     return joined.withColumns({"glang": F.when(F.col("own"), F.col("lang")).otherwise(STAR), "gsource": F.when(F.col("own"), F.col("source")).otherwise(STAR)}).drop("own")
 
 
+def group_join(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the one row of their group, which is sent to all tasks if there are few groups, else joined to salted keys."""
+    if groups.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return rows.join(F.broadcast(groups), [*GROUP])
+    return salted_join(rows, groups)
+
+
 def salted_join(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
     """Rows with their group's columns. A group's rows are dealt to SALTS keys, and its one row of parameters to each."""
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+    own = ["doc_id"] if "doc_id" in rows.columns else []
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*own, *FEATURES), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
+def collapsed(stats: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each different vector of a group once, with its number of rows: copies are measured once in all rounds."""
+    vectors = stats.groupBy("lang", "source", *FEATURES).agg(F.count(F.lit(1)).alias("weight"))
+    return grouped(vectors, sizes).groupBy(*GROUP, *FEATURES).agg(F.sum("weight").alias("weight"))
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    return rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1).cast("long"))
 
 
 def quantiles(rows: DataFrame, values: dict[str, Column], share: float, bin_width: float, keys: tuple[str, ...] = GROUP) -> DataFrame:
     """By group, the upper edge of the histogram bin in which the share of its rows is reached, for each value: a row for each group."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(v / bin_width).alias("bin")) for k, v in enumerate(values.values())]))
-    bins = rows.select(*keys, each.alias("x")).groupBy(*keys, F.col("x.k").alias("k"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = weighted(rows).select(*keys, "weight", each.alias("x")).groupBy(*keys, F.col("x.k").alias("k"), F.col("x.bin").alias("bin")).agg(F.sum("weight").alias("n"))
     by_value = bins.groupBy(*keys, "k").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n_all"))
 
     def reached(b: Column, total: Column) -> Column:
@@ -201,10 +226,10 @@ def distance() -> Column:
 
 def moments(rows: DataFrame, keys: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
     """Number, mean* and cov** of whole numbers by group."""
-    sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(x)).alias(f"s{i}") for i, x in enumerate(values)],
-        *[F.sum(F.col(values[i]) * F.col(values[j])).alias(f"p{i}{j}") for i in D for j in range(i + 1)],
+    sums = weighted(rows).groupBy(*keys).agg(
+        F.sum("weight").alias("n"),
+        *[F.sum(F.col("weight") * F.col(x)).alias(f"s{i}") for i, x in enumerate(values)],
+        *[F.sum(F.col("weight") * F.col(values[i]) * F.col(values[j])).alias(f"p{i}{j}") for i in D for j in range(i + 1)],
     )
     sums = sums.withColumns({f"mean{i}": F.col(f"s{i}") / F.col("n") for i in D})
     return sums.withColumns({f"cov{i}{j}": F.col(f"p{i}{j}") / F.col("n") - F.col(f"mean{i}") * F.col(f"mean{j}") for i in D for j in range(i + 1)})
@@ -221,7 +246,7 @@ def starts(rows: DataFrame) -> DataFrame:
     norm = F.greatest(F.sqrt(z[0] * z[0] + z[1] * z[1] + z[2] * z[2] + z[3] * z[3]), F.lit(1e-9))
     whole = lambda s, values: F.struct(F.lit(s).alias("s"), *[F.round(v).cast("long").alias(f"v{i}") for i, v in enumerate(values)])
     each = F.explode(F.array(whole(1, [UNIT * F.tanh(v) for v in z]), whole(2, [UNIT * v / norm for v in z]), whole(3, [F.col(x).cast("double") for x in FEATURES])))
-    found = moments(salted_join(rows, middle).select(*GROUP, each.alias("e")).select(*GROUP, "e.*"), (*GROUP, "s"), ("v0", "v1", "v2", "v3")).join(middle, [*GROUP])
+    found = moments(salted_join(weighted(rows), middle).select(*GROUP, "weight", each.alias("e")).select(*GROUP, "weight", "e.*"), (*GROUP, "s"), ("v0", "v1", "v2", "v3")).join(middle, [*GROUP])
     own = F.col("s") == 3
     scale = [F.when(own, F.lit(1.0)).otherwise(F.col(f"scale{i}") / UNIT) for i in D]
     found = found.withColumns({f"m{i}": F.when(own, F.col(f"mean{i}")).otherwise(F.col(f"med{i}")) for i in D})
@@ -235,7 +260,7 @@ def starts(rows: DataFrame) -> DataFrame:
 def concentrated(rows: DataFrame, parameters: DataFrame) -> DataFrame:
     """One concentration step of each group and start `s`: mean and covariance of the nearest rows. rows have no `s`; each is measured once for each of its group's starts."""
     keys = (*GROUP, "s")
-    near = salted_join(rows, parameters).withColumn("distance", distance()).select(*keys, "doc_id", *FEATURES, "distance")
+    near = salted_join(weighted(rows), parameters).withColumn("distance", distance()).select(*keys, "weight", *FEATURES, "distance")
     limits = quantiles(near, {"limit": F.col("distance")}, SUPPORT, DISTANCE_BIN, keys)
     sums = moments(salted_join(near, limits, keys).where(F.col("distance") <= F.col("limit")), keys, FEATURES)
     sums = sums.withColumns({f"m{i}": F.col(f"mean{i}") for i in D})
@@ -254,35 +279,39 @@ def fitted(rows: DataFrame) -> DataFrame:
     for k in range(FIRST_ROUNDS):
         parameters = written(concentrated(rows, parameters), f"quality-first{k}")
     parameters = written(least_determinant(parameters), "quality-least")
-    for k in range(MOST_ROUNDS):
-        # a step whose determinant has not fallen, as limits are bins, is not taken
+    settled = None
+    while True:
+        # a step whose determinant has not fallen, as limits are bins, is not taken, and its group is left out from then on
         new = concentrated(rows, parameters)
         both = new.join(parameters.select(*GROUP, *[F.col(c).alias(f"old_{c}") for c in (*PARAMETERS, "logdet")]), [*GROUP])
         falls = F.col("logdet") < F.col("old_logdet") + math.log(1 - SETTLED)
-        taken = written(both.select(*GROUP, "s", *[F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in (*PARAMETERS, "logdet")], falls.alias("fell")), f"quality-round{k}")
-        parameters = taken.drop("fell")
-        if not taken.agg(F.coalesce(F.bool_or("fell"), F.lit(False)).alias("any")).collect()[0]["any"]:
-            break
-    return parameters.drop("s", "logdet")
-
-
-def scores(stats: DataFrame) -> DataFrame:
-    """Adds each row's distance and verdict."""
-    rows = written(grouped(stats), "quality-groups")
-    scored = salted_join(rows, fitted(rows.select(*GROUP, "doc_id", *FEATURES))).withColumn("distance", distance())
-    few = rows.where(F.col("glang") == STAR).limit(MIN_ROWS).count() < MIN_ROWS
+        taken = written(both.select(*GROUP, "s", *[F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in (*PARAMETERS, "logdet")], falls.alias("fell")), "quality-round")
+        still = taken.where(~F.col("fell")).drop("fell")
+        settled = still if settled is None else settled.union(still)
+        parameters = taken.where("fell").drop("fell")
+        if parameters.isEmpty():
+            return written(settled.drop("s", "logdet"), "quality-fitted")
+
+
+def verdicts(stats: DataFrame) -> DataFrame:
+    """Adds each row's distance and verdict; stats are a table of statistics()."""
+    sizes = own_groups(stats)
+    vectors = written(collapsed(stats, sizes), "quality-vectors")
+    few = vectors.where(F.col("glang") == STAR).agg(F.coalesce(F.sum("weight"), F.lit(0)) < MIN_ROWS).collect()[0][0]
+    scored = group_join(grouped(stats, sizes), fitted(vectors)).withColumn("distance", distance())
     outlier = (F.col("distance") > CUTOFF) & ~((F.col("glang") == STAR) & F.lit(few))
     return scored.withColumn("kept", ~F.col("base_failed") & ~outlier)
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Every document's statistics, its distance from its group, and whether it is kept."""
-    scored = scores(written(statistics(df, id_col, text_col, lang_col, source_col), "quality-stats"))
+    scored = verdicts(written(statistics(df, id_col, text_col, lang_col, source_col), "quality-stats"))
     return scored.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that are kept, as they are, each by its own verdict: a row is known by a hash of what is read of it, so equal rows share one, and rows with no id or a repeated one are told apart."""
-    keyed = df.withColumn("_row", F.md5(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(source_col).alias("s")))))
-    kept = judged(keyed, "_row", text_col, lang_col, source_col).where("kept").select("_row").distinct()
-    return keyed.join(kept, "_row", "left_semi").select(df.columns)
+    """The rows that are kept, as they are, each by its own verdict. A row travels as one column beside its statistics, so its own columns may have any names, and no text is shuffled to find its verdict."""
+    row = fresh(df, "row")
+    whole = df.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    stats = written(statistics(whole, row, text_col, lang_col, source_col), "quality-rows")
+    return verdicts(stats).where("kept").select("doc_id.*")

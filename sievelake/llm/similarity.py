@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import partitions, written
+from sievelake.llm.common import fresh, partitions, written
 from sievelake.llm.components import UnionFind, components
 
 WORDS_A_SHINGLE = 5
@@ -554,13 +554,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each class of linked rows one, whole: the one with the least id, and of those with the same the one whose content has the least hash. Rows without shingles are linked with nothing, and all stay."""
-    keyed = df.withColumn("_row", F.md5(F.to_json(F.struct(*df.columns)).cast("binary")))
-    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    worded = keyed.where(~blank)
-    found = classified(worded.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row")))
-    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row"))
-    chosen = written(found.groupBy("class").agg(first.alias("_row")).select("_row").distinct(), "chosen")
-    # rows that are alike in all columns share a hash; one of them stays
-    once = worded.dropDuplicates(["_row"]).join(chosen.hint("merge"), "_row", "left_semi")
-    return once.select(df.columns).union(df.where(blank))
+    """Of each class of linked rows one, whole: the one with the least id, and of those with the same the one whose text has the least hash, the first of equal ones. Rows without shingles are linked with nothing, and all stay. Rows are numbered once, under a name that they do not have."""
+    row = fresh(df, "row")
+    blank = ~F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    worded = written(df.where(~blank).withColumn(row, F.monotonically_increasing_id()), "worded")
+    found = classified(worded.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(row).alias("row"), F.md5(F.col(f"`{text_col}`").cast("binary")).alias("sum")))
+    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "sum", "row"))
+    chosen = written(found.groupBy("class").agg(first.alias(row)).select(row), "chosen")
+    once = worded.join(chosen.hint("merge"), row, "left_semi")
+    return once.select([F.col(f"`{c}`") for c in df.columns]).union(df.where(blank))

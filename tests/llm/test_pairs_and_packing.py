@@ -371,3 +371,28 @@ def test_quality_stage_of_odd_ids(spark):
     found = corpus_pipeline.quality_stage(spark, docs, "")
     assert found.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == sorted((i or 0, t) for i, t in rows if t in good)
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Names that stages use themselves come out as they went in; a corpus without languages is not dropped."""
+    import corpus_pipeline
+
+    prose = [" ".join(f"word{k}x{j}" for j in range(60)) for k in range(4)]
+    rows = [(k, t, None, "s", len(t), f"own {k}", k / 2, [k], "r", "w", "d") for k, t in enumerate([*prose, prose[1], "short"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string, _found double, _r array<int>, weight string, salt string, digest string")
+    want = {r[0]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, ""), "test")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_row", "_found", "_r", "weight", "salt", "digest"]
+        got = [tuple(r) for r in docs.collect()]
+        assert all(r == want[r[0]] for r in got)
+        assert len(got) == {"language_id": 6, "quality_rules": 5}.get(name, 4)
+
+
+def test_pipeline_of_labels_that_teach_nothing(spark):
+    """Labels on held-out documents only are as good as none."""
+    import corpus_pipeline
+    from sievelake.llm import language
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text"), F.lit("en").alias("lang")).where(language.held_out())
+    assert docs.count() and corpus_pipeline.language_stage(spark, docs, "").count() == docs.count()

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from sievelake.llm import bpe, chat, language, licenses, quality, secrets, urls
 
@@ -443,3 +444,42 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'), (2, None), (3, "plain")], "doc_id long, text string")
     got = {r.doc_id: r.t for r in df.select("doc_id", secrets.redact(df).alias("t")).collect()}
     assert got == {1: 'x <SECRET>" y', 2: None, 3: "plain"}
+
+
+def test_bpe_of_dealt_out_documents(spark):
+    """Rows that do not come straight from files keep their own tokens."""
+    pick = np.random.default_rng(3)
+    rows = [(k, "".join(pick.choice(["a", "bc ", " ", "\n", "1", "é"], 2_000))) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = bpe.digests(bpe.encode(df, RANKS, P.PATTERN, chunk_chars=300, overlap=60), RANKS, P.PATTERN).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in found} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+
+
+def test_quality_steps_until_every_group_has_settled(spark, monkeypatch):
+    """A group that needs more than 20 steps gets them: each step that is let count may only lower the determinant a little."""
+    monkeypatch.setattr(quality, "SETTLED", 1e-9)
+    pick = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        x = pick.exponential(300) if i % 2 else 900 + pick.exponential(900)
+        rows.append((i, "en", "s", False, int(x), int(x * 0.9 + pick.exponential(40)), int(pick.exponential(200)), int(pick.exponential(100))))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean, x_word long, x_symbol long, x_line long, x_repeat long")
+    sizes = quality.own_groups(stats)
+    vectors = quality.collapsed(stats, sizes)
+    fitted = quality.fitted(vectors).collect()[0]
+    last = quality.concentrated(vectors, spark.createDataFrame([fitted]).withColumn("s", F.lit(0))).collect()[0]
+    assert 2 * sum(np.log(fitted[f"l{i}{i}"]) for i in range(4)) <= last.logdet + 1e-6
+
+
+def test_language_counts_by_logs_as_by_products():
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "ba": 5}
+    begins = frozenset(p[:n] for p in pieces for n in range(1, len(p) + 1))
+    p = [0.1, 0.2, 0.15, 0.25, 0.2, 0.1, 1e-7]
+    lattice = language.arcs("ababba", pieces, begins)
+    plain, logs = [0.0] * 7, [0.0] * 7
+    language.expected(lattice, 7, p, 3, plain)
+    language.expected_by_logs(lattice, 7, p, 3, logs)
+    assert logs == pytest.approx(plain)
+    long, counts = "ab" * 3000, [0.0] * 7
+    language.expected(language.arcs(long, pieces, begins), len(long) + 1, [x / 50 for x in p], 1, counts)
+    assert sum(counts) > 2000 and np.isfinite(counts).all()
