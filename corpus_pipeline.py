@@ -6,7 +6,8 @@ in none of its counts.
 A document is a row, whatever its id: rows with no id, or with one that other rows have too, pass every stage by their own
 text. A null or empty text has no language and goes at the first stage; a null language or source is a group of its own.
 Rows that are alike in all columns are judged alike, and one of them stays as near duplicates go. Very long texts are
-read whole by each stage. An empty table gives no rows.
+read whole by each stage. An empty table gives no rows. Other columns may have any names: what a stage adds for itself has a
+name that its documents do not have. Where no document has a language to learn from, none is rejected for its language.
 """
 
 from __future__ import annotations
@@ -16,19 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import language, packing, quality, secrets, similarity
-from sievelake.llm.common import documents, small_batches, written
+from sievelake.llm.common import documents, fresh, small_batches, written
 
 #: Documents whose language is less sure than this are rejected.
 LEAST_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is not told, go."""
+    """Documents without a letter, or whose language is not told, go. With no labelled document to learn from there is no verdict, and all stay."""
     small_batches(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = language.train(docs, path, "doc_id", "text", "lang", ~language.held_out())
-    found = docs.withColumn("_found", language.identify(docs, model, path))
-    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
+    if not model:
+        return docs
+    found = fresh(docs, "found")
+    judged = docs.withColumn(found, language.identify(docs, model, path))
+    return judged.where((F.col(found)["lang_pred"] != "und") & (F.col(found)["score"] >= LEAST_SCORE)).drop(found)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
