@@ -1,13 +1,16 @@
-"""Full-text search: a weighted two-language document, web-style queries with synonyms, and a rank of its own.
+"""Full-text search: a weighted two-language document, web-style queries with synonyms, and rank by cover density.
 
-The stemmer is a plain suffix rule for both languages; the rank is the sum of the fields' weights over the matched terms,
-damped by the document's length. Neither is any database's; both are fixed here, so results do not change with one.
+The stemmer is a plain suffix rule for both languages. A document's fields stand one after the other, with an empty place
+between them; a cover is a shortest run of places that has each of the query's concepts. It adds the harmonic mean of its
+words' field weights, divided by one more than the places in it that are no concept's. Neither stemmer nor rank is any
+database's; both are fixed here, so results do not change with one. `operators/inverted.py` has the same by an index.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,8 +22,8 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 STOP = frozenset("a an and as at be by de da do das dos e em for from in is it na no o of on or os para por que the to um uma with".split())
 ENDINGS = ("amentos", "amento", "izations", "ization", "acoes", "acao", "ments", "ment", "ings", "ing", "edor", "ers", "er", "oes", "ed", "es", "s")
 SYNONYMS = (("developer", "engineer", "programmer", "desenvolvedor"), ("frontend", "front"), ("backend", "back"), ("junior", "jr"), ("senior", "sr"), ("remote", "remoto"))
-#: Words and phrases of a query that count; what comes after them is not looked for.
-MOST_TOKENS = 8
+#: A cover adds whole millionths, so that sums do not depend on their order.
+MICRO = 1_000_000
 
 
 def folded(text: str) -> str:
@@ -81,7 +84,7 @@ def variants(word: str) -> list[str]:
 def parse(text: str) -> Query:
     """Web-style: words are ANDed, `or` joins neighbours, quotes make a phrase, a minus excludes."""
     groups: list[list[tuple[str, ...]]] = []
-    excluded, joining, n = [], False, 0
+    excluded, joining = [], False
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
         low = folded(word)
         if low == "or" and groups:
@@ -90,7 +93,7 @@ def parse(text: str) -> Query:
         found = tuple(terms(phrase)) if phrase else None
         options = [found] if found else [t for w in (variants(low.strip(".,;:")) if not minus else [low]) if (t := tuple(terms(w)))]
         options = [o for o in options if any(o)]
-        if not options or n >= MOST_TOKENS:
+        if not options:
             continue
         if minus:
             excluded += options
@@ -98,7 +101,7 @@ def parse(text: str) -> Query:
             groups[-1] += options
         else:
             groups.append(options)
-        joining, n = False, n + 1
+        joining = False
     return Query(tuple(map(tuple, groups)), tuple(excluded))
 
 
@@ -121,11 +124,50 @@ def matches(doc: Column, query: Query) -> Column:
     return reduce(lambda a, b: a & ~b, [anywhere(doc, p) for p in query.excluded], found)
 
 
+def places(doc: Column) -> Column:
+    """array<struct<term, code>> of a document: 4 * place + number of the field. Stop words have a place, but no entry."""
+    parts, start = [], F.lit(0)
+    for k, f in enumerate(WEIGHTS):
+        parts.append(F.transform(doc[f], lambda w, i: F.struct(w.alias("term"), ((i + start) * 4 + k).cast("int").alias("code"))))
+        start = start + F.size(doc[f]) + 1
+    return F.filter(F.concat(*parts), lambda x: x["term"] != "")
+
+
+def starts(codes: Callable[[str], Column], phrase: tuple[str, ...]) -> Column:
+    """Codes of the places where a phrase begins, by the codes of each of its words."""
+    words = [(k, w) for k, w in enumerate(phrase) if w]
+    at, first = words[0]
+    here = F.transform(codes(first), lambda c: c - 4 * at)
+    for k, w in words[1:]:
+        here = F.filter(here, lambda c: F.array_contains(codes(w), c + 4 * k))
+    return here
+
+
+def events(codes: Callable[[str], Column], query: Query) -> list[Column]:
+    """For each group of a query, the codes of the places where any of its phrases begins."""
+    return [F.array_distinct(F.flatten(F.array(*[starts(codes, p) for p in g]))) for g in query.groups]
+
+
+def cover_density(groups: list[Column]) -> Column:
+    """One sweep over all places in order: a cover ends where the least of the groups' last places has moved on."""
+    n = len(groups)
+    each = [F.transform(g, lambda c: F.struct(F.shiftright(c, 2).alias("at"), F.lit(k).alias("g"), (1.0 / F.element_at(F.array(*map(F.lit, WEIGHTS.values())), F.pmod(c, F.lit(4)) + 1)).alias("w"))) for k, g in enumerate(groups)]
+    ordered = F.array_sort(F.concat(*each))
+    nothing = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.array_repeat(F.lit(0.0), n).alias("w"), F.lit(-1).alias("left"), F.lit(0).cast("long").alias("total"))
+
+    def step(state: Column, e: Column) -> Column:
+        put = lambda array, value: F.transform(array, lambda x, i: F.when(i == e["g"], value).otherwise(x))
+        last, w = put(state["last"], e["at"]), put(state["w"], e["w"])
+        left = F.array_min(last)
+        noise = F.greatest(e["at"] - left + 1 - n, F.lit(0))
+        score = F.floor(MICRO * (n / F.aggregate(w, F.lit(0.0), lambda a, x: a + x)) / (1.0 + noise))
+        new = left > state["left"]
+        return F.struct(last.alias("last"), w.alias("w"), F.greatest(left, state["left"]).alias("left"), (state["total"] + F.when(new, score).otherwise(F.lit(0).cast("long"))).alias("total"))
+
+    return F.aggregate(ordered, nothing, step, lambda s: s["total"] / MICRO)
+
+
 def rank(doc: Column, query: Query) -> Column:
-    """Weights of the fields that each group matches in, over the logarithm of the length."""
-    total = F.lit(0.0)
-    for group in query.groups:
-        for f, w in WEIGHTS.items():
-            total = total + F.when(reduce(lambda a, b: a | b, [has_phrase(doc[f], p) for p in group]), w).otherwise(0.0)
-    length = reduce(lambda a, b: a + b, [F.size(doc[f]) for f in WEIGHTS])
-    return F.round(total / F.log(2.0 + length), 6)
+    """Cover density of a document that matches."""
+    codes = lambda w: F.transform(F.filter(places(doc), lambda x: x["term"] == w), lambda x: x["code"])
+    return cover_density(events(codes, query))

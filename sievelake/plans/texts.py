@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import classify, dates, hashing, money, search, text, urls, vectors
 from sievelake.operators import aggregates as A
+from sievelake.operators.inverted import session_index
 from sievelake.operators.latest import latest_by, page
 from sievelake.operators.nearest import nearest_by_cosine
 from sievelake.operators.resolution import leaks, similar_titles
 from sievelake.plans.base import query, table
+from sievelake.session import scratch
 
 
 def documents(spark, sf_dir):
@@ -202,58 +206,78 @@ WITH t AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-
 SELECT doc_id FROM t WHERE list_contains(w, 'the') AND (list_contains(w, 'with') OR list_contains(w, 'from')) AND NOT list_contains(w, 'was')""")
 def boolean_search(spark, sf_dir):
     """AND of OR-groups with an exclusion, over plain tokens."""
-    words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
-    found = documents(spark, sf_dir).select("doc_id", words.alias("w"))
-    groups = [F.array(F.lit("the")), F.array(F.lit("with"), F.lit("from"))]
-    kept = F.lit(True)
-    for g in groups:
-        kept = kept & F.arrays_overlap("w", g)
-    return found.where(kept & ~F.array_contains("w", "was")).select("doc_id")
-
-
-def stems_sql(column: str) -> str:
-    """What search.tokens() makes of a text."""
-    stop, ends = ", ".join(f"'{w}'" for w in sorted(search.STOP)), "|".join(search.ENDINGS)
-    return rf"""list_transform(regexp_extract_all(strip_accents(lower(coalesce({column}, ''))), '[a-z0-9+#]+'), lambda w: CASE WHEN w IN ({stop}) THEN '' ELSE regexp_replace(regexp_replace(w, '^(.{{3,}}?)({ends})$', '\1'), '^(.{{3,}})e$', '\1') END)"""
-
-
-def _fields_have(*words: str) -> str:
-    return "(" + " OR ".join(f"list_contains({f}, '{w}')" for f in "abc" for w in words) + ")"
-
+    asked = search.Query(((("the",),), (("with",), ("from",))), (("was",),))
+    return words_index(spark, sf_dir).matches(asked).select(F.col("id").alias("doc_id"))
+
+
+def words_index(spark, sf_dir):
+    """Plain lower-case words of the texts."""
+    empty = F.array().cast("array<string>")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    fields = [F.coalesce(words, empty) if f == "C" else empty for f in search.WEIGHTS]
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.struct(*[x.alias(f) for f, x in zip(search.WEIGHTS, fields, strict=True)]).alias("d"))
+    return session_index(spark, sf_dir, "words", docs, scratch(spark, "words-index"))
+
+
+def stems_index(spark, sf_dir):
+    """Stems of the source, the language and the text."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), search.document(F.col("source"), F.col("lang"), F.col("text"), F.col("lang")).alias("d"))
+    return session_index(spark, sf_dir, "stems", docs, scratch(spark, "stems-index"))
+
+
+#: Stems of a text, written out by itself: what is cut, and which words only keep their place.
+STEMS_SQL = r"""list_transform(regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[a-z0-9+#]+'), lambda w:
+  CASE WHEN w IN ('a', 'an', 'and', 'as', 'at', 'be', 'by', 'de', 'da', 'do', 'das', 'dos', 'e', 'em', 'for', 'from', 'in', 'is', 'it', 'na', 'no', 'o', 'of', 'on', 'or', 'os', 'para', 'por', 'que', 'the', 'to', 'um', 'uma', 'with') THEN ''
+  ELSE regexp_replace(regexp_replace(w, '^(.{{3,}}?)(amentos|amento|izations|ization|acoes|acao|ments|ment|ings|ing|edor|ers|er|oes|ed|es|s)$', '\1'), '^(.{{3,}})e$', '\1') END)"""
+
+
+def ranks_sql(groups: list[list[str]], excluded: list[str]) -> str:
+    """doc_id and rank of all documents with a stem of each group and none of two excluded stems in a row: covers by windows over each document's places."""
+    n = len(groups)
+    weight = "CASE f WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.2 ELSE 0.1 END"
+    of_group = lambda k: "term IN (" + ", ".join(f"'{w}'" for w in groups[k]) + ")"
+    at = ", ".join(f"last_value(CASE WHEN g = {k} THEN p END IGNORE NULLS) OVER o AS p{k}, last_value(CASE WHEN g = {k} THEN 1.0 / ({weight}) END IGNORE NULLS) OVER o AS w{k}" for k in range(n))
+    left, weights = ", ".join(f"p{k}" for k in range(n)), " + ".join(f"w{k}" for k in range(n))
+    some = " AND ".join(f"p{k} IS NOT NULL" for k in range(n))
+    barred = " AND ".join(f"t[i + {k}] = '{w}'" for k, w in enumerate(excluded))
+    return f"""WITH d AS (SELECT doc_id, {STEMS_SQL.format("source")} AS a, {STEMS_SQL.format("lang")} AS b, {STEMS_SQL.format("text")} AS c FROM documents),
+s AS (SELECT doc_id, list_concat(list_concat(list_concat(a, ['']), list_concat(b, [''])), list_concat(list_concat(c, ['']), b)) AS t, len(a) AS la, len(b) AS lb, len(c) AS lc FROM d),
+e AS (SELECT *, CASE WHEN p < la THEN 0 WHEN p < la + 1 + lb THEN 1 WHEN p < la + lb + 2 + lc THEN 2 ELSE 3 END AS f FROM
+  (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS p, la, lb, lc FROM s WHERE {f"len(list_filter(range(1, len(t)), lambda i: {barred})) = 0" if excluded else "true"})),
+g AS (SELECT doc_id, p, f, g FROM ({" UNION ALL ".join(f"SELECT doc_id, p, f, {k} AS g FROM e WHERE {of_group(k)}" for k in range(n))})),
+l AS (SELECT doc_id, p, g, {at} FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY p, g ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT doc_id, p, least({left}) AS l, {weights} AS w, lag(least({left})) OVER (PARTITION BY doc_id ORDER BY p, g) AS before FROM l WHERE {some})
+SELECT doc_id, CAST(sum(CASE WHEN before IS NULL OR l > before THEN floor(1000000 * ({n} / w) / (1.0 + greatest(p - l + 1 - {n}, 0))) ELSE 0 END) AS DOUBLE) / 1000000 AS rank FROM m GROUP BY doc_id"""
+
+
+@query(f"SELECT * FROM ({ranks_sql([['version', 'right', 'licens', 'general', 'token'], ['der', 'und', 'und', 'licens', 'mit', 'public']], ['all', 'right'])}) ORDER BY rank DESC, doc_id LIMIT 10")
+def ranked_search(spark, sf_dir):
+    """The ten best documents for a web-style query of many words, with an excluded phrase at its end."""
+    asked = search.parse('version OR rights OR license OR general OR tokens der OR und OR "und" OR licensed OR mit OR public -"all rights"')
+    return stems_index(spark, sf_dir).best(asked, 10).rows.select(F.col("id").alias("doc_id"), "rank")
 
-def _weighed(*words: str) -> str:
-    weight = {"a": 1.0, "b": 0.4, "c": 0.2, "d": 0.1}
-    return " + ".join(f"CASE WHEN {' OR '.join(f"list_contains({f}, '{w}')" for w in words)} THEN {x} ELSE 0.0 END" for f, x in weight.items())
 
+#: Queries that the quality of the search is measured by, and what they ask for in stems.
+JUDGED = (("license version", [["licens"], ["version"]]), ("general public", [["general"], ["public"]]), ("und der", [["und"], ["der"]]), ("license OR token", [["licens", "token"]]))
 
-@query(f"""
-WITH d AS (SELECT doc_id, {stems_sql('source')} AS a, {stems_sql('lang')} AS b, {stems_sql('text')} AS c, b AS d FROM documents),
-m AS (SELECT *, len(list_filter(range(1, len(c)), lambda i: c[i] = 'all' AND c[i + 1] = 'right')) > 0 AS barred FROM d)
-SELECT doc_id, round((0.0 + {_weighed('licens')} + {_weighed('version', 'right')})::DOUBLE / ln(2.0 + len(a) + len(b) + len(c) + len(d)), 6) AS rank FROM m
-WHERE ({_fields_have('remot', 'remoto', 'senior', 'sr')} AND {_fields_have('develop', 'engin', 'programm', 'desenvolv')} AND NOT barred) OR ({_fields_have('licens')} AND {_fields_have('version', 'right')})
-ORDER BY rank DESC, doc_id LIMIT 10""")
-def ranked_search(spark, sf_dir):
-    """The ten best documents for a web-style query with a phrase, synonyms and an exclusion."""
-    asked = search.parse('remote OR senior developer -"all rights"')
-    either = search.parse("license version OR rights")
-    docs = documents(spark, sf_dir).select("doc_id", search.document(F.col("source"), F.col("lang"), F.col("text"), F.col("lang")).alias("d"))
-    found = docs.where(search.matches(F.col("d"), asked) | search.matches(F.col("d"), either)).select("doc_id", search.rank(F.col("d"), either).alias("rank"))
-    return page(found, [F.col("rank").desc(), F.col("doc_id")], 10)
 
-
-@query("""
-WITH r AS (SELECT lang, doc_id, quality, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS pos FROM documents LEFT JOIN labels USING (doc_id)), t AS (SELECT lang, count(*) FILTER (WHERE quality = 1) AS relevant FROM r GROUP BY 1),
-g AS (SELECT lang, sum(CASE WHEN quality = 1 THEN 1 / log2(pos + 1) ELSE 0 END) AS dcg, count(*) FILTER (WHERE quality = 1) AS hits FROM r WHERE pos <= 10 GROUP BY 1),
-i AS (SELECT lang, (SELECT sum(1 / log2(k + 1)) FROM range(1, 11) x(k) WHERE k <= relevant) AS ideal FROM t)
-SELECT lang, round(CAST(hits AS DOUBLE) / nullif(relevant, 0), 6) AS recall_at_10, round(dcg / nullif(ideal, 0), 6) AS ndcg_at_10 FROM g JOIN t USING (lang) JOIN i USING (lang)""")
+@query(
+    "WITH t AS (SELECT count(*) AS relevant FROM labels WHERE quality = 1), i AS (SELECT relevant, (SELECT sum(1 / log2(k + 1)) FROM range(1, 11) x(k) WHERE k <= relevant) AS ideal FROM t), r AS ("
+    + " UNION ALL ".join(f"SELECT '{text}' AS query, doc_id, row_number() OVER (ORDER BY rank DESC, doc_id) AS pos FROM ({ranks_sql(groups, [])})" for text, groups in JUDGED)
+    + "), g AS (SELECT query, count(*) FILTER (WHERE quality = 1) AS hits, coalesce(sum(1 / log2(pos + 1)) FILTER (WHERE quality = 1), 0.0) AS dcg FROM r LEFT JOIN labels USING (doc_id) WHERE pos <= 10 GROUP BY 1)"
+    + " SELECT query, round(CAST(hits AS DOUBLE) / nullif(relevant, 0), 6) AS recall_at_10, round(dcg / nullif(ideal, 0), 6) AS ndcg_at_10 FROM g, i"
+)
 def search_quality(spark, sf_dir):
-    """Recall and nDCG of the first ten, with binary gains."""
-    judged = documents(spark, sf_dir).select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    totals = judged.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("relevant"))
-    ranked = judged.withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id"))).where("pos <= 10")
-    found = ranked.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("hits"), F.sum(F.when(F.col("quality") == 1, 1 / F.log2(F.col("pos") + 1)).otherwise(0.0)).alias("dcg"))
+    """Recall and nDCG of the first ten that each query finds, with documents labelled as good for binary gains."""
+    index, labels = stems_index(spark, sf_dir), table(spark, sf_dir, "labels")
+    ranked = [index.best(search.parse(text), 10).rows.withColumn("query", F.lit(text)) for text, _ in JUDGED]
+    rows = reduce(DataFrame.unionByName, ranked).withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "id")))
+    good = F.col("quality") == 1
+    judged = rows.join(labels.select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+    found = judged.groupBy("query").agg(F.count_if(good).alias("hits"), F.sum(F.when(good, 1 / F.log2(F.col("pos") + 1)).otherwise(0.0)).alias("dcg"))
+    total = labels.agg(F.count_if(good).alias("relevant"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(0.0), lambda a, k: a + F.when(k <= F.col("relevant"), 1 / F.log2(k + 1)).otherwise(0.0))
-    return found.join(totals, "lang").select("lang", A.rate(F.col("hits"), F.col("relevant")).alias("recall_at_10"), F.round(F.try_divide(F.col("dcg"), ideal), 6).alias("ndcg_at_10"))
+    return found.join(F.broadcast(total)).select("query", A.rate(F.col("hits"), F.col("relevant")).alias("recall_at_10"), F.round(F.try_divide(F.col("dcg"), ideal), 6).alias("ndcg_at_10"))
 
 
 @query()
