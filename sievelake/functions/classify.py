@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -12,37 +12,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelake.functions.ladder import UNKNOWN, level_of, seniority  # noqa: F401
+from sievelake.functions.phrases import WORDS, Phrases, Rule as Phrase
 from sievelake.functions.predicates import infer_unique
-
-UNKNOWN = "UNKNOWN"
+from sievelake.functions.search import folded
 
 #: How each work mode, contract and level is written.
 WORK_MODES = {"REMOTE": r"\bremot[eoa]\b|\bwork from home\b|\bhome office\b|\banywhere\b", "HYBRID": r"\bh[iy]br?[ií]d[oa]?\b|\bhybrid\b", "ONSITE": r"\bon-?site\b|\bin[- ]office\b|\bpresencial\b"}
 CONTRACTS = {"CLT": r"\bclt\b", "PJ": r"\bpj\b|\bpessoa jur[ií]dica\b", "CONTRACTOR": r"\bcontractor\b|\bfreelancer?\b", "FULL_TIME": r"\bfull[- ]time\b|\btempo integral\b", "PART_TIME": r"\bpart[- ]time\b|\bmeio per[ií]odo\b", "INTERNSHIP": r"\bintern(?:ship)?\b|\best[aá]gio\b"}
 PROGRAMS = r"\bintern(ship)?s?\b|\best[aá]gi(o|ari[oa])\b|\btrainee\b|\bapprentice(ship)?\b|\bjovem aprendiz\b|\bgraduate program"
-#: Levels from low to high.
-RANK = ("INTERN", "JUNIOR", "MID", "SENIOR", "STAFF", "LEAD", "MANAGER", "DIRECTOR")
-#: Levels that a posting may span.
-LADDER = frozenset(("JUNIOR", "MID", "SENIOR", "STAFF"))
-#: Phrases, without accents, that hold a level's word and name none.
-NO_LEVEL = re.compile(r"chief of staff|(?:member of )?technical staff|pl/sql|middle east|\b(?:product|program|project|account|office|community) manager|labell?ing associate|graduate (?:school|degree|studies|program)")
-#: How each level is written, without accents; a longer wording before one that it holds.
-LEVEL_WORDS = (
-    ("INTERN", r"intern(?:ship)?s?|estagi[oa]s?|estagiari[oa]s?|trainees?|apprentices?|aprendiz"), ("MID", r"semi[- ]senior|mid(?:[- ]level)?|middle|intermediate|intermediari[oa]|plen[oa]|pl"), ("JUNIOR", r"junior|jr|entry[- ]level|(?:new |college )?grad(?:uate)?|early career"),
-    ("SENIOR", r"senior|sr"), ("STAFF", r"staff|principal|distinguished|especialista"), ("LEAD", r"lead|lider"), ("MANAGER", r"manager|gerente"), ("DIRECTOR", r"director|diretora?|head of|vp|vice president"),
-)
-_LEVEL = re.compile("|".join(rf"(?P<{n}>\b(?:{p})\b)" for n, p in LEVEL_WORDS))
-_NUMERAL = re.compile(r"\b(I{1,3})\b")
-NUMERALS = {"I": "JUNIOR", "II": "MID", "III": "SENIOR"}
-#: What stands between two levels of a range: `/`, a comma, `to`, `or`, `and` and the same in Portuguese, after the end of a word that may take `(a)`.
-_RANGE = re.compile(r"[.]?(?:\(a\))?\s*(?:[/,|-]|\b(?:a|e|to|or|ou|and)\b)(?:\s|\b(?:a|e|to|or|ou|and)\b)*")
-#: Families by words of the title, the more specific first; then by department; then by what the text says.
+#: Families by words of the title, the more specific first; then by department; then by what the text says. A last word with * may go on.
 FAMILIES = (
-    ("DATA_ENGINEERING", r"\bdata engineer|\banalytics engineer|\bengenh\w+ de dados|\bbig data\b|\betl\b"), ("DATA_SCIENCE", r"\bdata scien|\bmachine learning\b|\bml engineer|\bcientista de dados|\bresearch scientist\b"), ("DATA_ANALYSIS", r"\bdata analy|\bbi analy|\banalista de dados|\bbusiness intelligence\b"),
-    ("SECURITY", r"\bsecurity\b|\bseguran[cç]a\b|\bappsec\b"), ("DEVOPS", r"\bdevops\b|\bsre\b|\bsite reliability\b|\bplatform engineer|\bcloud engineer|\binfra"), ("QA", r"\bqa\b|\bquality assurance\b|\btest engineer|\bsdet\b"),
-    ("MOBILE", r"\bandroid\b|\bios\b|\bmobile\b|\bflutter\b|\breact native\b"), ("FRONTEND", r"\bfront[- ]?end\b|\bui engineer"), ("BACKEND", r"\bback[- ]?end\b|\bapi engineer"), ("FULLSTACK", r"\bfull[- ]?stack\b"),
-    ("PRODUCT", r"\bproduct (?:manager|owner)\b|\bgerente de produto\b"), ("DESIGN", r"\bdesigner\b|\bux\b|\bui/ux\b"), ("SOFTWARE", r"\bsoftware\b|\bdeveloper\b|\bdesenvolvedor|\bprogrammer\b|\bprogramador"),
-    ("SALES", r"\bsales\b|\bvendas\b|\baccount executive\b"), ("MARKETING", r"\bmarketing\b|\bgrowth\b"), ("SUPPORT", r"\bsupport\b|\bsuporte\b|\bcustomer success\b"), ("PEOPLE", r"\brecruit|\bhuman resources\b|\bpeople\b"), ("FINANCE", r"\bfinanc|\baccount(?:ant|ing)\b|\bcont[aá]bil"),
+    ("DATA_ENGINEERING", "data engineer*, analytics engineer*, engenheiro de dados, engenheira de dados, engenharia de dados, big data, etl"), ("DATA_SCIENCE", "data scien*, machine learning, ml engineer*, cientista de dados, research scientist"), ("DATA_ANALYSIS", "data analy*, bi analy*, analista de dados, business intelligence"),
+    ("SECURITY", "security, seguranca, appsec"), ("DEVOPS", "devops, sre, site reliability, platform engineer*, cloud engineer*, infra*"), ("QA", "qa, quality assurance, test engineer*, sdet"),
+    ("MOBILE", "android, ios, mobile, flutter, react native"), ("FRONTEND", "frontend, front end, ui engineer*"), ("BACKEND", "backend, back end, api engineer*"), ("FULLSTACK", "fullstack, full stack"),
+    ("PRODUCT", "product manager, product owner, gerente de produto"), ("DESIGN", "designer, ux"), ("SOFTWARE", "software, developer, desenvolvedor*, programmer, programador*"),
+    ("SALES", "sales, vendas, account executive"), ("MARKETING", "marketing, growth"), ("SUPPORT", "support, suporte, customer success"), ("PEOPLE", "recruit*, human resources, people"), ("FINANCE", "financ*, accountant, accounting, contabil*"),
 )
 TARGETS = frozenset(name for name, _ in FAMILIES[:13])
 
@@ -89,42 +74,6 @@ def recency_exempt(title: Column) -> Column:
     return F.coalesce(F.lower(title).rlike(PROGRAMS), F.lit(False))
 
 
-def without_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
-def levels_in(title: str) -> tuple[list[str], list[str]]:
-    """(levels that a title names, those of them that are a range), in the order in which they stand. Numerals, and words that only imply a level, count if nothing names one."""
-    plain = without_accents(title)
-    low = NO_LEVEL.sub(lambda m: " " * len(m.group()), plain.lower())
-    found = [(m.start(), m.end(), m.lastgroup) for m in _LEVEL.finditer(low)]
-    if not found:
-        if re.search(r"\bassociate\b", low):
-            return ["JUNIOR"], []
-        found = [(m.start(), m.end(), NUMERALS[m[1]]) for m in _NUMERAL.finditer(plain)]
-        if not found and re.search(r"\b(?:architect|arquitet[oa])\b", low):
-            return ["SENIOR"], []
-    spans = [k for k in range(1, len(found)) if found[k][2] in LADDER and found[k - 1][2] in LADDER and _RANGE.fullmatch(low[found[k - 1][1] : found[k][0]])]
-    ranged = [found[k][2] for k in sorted({*spans, *(k - 1 for k in spans)})]
-    return [x for *_, x in found], ranged if len(set(ranged)) > 1 else []
-
-
-def level_of(title: str | None) -> str:
-    """A programme's level before all; of a range the lowest, unless a level above the ladder is named too; else the highest."""
-    found, ranged = levels_in(title or "")
-    if not found:
-        return UNKNOWN
-    if "INTERN" in found:
-        return "INTERN"
-    highest = max(found, key=RANK.index)
-    return min(ranged, key=RANK.index) if ranged and highest in LADDER else highest
-
-
-@F.pandas_udf(T.StringType())
-def seniority(titles: pd.Series) -> pd.Series:
-    return pd.Series([level_of(t) for t in titles], dtype=object)
-
-
 YEARS = re.compile(r"(?i)\b(\d{1,2})\s*(?:\+|(?:-|–|to|a)\s*(\d{1,2}))?\s*(?:years|anos)\b(?!\s*(?:old|in (?:the )?(?:market|business)|de mercado))")
 
 
@@ -169,19 +118,34 @@ def seniority_from_description(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([level_of_description(t) for t in texts], columns=["level", "evidence"])
 
 
+_FAMILY_PHRASES: list[Phrases] = []
+
+
+def families_in(text: str | None) -> Counter[str]:
+    """How often each family's phrases stand in a text, all found by one reading."""
+    if not _FAMILY_PHRASES:
+        _FAMILY_PHRASES.append(Phrases(tuple(Phrase("family", name, w.strip()) for name, words in FAMILIES for w in words.split(","))))
+    return Counter(h.rule.value for h in _FAMILY_PHRASES[0].hits(WORDS.findall(folded(text or ""))))
+
+
+def first_family(text: str | None) -> str | None:
+    """The most specific family that a text names."""
+    found = families_in(text)
+    return next((n for n, _ in FAMILIES if n in found), None)
+
+
 def family_of(title: str | None, department: str | None, description: str | None) -> tuple[str, str]:
     """(family, what told it): the title's most specific rule; a general title is refined by its department; the description only breaks ties."""
-    first = lambda text: next((n for n, p in FAMILIES if re.search(p, (text or "").lower())), None)
-    by_title, by_department = first(title), first(department)
+    by_title, by_department = first_family(title), first_family(department)
     if by_title and by_title != "SOFTWARE":
         return by_title, "title"
     if by_department and (by_title is None or by_department in TARGETS and by_department != "SOFTWARE"):
         return by_department, "department"
     if by_title:
         return by_title, "title"
-    counts = [(len(re.findall(p, (description or "").lower())), -k, n) for k, (n, p) in enumerate(FAMILIES)]
-    best = max(counts)
-    return (best[2], "description") if best[0] >= 2 and sum(c[0] == best[0] for c in counts) == 1 else (UNKNOWN, "none")
+    counts = families_in(description).most_common(2)
+    clear = counts and counts[0][1] >= 2 and (len(counts) < 2 or counts[1][1] < counts[0][1])
+    return (counts[0][0], "description") if clear else (UNKNOWN, "none")
 
 
 @F.pandas_udf(T.StructType([T.StructField("family", T.StringType()), T.StructField("basis", T.StringType())]))
@@ -192,9 +156,8 @@ def role_family(titles: pd.Series, departments: pd.Series, descriptions: pd.Seri
 @F.pandas_udf(T.BooleanType())
 def area_off_target(titles: pd.Series, departments: pd.Series) -> pd.Series:
     """Title and department both name an area outside of the wanted ones; one alone is not enough."""
-    first = lambda text: next((n for n, p in FAMILIES if re.search(p, (text or "").lower())), None)
     outside = lambda n: n is not None and n not in TARGETS
-    return pd.Series([outside(first(t)) and outside(first(d)) for t, d in zip(titles, departments, strict=True)])
+    return pd.Series([outside(first_family(t)) and outside(first_family(d)) for t, d in zip(titles, departments, strict=True)])
 
 
 def countries_of(place: str | None) -> list[str] | None:

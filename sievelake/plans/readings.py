@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievelake.functions import classify, text, urls
+from sievelake.functions import classify, phrases, search, text, urls
 from sievelake.plans.base import query, table
 
 
@@ -84,3 +84,43 @@ def scope_hashes(spark, sf_dir):
 
     filters = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Z"), F.col("p_brand"), F.lit("A"))).otherwise(F.array(F.upper("p_brand"), F.lit("z")))
     return table(spark, sf_dir, "part").select("p_partkey", hashing.scope_hash(filters).alias("scope"))
+
+
+#: Every two neighbouring words of a benchmark item, as rules for the item, and the texts as folded words.
+RULES_SQL = r"""b AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9+#]+') AS w FROM benchmark),
+r AS (SELECT DISTINCT 'part' || item_id % 3 AS facet, CAST(item_id AS VARCHAR) AS value, w[k] || ' ' || w[k + 1] AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM b)),
+t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-z0-9+#]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, w[k] || ' ' || w[k + 1] AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM t)),
+h AS (SELECT doc_id, facet, value, phrase FROM g JOIN r USING (phrase))"""
+
+
+def benchmark_rules(spark, sf_dir):
+    """Thousands of rules as a table: each two neighbouring words of an item speak for the item."""
+    words = F.regexp_extract_all(F.translate(F.regexp_replace(F.lower("text"), r"\p{M}", ""), search.MARKED, search.PLAIN), F.lit("[a-z0-9+#]+"), F.lit(0))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where("size(w) > 1")
+    each = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", k, 2), " "))).alias("phrase"))
+    return phrases.rules_of(each.select(F.concat(F.lit("part"), (F.col("item_id") % 3).cast("string")).alias("facet"), F.col("item_id").cast("string").alias("value"), "phrase"))
+
+
+def phrases_found(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", phrases.evidence(docs, benchmark_rules(spark, sf_dir))("text").alias("evidence"))
+
+
+@query(f"""WITH {RULES_SQL}
+SELECT doc_id, facet, count(*) AS n_rules, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value, CASE WHEN count(DISTINCT value) > 1 THEN array_to_string(list_sort(list(DISTINCT value)), '|') END AS conflict FROM h GROUP BY 1, 2""")
+def phrase_evidence(spark, sf_dir):
+    """What thousands of rules find in whole texts, by document and facet: the one value that they speak for, or all that disagree."""
+    facets = F.array(*[F.lit(f"part{k}") for k in range(3)])
+    rows = phrases_found(spark, sf_dir).withColumn("facet", F.explode(facets))
+    mine = F.filter("evidence", lambda e: e["facet"] == F.col("facet"))
+    values = F.array_sort(F.array_distinct(F.transform(mine, lambda e: e["value"])))
+    found = rows.select("doc_id", "facet", F.size(mine).cast("long").alias("n_rules"), values.alias("v")).where("n_rules > 0")
+    return found.select("doc_id", "facet", "n_rules", F.when(F.size("v") == 1, F.get("v", F.lit(0))).alias("value"), F.when(F.size("v") > 1, F.array_join("v", "|")).alias("conflict"))
+
+
+@query(f"""WITH {RULES_SQL}
+SELECT facet, value, phrase, count(*) AS emitted, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*), 6) AS right_share, count(*) >= 5 AND count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*) >= 0.8 AS passes FROM h JOIN labels USING (doc_id) GROUP BY 1, 2, 3""")
+def measured_phrases(spark, sf_dir):
+    """How often each rule speaks for labelled documents, how often rightly, and which may decide."""
+    return phrases.measured(phrases_found(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", F.col("quality") == 1, 5, 0.8)

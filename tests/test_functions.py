@@ -144,16 +144,17 @@ def test_evaluation():
     assert evaluation.portuguese_share("a vaga é boa") == 0.75 and evaluation.portuguese_share("") is None
 
 
+#: Titles made up here, by the level that they are to have.
 TITLES = {
-    "INTERN": ("Summer Internship, Data", "Estagiária de Marketing", "Trainee 2030", "Junior Developer Intern", "Graduate Trainee"),
-    "JUNIOR": ("Jr. Analyst", "Analista Júnior", "Entry-Level Tester", "New Grad Engineer", "Developer I", "Associate Engineer", "Júnior a Sênior Dev", "ENGINEERING ASSOCIATE II"),
-    "MID": ("Mid-level Tester", "Desenvolvedora Plena", "Analista Pl", "Intermediate Tester", "Developer II", "Pl/Sr Developer", "Mid, Senior or Staff Engineer", "Engineer II/III", "Semi Senior Tester"),
-    "SENIOR": ("Sr. Tester", "Analista Sênior", "Developer III", "Cloud Architect", "Senior Account Manager", "Senior Engineer II", "Senior/Staff Engineer", "Senior Product Manager"),
-    "STAFF": ("Senior Staff Engineer", "Principal Program Manager", "Especialista em Redes", "Principal Architect"),
-    "LEAD": ("Tech Líder", "Lead Tester", "Tech Lead | Especialista"),
-    "MANAGER": ("Manager, Senior Engineers", "Gerente de Dados", "Associate Manager", "Lead Manager, Labs"),
-    "DIRECTOR": ("Head of Data", "Senior Director", "Diretora de TI"),
-    "UNKNOWN": ("Chief of Staff", "Member of Technical Staff", "PL/SQL Developer", "Middle East Sales", "Graduate School Advisor", "Internal Auditor", "International Buyer", "Product Manager", "Data Labeling Associate", "", "Engineer"),
+    "INTERN": ("Chemistry Internship", "Working Student, Robotics", "Estagiário(a) em Física", "Apprentice Welder", "Senior Trainee Programme"),
+    "JUNIOR": ("Jr Surveyor", "Geóloga Júnior", "Entry-Level Chemist", "New Grad Botanist", "Surveyor I", "Associate Botanist", "Junior to Senior Chemist", "Associate Botanist II", "Júnior(a) / Pleno(a)"),
+    "MID": ("Mid-Level Chemist", "Geóloga Plena", "Pl. Geologist", "Intermediate Welder", "Chemist II", "Pleno/Sênior em Química", "Mid, Senior or Staff Chemist", "Chemist II - III", "Semi-Senior Welder"),
+    "SENIOR": ("Sr Chemist", "Química Sênior", "Chemist III", "Landscape Architect", "Senior Category Manager", "Senior Chemist I", "Senior / Principal Welder", "Senior, Project Manager"),
+    "STAFF": ("Senior Staff Chemist", "Principal Release Manager", "Especialista em Solos", "Staff Architect"),
+    "LEAD": ("Líder de Laboratório", "Lead Welder", "Team Lead | Principal"),
+    "MANAGER": ("Manager of Senior Chemists", "Gerente de Campo", "Associate Manager", "Lead Manager, Soils"),
+    "DIRECTOR": ("Head of Soils", "Senior Director, Labs", "Diretora de Campo", "VP Chemistry"),
+    "UNKNOWN": ("Chief of Staff", "Technical Staff", "PL/SQL Tuner", "Middle East Geologist", "Graduate School Tutor", "Internal Surveyor", "Internationalist", "Property Manager", "i like welding", "", "Welder", None),
 }
 
 
@@ -164,6 +165,38 @@ def test_levels_of_titles():
         assert {t: classify.level_of(t) for t in titles} == dict.fromkeys(titles, level)
 
 
+def test_phrases_are_found_at_words_edges(spark):
+    from sievelake.functions import phrases
+
+    rules = tuple(phrases.Rule(*r) for r in (("a", "x", "big data"), ("a", "y", "data eng*"), ("b", "z", "É ok"), ("a", "x", "data"), ("b", "none", "!!")))
+    found = phrases.Phrases(rules)
+    got = phrases.evidence_of("Big-Data engineering; bigdata. É OK? data", found)
+    assert got == [("a", "x", "big data", 0, 1), ("a", "x", "data", 1, 2), ("a", "y", "data eng*", 1, 1), ("b", "z", "É ok", 4, 1)]
+    assert [(h.rule.phrase, h.at) for h in found.longest(["big", "data", "engineering"])] == [("big data", 0)]
+    assert phrases.evidence_of(None, found) == [] and phrases.evidence_of("data", phrases.Phrases(())) == []
+    df = spark.createDataFrame([(1, "Big data engineer"), (2, "e ok"), (3, None)], "k int, t string")
+    rows = df.select("k", phrases.evidence(df, rules)("t").alias("e")).select("k", phrases.verdict(F.col("e"), "a").alias("a"), phrases.verdict(F.col("e"), "b").alias("b")).collect()
+    assert {r.k: (tuple(r.a), tuple(r.b)) for r in rows} == {1: ((None, "x|y"), (None, None)), 2: ((None, None), ("z", None)), 3: ((None, None), (None, None))}
+
+
+def test_thousands_of_rules_cost_what_few_do():
+    """Time by rule count: an automaton reads a text once."""
+    import time
+
+    from sievelake.functions import phrases
+
+    text = " ".join(f"w{k % 977} v{k % 13}" for k in range(20_000))
+    took = []
+    for n in (10, 20_000):
+        found = phrases.Phrases(tuple(phrases.Rule("f", str(k), f"q{k} v{k % 7}") for k in range(n)))
+        found.hits(phrases.WORDS.findall(text))
+        began = time.perf_counter()
+        for _ in range(3):
+            found.hits(phrases.WORDS.findall(text))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_native_tokens_are_the_terms(spark):
     from sievelake.functions import search
 
