@@ -5,9 +5,8 @@ itself. Both split the same bytes, so a place where a token of A and one of B bo
 between two such cuts is a group, and each token of A in it is linked with each of B in it.
 
 A task takes documents in blocks of a bounded number of bytes. Token intervals of a block are tables in DuckDB: a semi join
-finds the common ends, a window sum numbers the groups, ASOF joins give each token its group and each group its document,
-and a join of the ids in each group, counted first, gives each document's id pairs with the number of their links, without
-listing links. A block adds up in how many of its documents a pair stands; Spark sums these partial counts over all blocks,
+finds the common ends, a window sum numbers the groups, ASOF joins give each token its group, and a join of the ids in each
+group gives each document's id pairs with the number of their links, in wide groups without listing links. A block adds up in how many of its documents a pair stands; Spark sums these partial counts over all blocks,
 finds the highest count of each id of A, and brings the counts of a block's pairs back to its documents.
 
 Null and empty texts, and texts whose tokens of A or B do not spell the space and the text (B's model takes U+2581 for a
@@ -22,6 +21,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +37,27 @@ SPACE = "▁"
 ROWS = "block long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, place binary, links binary, pair_a binary, pair_b binary, pair_docs binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
+#: In groups of so many bytes at most, links are counted as they are joined; in wider ones each id is counted first, so a long group costs its ids, not its links.
+NARROW = 64
 GROUPS = """CREATE OR REPLACE TEMP TABLE cuts AS
-  SELECT c.e, t.d, CAST(sum(1) OVER (ORDER BY c.e) AS INTEGER) - 1 AS g
-  FROM (SELECT e FROM a SEMI JOIN b USING (e)) c ASOF JOIN texts t ON c.e <= t.e"""
-TOKENS = "CREATE OR REPLACE TEMP TABLE {0}_in AS SELECT x.e, x.id, c.g, c.d FROM {0} x ASOF JOIN cuts c ON x.e <= c.e"
-PAIRS = """CREATE OR REPLACE TEMP TABLE doc_pairs AS
-  SELECT x.d, x.id AS a, y.id AS b, CAST(sum(x.n * y.n) AS BIGINT) AS links
-  FROM (SELECT g, d, id, count(*) AS n FROM a_in GROUP BY g, d, id) x
-  JOIN (SELECT g, id, count(*) AS n FROM b_in GROUP BY g, id) y USING (g) GROUP BY x.d, x.id, y.id"""
+  SELECT e, d, CAST(sum(1) OVER (ROWS UNBOUNDED PRECEDING) AS INTEGER) - 1 AS g, e - coalesce(lag(e) OVER (), 0) AS width FROM (SELECT a.e, a.d FROM a SEMI JOIN b USING (e) ORDER BY a.e)"""
+TOKENS = "CREATE OR REPLACE TEMP TABLE {0}_in AS SELECT x.e, x.id, c.g, c.d, c.width FROM {0} x ASOF JOIN cuts c ON x.e <= c.e"
+PAIRS = f"""CREATE OR REPLACE TEMP TABLE doc_pairs AS
+  SELECT x.d, x.id AS a, y.id AS b, count(*) AS links FROM (SELECT d, id, g FROM a_in WHERE width <= {NARROW}) x JOIN (SELECT id, g FROM b_in WHERE width <= {NARROW}) y USING (g) GROUP BY x.d, x.id, y.id"""
+WIDE = f"""INSERT INTO doc_pairs SELECT x.d, x.id, y.id, CAST(sum(x.n * y.n) AS BIGINT)
+  FROM (SELECT g, d, id, count(*) AS n FROM a_in WHERE width > {NARROW} GROUP BY g, d, id) x
+  JOIN (SELECT g, id, count(*) AS n FROM b_in WHERE width > {NARROW} GROUP BY g, id) y USING (g) GROUP BY x.d, x.id, y.id"""
+MERGED = "CREATE OR REPLACE TEMP TABLE doc_pairs AS SELECT d, a, b, CAST(sum(links) AS BIGINT) AS links FROM doc_pairs GROUP BY d, a, b"
 BLOCK_PAIRS = "CREATE OR REPLACE TEMP TABLE pairs AS SELECT a, b, count(*) AS docs, row_number() OVER (ORDER BY a, b) - 1 AS place FROM doc_pairs GROUP BY a, b"
 
 
 class Vocabulary:
-    """Bytes of each id, and the ids as text with what may follow them in a listing."""
+    """Bytes of each id, and the ids as text: with a comma, then with what follows the last one of a group."""
 
-    def __init__(self, raw: list[bytes]):
+    def __init__(self, raw: list[bytes], close: str):
         self.raw = raw
         self.length = np.array([len(x) for x in raw], "int64")
-        self.comma = np.array([f"{i}," for i in range(len(raw))], object)
-        self.last = np.array([str(i) for i in range(len(raw))], object)
+        self.listed = np.array([f"{i}{end}" for end in (",", close) for i in range(len(raw))], object)
 
     def spells(self, ids: list[int], wanted: bytes) -> bool:
         return b"".join([self.raw[i] for i in ids]) == wanted
@@ -72,7 +74,9 @@ def byte_tokenizer(ranks_path: str, pattern: str):
     for piece, i in ranks.items():
         raw[i] = piece
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return (lambda texts: [encoding.encode_ordinary(f" {t}") for t in texts]), Vocabulary(raw)
+    if missing := set(bytes([b]) for b in range(256)) - set(ranks):
+        raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
+    return (lambda texts: [encoding.encode_ordinary(f" {t}") for t in texts]), Vocabulary(raw, "|")
 
 
 @functools.cache
@@ -82,7 +86,7 @@ def piece_tokenizer(model_path: str):
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     bytes_of = lambda i: bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(SPACE, " ").encode()
-    return (lambda texts: model.encode(texts, num_threads=1)), Vocabulary([bytes_of(i) for i in range(model.vocab_size())])
+    return (lambda texts: model.encode(texts, num_threads=1)), Vocabulary([bytes_of(i) for i in range(model.vocab_size())], ";")
 
 
 @functools.cache
@@ -99,7 +103,8 @@ def align_block(ids: list, texts: list[str], block: int, a_files: tuple, b_files
     """One row for each document of a block, and a last one, without an id of its own, for the pairs of the block."""
     (encode_a, a), (encode_b, b) = byte_tokenizer(*a_files), piece_tokenizer(*b_files)
     wanted = [f" {t}".encode() for t in texts]
-    tokens = [(x, y) if t and a.spells(x, w) and b.spells(y, w) else ([], []) for t, w, x, y in zip(texts, wanted, encode_a(texts), encode_b(texts), strict=True)]
+    # tokens of A spell every text, as its vocabulary has all bytes; those of B do not where its model changes characters
+    tokens = [(x, y) if t and b.spells(y, w) else ([], []) for t, w, x, y in zip(texts, wanted, encode_a(texts), encode_b(texts), strict=True)]
     n = len(texts)
     n_a, n_b = (np.array([len(t[k]) for t in tokens], "int64") for k in (0, 1))
     groups, links, digests = np.zeros(n, "int64"), np.zeros(n, "int64"), [""] * n
@@ -107,15 +112,19 @@ def align_block(ids: list, texts: list[str], block: int, a_files: tuple, b_files
     place, count, bounds = empty, empty.astype("int64"), np.zeros(n + 1, "int64")
     pairs = {"a": empty, "b": empty, "docs": empty}
     if n_a.any():
-        id_a, id_b = (np.fromiter((i for t in tokens for i in t[k]), "int32") for k in (0, 1))
-        end_a, end_b = np.cumsum(a.length[id_a]), np.cumsum(b.length[id_b])
+        id_a, id_b = (np.fromiter(chain.from_iterable(t[k] for t in tokens), "int32", count=int(sizes.sum())) for k, sizes in ((0, n_a), (1, n_b)))
+        width = "int32" if sum(map(len, wanted)) < 1 << 31 else "int64"
+        end_a, end_b = (np.cumsum(x, dtype="int64").astype(width) for x in (a.length[id_a], b.length[id_b]))
         some = np.flatnonzero(n_a)
         con = _database()
-        con.register("a", pa.table({"e": end_a, "id": id_a}))
+        con.register("a", pa.table({"e": end_a, "id": id_a, "d": np.repeat(np.arange(n, dtype="int32"), n_a)}))
         con.register("b", pa.table({"e": end_b, "id": id_b}))
-        con.register("texts", pa.table({"e": np.cumsum([len(wanted[d]) for d in some]), "d": some}))
-        for statement in (GROUPS, TOKENS.format("a"), TOKENS.format("b"), PAIRS, BLOCK_PAIRS):
+        for statement in (GROUPS, TOKENS.format("a"), TOKENS.format("b"), PAIRS):
             con.execute(statement)
+        if con.execute(f"SELECT count(*) FROM cuts WHERE width > {NARROW}").fetchone()[0]:
+            con.execute(WIDE)
+            con.execute(MERGED)
+        con.execute(BLOCK_PAIRS)
         in_a, in_b = (con.execute(f"SELECT g FROM {x}_in ORDER BY e").fetchnumpy()["g"] for x in "ab")
         cuts = con.execute("SELECT e, d FROM cuts ORDER BY g").fetchnumpy()
         groups = np.bincount(cuts["d"], minlength=n)
@@ -127,14 +136,8 @@ def align_block(ids: list, texts: list[str], block: int, a_files: tuple, b_files
         # the listing: a group's ids of A, then those of B; the last of each is closed by | and by ;
         size_a, size_b = np.bincount(in_a, minlength=len(cuts["e"])), np.bincount(in_b, minlength=len(cuts["e"]))
         listing = np.empty(len(id_a) + len(id_b), object)
-        for vocabulary, token, end, at, close in (
-            (a, id_a, end_a, np.arange(len(id_a)) + (np.cumsum(size_b) - size_b)[in_a], "|"),
-            (b, id_b, end_b, np.arange(len(id_b)) + np.cumsum(size_a)[in_b], ";"),
-        ):
-            within = in_a if vocabulary is a else in_b
-            closes = end == cuts["e"][within]
-            listing[at[~closes]] = vocabulary.comma[token[~closes]]
-            listing[at[closes]] = vocabulary.last[token[closes]] + close
+        listing[np.arange(len(id_a)) + (np.cumsum(size_b) - size_b)[in_a]] = a.listed[id_a + len(a.raw) * (end_a == cuts["e"][in_a])]
+        listing[np.arange(len(id_b)) + np.cumsum(size_a)[in_b]] = b.listed[id_b + len(b.raw) * (end_b == cuts["e"][in_b])]
         edges = np.cumsum([0, *(n_a + n_b)])
         for d in some:
             digests[d] = hashlib.sha256("".join(listing[edges[d] : edges[d + 1]].tolist())[:-1].encode()).hexdigest()
