@@ -76,11 +76,12 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-def visible_text(source: str, rounds: int = 3) -> str:
-    """Escaped markup is unescaped first, a few rounds at most."""
-    for _ in range(rounds):
-        if "&lt;" not in source and "&amp;lt;" not in source:
-            break
+ESCAPED = re.compile(r"&(?:amp;)*lt;")
+
+
+def visible_text(source: str) -> str:
+    """Escaped markup is unescaped first, as often as it was escaped: each round leaves fewer characters."""
+    while ESCAPED.search(source):
         source = html.unescape(source)
     parser = _Text()
     parser.feed(source)
@@ -98,7 +99,7 @@ def html_to_text(sources: pd.Series) -> pd.Series:
 MASKS = (
     (r"(https?://)?(www\.)?(linkedin\.com/in|github\.com|gitlab\.com)/[^\s)]+", "[personal-url]"),
     (r"\bBearer [A-Za-z0-9._-]{16,}", "[secret]"),
-    (r"\b(gsk_|sk-|tvly-)[A-Za-z0-9_-]{16,}", "[secret]"),
+    (r"\b(sk|pk|rk|gsk|tvly|hf|npm|shpat|glpat|gh[oprsu]|xox[abeoprs])[-_][A-Za-z0-9_-]{16,}", "[secret]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[email]"),
     (r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", "[tax-id]"),
     (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[card]"),

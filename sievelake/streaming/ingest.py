@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sievelake.operators.evidence import EvidenceStore
 from sievelake.operators.state import ingest
 
 
@@ -22,22 +23,26 @@ def event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", F.coalesce("published_at", "updated_at", "fetched_at"))
 
 
+SILVER = "identity string, payload_hash string, semantic_hash string, stored_at timestamp, batch_id long"
+
+
 def to_silver(bronze: DataFrame, silver: str, observations: str, stale_before: Column, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch against the evidence stored so far: new evidence is appended, and everything is observed.
+    """Each micro-batch against the evidence stored so far: new evidence is a version more of the store, and everything is observed.
 
-    A batch that is run again after a failure finds its own evidence, and only what is missing is written.
+    Of the store only files that may hold one of the batch's identities are read. The store is made if it is not there. A
+    batch that is run again after a failure finds its own evidence by its name, and its observations once more.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = "identity string, payload_hash string, semantic_hash string, stored_at timestamp, batch_id long"
-        known = spark.read.schema(columns).parquet(silver)
-        outcome = ingest(batch, known.where(F.col("batch_id") < batch_id), stale_before).persist()
-        mine = known.where(F.col("batch_id") == batch_id)
+        store = EvidenceStore(batch.sparkSession, silver, SILVER)
+        batch = batch.persist()
+        known = store.lookup(batch).where(F.col("batch_id") < batch_id)
+        outcome = ingest(batch, known, stale_before).persist()
         new = outcome.where("outcome = 'NEW'").select("identity", "payload_hash", "semantic_hash", F.col("fetched_at").alias("stored_at"), F.lit(batch_id).cast("long").alias("batch_id"))
-        new.join(mine, ["identity", "payload_hash", "semantic_hash"], "left_anti").write.mode("append").parquet(silver)
+        store.append(new, f"batch-{batch_id}")
         outcome.select("identity", "payload_hash", "fetched_at", "outcome", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite").parquet(f"{observations}/batch={batch_id}")
         outcome.unpersist()
+        batch.unpersist()
 
     return bronze.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

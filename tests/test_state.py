@@ -6,6 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from sievelake.operators import aggregates, resolution, scoring, state
+from sievelake.operators.evidence import EvidenceStore
 from sievelake.operators.latest import rotated, seeded_sample
 from sievelake.streaming import ingest as streams
 
@@ -115,13 +116,15 @@ def test_stream_to_silver_equals_batch(spark, tmp_path):
     bronze.coalesce(1).write.parquet(str(tmp_path / "bronze"))
     silver, seen = str(tmp_path / "silver"), str(tmp_path / "seen")
     columns = "identity string, payload_hash string, semantic_hash string, stored_at timestamp, batch_id long"
-    spark.createDataFrame([], columns).write.parquet(silver)
     stream = spark.readStream.schema(BATCH).parquet(str(tmp_path / "bronze"))
     cut = F.lit(NOW - 45 * DAY)
     run_stream(streams.to_silver(stream, silver, seen, cut, str(tmp_path / "checkpoint")))
     twin = state.ingest(bronze, spark.createDataFrame([], columns), cut)
     key = lambda df: sorted(map(tuple, df.select("identity", "payload_hash").collect()))
-    assert key(spark.read.parquet(silver)) == key(twin.where("outcome = 'NEW'"))
+    store = EvidenceStore(spark, silver, streams.SILVER)
+    assert key(store.rows()) == key(twin.where("outcome = 'NEW'"))
+    again = store.append(twin.where("outcome = 'NEW'").select("identity", "payload_hash", "semantic_hash", F.col("fetched_at").alias("stored_at"), F.lit(0).cast("long").alias("batch_id")), "batch-0")
+    assert again == store.version() == 1 and key(store.rows()) == key(twin.where("outcome = 'NEW'"))
     assert spark.read.parquet(seen).groupBy("outcome").count().orderBy("outcome").collect() == twin.groupBy("outcome").count().orderBy("outcome").collect()
 
 
