@@ -6,6 +6,7 @@ import html
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -193,12 +194,65 @@ def fitted(text: str, limit: int) -> str:
     return "\n".join(kept)
 
 
+#: What Python strips, for Java's expressions.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
+def _java(pattern: str) -> str:
+    """A pattern of this module as Java reads it alike: any letter's case, any script's words, the line's own end."""
+    return "(?iuUs)" + pattern.removeprefix("(?i)").replace("$", r"\z")
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+
+
+def _pieces(lines: Column, begins: Callable[[Column], Column]) -> Column:
+    """Lines cut into runs, each from a line that begins one: by the numbers of those lines, and of the next ones."""
+    numbers = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | begins(F.get(lines, i)))
+    ends = F.concat(F.slice(numbers, 2, F.size(numbers)), F.array(F.size(lines)))
+    return F.zip_with(numbers, ends, lambda a, b: F.slice(lines, a + 1, b - a))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def section_parts(text: Column) -> Column:
+    """sections(), by built-in functions: array<struct<first, text>>."""
+    heading = _java(HEADING.pattern).replace("(?iuUs)", "(?s)")
+    parts = _bound(F.split(text, "\n"), lambda lines: _pieces(lines, lambda line: _stripped(line).rlike(heading)))
+    said = F.transform(parts, lambda p: F.struct(_stripped(F.get(p, F.lit(0))).rlike(_java(PRIORITY.pattern)).alias("first"), _stripped(F.array_join(p, "\n")).alias("text")))
+    return F.filter(said, lambda p: p["text"] != "")
+
+
+def _at_sentence(text: Column, limit: Column) -> Column:
+    def cut(head: Column) -> Column:
+        whole = F.regexp_extract(head, rf"(?sU)\A(.*(?:[.!?](?={_SPACE}|\z)|\n))", 1)
+        return F.regexp_replace(F.when(whole != "", whole).when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)\A(.*) ", 1)).otherwise(head), rf"(?U){_SPACE}+\z", "")
+
+    return F.when(F.length(text) <= limit, text).otherwise(_bound(F.substring(text, 1, limit), cut))
+
+
 def truncate_at_sentence(text: Column, limit: int) -> Column:
-    return F.pandas_udf(lambda t: _each(t, lambda x: at_sentence(x, limit)), T.StringType())(text)
+    """at_sentence(), by built-in functions."""
+    return _at_sentence(text, F.lit(limit))
 
 
 def fit_by_section(text: Column, limit: int) -> Column:
-    return F.pandas_udf(lambda t: _each(t, lambda x: fitted(x, limit)), T.StringType())(text)
+    """fitted(), by built-in functions: the sections in their order of use, and a running rest of the limit."""
+
+    def step(state: Column, part: Column) -> Column:
+        def take(piece: Column) -> Column:
+            kept = F.when(piece != "", F.array_append(state["kept"], piece)).otherwise(state["kept"])
+            return F.struct(kept.alias("kept"), (state["left"] - F.length(piece) - 1).cast("int").alias("left"))
+
+        return F.when(state["left"] > 0, _bound(_at_sentence(part["text"], state["left"]), take)).otherwise(state)
+
+    ordered = _bound(section_parts(text), lambda p: F.concat(F.filter(p, lambda x: x["first"]), F.filter(p, lambda x: ~x["first"])))
+    nothing = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(limit).alias("left"))
+    return F.when(F.length(text) <= limit, text).otherwise(F.aggregate(ordered, nothing, step, lambda s: F.array_join(s["kept"], "\n")))
 
 
 #: Lines that say nothing of the posting itself, and facts for which a line stays anyway.
@@ -219,9 +273,16 @@ def without_boilerplate(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
 
 
-@F.pandas_udf(T.StringType())
-def clean_description(texts: pd.Series) -> pd.Series:
-    return _each(texts, without_boilerplate)
+def clean_description(text: Column) -> Column:
+    """without_boilerplate(), by built-in functions: runs of lines between blank ones, cut at their first line of boilerplate."""
+    said = lambda line, pattern: line.rlike(_java(pattern.pattern))
+
+    def kept(run: Column) -> Column:
+        flags = F.transform(run, lambda line: said(line, BOILERPLATE))
+        return _bound(F.array_position(flags, True), lambda first: F.filter(run, lambda line, i: (first == 0) | (i < first - 1) | said(line, DECISIVE)))
+
+    runs = _bound(F.split(text, "\n"), lambda lines: _pieces(lines, lambda line: _stripped(line) == ""))
+    return _stripped(F.regexp_replace(F.array_join(F.flatten(F.transform(runs, kept)), "\n"), r"\n{3,}", "\n\n"))
 
 
 def departments(*sources: Column) -> Column:

@@ -52,6 +52,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, least: f
     return hits.join(sizes, item_id).where(share >= least).select(doc_id, item_id, "shared", F.round(share, 6).alias("contained"))
 
 
+def character_bag(text: Column) -> Column:
+    """A text's characters, each with its number among its equals, as strings: what two texts share is what their bags share."""
+    letters = lambda t: F.filter(F.split(t, ""), lambda x: x != "")
+    numbered = lambda found: F.transform(found, lambda x, i: F.concat(x, (i + 1 - F.array_position(found, x)).cast("string")))
+    return F.transform(F.array(F.array_sort(letters(text))), numbered)[0]
+
+
 #: At most about so many different titles of a block are compared with so many by one task.
 BLOCK_TITLES = 512
 
@@ -69,17 +76,20 @@ def similar_titles(df: DataFrame, key: str, block: str, title: str, least: float
     members = known.join(names, ["_block", "_a"]).select(F.lit("member").alias("kind"), key, b, F.lit(1.0).alias("ratio"))
 
     sizes = names.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / block_titles).cast("int").alias("_parts"))
+    names = names.withColumn("_bag", character_bag(F.col("_a")))
     dealt = names.join(sizes, "_block").withColumn("_part", F.pmod(F.xxhash64("_a"), F.col("_parts")).cast("int"))
     parts = F.sequence(F.lit(0), F.col("_parts") - 1)
     # each two parts meet once, in the order of their numbers
-    left = dealt.select("_block", F.col(b).alias("_ka"), "_a", F.col("_part").alias("_p"), F.explode(F.filter(parts, lambda x: x >= F.col("_part"))).alias("_q"))
-    right = dealt.select("_block", F.col(b).alias("_kb"), F.col("_a").alias("_b"), F.col("_part").alias("_q"), F.explode(F.filter(parts, lambda x: x <= F.col("_part"))).alias("_p"))
+    left = dealt.select("_block", F.col(b).alias("_ka"), "_a", F.col("_bag").alias("_bag_a"), F.col("_part").alias("_p"), F.explode(F.filter(parts, lambda x: x >= F.col("_part"))).alias("_q"))
+    right = dealt.select("_block", F.col(b).alias("_kb"), F.col("_a").alias("_b"), F.col("_bag").alias("_bag_b"), F.col("_part").alias("_q"), F.explode(F.filter(parts, lambda x: x <= F.col("_part"))).alias("_p"))
     met = left.join(right, ["_block", "_p", "_q"]).where((F.col("_p") < F.col("_q")) | (F.col("_ka") < F.col("_kb")))
     ahead = F.col("_ka") < F.col("_kb")  # the likeness of two titles is asked in the order of their keys
-    pairs = met.select(F.least("_ka", "_kb").alias(key), F.greatest("_ka", "_kb").alias(b), F.when(ahead, F.col("_a")).otherwise(F.col("_b")).alias("_a"), F.when(ahead, F.col("_b")).otherwise(F.col("_a")).alias("_b"))
-    # twice the shorter one over both lengths is the most that a ratio can be
+    pairs = met.select(F.least("_ka", "_kb").alias(key), F.greatest("_ka", "_kb").alias(b), F.when(ahead, F.col("_a")).otherwise(F.col("_b")).alias("_a"), F.when(ahead, F.col("_b")).otherwise(F.col("_a")).alias("_b"), "_bag_a", "_bag_b")
+    # what two titles match in is no more than the characters that both have, each as often as both have it: twice that
+    # over both lengths bounds the ratio, and only pairs that it lets through are matched block by block
     longest = F.length("_a") + F.length("_b")
     pairs = pairs.where(2 * F.least(F.length("_a"), F.length("_b")) >= least * longest)
+    pairs = pairs.where(2 * F.size(F.array_intersect("_bag_a", "_bag_b")) >= least * longest)
     alike = pairs.withColumn("ratio", title_ratio("_a", "_b")).where(F.col("ratio") >= least)
     return alike.select(F.lit("pair").alias("kind"), key, b, F.round("ratio", 6).alias("ratio")).union(members)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelake.plans.base import query, table
-from sievelake.sources import feeds
+from sievelake.session import scratch
+from sievelake.sources import feeds, inbound, sitemaps
 
 #: What a posting of each part says: the SQL twin of offered().
 OFFERED = """
@@ -27,11 +32,15 @@ def offered(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), title.alias("title"), F.concat(F.lit("https://x.example/"), F.col("p_partkey").cast("string")).alias("url"), place.alias("place"), F.col("p_type").alias("body"), F.concat(day.cast("string"), F.lit("T00:00:00")).alias("day"), size.alias("p_size"))
 
 
+#: A landed document holds items of so many numbers at most, so it does not grow with the table.
+DOCUMENT_ITEMS = 2_000
+
+
 def documents_of(rows, item, key: str | None):
-    """A landed document for each brand: its items under the key, or as a bare list."""
+    """Landed documents of each brand, of DOCUMENT_ITEMS numbers each: their items under the key, or as a bare list."""
     listed = F.collect_list(item)
     body = F.to_json(F.struct(listed.alias(key))) if key else F.to_json(listed)
-    return rows.groupBy("brand").agg(body.alias("body")).select(F.col("brand").alias("path"), "body")
+    return rows.groupBy("brand", F.floor(F.col("id") / DOCUMENT_ITEMS)).agg(body.alias("body")).select(F.col("brand").alias("path"), "body")
 
 
 def read(records):
@@ -149,6 +158,106 @@ def feed_sitemap(spark, sf_dir):
     """Addresses of sitemaps and of indexes of them; documents with a type definition are refused."""
     last = F.right("brand", F.lit(1))
     locs = F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), F.col("url"), F.lit("\n</loc></url>"))), "")
-    maps = offered(spark, sf_dir).groupBy("brand").agg(locs.alias("locs"))
+    maps = offered(spark, sf_dir).groupBy("brand", F.floor(F.col("id") / DOCUMENT_ITEMS)).agg(locs.alias("locs"))
     head = F.when(last == "3", '<!doctype x><urlset>').when(last.cast("int") % 2 == 0, "<sitemapindex>").otherwise("<urlset>")
     return feeds.sitemap(maps.select(F.col("brand").alias("path"), F.concat(head, F.col("locs")).alias("body")))
+
+
+@query(OFFERED + """, d AS (SELECT *, brand || '/' || id // 200 AS path, right(brand, 1) AS last, row_number() OVER (PARTITION BY brand, id // 200 ORDER BY id) - 1 AS ordinal FROM o), s AS (SELECT unnest(['greenhouse', 'lever', 'teamtailor']) AS source_type)
+SELECT DISTINCT source_type, path, CAST(NULL AS INTEGER) AS ordinal, CASE last WHEN '3' THEN 'MALFORMED' WHEN '4' THEN 'EMPTY' ELSE 'NO_ITEMS' END AS reason FROM d, s WHERE last IN ('3', '4', '5')
+UNION ALL SELECT source_type, path, CAST(ordinal AS INTEGER), CASE WHEN title IS NULL THEN 'NO_TITLE' WHEN id % 13 = 0 THEN 'NO_ID' ELSE 'BAD_TIME' END FROM d, s WHERE last NOT IN ('3', '4', '5') AND (title IS NULL OR id % 13 = 0 OR (id % 17 = 0 AND source_type <> 'lever'))""")
+def feed_dead_letters(spark, sf_dir):
+    """What can't be read of landed files of which some are cut off, empty or of another shape, and some items lack what they must have: each with its reason."""
+    rows = offered(spark, sf_dir).withColumn("doc", F.floor(F.col("id") / 200))
+    key, day = F.when(F.col("id") % 13 > 0, F.col("id").cast("string")), F.when(F.col("id") % 17 == 0, "soon").otherwise(F.col("day"))
+    found = []
+    for source_type, at, item in (
+        ("greenhouse", "jobs", F.struct(key.alias("id"), "title", day.alias("first_published"))),
+        ("lever", None, F.struct(key.alias("id"), F.col("title").alias("text"))),
+        ("teamtailor", "items", F.struct(key.alias("id"), "title", day.alias("date_published"))),
+    ):
+        listed = F.array_sort(F.collect_list(F.struct(F.col("id").alias("n"), item.alias("item"))))["item"]
+        body = F.to_json(F.struct(listed.alias(at))) if at else F.to_json(listed)
+        docs = rows.groupBy("brand", "doc").agg(body.alias("body"))
+        last = F.right("brand", F.lit(1))
+        broken = F.when(last == "3", F.substr("body", F.lit(1), F.length("body") - 3)).when(last == "4", "  ").when(last == "5", '{"other": []}').otherwise(F.col("body"))
+        landed = docs.select(F.concat_ws("/", "brand", F.col("doc").cast("string")).alias("path"), broken.alias("body"))
+        found.append(inbound.isolated(source_type, landed, "Acme")[1].drop("raw"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+ROOT = "https://x.example/root.xml"
+
+
+@F.pandas_udf(T.BinaryType())
+def gzipped(texts: pd.Series) -> pd.Series:
+    return pd.Series([gzip.compress(t.encode()) for t in texts], dtype=object)
+
+
+@query(OFFERED + """, f AS (SELECT DISTINCT brand, id // 500 AS doc, right(brand, 1) AS last, 'https://x.example/' || replace(brand, '#', '') || '-' || id // 500 || '.xml' AS name FROM o), root AS (SELECT 'https://x.example/root.xml' AS root),
+e AS (SELECT url, brand, id // 500 AS doc FROM o)
+SELECT root AS sitemap, 0 AS depth, true AS is_index, unnest([name, root, 'https://x.example/none.xml']) AS loc, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT root, name FROM root, f) WHERE false
+UNION ALL SELECT root, 0, true, name, NULL FROM root, f UNION ALL SELECT root, 0, true, root, NULL FROM root UNION ALL SELECT root, 0, true, 'https://x.example/none.xml', NULL FROM root
+UNION ALL SELECT 'https://x.example/none.xml', 1, false, NULL, 'MISSING'
+UNION ALL SELECT name, 1, false, NULL, 'DOCTYPE' FROM f WHERE last = '3'
+UNION ALL SELECT name, 1, true, root, NULL FROM f, root WHERE last = '7' UNION ALL SELECT name, 1, true, name || '.deep', NULL FROM f WHERE last = '7'
+UNION ALL SELECT name || '.deep', 2, false, url, NULL FROM f JOIN e USING (brand, doc) WHERE last = '7'
+UNION ALL SELECT name, 1, false, url, NULL FROM f JOIN e USING (brand, doc) WHERE last NOT IN ('3', '7')""")
+def sitemap_frontier(spark, sf_dir):
+    """All addresses that a root index leads to, by indexes of indexes, one of which leads back; some files are packed, one is missing, some are refused."""
+    rows = offered(spark, sf_dir).withColumn("doc", F.floor(F.col("id") / 500).cast("string"))
+    name, last = F.concat(F.lit("https://x.example/"), F.replace("brand", F.lit("#"), F.lit("")), F.lit("-"), F.col("doc"), F.lit(".xml")), F.right("brand", F.lit(1))
+    loc = lambda c: F.concat(F.lit("<loc>"), c, F.lit("</loc>"))
+    maps = rows.groupBy("brand", "doc").agg(F.array_join(F.collect_list(loc(F.col("url"))), "").alias("urls")).select(name.alias("url"), last.alias("last"), "urls")
+    plain = F.concat(F.lit("<urlset>"), F.col("urls"), F.lit("</urlset>"))
+    up = F.concat(F.lit("<sitemapindex>"), loc(F.lit(ROOT)), loc(F.concat("url", F.lit(".deep"))), F.lit("</sitemapindex>"))
+    body = F.when(F.col("last") == "3", F.concat(F.lit("<!doctype x>"), plain)).when(F.col("last") == "7", up).otherwise(plain)
+    files = maps.select("url", F.when(F.col("last").isin("0", "2", "4", "6", "8"), gzipped(body)).otherwise(F.encode(body, "utf-8")).alias("content"))
+    deep = maps.where("last = '7'").select(F.concat("url", F.lit(".deep")).alias("url"), F.encode(plain, "utf-8").alias("content"))
+    named = maps.agg(F.array_join(F.collect_list(loc(F.col("url"))), "").alias("urls"))
+    root = named.select(F.lit(ROOT).alias("url"), F.encode(F.concat(F.lit("<sitemapindex>"), "urls", loc(F.lit(ROOT)), loc(F.lit("https://x.example/none.xml")), F.lit("</sitemapindex>")), "utf-8").alias("content"))
+    return sitemaps.crawl(files.union(deep).union(root), spark.createDataFrame([(ROOT,)], "url string"))
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def exported_suppliers(spark, sf_dir):
+    """A table written as lines of JSON with its name, and read back from among others."""
+    path = scratch(spark, "export")
+    feeds.export_rows(table(spark, sf_dir, "supplier"), "supplier", f"{path}/supplier")
+    feeds.export_rows(table(spark, sf_dir, "region"), "region", f"{path}/region")
+    return feeds.import_rows(spark, f"{path}/*", "supplier", "s_suppkey bigint, s_name string, s_acctbal double")
+
+
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN 'https://' || c_custkey || '.example' END AS website, CASE WHEN c_custkey % 2 = 0 THEN 'a' || c_custkey || '|b' || c_custkey END AS aliases, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS priority FROM customer WHERE c_custkey % 11 > 0")
+def company_exports(spark, sf_dir):
+    """Companies from a CSV export: headings in any case, aliases split, each once, rows without a name left out."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.when(k % 11 > 0, F.col("c_name")).alias("COMPANY Name"), F.when(k % 3 > 0, F.concat(F.lit("https://"), k.cast("string"), F.lit(".example"))).alias("Website"), F.when(k % 2 == 0, F.concat(F.lit("a"), k.cast("string"), F.lit("; b"), k.cast("string"), F.lit(";;a"), k.cast("string"))).alias("aliases"), F.when(k % 5 > 0, F.lower("c_mktsegment")).alias("PRIORITY"))
+    path = scratch(spark, "companies")
+    rows.write.csv(path, header=True)
+    found = feeds.company_export(spark, path, "csv")
+    return found.select("name", "website", F.array_join("aliases", "|").alias("aliases"), "priority")
+
+
+@query("SELECT n_name AS name, 'https://x.example/' || n_nationkey AS link, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+def markdown_catalogue(spark, sf_dir):
+    """Rows of pipe tables in landed files: cells, and the links in them; heads, rules and prose are passed over."""
+    line = F.concat(F.lit("| ["), "n_name", F.lit("](https://x.example/"), F.col("n_nationkey").cast("string"), F.lit(") | "), F.col("n_regionkey").cast("string"), F.lit(" |"))
+    path = scratch(spark, "markdown")
+    table(spark, sf_dir, "nation").select(F.concat(F.lit("Some prose.\n\n| Name | Region |\n|:---|---:|\n"), line)).write.text(path)
+    rows = feeds.markdown_table(spark, path).where(F.size("links") > 0)
+    return rows.select(F.regexp_extract(F.get("cells", F.lit(0)), r"\[(.*?)\]", 1).alias("name"), F.get("links", F.lit(0)).alias("link"), F.get("cells", F.lit(1)).alias("region"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 7 OFFSET 14")
+def third_page(spark, sf_dir):
+    """A page of a full scan: its size is the feature."""
+    return feeds.paged(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 7, 2)
+
+
+@query("SELECT l_shipmode AS mode, n FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n FROM lineitem GROUP BY 1)")
+def written_report(spark, sf_dir):
+    """A report as an immutable file of JSON, read back."""
+    path = scratch(spark, "report")
+    feeds.write_report(table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("mode")).agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("mode string, n long").json(path)

@@ -332,3 +332,16 @@ def source_baseline(spark, sf_dir):
     counts = documents(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") < 200).alias("short"))
     line = F.concat_ws(":", "source", F.col("n").cast("string"), F.col("short").cast("string"))
     return counts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("source", line.alias("line"))))["line"], ";"), 256).alias("digest"), F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, i, regexp_replace(line, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS line FROM l),
+h AS (SELECT *, i = 0 OR (length(line) BETWEEN 3 AND 60 AND regexp_matches(line, '^(#+\s*|\*\*)?[A-ZÀ-Ý][^.!?]*:?\**$')) AS begins FROM t),
+s AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM h),
+p AS (SELECT doc_id, part, bool_or(line <> '') AS has_text, bool_or(begins AND regexp_matches(line, '(?i)^[^\p{L}\p{N}_]*(requirements?|qualifications?|requisitos|qualifica|responsibilit|responsabilidades|what you|about the role|sobre a vaga|benef|salary|sal[aá]rio)')) AS leads FROM s GROUP BY 1, 2)
+SELECT doc_id, count(*) FILTER (WHERE has_text) AS n_sections, count(*) FILTER (WHERE has_text AND leads) AS n_first FROM p GROUP BY 1""")
+def section_counts(spark, sf_dir):
+    """Sections of whole texts, cut at headings, and how many of them come first."""
+    parts = text.section_parts(F.col("text"))
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", F.size(parts).cast("long").alias("n_sections"), F.size(F.filter(parts, lambda p: p["first"])).cast("long").alias("n_first"))
