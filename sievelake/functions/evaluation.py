@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sievelake.functions.search import MARKED, PLAIN
 
 PORTUGUESE = frozenset("a ao as com como da das de do dos e em mais na nas no nos nao o os ou para por que se sem sua um uma vaga".split())
 
@@ -36,22 +38,42 @@ def portuguese_share(text: str | None) -> float | None:
     return sum(w in PORTUGUESE for w in found) / len(found) if found else None
 
 
-@F.pandas_udf(T.DoubleType())
-def coverage(expected: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([covered(list(e) if e is not None else [], t) for e, t in zip(expected, texts, strict=True)], dtype="float64")
+def said_words(text: Column) -> Column:
+    """words(), by built-in functions."""
+    plain = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}", ""), MARKED, PLAIN)
+    return F.regexp_extract_all(plain, F.lit("[a-z0-9+#]+"), F.lit(0))
+
+
+def _lacking(claim: Column, have: Column) -> Column:
+    return F.array_except(said_words(claim), have)
+
+
+def _of_claims(claims: Column, source: Column, counts: Callable[[Column], Column]) -> Column:
+    """The share of claims for which something holds of the words that the source lacks; none without a claim."""
+    n = F.transform(F.array(said_words(source)), lambda have: F.size(F.filter(claims, lambda c: counts(_lacking(c, have)))))[0]
+    return F.when(F.size(claims) > 0, n / F.size(claims))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def inventions(claims: pd.Series, sources: pd.Series) -> pd.Series:
-    return pd.Series([invented(list(c) if c is not None else [], s) for c, s in zip(claims, sources, strict=True)], dtype=object)
+def coverage(expected: Column, text: Column) -> Column:
+    """covered(), by built-in functions."""
+    return _of_claims(expected, text, lambda lacking: F.size(lacking) == 0)
 
 
-@F.pandas_udf(T.DoubleType())
-def language_share(texts: pd.Series) -> pd.Series:
-    return pd.Series([portuguese_share(t) for t in texts], dtype="float64")
+def telling(words: Column) -> Column:
+    """Those that make a claim an invention: numbers, and words of more than three letters."""
+    return F.filter(words, lambda w: w.rlike("^[0-9]+$") | (F.length(w) > 3))
 
 
-@F.pandas_udf(T.DoubleType())
-def fidelity(claims: pd.Series, sources: pd.Series) -> pd.Series:
+def inventions(claims: Column, source: Column) -> Column:
+    """invented(), by built-in functions."""
+    return F.transform(F.array(said_words(source)), lambda have: F.filter(claims, lambda c: F.size(telling(_lacking(c, have))) > 0))[0]
+
+
+def fidelity(claims: Column, source: Column) -> Column:
     """The share of claims that the source bears out; none without a claim."""
-    return pd.Series([None if c is None or not len(c) else 1 - len(invented(list(c), s)) / len(c) for c, s in zip(claims, sources, strict=True)], dtype="float64")
+    return 1 - _of_claims(claims, source, lambda lacking: F.size(telling(lacking)) > 0)
+
+
+def language_share(text: Column) -> Column:
+    """portuguese_share(), by built-in functions."""
+    return F.transform(F.array(said_words(text)), lambda ws: F.try_divide(F.size(F.filter(ws, lambda w: w.isin(*sorted(PORTUGUESE)))), F.size(ws)))[0]

@@ -44,7 +44,7 @@ def value_queue(df: DataFrame, value: Sequence[Column], age: Sequence[Column], l
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows that look random and are the same every time."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
 def rotated(terms: Sequence[str], block: int, turn: int) -> list[str]:

@@ -355,7 +355,7 @@ def staleness_order(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(last, "c_custkey", "left").select("c_custkey", weight.alias("weight")).orderBy(F.col("weight").desc(), "c_custkey").limit(100)
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 50")
 def sample_for_review(spark, sf_dir):
     """A seeded sample for human review: a sample is what it is for."""
     return seeded_sample(orders(spark, sf_dir), "o_orderkey", 7, 50).select("o_orderkey", "o_totalprice")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelake.plans import catalogue, entities, landings, readings, reports, runs, scoring, texts, writes  # noqa: F401
+from sievelake.plans import catalogue, entities, landings, queues, readings, reports, runs, scoring, texts, writes  # noqa: F401
 from sievelake.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "latest_run_health"

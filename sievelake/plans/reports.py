@@ -247,7 +247,7 @@ def summary_measures(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     pairs = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source")).join(turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text"), ["conv_id", "turn"])
     claims = F.split("text", r"\.\s")
-    return pairs.select("conv_id", "turn", evaluation.coverage(claims, "source").alias("coverage"), evaluation.fidelity(claims, "source").alias("fidelity"), evaluation.language_share("text").alias("share"))
+    return pairs.select("conv_id", "turn", evaluation.coverage(claims, F.col("source")).alias("coverage"), evaluation.fidelity(claims, F.col("source")).alias("fidelity"), evaluation.language_share(F.col("text")).alias("share"))
 
 
 @query(r"""
