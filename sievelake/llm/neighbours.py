@@ -10,30 +10,32 @@ pass whose cost is linear in them, and the walk is as long as the share GOAL of
 have structure, that is a number that hardly depends on the entries; where they have none, no partition of space tells
 near from far, and the number grows with them.
 
-Centroids are fitted on a bounded sample (SAMPLE vectors, by a hash of the id); every row is indexed. Cells lie one
+Centroids are fitted on a bounded sample (SAMPLE vectors, by a hash of their number); every row is indexed. Cells lie one
 after the other on a line, nearby ones of the first half together, which is cut into blocks of about BLOCK entries, a
 large cell into several; queries lie on the same line in blocks of QUERY_BLOCK. An entry goes only to those blocks of
 queries that probe its block, so a task holds neither all entries nor all queries. Of equal vectors only as many as an
 answer can hold, those with the smallest ids, are entries; no answer needs more of them, and one vector that is a third
 of all rows is no hot cell.
 
-Vectors that are null, zero, not of the commonest dimension, or hold null or non-finite components take no part, as
-queries or entries. Ties go to the smaller id. A repeated id is one vector, the least of its vectors in order of
-components, a query if any of its rows is one, and never its own neighbour. With fewer entries than asked for, all are
-returned. An empty table gives no rows. Only the named columns are read.
+Vectors that are null, zero, or hold null or non-finite components take no part, as queries or entries; nor do rows
+without an id. Vectors of different lengths have no distance: each length is searched by itself. Ties go to the smaller id.
+Rows are told apart by numbers of their own: each row of a repeated id is a query if it is one, and an entry for all rows
+but itself. With fewer entries than asked for, all are returned. An empty table gives no rows. Only the named columns are
+read.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import written
+from sievelake.llm.common import fresh, written
 
 SAMPLE, TRIALS, GOAL = 16_384, 256, 0.95
 #: Cells are as many as there are entries by ENTRIES_A_CELL, up to MOST_K a half: the driver holds a count for each cell.
@@ -98,7 +100,7 @@ def ordered(c: np.ndarray) -> np.ndarray:
 
 def exact_neighbours(entries: DataFrame, trials: pd.DataFrame, cell, k: int) -> pd.DataFrame:
     """(trial, cell) of the k nearest entries of each trial vector, of all entries: each task keeps the best it has seen."""
-    t, t_ids = np.stack(trials["v"].to_numpy()), trials["id"].to_numpy()
+    t, t_rows = np.stack(trials["v"].to_numpy()), trials["row"].to_numpy()
 
     def run(batches):
         d, ids, cells = (np.zeros((len(t), 0), kind) for kind in ("float64", "int64", "int64"))
@@ -106,17 +108,17 @@ def exact_neighbours(entries: DataFrame, trials: pd.DataFrame, cell, k: int) ->
             if not len(batch):
                 continue
             new = squares(t, np.stack(batch["v"].to_numpy()))
-            own = np.broadcast_to(batch["id"].to_numpy(), new.shape)
-            new[own == t_ids[:, None]] = np.inf
+            own = np.broadcast_to(batch["row"].to_numpy(), new.shape)
+            new[own == t_rows[:, None]] = np.inf
             d, ids, cells = (np.concatenate(x, axis=1) for x in ((d, new), (ids, own), (cells, np.broadcast_to(batch["cell"].to_numpy(), new.shape))))
             if d.shape[1] > k:
                 at = np.argpartition(d, k - 1, axis=1)[:, :k]
                 d, ids, cells = (np.take_along_axis(x, at, 1) for x in (d, ids, cells))
         trial, _ = np.nonzero(np.isfinite(d))
-        yield pd.DataFrame({"trial": trial, "d": d[np.isfinite(d)], "id": ids[np.isfinite(d)], "cell": cells[np.isfinite(d)]})
+        yield pd.DataFrame({"trial": trial, "d": d[np.isfinite(d)], "row": ids[np.isfinite(d)], "cell": cells[np.isfinite(d)]})
 
-    best = Window.partitionBy("trial").orderBy("d", "id")
-    found = entries.select("id", "v", cell("v").alias("cell")).mapInPandas(run, "trial long, d double, id long, cell long")
+    best = Window.partitionBy("trial").orderBy("d", "row")
+    found = entries.select("row", "v", cell("v").alias("cell")).mapInPandas(run, "trial long, d double, row long, cell long")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("trial", "cell").toPandas()  # TRIALS * k rows
 
 
@@ -156,22 +158,29 @@ def valid(vector: Column) -> Column:
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """(query_id, rank, id, score) of each query's k nearest rows by Euclidean distance."""
     spark = df.sparkSession
-    out = f"query_id long, rank int, {id_col} long, score double"
-    rows = df.withColumn("_q", is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col("_q").alias("q")).where(valid(F.col("v")) & F.col("id").isNotNull())
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], out)
-    dimension, n = sizes[0]["d"], sizes[0]["n"]
-    # one vector for each id, chosen by a total order, once
-    named = written(rows.where(F.size("v") == dimension).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
-    copies = Window.partitionBy("v").orderBy("id")
-    entries = written(named.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "v"), "entries")
+    flag = fresh(df, "query")
+    rows = df.withColumn(flag, is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(F.col(flag), F.lit(False)).alias("q")).where(valid(F.col("v")) & F.col("id").isNotNull())
+    # rows have numbers of their own: an id may be several rows
+    named = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    lengths = named.groupBy(F.size("v").alias("d")).agg(F.max("q").alias("asked")).where("asked").orderBy("d").collect()
+    found = [of_length(named.where(F.size("v") == r.d), id_col, k) for r in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+
+
+def of_length(named: DataFrame, id_col: str, k: int) -> DataFrame:
+    """search() among vectors (row, id, v, q) of one length."""
+    copies = Window.partitionBy("v").orderBy("id", "row")
+    entries = written(named.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("row", "id", "v"), "entries")
     total = entries.count()
 
-    sample = entries.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1e6 * SAMPLE / n)).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE).toPandas()
+    share = F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < math.ceil(1e6 * SAMPLE / total)
+    sample = entries.where(share).orderBy(F.xxhash64("row", F.lit(1)), "row").limit(SAMPLE).toPandas()
     if not len(sample):
-        sample = entries.orderBy("id").limit(1).toPandas()
-    trials = sample.iloc[:TRIALS]
+        sample = entries.orderBy("row").limit(1).toPandas()
+    # what the walk's length is measured by are other vectors than those that the centroids were fitted to, if there are any
+    trials = entries.where(~share).orderBy(F.xxhash64("row", F.lit(2)), "row").limit(TRIALS).toPandas()
+    if not len(trials):
+        trials = sample.iloc[:TRIALS]
     x = np.stack(sample["v"].to_numpy())
     size = max(LEAST_K, min(MOST_K, round(math.sqrt(total / ENTRIES_A_CELL))))
     a, b = halves(x)
@@ -194,11 +203,11 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
             c = cells.to_numpy()
             return pd.Series(first[c] + salts.to_numpy() % (last[c] - first[c] + 1))
 
-        return lambda c: block_of(c, F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+        return lambda c: block_of(c, F.pmod(F.xxhash64("row"), F.lit(1 << 30)))
 
     def routes(batches):
         for batch in batches:
-            for q, v, home in zip(batch["id"], batch["v"], batch["qblock"], strict=True):
+            for q, i, v, home in zip(batch["row"], batch["id"], batch["v"], batch["qblock"], strict=True):
                 p, s = halves(v[None])
                 probed = np.array(walk(squares(p, c1)[0], squares(s, c2)[0] if s.shape[1] else np.zeros(1), counts, enough))
                 spans = last[probed] - first[probed] + 1
@@ -206,34 +215,34 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
                 blocks = np.repeat(first[probed], spans) + np.arange(len(cells)) - np.repeat(np.cumsum(spans) - spans, spans)
                 order = np.argsort(blocks, kind="stable")
                 starts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
-                yield pd.DataFrame({"query_id": q, "qv": [v] * len(starts), "cells": np.split(cells[order], starts[1:]), "block": blocks[order][starts], "qblock": home})
+                yield pd.DataFrame({"qrow": q, "query_id": i, "qv": [v] * len(starts), "cells": np.split(cells[order], starts[1:]), "block": blocks[order][starts], "qblock": home})
 
-    asked = named.where("q").select("id", "v", cell("v").alias("cell")).withColumn("qblock", dealt(q_first, q_last)(F.col("cell"))).select("id", "v", "qblock")
-    queries = written(asked.mapInPandas(routes, "query_id long, qv array<double>, cells array<long>, block long, qblock long"), "routes")
+    asked = named.where("q").select("row", "id", "v", cell("v").alias("cell")).withColumn("qblock", dealt(q_first, q_last)(F.col("cell"))).select("row", "id", "v", "qblock")
+    queries = written(asked.mapInPandas(routes, "qrow long, query_id long, qv array<double>, cells array<long>, block long, qblock long"), "routes")
     filed = entries.withColumn("cell", cell("v")).withColumn("block", dealt(first, last)(F.col("cell")))
     probes = queries.select(F.col("block").alias("probed"), F.col("qblock").alias("by")).distinct()
-    filed = filed.join(probes, F.col("block") == F.col("probed")).select("id", "v", "cell", "block", F.col("by").alias("qblock"))
+    filed = filed.join(probes, F.col("block") == F.col("probed")).select("row", "id", "v", "cell", "block", F.col("by").alias("qblock"))
 
     def rank(_, qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(qs) and len(es):
-            es = es.sort_values(["cell", "id"])
-            x, ids = np.stack(es["v"].to_numpy()), es["id"].to_numpy()
+            es = es.sort_values(["cell", "id", "row"])
+            x, ids, names = np.stack(es["v"].to_numpy()), es["id"].to_numpy(), es["row"].to_numpy()
             own, of = np.unique(es["cell"].to_numpy(), return_inverse=True)
-            for q, v, probed in zip(qs["query_id"], qs["qv"], qs["cells"], strict=True):
+            for q, i, v, probed in zip(qs["qrow"], qs["query_id"], qs["qv"], qs["cells"], strict=True):
                 hit = np.zeros(len(own) + 1, bool)
                 place = np.searchsorted(own, probed)
                 hit[place[own[np.minimum(place, len(own) - 1)] == probed]] = True
                 at = np.flatnonzero(hit[of])
-                at = at[ids[at] != q]
+                at = at[names[at] != q]
                 d = np.sqrt(((x[at] - v) ** 2).sum(1))
                 if len(at) > k:
                     near = d <= np.partition(d, k - 1)[k - 1]
                     at, d = at[near], d[near]
                 best = np.lexsort((ids[at], d))[:k]
-                found += zip([q] * len(best), ids[at][best].tolist(), d[best].tolist())
-        return pd.DataFrame(found, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+                found += zip([q] * len(best), [i] * len(best), ids[at][best].tolist(), d[best].tolist())
+        return pd.DataFrame(found, columns=["qrow", "query_id", "id", "score"]).astype({"qrow": "int64", "query_id": "int64", "id": "int64", "score": "float64"})
 
-    near = queries.groupBy("block", "qblock").cogroup(filed.groupBy("block", "qblock")).applyInPandas(rank, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "id")
+    near = queries.groupBy("block", "qblock").cogroup(filed.groupBy("block", "qblock")).applyInPandas(rank, "qrow long, query_id long, id long, score double")
+    best = Window.partitionBy("qrow").orderBy("score", "id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -169,6 +169,19 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.search(df.where("1 = 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_are_rows_not_ids(spark):
+    """Each row of a repeated id is a candidate, and a query; vectors of another length are searched among themselves."""
+    rows = [(0, [1.0, 0.1]), (1, [1.0, 0.1]), (1, [0.9, 0.0]), (0, [0.5, 0.5]), (0, [1.0, 0.1]), (3, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 4.0])]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, _query string, row string")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours.search(df, F.col("vec_id") % 100 == 0).collect())
+    want = []
+    for k, (i, v) in enumerate(rows):
+        if i % 100 == 0:
+            others = sorted((float(np.sqrt(((np.array(w) - v) ** 2).sum())), j) for n, (j, w) in enumerate(rows) if n != k and len(w) == len(v))
+            want += [(i, rank, j, round(d, 6)) for rank, (d, j) in enumerate(others, 1)]
+    assert got == sorted(want)
+
+
 def test_neighbours_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in df.collect()]
