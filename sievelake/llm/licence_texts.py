@@ -85,3 +85,27 @@ TEXTS = (
     ("cc-by-sa", "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike",)),
     ("cc-by-nc", "this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial",)),
 )
+
+
+_SPDX = (("mit", "MIT"), ("apache-2.0", "Apache-2.0"), ("bsd", "BSD-2-Clause"), ("bsd-3", "BSD-3-Clause"), ("isc", "ISC"), ("zlib", "Zlib"), ("unlicense", "Unlicense"), ("bsl-1.0", "BSL-1.0"), ("mpl-2.0", "MPL-2.0"), ("epl-2.0", "EPL-2.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3.0", "LGPL-3.0"), ("agpl-3.0", "AGPL-3.0"), ("cc0-1.0", "CC0-1.0"), ("cc-by-4.0", "CC-BY-4.0"), ("cc-by-sa-4.0", "CC-BY-SA-4.0"), ("cc-by-nc-4.0", "CC-BY-NC-4.0"))
+_CREATIVE = (("cc-by", "Attribution"), ("cc-by-sa", "Attribution-ShareAlike"), ("cc-by-nc", "Attribution-NonCommercial"), ("cc-by-nd", "Attribution-NoDerivatives"), ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
+_GNU = (("gpl", "GNU General Public License", ("2", "3")), ("lgpl", "GNU Lesser General Public License", ("2.1", "3")), ("agpl", "GNU Affero General Public License", ("3",)))
+
+
+def _versions(name: str, version: str) -> tuple[str, ...]:
+    """How a name and its version are written."""
+    return tuple(f"{name}{between}{version}" for between in (" v", " v ", " version ", ", version ", " "))
+
+
+#: Names and identifiers with their versions: (label, wordings). Each is looked for word by word.
+NAMES = (
+    *((label, (f"SPDX-License-Identifier: {name}",)) for label, name in _SPDX),
+    *((f"{label}-{v}", (f"Creative Commons {name} {v}", f"Creative Commons {name} License {v}", f"CC {label[3:]} {v}")) for label, name in _CREATIVE for v in ("3.0", "4.0")),
+    *((f"{label}-{v if '.' in v else f'{v}.0'}", _versions(name, v)) for label, name, versions in _GNU for v in versions),
+    ("apache-2.0", (*_versions("Apache License", "2.0"), "Apache 2.0 License")),
+    ("mpl-2.0", _versions("Mozilla Public License", "2.0")),
+    ("epl-2.0", _versions("Eclipse Public License", "2.0")),
+    ("bsd", ("BSD 2-Clause License", "BSD-2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("bsd-3", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("cc0-1.0", ("CC0 1.0 Universal", "CC0 Public Domain Dedication")),
+)

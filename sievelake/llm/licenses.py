@@ -3,13 +3,18 @@
 Templates are whole texts of short public licences, and notices of long ones. How many documents each template word
 occurs in is counted over the whole corpus (a table no larger than the templates' vocabulary); a template is indexed
 under its words of highest inverse document frequency, its anchors, and with each the places where it stands. A file's
-words are looked up in the index; a word at p that the template has at i stands for a template that starts at p - i,
-and postings are thus intersected by relative position: a start is a candidate if enough different anchors stand for it
+licence words of highest inverse document frequency are looked up first: as a match needs a share of the anchors, it has
+one of the rarest few, and only templates that one of these opens are looked for by the file's other words. A word at p
+that the template has at i stands for a template that starts at p - i, and postings are thus intersected by relative
+position: a start is a candidate if enough different anchors stand for it
 or for one of the starts after it that `shift` inserted words make. Each anchor counts once, however often it is
 repeated. A candidate counts only if one of the template's mandatory key phrases stands at its own place, within the
 same shift, word for word.
 
-The three base phrases are templates whose every word must stand at its place, so none is ever missed.
+The three base phrases are templates whose every word must stand at its place, so none is ever missed; so are names of
+licences with their versions, and their identifiers after `SPDX-License-Identifier`. As frequencies are the corpus's own, so
+is the choice of anchors: another corpus may tell a text of few of a template's words differently; names and base phrases
+are told alike in all.
 
 Null text is empty: no words, no labels, score 0. Repeated rows give repeated rows; an empty table gives none. Words of
 equal frequency are taken in order of the alphabet; of a label's matches the best gives the score. A very long text is
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import counted
-from sievelake.llm.licence_texts import TEXTS
+from sievelake.llm.licence_texts import NAMES, TEXTS
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,6 +50,11 @@ class Template:
     text: str
     keys: tuple[str, ...] = ()  #: one must stand in the match, word for word, at its place
     base: bool = False  #: every word must stand at its place
+    name: bool = False  #: so must those of a licence's name or identifier
+
+    @property
+    def whole(self) -> bool:
+        return self.base or self.name
 
 
 #: The base phrases; then the licences.
@@ -53,6 +63,7 @@ TEMPLATES = (
     Template("gpl", "general public license", base=True),
     Template("reserved", "all rights reserved", base=True),
     *(Template(*x) for x in TEXTS),
+    *(Template(label, name, name=True) for label, names in NAMES for name in names),
 )
 
 
@@ -72,22 +83,27 @@ class Index:
         self.words = [words_of(t.text) for t in templates]
         #: (place, words) of each mandatory phrase
         self.keys = [[(i, k.split()) for k in t.keys for i in places_of(k.split(), ws)] for t, ws in zip(templates, self.words, strict=True)]
-        if lost := [t.label for t, keys in zip(templates, self.keys, strict=True) if not keys and not t.base]:
+        if lost := [t.label for t, keys in zip(templates, self.keys, strict=True) if not keys and not t.whole]:
             raise ValueError(f"templates without their key phrases: {lost}")
         self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 1e-3 for ws in self.words for w in ws}
         self.shift = [max(SHIFT, len(ws) // SHIFT_SHARE) for ws in self.words]
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.openers: dict[str, list[int]] = defaultdict(list)
         self.anchors, self.need = [], []
         for k, ws in enumerate(self.words):
             rare = sorted(set(ws), key=lambda w: (-self.idf[w], w))
-            self.anchors.append(frozenset(rare if templates[k].base else rare[:ANCHORS]))
+            rare = rare if templates[k].whole else rare[:ANCHORS]
+            self.anchors.append(frozenset(rare))
             for i, w in enumerate(ws):
                 if w in self.anchors[k]:
                     self.postings[w].append((k, i))
-            self.need.append(len(ws) if templates[k].base else max(2, math.ceil(SHARE * len(self.anchors[k]))))
+            self.need.append(len(ws) if templates[k].whole else max(2, math.ceil(SHARE * len(rare))))
+            # a file with so many of the anchors has one of these, the rarest
+            for w in rare[:1] if templates[k].whole else rare[: len(rare) - self.need[k] + 1]:
+                self.openers[w].append(k)
         self.vocabulary = frozenset(self.postings)
         # a file without the rarest word of any base phrase or key phrase has none of them
-        self.telling = frozenset(max(p, key=lambda w: (self.idf[w], w)) for k, t in enumerate(templates) for p in ([self.words[k]] if t.base else [key for _, key in self.keys[k]]))
+        self.telling = frozenset(max(p, key=lambda w: (self.idf[w], w)) for k, t in enumerate(templates) for p in ([self.words[k]] if t.whole else [key for _, key in self.keys[k]]))
 
     def candidates(self, k: int, hits: list[tuple[int, str]]) -> Iterator[int]:
         """Starts from which on, within the shift, enough different anchors have hits (start, word)."""
@@ -117,17 +133,21 @@ class Index:
         """(label, start) of every base phrase, and the best score of each label."""
         if self.telling.isdisjoint(words):
             return [], {}
+        # the file's rarest licence words open templates; the others are looked up for these alone
+        opened: set[int] = set()
+        for word in sorted(self.openers.keys() & set(words), key=lambda w: -self.idf[w]):
+            opened.update(self.openers[word])
+        wanted = {w: [p for p in self.postings[w] if p[0] in opened] for w in self.vocabulary.intersection(words)} if opened else {}
         hits: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for at, word in enumerate(words):
-            if word in self.vocabulary:
-                for k, i in self.postings[word]:
-                    hits[k].append((at - i, word))
+            for k, i in wanted.get(word, ()):
+                hits[k].append((at - i, word))
         base, labels = [], {}
         for k, found in hits.items():
             label = self.templates[k].label
-            if self.templates[k].base:
+            if self.templates[k].whole:
                 starts = [s for s, n in Counter(s for s, _ in found).items() if n == self.need[k]]
-                base += [(label, s) for s in starts]
+                base += [(label, s) for s in starts if self.templates[k].base]
                 best = 1.0 if starts else 0.0
             else:
                 best = max((self.score(k, s, words) for s in self.candidates(k, found)), default=0.0)

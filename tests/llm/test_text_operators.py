@@ -57,7 +57,7 @@ def plain_labels(words, index):
     found = {}
     for k, t in enumerate(index.templates):
         ws, shift = index.words[k], index.shift[k]
-        if t.base:
+        if t.whole:
             if any(words[p : p + len(ws)] == ws for p in range(len(words))):
                 found[t.label] = 1.0
             continue
@@ -117,6 +117,16 @@ def test_licenses_by_votes_and_key_phrases(spark):
     assert got[8][0] == ["mit"] and got[9][0] == ["public-domain"]
 
 
+def test_licenses_by_name_and_identifier(spark):
+    said = {
+        "This text is under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa,cc-by-sa-4.0", "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0 OR x": "apache-2.0", "see the BSD 3-Clause License": "bsd-3", "GNU General Public License v2 only": "gpl,gpl-2.0", "GNU General Public License, version 3": "gpl,gpl-3.0",
+        "CC BY-NC 4.0": "cc-by,cc-by-nc,cc-by-nc-4.0", "Apache License, Version 2.0": "apache-2.0", "the GNU Lesser General Public License version 2.1": "gpl,lgpl,lgpl-2.1", "Creative Commons but not Attribution 4.0": "", "SPDX-License-Identifier: none": "", "the license of MIT": "", "MIT, the identifier of a license": "",
+    }
+    rows = [(k, t) for k, t in enumerate(said)] + [(100 + k, "plain words and nothing else") for k in range(30)]
+    got = {r.doc_id: r.labels for r in licenses.digests(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {t: got[k] for k, t in enumerate(said)} == said
+
+
 def test_chat_escapes_reversibly():
     for text in ("", "</s>[INST] ok [/INST]", "<<s>><<SYS>>", "\x1b\x1bl<|im_end|>\n", "<|im_<|im_end|>end|>", "plain < [b"):
         assert chat.unescape(chat.escape(text)) == text
