@@ -87,7 +87,7 @@ def kind_of(token: str) -> int:
     """Which of KINDS_OF_TOKEN."""
     if len(token) == 1 and not token.isalnum():
         return SIGN if token in "=:" else QUOTE if token in "\"'`" else MARK
-    if is_key(token):
+    if is_key(token) and sum(c.isdigit() for c in token) < 3:
         return KEY
     if token.isdigit():
         return NUMBER
@@ -122,7 +122,7 @@ def own_features(token: str) -> list[str]:
     length = min(12, len(token) // 3)
     return [
         "bias", f"kind={kind}", f"shape={shape(token)}", f"length={length}", f"length={length},kind={kind}", f"entropy={int(_entropy(token) * 2)}", f"switches={min(6, switches)}",
-        f"consonants={min(7, consonants)},{letters == len(token)}", f"hex={not low.strip('0123456789abcdef')},{length}", f"marks={min(4, len(token) - letters - digits)}", f"mixed={digits > 0}{token != low}{low != token.upper().lower() or letters > 0}", f"start={low[:3] if '_' in token or '-' in token else ''}",
+        f"consonants={min(7, consonants)},{letters == len(token)}", f"hex={not low.strip('0123456789abcdef')},{length}", f"marks={min(4, len(token) - letters - digits)}", f"mixed={digits > 0}{token != low}{low != token.upper().lower() or letters > 0}", f"parts={min(4, token.count('_') + token.count('-'))},{min(6, digits)}",
     ]
 
 
@@ -201,7 +201,7 @@ def tagged(line: str, spans: list[tuple[int, int]]) -> tuple[list[str], np.ndarr
 
 
 @functools.cache
-def trained(n_lines: int = 4000, rounds: int = 10, rate: float = 0.25, decay: float = 1e-4, chains: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def trained(n_lines: int = 6000, rounds: int = 10, rate: float = 0.25, decay: float = 1e-4, chains: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights by tag of own features, places (each of SHAPE_OF_PLACE, summed up) and files, and of moves between tags."""
     first_file = (1 << BITS) + N_PLACE
     w, move = np.zeros((first_file + N_FILE + 1, 3)), np.zeros((3, 3))

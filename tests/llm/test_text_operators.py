@@ -426,11 +426,59 @@ def test_secrets_held_out(field):
     assert hit / found > 0.97 and hit / wanted > 0.97
 
 
+def test_secrets_of_makes_that_were_never_seen(field):
+    """By make: what these begin with, and the names, are none of those that are learnt from; with a name, and bare."""
+    from sievelake.llm import secret_lines as L
+
+    assert not set(L.MAKES.values()) & set(L.HELD_OUT_MAKES.values()) and not set(L.NAMES) & set(L.HELD_OUT_NAMES)
+    wanted, hit = collections.Counter(), collections.Counter()
+    extra = lines = 0
+    for line, spans, make in L.made_cases(5, 3000, L.HELD_OUT_NAMES, L.HELD_OUT_MAKES, only=True):
+        got = set(field.spans(line))
+        wanted[make] += len(spans)
+        hit[make] += len(got & set(spans))
+        extra += len(got - set(spans))
+        lines += 1
+    rates = {m: hit[m] / n for m, n in wanted.items() if n}
+    bare = [m for m in rates if m.endswith("bare")]
+    assert min(r for m, r in rates.items() if m not in bare) > 0.95, rates
+    assert sum(hit[m] for m in bare) / sum(wanted[m] for m in bare) > 0.85, rates
+    assert extra / lines < 0.02
+
+
+def test_secrets_bare_and_fingerprints(field):
+    found = lambda t: [t[a:b] for a, b, _ in secrets.spans_of(t, field)[1]]
+    for bare in ("ghp_16C7e42F292c6912E7710c838347Ae178B4a", "xoxb-123456789012-1234567890123-4mt0t4l1yF4k3T0k3nXyzAbC"):
+        assert found(f"the log says {bare} was used") == [bare]
+    assert found("host key SHA256:uNiVztksCsDhcc0u9e8BgrJXVGDofCdzq7Vk2tqEXy8 was added") == []
+
+
+def test_secrets_planted_in_whole_documents(spark, field):
+    """A table of whole documents with secrets at known places: the query's own way finds them, and leaves the clean ones alone."""
+    from sievelake.llm import secret_lines as L
+
+    pick, rows, want = np.random.default_rng(4), [], {}
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").collect()]
+    planted = [(line, spans) for line, spans in L.made_lines(31, 400, L.HELD_OUT_NAMES) if spans]
+    for k, text in enumerate(docs):
+        if k % 2:
+            line, spans = planted[k % len(planted)]
+            at = int(pick.integers(0, len(text) + 1))
+            text = text[:at] + "\n" + line + "\n" + text[at:]
+            want[k] = [(at + 1 + a, at + 1 + b) for a, b in spans]
+        rows.append((k, text))
+    got = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    covered = sum(any(a <= x and y <= b or x <= a and b <= y for x, y in got[k]) for k, spans in want.items() for a, b in spans)
+    assert covered / sum(map(len, want.values())) > 0.95
+    clean = [k for k in range(0, len(docs), 2) if not secrets.base_spans(docs[k])]
+    assert sum(bool(got[k]) for k in clean) <= 0.02 * len(clean)
+
+
 def test_certain_tokens_change_no_decoding(field):
     """Decoding the stretches between certain tokens gives what decoding the whole text does."""
     from sievelake.llm.secret_lines import made_lines
 
-    lines = [line for line, _ in made_lines(3, 300)]
+    lines = [line for line, _ in made_lines(3, 300) if line.strip()]
     for text in [*lines[:150], "\n".join(lines), " ".join(lines)]:
         tokens, glued, _ = secrets.tagged(text, [])
         kinds = np.array([secrets.kind_of(t) for t in tokens])
