@@ -23,10 +23,13 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
-def rounded_index(column: Column, p: float) -> Column:
-    """The value at index round(p * (n - 1)), half to even. The group's values are gathered: for small groups only."""
-    values = F.sort_array(F.collect_list(column))
-    return F.element_at(values, (F.bround(p * (F.size(values) - 1), 0) + 1).cast("int"))
+def rounded_index(df: DataFrame, keys: Sequence[str], column: str, p: float) -> DataFrame:
+    """(keys, value) at index round(p * (n - 1)), half to even, of each group's known values: values are counted, and the counts added up in their order, so no group is gathered."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = Window.partitionBy(*keys).orderBy("value")
+    rows = counts.withColumns({"_to": F.sum("_n").over(ordered), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    wanted = F.bround(p * (F.col("_all") - 1), 0) + 1
+    return rows.where((F.col("_to") >= wanted) & (F.col("_to") - F.col("_n") < wanted)).select(*keys, "value")
 
 
 def at_least(n: int, count: Column, value: Column) -> Column:

@@ -34,7 +34,8 @@ def split_leaks(docs: DataFrame, id_col: str, text_col: str, split: Column, grou
 
     member: text a has the same shingles as text b, the least id of its class. pair: some text of class a in split 0 and
     some of class b in split 1 have a Jaccard of 0.8 or more (a and b may be one class). group: a group that is in both
-    splits, by its least ids; its texts may be in pairs too. Texts without a word are in no class.
+    splits, by its least ids; its texts may be in pairs too. Texts without a word are in no class; rows without an id can't be
+    named, and are left out. Shingles are compared by 64-bit hashes: two of a pair agree by chance once in 2^64.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), split.alias("split"), F.col(group_col).cast("string").alias("name")).where(F.col("id").isNotNull())
     side = [F.min(F.when(F.col("split") == k, F.col("id"))) for k in (0, 1)]

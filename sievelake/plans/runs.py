@@ -274,7 +274,9 @@ SELECT event_type, round(quantile_cont(value, 0.9), 6) AS continuous, quantile_d
 list_sort(list(value))[CAST(round_even(0.9 * (count(*) - 1), 0) AS BIGINT) + 1] AS rounded FROM events GROUP BY event_type""")
 def percentile_kinds(spark, sf_dir):
     """Three definitions side by side; they differ, and reports must not mix them."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(A.continuous("value", 0.9), 6).alias("continuous"), A.nearest_rank("value", 0.9).alias("nearest"), A.rounded_index(F.col("value"), 0.9).alias("rounded"))
+    rows = table(spark, sf_dir, "events")
+    rounded = A.rounded_index(rows, ["event_type"], "value", 0.9).withColumnRenamed("value", "rounded")
+    return rows.groupBy("event_type").agg(F.round(A.continuous("value", 0.9), 6).alias("continuous"), A.nearest_rank("value", 0.9).alias("nearest")).join(rounded, "event_type", "left")
 
 
 @query("""SELECT count(*) AS pairs FROM (SELECT DISTINCT user_id, event_type FROM events)""")

@@ -79,13 +79,13 @@ def description_states(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents WHERE lang = 'en'), known(term) AS (VALUES ('with'), ('that'), ('this'))
+WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS term FROM documents), known(term) AS (VALUES ('with'), ('that'), ('this'))
 SELECT term, count(*) AS n_docs FROM t WHERE term NOT IN (SELECT term FROM known) GROUP BY 1 HAVING count(*) >= 5""")
 def unmatched_terms(spark, sf_dir):
     """In how many documents each term that no list knows stands: a document counts a term once."""
     known = spark.createDataFrame([("with",), ("that",), ("this",)], "term string")
-    found = documents(spark, sf_dir).where("lang = 'en'").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("term"))
-    return found.join(known, "term", "left_anti").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 5")
+    found = documents(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), 0))).alias("term"))
+    return found.join(F.broadcast(known), "term", "left_anti").groupBy("term").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 5")
 
 
 @query("""
