@@ -149,7 +149,9 @@ def events(codes: Callable[[str], Column], query: Query) -> list[Column]:
 
 
 def cover_density(groups: list[Column]) -> Column:
-    """One sweep over all places in order: a cover ends where the least of the groups' last places has moved on."""
+    """One sweep over all places in order: a cover ends where the least of the groups' last places has moved on. Of no groups, 0."""
+    if not groups:
+        return F.lit(0.0)
     n = len(groups)
     each = [F.transform(g, lambda c: F.struct(F.shiftright(c, 2).alias("at"), F.lit(k).alias("g"), (1.0 / F.element_at(F.array(*map(F.lit, WEIGHTS.values())), F.pmod(c, F.lit(4)) + 1)).alias("w"))) for k, g in enumerate(groups)]
     ordered = F.array_sort(F.concat(*each))

@@ -13,6 +13,7 @@ stands twice in one batch is one document with the words of both.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,14 +25,14 @@ from sievelake.functions import search as S
 BUCKETS = 16
 #: Hash parts of each class of lengths.
 BLOCK_PARTS = 16
-#: Blocks that are read before the n-th score is known.
-FIRST_BLOCKS = 4
+#: Blocks that are read first, and how many times as many next, as long as the n-th score is not known.
+FIRST_BLOCKS, MORE = 16, 16
 
 POSTINGS = "term string, block int, id long, batch int, codes array<int>, bucket int"
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
 def weight_of(code: Column) -> Column:
@@ -77,7 +78,7 @@ class Index:
 
     def of_terms(self, table: DataFrame, terms: list[str]) -> DataFrame:
         """The rows of some terms: their buckets' files, and in these what lies between the terms."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).distinct().collect()]
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})  # bucket_of(), without a job
         return table.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
     def latest(self, rows: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ class Index:
             done += len(part)
             if floor is not None:
                 break
-            step *= 4
+            step *= MORE
         return Found(self.spark.createDataFrame(best, "id long, rank double"), done, len(bound))
 
 
