@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,9 +71,8 @@ def rollout(measures: DataFrame, gates: DataFrame) -> DataFrame:
     value = F.when((F.col("n") == 1) & ~F.isnan("value"), F.col("value"))
     rows = gates.join(one, "gate", "left").withColumn("value", value)
     passes = F.coalesce(F.when(F.col("at_least"), F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound")), F.lit(False))
-    rows = rows.withColumn("passes", passes).select("gate", "value", "passes")
-    ready = rows.agg(F.coalesce(F.bool_and("passes"), F.lit(False)).alias("ready"))
-    return rows.join(F.broadcast(ready))  # one aggregated row
+    # gates are a short list, whatever was measured
+    return rows.withColumn("passes", passes).select("gate", "value", "passes", F.bool_and(passes).over(Window.partitionBy(F.lit(0))).alias("ready"))
 
 
 def latest_departments(occurrences: DataFrame) -> DataFrame:
