@@ -221,9 +221,9 @@ def json_ld_errors(df: DataFrame) -> DataFrame:
 
 
 def web_results(df: DataFrame) -> DataFrame:
-    """Search results as proposals, one for each canonical address."""
+    """Search results as proposals, one for each canonical address: its best score; of equal ones the greatest title, then content."""
     hits = parsed(df, "results array<struct<url:string,title:string,content:string,score:double>>").select(F.explode("r.results").alias("h")).select("h.*")
-    return hits.withColumn("canonical", canonicalize_url("url")).where("canonical is not null").groupBy("canonical").agg(F.max_by(F.struct("title", "content", "score"), "score").alias("best")).select("canonical", "best.*")
+    return hits.withColumn("canonical", canonicalize_url("url")).where("canonical is not null").groupBy("canonical").agg(F.max(F.struct("score", "title", "content")).alias("best")).select("canonical", "best.title", "best.content", "best.score")
 
 
 def manual(spark: SparkSession, items: list[tuple[str, str, str]]) -> DataFrame:

@@ -88,3 +88,11 @@ def test_web_results_and_sitemaps(spark, tmp_path):
     assert feeds.manual(spark, [("1", "T", "text"), ("2", " ", "none")]).count() == 1
     with pytest.raises(ValueError):
         feeds.collect("nope", df, "x")
+
+
+def test_equal_scores_go_to_the_greatest_title(spark, tmp_path):
+    hits = [{"url": "https://a.example/x", "title": t, "score": s} for t, s in (("b", 0.9), ("c", 0.9), ("a", 0.9), ("d", 0.1))]
+    for k, order in enumerate((hits, hits[::-1])):
+        at = tmp_path / str(k)
+        at.mkdir()
+        assert [(r.canonical, r.title, r.score) for r in feeds.web_results(landed(spark, at, {"results": order})).collect()] == [("https://a.example/x", "c", 0.9)]
