@@ -430,9 +430,11 @@ WITH n AS (SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ',
 SELECT c_custkey, CASE WHEN count(DISTINCT s_suppkey) = 1 THEN min(s_suppkey) END AS matched, count(DISTINCT s_suppkey) > 1 AS ambiguous FROM hits GROUP BY 1""")
 def company_reconcile(spark, sf_dir):
     """A company's one match by any of its keys; several are an error, not a guess."""
-    s = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey") % 20)
-    hits = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 20).join(s, (F.col("s_nationkey") == F.col("c_nationkey")) & (s["k"] == F.col("c_custkey") % 20))
-    return hits.groupBy("c_custkey").agg(F.count_distinct("s_suppkey").alias("n"), F.min("s_suppkey").alias("first")).select("c_custkey", F.when(F.col("n") == 1, F.col("first")).alias("matched"), (F.col("n") > 1).alias("ambiguous"))
+    # suppliers of one nation and remainder match the same customers: their least and greatest tell whether there are several
+    keys = table(spark, sf_dir, "supplier").groupBy("s_nationkey", (F.col("s_suppkey") % 20).alias("k")).agg(F.min("s_suppkey").alias("first"), F.max("s_suppkey").alias("last"))
+    hits = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("s_nationkey"), (F.col("c_custkey") % 20).alias("k")).join(keys, ["s_nationkey", "k"])
+    found = hits.groupBy("c_custkey").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return found.select("c_custkey", F.when(F.col("first") == F.col("last"), F.col("first")).alias("matched"), (F.col("first") != F.col("last")).alias("ambiguous"))
 
 
 @query("""

@@ -42,3 +42,10 @@ def test_groups_are_cut_before_the_shuffle(spark):
 def test_many_conditions_are_one_shuffle(spark):
     text = registry.QUERIES["saved_search_counts"](spark, SF)._jdf.queryExecution().toString()
     assert "Expand" not in plan(registry.QUERIES["saved_search_counts"](spark, SF)) and "hashpartitioning(o_custkey" in text
+
+
+def test_suppliers_are_few_before_they_meet_customers(spark):
+    """A nation's suppliers and customers were joined row by row, which grows with the square of the tables."""
+    text = registry.QUERIES["company_reconcile"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = text.index("Join Inner")
+    assert "distinct" not in text and "max(s_suppkey" in text[join:] and "s_suppkey" not in text[:join]
