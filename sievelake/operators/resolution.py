@@ -107,21 +107,25 @@ def survivor(a: Column, b: Column) -> Column:
     return F.least(a, b)
 
 
+def _several(column: Column | str) -> Column:
+    """More than one different known value: the least is not the greatest. Different values need not be gathered for it."""
+    return F.coalesce(F.min(column) != F.max(column), F.lit(False))
+
+
 def merged_field(column: str) -> tuple[Column, Column]:
     """(value, conflict) of a group's field: one different known value is taken, several are a conflict."""
-    known = F.count_distinct(column)
-    return F.when(known == 1, F.min(column)), known > 1
+    return F.when(F.min(column) == F.max(column), F.min(column)), _several(column)
 
 
 def merged_requirement(column: str) -> Column:
     """The one class that is not UNKNOWN, else UNKNOWN."""
-    classes = F.array_remove(F.collect_set(column), "UNKNOWN")
-    return F.when(F.size(classes) == 1, F.get(classes, F.lit(0))).otherwise("UNKNOWN")
+    known = F.nullif(F.col(column), F.lit("UNKNOWN"))
+    return F.when(F.min(known) == F.max(known), F.min(known)).otherwise("UNKNOWN")
 
 
 def compensation_conflict(low: str, high: str, currency: str, period: str) -> Column:
     """Sources disagree on a field, or their bounds cross."""
-    several = [F.count_distinct(c) > 1 for c in (low, high, currency, period)]
+    several = [_several(c) for c in (low, high, currency, period)]
     found = several[0]
     for c in several[1:]:
         found = found | c

@@ -151,3 +151,12 @@ def test_url_hash(spark):
     import hashlib
 
     assert spark.range(1).select(keyed.url_hash(F.lit("ü")).alias("h")).first().h == hashlib.sha256("ü".encode()).hexdigest()
+
+
+def test_conflicts_of_nulls_nans_and_zeros(spark):
+    from sievelake.operators import resolution as R
+
+    rows = [(1, None, None), (1, None, float("nan")), (1, None, float("nan")), (2, "a", 0.0), (2, None, -0.0), (3, "a", 1.0), (3, "b", None), (4, "UNKNOWN", 1.0), (4, "a", 2.0)]
+    value, conflict = R.merged_field("v")
+    df = spark.createDataFrame(rows, "g long, v string, x double").groupBy("g").agg(value.alias("v"), conflict.alias("c"), R.merged_requirement("v").alias("r"), R.compensation_conflict("x", "x", "v", "v").alias("p"))
+    assert {r.g: (r.v, r.c, r.r, r.p) for r in df.collect()} == {1: (None, False, "UNKNOWN", False), 2: ("a", False, "a", False), 3: (None, True, "UNKNOWN", True), 4: (None, True, "a", True)}

@@ -49,3 +49,9 @@ def test_suppliers_are_few_before_they_meet_customers(spark):
     text = registry.QUERIES["company_reconcile"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     join = text.index("Join Inner")
     assert "distinct" not in text and "max(s_suppkey" in text[join:] and "s_suppkey" not in text[:join]
+
+
+def test_one_value_or_several_without_a_row_for_each(spark):
+    """Several distinct counts made each line five rows or more before the shuffle."""
+    text = plan(registry.QUERIES["merged_groups"](spark, SF))
+    assert "Expand" not in text and text.count("Exchange hashpartitioning") == 1
