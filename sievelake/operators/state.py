@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.session import dealt
+
 
 def ingest(batch: DataFrame, known: DataFrame, stale_before: Column) -> DataFrame:
     """What becomes of each item of a batch, in the order of (fetched_at, ordinal).
@@ -52,7 +54,9 @@ def reconcile(occurrences: DataFrame, runs: DataFrame, hours: int = 24) -> DataF
     """
     last = runs.where("complete").groupBy("source_id").agg(F.max("started_at").alias("_run"))
     gone = F.coalesce(F.col("last_seen") < F.col("_run") - F.expr(f"INTERVAL '{hours}' HOUR"), F.lit(False))
-    rows = occurrences.join(last, "source_id", "left").groupBy("posting_id").agg(F.bool_and(gone).alias("_gone"), F.max("status").alias("_status"))
+    # a greatest string is found by sorting: each task sorts its part of the postings, not a whole split
+    each = dealt(occurrences.join(last, "source_id", "left").select("posting_id", gone.alias("_gone"), "status"), "posting_id")
+    rows = each.groupBy("posting_id").agg(F.bool_and("_gone").alias("_gone"), F.max("status").alias("_status"))
     return rows.select("posting_id", F.when(F.col("_gone"), "CLOSED").when(F.col("_status") == "CLOSED", "ACTIVE").otherwise(F.col("_status")).alias("status"))
 
 

@@ -40,6 +40,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys in as many parts as Spark is set to shuffle in, never merged into fewer: what a task then groups is a part of the table, not all of a file's split."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def local_session(cpus: str | int = "*", app: str = "sievelake", **conf: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = (

@@ -55,3 +55,10 @@ def test_one_value_or_several_without_a_row_for_each(spark):
     """Several distinct counts made each line five rows or more before the shuffle."""
     text = plan(registry.QUERIES["merged_groups"](spark, SF))
     assert "Expand" not in text and text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["reconciled_status", "stale_by_source"])
+def test_groups_are_dealt_before_they_are_held(spark, name):
+    """A task grouped, or sorted, all lines of its split."""
+    text = plan(registry.QUERIES[name](spark, SF))
+    assert "Expand" not in text and "REPARTITION_BY_NUM" in text
