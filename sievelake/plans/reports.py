@@ -12,6 +12,7 @@ from sievelake.operators.inbox import InboxQuery, conditions, ordering, pay_labe
 from sievelake.operators.latest import latest_by, page
 from sievelake.operators import leaks
 from sievelake.plans.base import at, query, table
+from sievelake.session import dealt
 
 
 def orders(spark, sf_dir):
@@ -132,9 +133,12 @@ SELECT l.l_suppkey, count(DISTINCT l_orderkey) AS postings, count(DISTINCT l_ord
 def stale_by_source(spark, sf_dir):
     """Different postings of each source, and how many of them are stale."""
     last = items(spark, sf_dir).where("l_linestatus = 'F'").groupBy("l_suppkey").agg(F.max("l_shipdate").alias("last"))
-    stale = F.col("l_shipdate") < F.col("last") - F.expr("INTERVAL '30' DAY")
-    rows = items(spark, sf_dir).join(last, "l_suppkey").groupBy("l_suppkey")
-    return rows.agg(F.count_distinct("l_orderkey").alias("postings"), F.count_distinct(F.when(stale, F.col("l_orderkey"))).alias("stale"), F.count_distinct(F.when(stale & (F.col("l_returnflag") == "R"), F.col("l_orderkey"))).alias("stale_off_target"))
+    # a posting is stale if its earliest line is; each is one row of its source before it is counted
+    returned = F.min(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")))
+    lines = items(spark, sf_dir).select("l_suppkey", "l_orderkey", "l_shipdate", "l_returnflag")
+    each = dealt(lines, "l_suppkey", "l_orderkey").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_shipdate").alias("first"), returned.alias("returned"))
+    stale = lambda c: F.count_if(F.col("l_orderkey").isNotNull() & (F.col(c) < F.col("last") - F.expr("INTERVAL '30' DAY")))
+    return each.join(last, "l_suppkey").groupBy("l_suppkey").agg(F.count("l_orderkey").alias("postings"), stale("first").alias("stale"), stale("returned").alias("stale_off_target"))
 
 
 @query("""SELECT source, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS text_bytes, count(DISTINCT CASE WHEN n_chars < 200 THEN doc_id END) AS off_target FROM documents GROUP BY 1""")
