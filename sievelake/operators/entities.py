@@ -1,8 +1,8 @@
 """Which records are one entity: connected components over shared keys, and what may be done with each component.
 
 Labels spread from records to keys and back, each taking the least that it sees, and every label is then replaced by its own
-label, so a chain of n records takes about log n rounds. A key that very many records share is met in salted parts; what it
-tells them is one row a part. Each round is a table of its own, so a lost executor costs one round's tasks at most.
+label, so a chain of n records takes about log n rounds. A key that very many records share has its one row sent to all
+tasks; all others are met by equal key. Each round is a table of its own, so a lost executor costs one round's tasks at most.
 """
 
 from __future__ import annotations
@@ -12,27 +12,31 @@ from pyspark.sql import functions as F
 
 from sievelake.session import written
 
-SALTS = 8
+#: A value that more rows of a table share is hot: its one row is sent to all tasks. There are no more of these than rows divided by it.
+HOT_ROWS = 1_000_000
 
 
-def _told(rows: DataFrame, by: str, table: DataFrame) -> DataFrame:
-    """rows with the one row of a table that has their value of `by`; a hot value's rows are dealt to SALTS parts."""
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, [by, "_salt"]).drop("_salt")
+def _told(rows: DataFrame, by: str, table: DataFrame, most: int = HOT_ROWS) -> DataFrame:
+    """rows with the one row of a table (by, n, ...) that has their value of `by`, where n is how many rows have it; the few that very many rows share are sent to all tasks, so no task has all rows of a value."""
+    hot = table.where(F.col("n") > most).drop("n")
+    if hot.isEmpty():
+        return rows.join(table.drop("n"), by)
+    busy = F.broadcast(hot)
+    return rows.join(busy, by).unionByName(rows.join(F.broadcast(hot.select(by)), by, "left_anti").join(table.where(F.col("n") <= most).drop("n"), by))
 
 
-def clusters(links: DataFrame) -> DataFrame:
+def clusters(links: DataFrame, most: int = HOT_ROWS) -> DataFrame:
     """(node, cluster) of links (node long, key string): nodes that a chain of shared keys connects have the least of them as their cluster. Links without a key connect nothing; null nodes are left out; repeated links count once."""
     links = written(links.where("node is not null").select(F.col("node").cast("long").alias("node"), F.coalesce(F.col("key"), F.concat(F.lit("\x00"), F.col("node").cast("string"))).alias("key")).distinct(), "links")
-    labels = links.select("node").distinct().withColumn("cluster", F.col("node"))
+    labels = written(links.select("node").distinct().withColumn("cluster", F.col("node")), "labels")
     while True:
-        labels = written(labels, "labels")
-        by_key = links.join(labels, "node").groupBy("key").agg(F.min("cluster").alias("least"))
-        seen = _told(links, "key", by_key).groupBy("node").agg(F.min("least").alias("least"))
-        nearer = labels.join(seen, "node").select("node", "cluster", "least")
+        by_key = written(links.join(labels, "node").groupBy("key").agg(F.min("cluster").alias("least"), F.count(F.lit(1)).alias("n")), "labels-of-keys")
+        seen = _told(links, "key", by_key, most).groupBy("node").agg(F.min("least").alias("least"))
+        nearer = written(labels.join(seen, "node").select("node", "cluster", "least"), "labels-near")
         # a label's own label: the node of that name knows it
-        names = nearer.select(F.col("node").alias("least"), F.col("least").alias("further"))
-        new = written(_told(nearer, "least", names).select("node", "cluster", F.least("least", "further").alias("to")), "labels-new")
+        asked = nearer.groupBy("least").agg(F.count(F.lit(1)).alias("n"))
+        names = written(nearer.select(F.col("node").alias("least"), F.col("least").alias("further")).join(asked, "least"), "labels-names")
+        new = written(_told(nearer, "least", names, most).select("node", "cluster", F.least("least", "further").alias("to")), "labels-new")
         labels = new.select("node", F.col("to").alias("cluster"))
         if new.where("to < cluster").isEmpty():
             return labels
@@ -63,8 +67,8 @@ def settled_merges(candidates: DataFrame, postings: DataFrame, active: DataFrame
     open_ = rows.where("_refused is null")
     found = clusters(open_.select(F.col("a").alias("node"), pair.alias("key")).union(open_.select(F.col("b"), pair)))
     members = written(found.join(known, found["node"] == known["id"]).select("node", "cluster", "created", "_active"), "merge-members")
-    whole = members.groupBy("cluster").agg(F.min(F.struct("created", "node"))["node"].alias("survivor"), (F.count_if("_active") > 1).alias("conflict"))
-    # a cluster's verdict reaches its members by their cluster, salted like any hot key
+    whole = members.groupBy("cluster").agg(F.min(F.struct("created", "node"))["node"].alias("survivor"), (F.count_if("_active") > 1).alias("conflict"), F.count(F.lit(1)).alias("n"))
+    # a cluster's verdict reaches its members by their cluster, like any key
     placed = written(_told(members, "cluster", whole).select("node", "survivor", "conflict"), "merge-placed")
     decided = rows.join(placed.withColumnRenamed("node", "a"), "a", "left")
     outcome = F.coalesce("_refused", F.when(F.col("conflict"), "CONFLICT").otherwise("CONFIRM"))
@@ -94,9 +98,9 @@ def reconciled(candidates: DataFrame, companies: DataFrame) -> DataFrame:
     placed = clusters(links).join(rows.select(F.col("id").alias("node"), "domain", "new"), "node")
     placed = written(placed.select("node", "cluster", F.nullif("domain", F.lit("")).alias("domain"), "new"), "companies-placed")
     old = F.when(~F.col("new"), F.col("node"))
-    whole = placed.groupBy("cluster").agg(F.count(old).alias("n"), F.min(old).alias("known"), F.min("node").alias("first"), (F.min("domain") != F.max("domain")).alias("differ"))
+    whole = placed.groupBy("cluster").agg(F.count(old).alias("n"), F.min(old).alias("known"), F.min("node").alias("first"), (F.min("domain") != F.max("domain")).alias("differ"), F.count(F.lit(1)).alias("rows"))
     outcome = F.when(F.col("n") > 1, "AMBIGUOUS").when(F.coalesce("differ", F.lit(False)), "DOMAIN").when(F.col("n") == 1, "MATCHED").otherwise("CREATED")
-    whole = whole.select("cluster", outcome.alias("outcome"), F.when(outcome == "MATCHED", F.col("known")).when(outcome == "CREATED", F.col("first")).alias("company"))
+    whole = whole.select("cluster", outcome.alias("outcome"), F.when(outcome == "MATCHED", F.col("known")).when(outcome == "CREATED", F.col("first")).alias("company"), F.col("rows").alias("n"))
     told = _told(placed.where("new").select("node", "cluster"), "cluster", whole).select(F.col("node").alias("candidate"), "company", "outcome")
     invalid = rows.where(F.col("new") & ~named).select(F.col("id").alias("candidate"), F.lit(None).cast("long").alias("company"), F.lit("INVALID").alias("outcome"))
     return told.unionByName(invalid)

@@ -160,3 +160,14 @@ def test_conflicts_of_nulls_nans_and_zeros(spark):
     value, conflict = R.merged_field("v")
     df = spark.createDataFrame(rows, "g long, v string, x double").groupBy("g").agg(value.alias("v"), conflict.alias("c"), R.merged_requirement("v").alias("r"), R.compensation_conflict("x", "x", "v", "v").alias("p"))
     assert {r.g: (r.v, r.c, r.r, r.p) for r in df.collect()} == {1: (None, False, "UNKNOWN", False), 2: ("a", False, "a", False), 3: (None, True, "UNKNOWN", True), 4: (None, True, "a", True)}
+
+
+def test_hot_keys_and_labels_are_met_like_others_and_no_row_is_doubled(spark):
+    links = [(k, "hub") for k in range(100, 160)] + [(k, f"p{k // 2}") for k in range(40)] + [(159, "p3")]
+    df = spark.createDataFrame(links, "node long, key string")
+    for most in (5, 1_000_000):
+        assert {r.node: r.cluster for r in E.clusters(df, most).collect()} == plain_clusters(links)
+    told = E._told(df, "key", df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), 5)
+    assert sorted((r.node, r.key) for r in told.collect()) == sorted(links)
+    # the table that is told was eight times itself before it was joined
+    assert "Generate" not in told._jdf.queryExecution().optimizedPlan().toString()
