@@ -23,6 +23,8 @@ from sievelake.functions.search import folded
 #: Rules that are sent to all tasks at most: some tens of megabytes as an automaton.
 MOST_RULES = 200_000
 WORDS = re.compile(r"[a-z0-9+#]+")
+#: Texts whose evidence a task holds at once; a batch of Arrow has many more.
+SLICE = 128
 EVIDENCE = "array<struct<facet:string,value:string,phrase:string,at:int,times:int>>"
 
 
@@ -109,7 +111,8 @@ def evidence(df: DataFrame, rules: tuple[Rule, ...]) -> object:
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         phrases = compiled(sent.value)
         for texts in batches:
-            yield pd.Series([[dict(zip(("facet", "value", "phrase", "at", "times"), e, strict=True)) for e in evidence_of(t, phrases)] for t in texts], dtype=object)
+            for k in range(0, len(texts), SLICE):
+                yield pd.Series([[dict(zip(("facet", "value", "phrase", "at", "times"), e, strict=True)) for e in evidence_of(t, phrases)] for t in texts.iloc[k : k + SLICE]], dtype=object)
 
     return found
 

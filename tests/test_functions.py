@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,15 @@ def test_native_tokens_are_the_terms(spark):
 
     said = ["The Developers' licences, versions & RIGHTS of C++ and C#", "Engenheiros e programações em São Paulo", "Müller naïve façade e\u0301t\u00e9 e", "s es the", None, "", "agreements organizations 12 e eee bee"]
     assert column(spark, said, search.tokens) == [search.terms(t) for t in said]
+
+
+def test_evidence_is_held_for_few_texts_at_once(spark, monkeypatch):
+    from sievelake.functions import phrases
+
+    yielded = []
+    monkeypatch.setattr(phrases.F, "pandas_udf", lambda _: lambda f: f)
+    found = phrases.evidence(spark.range(1), (phrases.Rule("a", "x", "data"),))
+    monkeypatch.setattr(phrases, "compiled", lambda _: phrases.Phrases((phrases.Rule("a", "x", "data"),)))
+    for part in found(iter([pd.Series(["data"] * 1_000)])):
+        yielded.append(len(part))
+    assert sum(yielded) == 1_000 and max(yielded) <= 256
