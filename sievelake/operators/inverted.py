@@ -14,9 +14,12 @@ stands twice in one batch is one document with the words of both.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,10 @@ BLOCK_PARTS = 16
 #: Blocks that are read first, and how many times as many next, as long as the n-th score is not known.
 FIRST_BLOCKS, MORE = 16, 16
 
+#: Documents that a task takes apart at once.
+SLICE = 64
+
+POSTED = "term string, block int, id long, codes array<int>"
 POSTINGS = "term string, block int, id long, batch int, codes array<int>, bucket int"
 
 
@@ -39,6 +46,25 @@ def weight_of(code: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, S.WEIGHTS.values())), F.pmod(code, F.lit(4)) + 1)
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each term of whole documents (id, block, p), by term: a document's are gathered where it is read."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            part = batch.slice(k, SLICE)
+            sizes = part["p"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            term, code = part["p"].flatten().flatten()
+            if not len(term):
+                continue
+            coded = term.dictionary_encode()
+            t, c, row = coded.indices.to_numpy(zero_copy_only=False), code.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((c, row, t))
+            t, c, row = t[order], c[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (row[1:] != row[:-1])]))
+            codes = pa.ListArray.from_arrays(pa.array(np.append(first, len(t)), pa.int32()), pa.array(c, pa.int32()))
+            whose = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(t[first])), part["block"].take(whose), part["id"].take(whose), codes], ["term", "block", "id", "codes"])
+
+
 @dataclass
 class Found:
     """Documents by id and rank, and how many postings files' blocks were looked at of how many."""
@@ -60,8 +86,15 @@ class Index:
         docs = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), "d")
         length = reduce(lambda a, b: a + b, [F.size(F.col("d")[f]) for f in S.WEIGHTS])
         block = F.floor(4 * F.log2(1.0 + length)).cast("int") * BLOCK_PARTS + F.pmod(F.xxhash64("id"), F.lit(BLOCK_PARTS)).cast("int")
-        each = docs.select("id", block.alias("block"), F.explode(S.places(F.col("d"))).alias("p")).select("id", "block", "p.term", "p.code")
-        postings = each.groupBy("id", "term").agg(F.max("block").alias("block"), F.array_sort(F.collect_list("code")).alias("codes"))
+        placed = docs.select("id", block.alias("block"), S.places(F.col("d")).alias("p"))
+        twice = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        if twice.isEmpty():
+            postings = placed.mapInArrow(_postings, POSTED)
+        else:
+            # only the words of ids that stand twice are gathered from several rows
+            each = placed.join(twice, "id", "left_semi").select("id", "block", F.explode("p").alias("p")).select("id", "block", "p.term", "p.code")
+            gathered = each.groupBy("id", "term").agg(F.max("block").alias("block"), F.array_sort(F.collect_list("code")).alias("codes"))
+            postings = placed.join(twice, "id", "left_anti").mapInArrow(_postings, POSTED).unionByName(gathered)
         rows = postings.select("term", "block", "id", F.lit(batch).alias("batch"), "codes", bucket_of(F.col("term")).alias("bucket"))
         # a common term's postings are dealt out by block, so no task has all of them
         rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "term", "block")
@@ -69,7 +102,7 @@ class Index:
         new = self.postings().where(F.col("batch") == batch)
         weight = F.aggregate("codes", F.lit(0.0), lambda a, c: a + weight_of(c))
         bounds = new.groupBy("bucket", "term", "block").agg(F.max(weight).alias("most"), F.count(F.lit(1)).alias("n"))
-        bounds.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("append").parquet(f"{self.path}/bounds")
+        bounds.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("append").parquet(f"{self.path}/bounds")
         docs.select("id", F.lit(batch).alias("batch")).distinct().write.mode("append").parquet(f"{self.path}/documents")
         return self
 

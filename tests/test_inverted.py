@@ -95,3 +95,19 @@ def test_a_search_reads_its_terms_and_ends_early(spark, index, tmp_path):
     rows = [(k, "rare" if k == 7 else None, None, "rare " + "word " * (k % 300), None) for k in range(2000)]
     long = Index(spark, f"file://{tmp_path}").add(frame(spark, rows)).best(search.parse("rare"), 1)
     assert [r.id for r in long.rows.collect()] == [7] and long.blocks_read < long.blocks
+
+
+def test_documents_are_taken_apart_where_they_are_read(spark, tmp_path):
+    """Every place of every document was shuffled by document and term; only ids that stand twice need it."""
+    import pyarrow as pa
+
+    from sievelake.operators import inverted
+
+    place = pa.list_(pa.struct([("term", pa.string()), ("code", pa.int32())]))
+    at = lambda *x: [{"term": t, "code": c} for t, c in x]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7], pa.int64()), pa.array([1, 2, 3], pa.int32()), pa.array([at(("b", 9), ("a", 4), ("b", 2)), [], at(("b", 0))], place)], ["id", "block", "p"])
+    got = [tuple(r.values()) for b in inverted._postings(iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == [("a", 1, 5, [4]), ("b", 1, 5, [2, 9]), ("b", 3, 7, [0])]
+    rows = [(1, "data", "", "engineer data", ""), (1, "", "cloud", "data", ""), (2, "data", "", "", ""), (None, "data", "", "", "")]
+    found = Index(spark, f"file://{tmp_path}/index").add(frame(spark, rows))
+    assert {(r.term, r.id) for r in found.postings().collect()} == {("data", 1), (search.stem("engineer"), 1), ("cloud", 1), ("data", 2)}
