@@ -89,6 +89,36 @@ def test_leaks_of_near_copies_short_texts_and_groups(spark):
     assert tuples(split_leaks(df, "doc_id", "text", F.col("split"), "grp")) == leaking(rows)
 
 
+def test_leaks_of_large_groups_in_small_blocks(spark):
+    """Groups far above a block: chains of near copies, copies in both splits, a passage that all have, and an id with two texts."""
+    import random
+
+    pick = random.Random(5)
+    rows, common = [], [f"c{k}" for k in range(12)]
+    for g in range(3):
+        text = [f"g{g}w{k}" for k in range(50)]
+        for k in range(40):
+            text = list(text)
+            text[pick.randrange(50)] = f"y{g}{k}"
+            rows.append((1000 * g + k, " ".join(text + common), k % 3 % 2, "i"))
+    rows += [(9000 + k, rows[k][1].upper(), 1, None) for k in range(0, 40, 4)] + [(9100 + k, " ".join([*common, *(f"z{k}{n}" for n in range(pick.randint(0, 60)))]), k % 2, None) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, split int, grp string")
+    want = leaking(rows)
+    assert sum(x[0] == "pair" for x in want) > 80
+    for block in (7, 256):
+        assert tuples(split_leaks(df, "doc_id", "text", F.col("split"), "grp", block)) == want
+
+
+def test_a_texts_shingles_are_one_set_however_it_is_hashed():
+    from sievelake.operators.leaks import CHUNK, shingle_sets
+
+    long = "one two three four five six seven " * (CHUNK // 20)
+    texts = ["a b", None, "", " ", "a  b", long, "a b c d e f", long + "x"]
+    together = [s.tolist() for s in shingle_sets(texts)]
+    assert together == [s.tolist() for t in texts for s in shingle_sets([t])]
+    assert [len(s) for s in together] == [1, 0, 0, 0, 1, 7, 2, 8] and together[0] == together[4]
+
+
 def test_a_short_item_leaks(spark):
     docs = spark.createDataFrame([(1, "yes Of course"), (2, "yes of course not so")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "Yes of course")], "item_id long, text string")
