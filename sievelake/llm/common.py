@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -43,6 +44,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark removes what a query has shuffled as the query ends; else it stays until the driver happens to collect its garbage.
+REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, a query's shuffle files go when it has ended. Only for plans that are run once, as those of writes are."""
+    before = spark.conf.get(REMOVED)
+    spark.conf.set(REMOVED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REMOVED, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, removed when the application ends.
 
@@ -50,7 +66,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

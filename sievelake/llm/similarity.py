@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import fresh, partitions, written
+from sievelake.llm.common import discard, fresh, partitions, written
 from sievelake.llm.components import UnionFind, components
 
 WORDS_A_SHINGLE = 5
@@ -532,6 +532,8 @@ def classified(rows: DataFrame, group_sets: int = GROUP_SETS, group_shingles: in
     # the least node of a group is not listed
     groups = written(weak.select(F.col("node").alias("rid"), F.col("component").alias("grp")).union(weak.select("component", "component")).distinct(), "groups")
     found = components(links(sets, groups, prefixes, n_parts, group_sets, group_shingles), "links")
+    for table in (sets, prefixes, groups):
+        discard(table)
     members = found.union(found.select("component", "component")).distinct().withColumnRenamed("node", "rid").join(left, "rid").select("digest", "n", "component")
     members = written(members.join(classes, ["digest", "n"]).select("digest", "n", "component", "own"), "members")
     least = members.groupBy("component").agg(F.min("own").alias("least"), F.min("digest").alias("class"))

@@ -409,3 +409,21 @@ def test_pipeline_of_labels_that_teach_nothing(spark):
 
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text"), F.lit("en").alias("lang")).where(language.held_out())
     assert docs.count() and corpus_pipeline.language_stage(spark, docs, "").count() == docs.count()
+
+
+def test_a_written_tables_shuffle_is_removed(spark):
+    import time
+
+    from sievelake.llm.common import REMOVED, written
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for k in range(files.size()) if (f := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, conf = shuffled(), spark.conf.get(REMOVED)
+    table = written(spark.range(10_000).repartition(5, "id"), "test")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(REMOVED) == conf
+    assert table.count() == 10_000
