@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.search import folded
+from sievelake.session import small_batches
 
 #: Rules that are sent to all tasks at most: some tens of megabytes as an automaton.
 MOST_RULES = 200_000
 WORDS = re.compile(r"[a-z0-9+#]+")
-#: Texts whose evidence a task holds at once; a batch of Arrow has many more.
-SLICE = 128
+#: Texts whose evidence a task holds at once at most, and pieces of evidence from which on it is passed on sooner.
+SLICE, PIECES = 128, 10_000
 EVIDENCE = "array<struct<facet:string,value:string,phrase:string,at:int,times:int>>"
 
 
@@ -105,14 +106,22 @@ def evidence_of(text: str | None, phrases: Phrases) -> list[tuple[str, str, str,
 
 def evidence(df: DataFrame, rules: tuple[Rule, ...]) -> object:
     """A function of a text column: what stands in each text, by facet, value and phrase; nothing in a null one."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(rules)  # MOST_RULES at most
 
     @F.pandas_udf(EVIDENCE)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         phrases = compiled(sent.value)
         for texts in batches:
-            for k in range(0, len(texts), SLICE):
-                yield pd.Series([[dict(zip(("facet", "value", "phrase", "at", "times"), e, strict=True)) for e in evidence_of(t, phrases)] for t in texts.iloc[k : k + SLICE]], dtype=object)
+            held, pieces = [], 0
+            for text in texts:
+                held.append([dict(zip(("facet", "value", "phrase", "at", "times"), e, strict=True)) for e in evidence_of(text, phrases)])
+                pieces += len(held[-1])
+                if len(held) == SLICE or pieces >= PIECES:
+                    yield pd.Series(held, dtype=object)
+                    held, pieces = [], 0
+            if held:
+                yield pd.Series(held, dtype=object)
 
     return found
 

@@ -215,3 +215,23 @@ def test_evidence_is_held_for_few_texts_at_once(spark, monkeypatch):
     for part in found(iter([pd.Series(["data"] * 1_000)])):
         yielded.append(len(part))
     assert sum(yielded) == 1_000 and max(yielded) <= 256
+
+
+def test_measured_evidence_is_found_once_by_small_batches(spark):
+    """Explode's own filter must not run the automaton again."""
+    from sievelake.plans import registry
+
+    found = registry.QUERIES["measured_phrases"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "10000"
+
+
+def test_many_pieces_of_few_texts_are_passed_on(spark, monkeypatch):
+    from sievelake.functions import phrases
+
+    rules = tuple(phrases.Rule("f", "v", f"word{k}") for k in range(3_000))
+    monkeypatch.setattr(phrases.F, "pandas_udf", lambda _: lambda f: f)
+    found = phrases.evidence(spark.range(1), rules)
+    text = " ".join(f"word{k}" for k in range(3_000))
+    parts = [[len(x) for x in part] for part in found(iter([pd.Series([text, None, *[text] * 30])]))]
+    assert sum(parts, []) == [3_000, 0, *[3_000] * 30] and max(map(sum, parts)) <= phrases.PIECES + 3_000
